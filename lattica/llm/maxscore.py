@@ -126,12 +126,11 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256) ->
     v = Table(quantised(vectors, scale)).df
     n = v.count()
     shards, blocks = 1 + n // SHARD, 1 + n // every // QUERIES
-    # Integers in [0, n): hashes of the ids, so that any numbering is dealt evenly.
     queries = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
-    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)))
-    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).cast("long"))
-    rows = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(2), F.xxhash64("v")), F.lit(shards)))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long"))
+    queries = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks).cast("long")))
+    queries = queries.withColumn("shard", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))))
+    rows = v.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(2), F.xxhash64("v")), F.lit(shards).cast("long")))
+    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
     found = rows.groupBy("shard", "block").cogroup(queries.groupBy("shard", "block")).applyInArrow(_search(k), "query_id long, vec_id long, score long")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -41,39 +43,15 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
     after = F.sum("weight").over(rising.rowsBetween(W.currentRow, W.unboundedFollowing))
     s = s.withColumn("level", (budget - before) / after)
     open_ = F.when(F.col("full") / F.col("weight") >= F.col("level"), F.col("level"))
-    level = F.min(F.struct((F.col("full") / F.col("weight")).alias("ratio"), "number", F.when(open_.isNotNull(), F.col("level")).alias("level"))).over(everything)
     first = F.min(F.when(open_.isNotNull(), F.struct((F.col("full") / F.col("weight")).alias("ratio"), "number", "level"))).over(everything)
-    del level
     target = F.least(F.col("full"), F.coalesce(first["level"], F.lit(float("inf"))) * F.col("weight"))
     return s.select("source", "rows", "source_size", "number", target.alias("target"))
 
 
-def _per_source(rows: DataFrame, sources: DataFrame, few: bool, how: str = "inner") -> DataFrame:
-    return rows.join(F.broadcast(sources) if few else sources, "number", how)
-
-
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0, carry: tuple[str, ...] = ()) -> DataFrame:
-    """How many words of each document the mix takes.
-
-    docs: doc_id long, text, source string; other columns are ignored, but those named in
-    ``carry`` are returned too.  Returns doc_id, size (words), source_size, target (of its source),
-    taken (words the mix takes, repeats counted).
-
-    A source's documents, shuffled by hash, form a stream of words, laid twice; the stream is cut
-    into blocks of equal length.  Slot k of the schedule is the point frac(k * golden ratio) on the
-    cumulative targets, so every stretch of the schedule holds the sources at their weights; the
-    r-th slot of a source takes the r-th block of its stream, the last one cut to the target.
-    Where a source has a few slots less than its target needs, they follow at the end.
-
-    Null text and texts without words: size 0, nothing is taken.  Null source is a source of its
-    own, last in order.  Null doc_ids and repeated rows are documents like others.  An empty table,
-    or one without words, gives targets of 0.  Reruns agree, as the order is by hash.
-    """
-    carried = [F.col(c).alias(f"carried_{i}") for i, c in enumerate(carry)]
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"), F.xxhash64("doc_id", "text").alias("order"), *carried)
-    if not carry:
-        rows = Table(rows).df  # narrow: texts are read once
-    names = [f"carried_{i}" for i in range(len(carry))]
+def _placed(docs: DataFrame, weights: tuple[float, ...], share: float, limit: float) -> DataFrame:
+    """Narrow rows of the documents with size, source_size, target, taken and order, a hash."""
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), word_count().alias("size"), F.xxhash64("doc_id", "text").alias("order"))
+    rows = Table(rows).df  # texts are read once
     sizes = Table(rows.groupBy("source").agg(F.count("*").alias("rows"), F.sum("size").alias("source_size")))
     sources = Table(source_targets(sizes.df, weights, share, limit))
     n_sources, words = sources.df.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
@@ -82,27 +60,57 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
 
     # The stream: documents by salted order, then the parts' offsets.
     s = F.broadcast(sources.df) if few else sources.df
-    docs_of = rows.alias("r").join(s.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.doc_id", "r.size", "r.order", *names, "s.number", "s.rows", "s.source_size", "s.target")
-    part = F.pmod(F.xxhash64("order"), 1 + F.floor(F.col("rows") / ORDERED_TOGETHER))
-    docs_of = docs_of.withColumn("part", part)
+    docs_of = rows.alias("r").join(s.alias("s"), F.col("r.source").eqNullSafe(F.col("s.source"))).select("r.doc_id", "r.size", "r.order", "s.number", "s.rows", "s.source_size", "s.target")
+    docs_of = docs_of.withColumn("part", F.pmod(F.xxhash64("order"), 1 + F.floor(F.col("rows") / ORDERED_TOGETHER)))
     parts = docs_of.groupBy("number", "part").agg(F.sum("size").alias("part_size"))
     parts = parts.select("number", "part", (F.sum("part_size").over(W.partitionBy("number").orderBy("part")) - F.col("part_size")).alias("before"))
     within = F.sum("size").over(W.partitionBy("number", "part").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     placed = docs_of.withColumn("within", within).join(parts, ["number", "part"]).withColumn("start", F.col("before") + F.col("within"))
 
-    # The schedule: points through the cumulative targets, ranked within their source.
+    # Slots take blocks of the stream, which holds every document once a lap.
     slots = schedule(sources.df, block, int(words) // block + 1, few)
-    spans = placed.where("size > 0").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(-(-int(limit * 1000) // 1000) - 1))))
+    spans = placed.where("size > 0").withColumn("lap", F.explode(F.sequence(F.lit(0), F.lit(math.ceil(limit) - 1))))
     spans = spans.withColumn("from", F.col("start") + F.col("lap") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
     spans = spans.where(F.col("from") < F.round("target"))
     covered = spans.withColumn("rank", F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block))))
     hit = covered.join(slots, ["number", "rank"])
-    least = F.least(F.col("to"), (F.col("rank") + 1) * block, F.round("target").cast("long"))
-    words_in = F.greatest(least - F.greatest(F.col("from"), F.col("rank") * block), F.lit(0))
-    taken = hit.groupBy("number", "start").agg(F.sum(words_in).cast("long").alias("taken"))
-    taken = taken.withColumn("has_words", F.lit(True))
+    end = F.least(F.col("to"), (F.col("rank") + 1) * block, F.round("target").cast("long"))
+    words_in = F.greatest(end - F.greatest(F.col("from"), F.col("rank") * block), F.lit(0))
+    taken = hit.groupBy("number", "start").agg(F.sum(words_in).cast("long").alias("taken")).withColumn("has_words", F.lit(True))
     out = placed.withColumn("has_words", F.col("size") > 0).join(taken, ["number", "start", "has_words"], "left")
-    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(F.col(x).alias(c) for x, c in zip(names, carry)))
+    return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "order")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """How many words of each document the mix takes.
+
+    docs: doc_id long, text, source string; other columns are ignored.  Returns doc_id, size
+    (words), source_size, target (of its source), taken (words the mix takes, repeats counted).
+
+    A source's documents, shuffled by hash, form a stream of words, laid out twice; the stream is
+    cut into blocks of equal length.  Slot k of the schedule is the point frac(k * golden ratio) on
+    the cumulative targets, so every stretch of the schedule holds the sources at their weights;
+    the r-th slot of a source takes the r-th block of its stream, the last one cut to the target.
+    Where a source has a few slots less than its target needs, they follow at the end.
+
+    Null text and texts without words: size 0, nothing is taken.  Null source is a source of its
+    own, last in order.  Null doc_ids and repeated rows are documents like others.  An empty table
+    gives an empty result.  Reruns agree, as the order is by hash.
+    """
+    return _placed(docs, weights, share, limit).drop("order")
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.5, limit: float = 2.0) -> DataFrame:
+    """The mix as whole documents with their columns, each as often as its taken words make it.
+
+    The number of times is rounded; only a source's last document in the stream is taken in part.
+    """
+    placed = _placed(docs, weights, share, limit).where("size > 0")
+    times = placed.select("order", F.row_number().over(W.partitionBy("order").orderBy("doc_id", F.desc("taken"))).alias("n"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("times"))
+    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(F.col("doc_id").cast("long"), "text").alias("order"))
+    own = own.withColumn("n", F.row_number().over(W.partitionBy("order").orderBy("row.doc_id")))
+    chosen = own.join(times.where("times > 0"), ["order", "n"])
+    return chosen.select("row", F.explode(F.array_repeat(F.lit(1), F.col("times")))).select("row.*")
 
 
 def schedule(sources: DataFrame, block: int, n: int, few: bool = True) -> DataFrame:

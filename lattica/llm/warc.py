@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import scratch_dir, shuffle_cleanup
 
@@ -19,7 +20,7 @@ PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _EOL = "\r\n"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def base32_of_hex(digest: pd.Series) -> pd.Series:
     return digest.map(lambda x: base64.b32encode(bytes.fromhex(x)).decode())
 
