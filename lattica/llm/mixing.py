@@ -139,16 +139,3 @@ def schedule(sources: DataFrame, block: int, n: int, few: bool = True) -> DataFr
     missing = bounds.join(have, "number", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n < slots")
     missing = missing.select("number", F.explode(F.sequence(F.col("n"), F.col("slots") - 1)).alias("rank"))
     return ranked.unionByName(missing)
-
-
-def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as whole documents: each as often as its taken words make it, to the nearest number.
-
-    Only a source's last documents in the stream are taken in part; all others are whole.
-    """
-    carry = tuple(docs.columns)
-    rows = mix(docs, carry=carry, **options) if set(carry).isdisjoint({"size", "source_size", "target", "taken"}) else None
-    if rows is None:
-        raise ValueError("columns size, source_size, target and taken are made by the mix")
-    n = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
-    return rows.where("size > 0").withColumn("times", F.explode(F.array_repeat(F.lit(1), n))).select(*carry)

@@ -11,19 +11,24 @@ ROUNDS = 8
 _OPEN, _ESCAPE = "", ""
 
 # Candidates; each is validated before it is replaced.
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"
 DATE_ISO = r"(?<![\d-])\d{4}-\d{2}-\d{2}(?![\d-])"
 DATE_SLASH = r"(?<![\d/])\d{1,2}/\d{1,2}/\d{4}(?![\d/])"
 DATE_DOT = r"(?<![\d.])\d{1,2}\.\d{1,2}\.\d{4}(?!\d|\.\d)"
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 IPV4 = r"(?<![\d.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\d|\.\d)"
-PHONE = r"(?<![\d+])\+1[ .-]?\(?[2-9]\d{2}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\d)\([2-9]\d{2}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])[2-9]\d{2}([.-])\d{3}\1\d{4}(?![\d.-]\d|\d)"
+PHONE = r"(?<![\d+])\+1[ .-]?\(?\d{3}\)?[ .-]?\d{3}[ .-]?\d{4}(?!\d)|(?<!\d)\([2-9]\d{2}\)[ .-]?\d{3}[ .-]\d{4}(?!\d)|(?<![\d.-])[2-9]\d{2}([.-])\d{3}\1\d{4}(?![\d.-]\d|\d)"
 PHONE_OTHER = r"(?<![\d+])\+(?!1[ .(-]?\(?\d)[1-9]\d{0,2}[ .-]?(?:\(?\d+\)?[ .-]?){1,5}\d{2,}(?!\d)"
 CARD = r"(?<![\d-])\d(?:[ -]?\d){12,18}(?![\d-])"
 
 #: First and last day of the calendar's 400-year cycle in which dates are permuted.
 FIRST_DAY, DAYS = "1800-01-01", 146_097  # 146,097 = 189 * 773
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used in there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 Permute = Callable[[str, Column, Column, Column | int, Column | int], Column]
 
 
@@ -64,7 +69,10 @@ def _padded(n: Column, width: int | Column) -> Column:
 
 def _refilled(shape: Column, digits: Column) -> Column:
     """``shape`` with its digits replaced by those of ``digits`` in order."""
+    return let(digits, lambda d: _filled(shape, d))
 
+
+def _filled(shape: Column, digits: Column) -> Column:
     def one(i: Column) -> Column:
         c = F.substr(shape, i, F.lit(1))
         return F.when(c.between("0", "9"), F.substr(digits, F.length(_digits(F.substr(shape, F.lit(1), i))), F.lit(1))).otherwise(c)
@@ -75,11 +83,14 @@ def _refilled(shape: Column, digits: Column) -> Column:
 def luhn_sum(digits: Column) -> Column:
     """Sum whose last digit is 0 if the last digit of a number is its Luhn check digit."""
 
-    def one(i: Column) -> Column:
-        d = F.substr(F.reverse(digits), i, F.lit(1)).cast("int")
-        return F.when(i % 2 == 1, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))
+    def total(back: Column) -> Column:
+        def one(i: Column) -> Column:
+            d = F.substr(back, i, F.lit(1)).cast("int")
+            return F.when(i % 2 == 1, d).otherwise(d * 2 - F.when(d > 4, 9).otherwise(0))
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(digits)), F.lit(0), lambda s, i: s + one(i))
+        return F.aggregate(F.sequence(F.lit(1), F.length(back)), F.lit(0), lambda s, i: s + one(i))
+
+    return let(F.reverse(digits), total)
 
 
 def _digit_string(permute: Permute, kind: str, s: Column) -> Column:
@@ -87,29 +98,34 @@ def _digit_string(permute: Permute, kind: str, s: Column) -> Column:
     n = F.length(s)
     u = F.floor(n / 2).cast("int")
     v = n - u
-    p = permute(kind, F.coalesce(_number(s, 1, u), F.lit(0)), _number(s, u + 1, v), F.pow(F.lit(10), u), F.pow(F.lit(10), v))
-    return F.concat(F.when(u > 0, _padded(p["x"], u)).otherwise(""), _padded(p["y"], v))
+    pair = permute(kind, F.coalesce(_number(s, 1, u), F.lit(0)), _number(s, u + 1, v), F.pow(F.lit(10), u), F.pow(F.lit(10), v))
+    return let(pair, lambda p: F.concat(F.when(u > 0, _padded(p["x"], u)).otherwise(""), _padded(p["y"], v)))
 
 
 def _card(permute: Permute, m: Column) -> Column:
     d = _digits(m)
-    body = _digit_string(permute, "card", F.substr(d, F.lit(1), F.length(d) - 1))
-    check = F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")
-    return F.when((luhn_sum(d) % 10 == 0) & (F.length(_digits(d)) >= 13) & ~d.rlike("^0+$"), _refilled(m, F.concat(body, check)))
+    new = let(_digit_string(permute, "card", F.substr(d, F.lit(1), F.length(d) - 1)), lambda body: F.concat(body, F.pmod(-luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)).cast("string")))
+    return F.when((luhn_sum(d) % 10 == 0) & ~d.rlike("^0+$"), _refilled(m, new))
 
 
 def _ip(permute: Permute, m: Column) -> Column:
     o = F.transform(F.split(m, r"\."), lambda x: x.cast("long"))
-    p = permute("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
-    parts = [F.floor(p["x"] / 256), p["x"] % 256, F.floor(p["y"] / 256), p["y"] % 256]
-    return F.when(F.forall(o, lambda x: x <= 255), F.concat_ws(".", *(x.cast("long").cast("string") for x in parts)))
+    pair = permute("ip", o[0] * 256 + o[1], o[2] * 256 + o[3], 65536, 65536)
+
+    def dotted(p: Column) -> Column:
+        parts = [F.floor(p["x"] / 256), p["x"] % 256, F.floor(p["y"] / 256), p["y"] % 256]
+        return F.concat_ws(".", *(x.cast("long").cast("string") for x in parts))
+
+    return F.when(F.forall(o, lambda x: x <= 255), let(pair, dotted))
 
 
 def _phone(permute: Permute, m: Column) -> Column:
     d = F.right(_digits(m), F.lit(10))
-    p = permute("phone", _number(d, 1, 3) - 200, _number(d, 4, 7), 800, 10**7)
-    out = F.concat(F.when(F.length(_digits(m)) > 10, "1").otherwise(""), _padded(p["x"] + 200, 3), _padded(p["y"], 7))
-    return F.when(_number(d, 1, 3) >= 200, _refilled(m, out))
+    area = _number(d, 1, 3)
+    least = F.when(area < 200, 0).otherwise(200)  # area codes in use are permuted among themselves
+    pair = permute("phone", area - least, _number(d, 4, 7), F.when(area < 200, 200).otherwise(800), 10**7)
+    first = F.when(F.length(_digits(m)) > 10, "1").otherwise("")
+    return _refilled(m, let(pair, lambda p: F.concat(first, _padded(p["x"] + least, 3), _padded(p["y"], 7))))
 
 
 def _phone_other(permute: Permute, m: Column) -> Column:
@@ -121,10 +137,13 @@ def _phone_other(permute: Permute, m: Column) -> Column:
 
 def _ssn(permute: Permute, m: Column) -> Column:
     area, group, serial = _number(m, 1, 3), _number(m, 5, 2), _number(m, 8, 4)
-    p = permute("ssn", area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
-    new = p["x"] + 1 + F.when(p["x"] + 1 >= 666, 1).otherwise(0)
-    out = F.concat_ws("-", _padded(new, 3), _padded(F.floor(p["y"] / 9999) + 1, 2), _padded(p["y"] % 9999 + 1, 4))
-    return F.when((area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0), out)
+    pair = permute("ssn", area - 1 - F.when(area > 666, 1).otherwise(0), (group - 1) * 9999 + serial - 1, 898, 99 * 9999)
+
+    def written(p: Column) -> Column:
+        new = p["x"] + 1 + F.when(p["x"] + 1 >= 666, 1).otherwise(0)
+        return F.concat_ws("-", _padded(new, 3), _padded(F.floor(p["y"] / 9999) + 1, 2), _padded(p["y"] % 9999 + 1, 4))
+
+    return F.when((area > 0) & (area < 900) & (area != 666) & (group > 0) & (serial > 0), let(pair, written))
 
 
 def _date(permute: Permute, m: Column, split: str, order: tuple[int, int, int]) -> Column:
@@ -132,13 +151,17 @@ def _date(permute: Permute, m: Column, split: str, order: tuple[int, int, int])
     parts = F.split(m, split)
     y, mo, d = (parts[i] for i in order)
     day = F.datediff(F.try_to_timestamp(F.concat_ws("-", y, F.lpad(mo, 2, "0"), F.lpad(d, 2, "0")), F.lit("yyyy-MM-dd")).cast("date"), F.lit(FIRST_DAY).cast("date")).cast("long")
-    p = permute("date", F.floor(day / 773), day % 773, 189, 773)
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * 773 + p["y"]).cast("int"))
-    out = [None, None, None]
-    for i, f in zip(order, ("yyyy", "MM", "dd")):
-        out[i] = F.date_format(new, f)
+    pair = permute("date", F.floor(day / 773), day % 773, 189, 773)
     separator = {"-": "-", "/": "/", r"\.": "."}[split]
-    return F.when(day.between(0, DAYS - 1), F.concat_ws(separator, *out))
+
+    def written(p: Column) -> Column:
+        new = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["x"] * 773 + p["y"]).cast("int"))
+        out = [None, None, None]
+        for i, f in zip(order, ("yyyy", "MM", "dd")):
+            out[i] = F.date_format(new, f)
+        return F.concat_ws(separator, *out)
+
+    return F.when(day.between(0, DAYS - 1), let(pair, written))
 
 
 def _email(key: str, m: Column) -> Column:
@@ -146,12 +169,15 @@ def _email(key: str, m: Column) -> Column:
     local, domain = F.regexp_extract(m, "^([^@]+)@", 1), F.regexp_extract(m, "@(.*)$", 1)
     digest = F.concat(*(F.sha2(F.concat_ws("|", F.lit(key), F.lit(f"email{i}"), F.lower(m)), 256) for i in range(2)))
 
-    def one(i: Column) -> Column:
-        c = F.substr(local, i, F.lit(1))
-        h = F.conv(F.substr(digest, (i - 1) % 62 * 2 + 1, F.lit(4)), 16, 10).cast("int")
-        return F.when(c.rlike("[0-9]"), (h % 10).cast("string")).when(c.rlike("[A-Za-z]"), F.char(h % 26 + 97)).otherwise(c)
+    def written(v: Column) -> Column:
+        def one(i: Column) -> Column:
+            c = F.substr(v["local"], i, F.lit(1))
+            h = F.conv(F.substr(v["digest"], (i - 1) % 62 * 2 + 1, F.lit(4)), 16, 10).cast("int")
+            return F.when(c.between("0", "9"), (h % 10).cast("string")).when(F.lower(c).between("a", "z"), F.char(h % 26 + 97)).otherwise(c)
+
+        return F.array_join(F.transform(F.sequence(F.lit(1), F.length(v["local"])), one), "")
 
-    return F.concat(F.array_join(F.transform(F.sequence(F.lit(1), F.length(local)), one), ""), F.lit("@"), domain)
+    return F.concat(let(F.struct(local.alias("local"), digest.alias("digest")), written), F.lit("@"), domain)
 
 
 def _replacement(key: str, permute: Permute, m: Column, inverse: bool) -> Column:
@@ -184,7 +210,8 @@ def pseudonymise(docs: DataFrame, key: str = "lattica", inverse: bool = False) -
     rows are documents like others.  An empty table gives an empty result.
     """
     permute = feistel(key, inverse)
-    pattern = "|".join([EMAIL, DATE_ISO, SSN, DATE_SLASH, DATE_DOT, IPV4, PHONE.replace(r"\1", r"\2").replace(r"([.-])", r"([.-])"), CARD, PHONE_OTHER])
+    numbers = "|".join([DATE_ISO, SSN, DATE_SLASH, DATE_DOT, IPV4, PHONE.replace(r"\1", r"\2"), CARD, PHONE_OTHER])
+    pattern = f"{EMAIL}|(?=[0-9+(])(?:{numbers})"
     # Whole alternatives are one group, so the separator of a phone number is the second one.
     escaped = F.replace(F.replace(F.col("text"), F.lit(_ESCAPE), F.lit(_ESCAPE + "0")), F.lit(_OPEN), F.lit(_ESCAPE + "1"))
     marked = F.regexp_replace(escaped, f"({pattern})", f"{_OPEN}$1{_OPEN}")
