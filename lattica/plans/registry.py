@@ -1,14 +1,9 @@
-"""Queries over the test tables and their SQL."""
+"""All queries over the test tables and their SQL."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from . import affect, ingest, popularity, streams, text, vectors
+from .base import QUERIES, SQL
+from .popularity import flagship
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def flagship(spark: SparkSession, sf_dir: str, min_posts: int = 20) -> DataFrame:
-    raise NotImplementedError
+__all__ = ["QUERIES", "SQL", "flagship", "affect", "ingest", "popularity", "streams", "text", "vectors"]
