@@ -66,11 +66,11 @@ def parse_polymorphic_list(c: Column | str) -> Column:
     """A JSON list, else parts between bars, as trimmed strings without blanks."""
     c = col(c)
     items = F.coalesce(F.from_json(c, "array<string>"), F.split(c, r"\|"))
-    return F.coalesce(F.filter(F.transform(items, F.trim), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
+    return F.coalesce(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), F.array().cast("array<string>"))
 
 
 def list_to_text(c: Column | str, sep: str = " | ") -> Column:
-    return F.array_join(F.filter(F.transform(col(c), F.trim), lambda x: x.isNotNull() & (x != "")), sep)
+    return F.array_join(F.filter(F.transform(col(c), lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")), sep)
 
 
 def list_to_json(c: Column | str) -> Column:
@@ -78,7 +78,7 @@ def list_to_json(c: Column | str) -> Column:
 
 
 def split_multi_value(c: Column | str) -> Column:
-    return F.filter(F.transform(F.split(col(c), "[,;/]"), F.trim), lambda x: (x != "") & (F.lower(x) != "nan"))
+    return F.filter(F.transform(F.split(col(c), "[,;/]"), lambda x: F.trim(x)), lambda x: (x != "") & (F.lower(x) != "nan"))
 
 
 def extract_year(c: Column | str) -> Column:
@@ -100,7 +100,7 @@ def file_stem(c: Column | str) -> Column:
 
 
 def tokenise_letters(c: Column | str, min_length: int = 3, stop: Sequence[str] = ()) -> Column:
-    words = F.transform(F.regexp_extract_all(col(c), F.lit(r"([A-Za-z][A-Za-z0-9_'-]+)"), 1), F.lower)
+    words = F.transform(F.regexp_extract_all(col(c), F.lit(r"([A-Za-z][A-Za-z0-9_'-]+)"), 1), lambda w: F.lower(w))
     return F.filter(words, lambda w: (F.length(w) >= min_length) & ~w.isin(*stop) if stop else F.length(w) >= min_length)
 
 

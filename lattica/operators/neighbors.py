@@ -54,8 +54,8 @@ def _search_block(k: int):
     def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if left.empty or right.empty:
             return pd.DataFrame({"key": [], "ref": [], "score": []})
-        s = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
-        ids = right["key"].to_numpy()
+        s = np.stack(left["v"].to_numpy()) @ np.stack(right["w"].to_numpy()).T
+        ids = right["ref"].to_numpy()
         order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :k]
         rows = np.repeat(np.arange(len(left)), order.shape[1])
         return pd.DataFrame({"key": left["key"].to_numpy()[rows], "ref": ids[order.ravel()], "score": s[rows, order.ravel()]})
@@ -75,7 +75,8 @@ def knn_topk(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
         return hashed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
 
     q, r = dealt(queries, "bq", nq, "br", nr), dealt(references, "br", nr, "bq", nq)
-    found = q.groupBy("bq", "br").cogroup(r.groupBy("bq", "br")).applyInPandas(_search_block(k), "key long, ref long, score double")
+    r = r.select(F.col("key").alias("ref"), F.col("v").alias("w"), F.col("bq").alias("cq"), F.col("br").alias("cr"))
+    found = q.groupBy("bq", "br").cogroup(r.groupBy("cq", "cr")).applyInPandas(_search_block(k), "key long, ref long, score double")
     w = W.partitionBy("key").orderBy(F.desc(F.round("score", 9)), "ref")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import relational as rel
 from ..sources import ingest as io
-from .base import POSTS, PREPARED, posts, query, table
+from .base import POSTS, posts, query, table
 from .popularity import _prepared
 
 
@@ -182,7 +182,7 @@ def scalar_or_first(spark, d):
     return table(spark, d, "events").select(F.col("event_id").alias("key"), F.try_element_at(a, F.lit(1)).alias("first"))
 
 
-@query("response_json_parse", "SELECT event_id AS key, CASE WHEN event_id % 4 <> 3 THEN event_type END AS label, CASE WHEN event_id % 4 <> 3 AND event_id % 5 <> 0 THEN 2001 END AS first_year, event_id % 4 <> 3 AS valid FROM events")
+@query("response_json_parse", "SELECT event_id AS key, CASE WHEN event_id % 4 <> 3 THEN event_type END AS label, CASE WHEN event_id % 5 <> 0 THEN 2001 END AS first_year, event_id % 4 <> 3 AS valid FROM events")
 def response_json_parse(spark, d):
     k = F.col("event_id")
     label = F.when(k % 4 == 3, "unheard of").otherwise(F.col("event_type"))
@@ -195,8 +195,3 @@ def response_json_parse(spark, d):
 @query("run_batch_summary", "SELECT event_type AS method, count(*) AS runs, round(avg(value), 4) AS mean_seconds, round(sum(value), 2) AS total_seconds FROM events GROUP BY 1")
 def run_batch_summary(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("method")).agg(F.count("*").alias("runs"), F.round(F.avg("value"), 4).alias("mean_seconds"), F.round(F.sum("value"), 2).alias("total_seconds"))
-
-
-@query("conform", f"WITH {PREPARED} SELECT key, CAST(NULL AS VARCHAR) AS title FROM prepared")
-def conform(spark, d):
-    return rel.conform(_prepared(spark, d), {"key": "long", "title": "string"})

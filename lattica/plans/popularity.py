@@ -69,12 +69,12 @@ _POPULAR = """, popular AS (
 
 
 @query("template_popularity", f"""WITH {PREPARED}{_POPULAR}
-    SELECT template_key, posts, strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen, round(mean_score, 4) AS mean_score, round(median_score, 4) AS median_score,
+    SELECT template_key, posts, strftime(first_seen, '%Y-%m-%d') AS first_seen, strftime(last_seen, '%Y-%m-%d') AS last_seen, round(mean_score, 3) AS mean_score, round(median_score, 3) AS median_score,
            observed_days, active_days, round(posts_per_observed_year, 6) AS posts_per_observed_year, round(posts_per_active_year, 6) AS posts_per_active_year,
            CAST(row_number() OVER (ORDER BY posts DESC, posts_per_observed_year DESC, template_key) AS INTEGER) AS rank, CAST(dense_rank() OVER (ORDER BY posts DESC) AS INTEGER) AS dense_rank FROM popular""")
 def template_popularity(spark, d):
     p = op.template_popularity(_prepared(spark, d))
-    return p.select("template_key", "posts", _d("first_seen"), _d("last_seen"), _r("mean_score", 4), _r("median_score", 4), "observed_days", "active_days", _r("posts_per_observed_year"), _r("posts_per_active_year"), "rank", "dense_rank")
+    return p.select("template_key", "posts", _d("first_seen"), _d("last_seen"), _r("mean_score", 3), _r("median_score", 3), "observed_days", "active_days", _r("posts_per_observed_year"), _r("posts_per_active_year"), "rank", "dense_rank")
 
 
 @query("rank_first_unique", f"""WITH {PREPARED}{_POPULAR}

@@ -18,10 +18,11 @@ def _stream(spark, d, name):
     return spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 2).parquet(path)
 
 
-@query("stream_volume")
+@query("stream_volume", "SELECT strftime(CAST(ts AS TIMESTAMP), '%Y-%m-%d') AS period, event_type, count(*) AS n FROM events GROUP BY 1, 2")
 def stream_volume(spark, d):
     e = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    return st.drained(st.stream_volume(e, "ts", "event_type", late="40 days"), _folder(spark), _folder(spark))
+    v = st.drained(st.stream_volume(e, "ts", "event_type", late="40 days"), ["period", "event_type"], _folder(spark), _folder(spark))
+    return v.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "event_type", "n")
 
 
 @query("stream_assign")

@@ -10,7 +10,7 @@ from ..operators import cluster as cl
 from ..operators import neighbors as nb
 from ..operators import popularity as pop
 from ..operators import relational as rel
-from .base import HASHES, NAMES, TEXTS, VECTORS, hashes, posts, query, table, texts, vectors
+from .base import HASHES, NAMES, VECTORS, hashes, posts, query, table, texts, vectors
 from .popularity import FEATURES_SQL
 
 TAU, DELTA = 0.25, 0.02
@@ -323,13 +323,13 @@ def fuzzy_match_sequence(spark, d):
     return nb.fuzzy_match_topk(*_names(spark, d), 3, True).select("query", "row_id", "score", "rank")
 
 
-@query("image_name_lookup", f"WITH {NAMES} SELECT n.name, coalesce((SELECT min(c.name) FROM candidates c WHERE c.name = n.name), (SELECT min(c.name) FROM candidates c WHERE contains(c.name, n.name))) AS image FROM names n")
+@query("image_name_lookup", f"WITH {NAMES} SELECT n.name, coalesce((SELECT min(c.name) FROM candidates c WHERE c.name = n.name), (SELECT min(c.name) FROM candidates c WHERE contains(' ' || c.name || ' ', ' ' || n.name || ' '))) AS image FROM names n")
 def image_name_lookup(spark, d):
     n, c = _names(spark, d)
     exact = n.join(c.select("name", F.col("name").alias("image")), "name", "left")
     rest = exact.where("image is null").select("name")
     # Residual containment by the first word, which every containing name has.
-    found = rest.withColumn("w", F.split("name", " ")[0]).join(c.select(F.col("name").alias("image"), F.explode(F.array_distinct(F.split("name", " "))).alias("w")), "w").where(F.contains("image", F.col("name")))
+    found = rest.withColumn("w", F.split("name", " ")[0]).join(c.select(F.col("name").alias("image"), F.explode(F.array_distinct(F.split("name", " "))).alias("w")), "w").where(F.contains(F.concat(F.lit(" "), "image", F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" "))))
     best = found.groupBy("name").agg(F.min("image").alias("found"))
     return exact.join(best, "name", "left").select("name", F.coalesce("image", "found").alias("image"))
 
@@ -516,7 +516,7 @@ def batch_assign_pipeline(spark, d):
     v = _views(spark, d).withColumn("v", sc.fuse_vectors("a", "b", 0.6)).drop("a", "b")
     r = cl.checkpointed(cl.pca_reduce(v, "v", 16).select("key", "template", "is_test", F.col("reduced").alias("v")))
     train = r.where("not is_test")
-    c = cl.kmeans(cl.vectorised(train, "v"), 10, (1,)).select("key", "template", "v", "cluster")
+    c = cl.checkpointed(cl.kmeans(cl.vectorised(train, "v"), 10, (1,)).select("key", "template", "v", "cluster"))
     refined = cl.refine_clusters(c.select("key", "v", "cluster"), 1).join(c.select("key", "template"), "key")
     votes = cl.majority_vote_label(refined, "cluster", "template").withColumnRenamed("label", "voted")
     assigned = nb.assign_open_set(nb.top2(r.where("is_test"), nb.centroids_by_label(refined, "cluster", "v"), "key", "v", "cluster"), TAU, DELTA)
@@ -529,5 +529,3 @@ def sample_unlabelled(spark, d):
     picked = v.orderBy(F.xxhash64("key", F.lit(42)), "key").limit(50).select(F.col("key"), F.lit(None).cast("int").alias("template"))
     return rel.upsert(v, picked, "key")
 
-
-_TEXT_VIEW = TEXTS

@@ -31,8 +31,11 @@ def read_nested_jsonl(spark: SparkSession, path: str) -> DataFrame:
 def affect_columns(sentiments: Column, emotions: Column, context: str) -> list[Column]:
     """Score columns from a map of sentiments and a list of {label, score}; unknown labels are
     dropped, and of repeated ones the last counts."""
-    last = [F.aggregate(emotions, F.lit(None).cast("double"), lambda s, x, k=k: F.when(x["label"] == k, x["score"]).otherwise(s)).alias(f"{k}_{context}") for k in EMOTIONS]
-    return last + [F.element_at(sentiments, k).alias(f"{k}_{context}") for k in SENTIMENTS]
+
+    def last(label: str) -> Column:
+        return F.aggregate(emotions, F.lit(None).cast("double"), lambda s, x: F.when(x["label"] == label, x["score"]).otherwise(s))
+
+    return [last(k).alias(f"{k}_{context}") for k in EMOTIONS] + [F.element_at(sentiments, k).alias(f"{k}_{context}") for k in SENTIMENTS]
 
 
 def parse_affect(lines: DataFrame, line: str = "value") -> DataFrame:

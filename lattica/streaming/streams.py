@@ -8,11 +8,17 @@ from pyspark.sql import functions as F
 from ..operators.neighbors import assign_open_set, top2
 
 
-def drained(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> DataFrame:
-    """Runs a stream until its input is used up and returns what it wrote as parquet."""
-    q = stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
+def drained(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregating stream until its input is used up: the last update of every key."""
+
+    def batch(df: DataFrame, number: int) -> None:
+        df.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(path)
+
+    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
     q.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(path)
+    rest = [c for c in stream.columns if c not in keys]
+    last = stream.sparkSession.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
+    return last.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
 def stream_volume(events: DataFrame, time: str, key: str, window: str = "1 day", late: str = "2 days") -> DataFrame:
