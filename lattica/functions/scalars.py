@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -180,9 +180,16 @@ def dot(a: Column | str, b: Column | str) -> Column:
     return F.aggregate(F.zip_with(col(a), col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often it is used in there."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 def l2_normalise(a: Column | str) -> Column:
-    n = F.greatest(F.sqrt(dot(a, a)), F.lit(1e-12))
-    return F.transform(col(a), lambda x: x.cast("double") / n)
+    def scaled(v: Column) -> Column:
+        return let(F.greatest(F.sqrt(dot(v, v)), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
+
+    return let(col(a), scaled)
 
 
 def fuse_vectors(a: Column | str, b: Column | str, alpha: float) -> Column:
@@ -204,10 +211,13 @@ def pack_bits(flags: Column) -> Column:
 def median_bits(values: Column | str) -> Column:
     """Bits of the values above the median of all but the first."""
     v = F.slice(col(values), 1, 64)
-    rest = F.array_sort(F.slice(v, 2, 63))
-    n = F.size(rest)
-    median = (F.element_at(rest, F.floor((n + 1) / 2).cast("int")) + F.element_at(rest, F.floor(n / 2).cast("int") + 1)) / 2.0
-    return pack_bits(F.transform(v, lambda x: x > median))
+    n = F.size(v) - 1
+
+    def middle(rest: Column) -> Column:
+        return (F.element_at(rest, F.floor((n + 1) / 2).cast("int")) + F.element_at(rest, F.floor(n / 2).cast("int") + 1)) / 2.0
+
+    median = let(F.array_sort(F.slice(v, 2, 63)), middle)
+    return pack_bits(let(median, lambda m: F.transform(v, lambda x: x > m)))
 
 
 def hamming(a: Column | str, b: Column | str) -> Column:
