@@ -77,13 +77,14 @@ def drop_small_classes(df: DataFrame, label: str, least: int) -> DataFrame:
     return df.withColumn("_n", F.count("*").over(W.partitionBy(label))).where(F.col("_n") >= least).drop("_n")
 
 
-def _by_hash(key: str, seed: int) -> Column:
-    return F.xxhash64(F.col(key), F.lit(seed))
+def by_hash(key: str, seed: int) -> Column:
+    """A seeded order that any engine can repeat."""
+    return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
 def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: int, folds: int = 5) -> DataFrame:
     """Each class's rows in hash order: the first max(1, round(n * share)), n - 1 at most, are the test."""
-    w = W.partitionBy(label).orderBy(_by_hash(key, seed), key)
+    w = W.partitionBy(label).orderBy(by_hash(key, seed), key)
     n = F.count("*").over(W.partitionBy(label))
     size = F.least(F.greatest(F.round(n * share), F.lit(1)), n - 1)
     r = F.row_number().over(w)
@@ -95,14 +96,14 @@ def stratified_sample(df: DataFrame, label: str, key: str, n: int, seed: int) ->
     total = F.count("*").over(W.partitionBy())
     own = F.count("*").over(W.partitionBy(label))
     quota = F.greatest(F.lit(1), F.round(own * n / total))
-    r = F.row_number().over(W.partitionBy(label).orderBy(_by_hash(key, seed), key))
-    ranked = df.select("*", (r > quota).alias("_extra"), r.alias("_r"), _by_hash(key, seed).alias("_h"))
+    r = F.row_number().over(W.partitionBy(label).orderBy(by_hash(key, seed), key))
+    ranked = df.select("*", (r > quota).alias("_extra"), r.alias("_r"), by_hash(key, seed).alias("_h"))
     return ranked.orderBy("_extra", F.col("_r") > 1, "_h", key).limit(n).select(*df.columns)
 
 
 def one_per_label(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
-    one = df.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(_by_hash(key, seed), key))).where("_r = 1").drop("_r")
-    return one.orderBy(_by_hash(label, seed), label).limit(k)
+    one = df.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(by_hash(key, seed), key))).where("_r = 1").drop("_r")
+    return one.orderBy(by_hash(label, seed), label).limit(k)
 
 
 def zscore(df: DataFrame, columns: Sequence[str]) -> DataFrame:

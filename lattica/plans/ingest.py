@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as sc
 from ..operators import relational as rel
 from ..sources import ingest as io
-from .base import POSTS, posts, query, table
+from .base import POSTS, PREPARED, posts, query, table
 from .popularity import _prepared
 
 
@@ -95,11 +95,11 @@ def read_headerless_csv2(spark, d):
     return io.read_headerless_csv(spark, path)
 
 
-@query("scan_labelled_tree")
+@query("scan_labelled_tree", "SELECT 'lang=' || lang AS template, 'tree' AS source FROM documents GROUP BY 1")
 def scan_labelled_tree(spark, d):
     path = _folder(spark)
     table(spark, d, "documents").select("lang", F.lit("x").alias("value")).write.partitionBy("lang").text(path)
-    return io.scan_labelled_tree(spark, path, ("txt",)).groupBy("template", "source").agg(F.count("*").alias("files"))
+    return io.scan_labelled_tree(spark, path, ("txt",)).select("template", "source").distinct()
 
 
 @query("normalise_manifest", "SELECT '/new/' || p_partkey || '.jpg' AS image_path, p_brand AS template, 'train' AS source FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY '/new/' || p_partkey || '.jpg') AS r FROM part) WHERE r <= 5")
@@ -146,11 +146,11 @@ def request_manifest(spark, d):
     return m.select(F.get_json_object("value", "$.template").alias("template"), F.get_json_object("value", "$.mime_type").alias("mime_type"))
 
 
-@query("write_outputs")
+@query("write_outputs", f"WITH {PREPARED} SELECT key, template_key, round(score, 2) AS score FROM prepared")
 def write_outputs(spark, d):
     path = _folder(spark)
     io.write_outputs(_prepared(spark, d).select("key", "template_key", "score"), path, "json")
-    return spark.read.json(path)
+    return spark.read.schema("key long, template_key string, score double").json(path).select("key", "template_key", F.round("score", 2).alias("score"))
 
 
 @query("missing_files", "SELECT doc_id AS key, 'https://img.example/' || doc_id || '.jpg' AS source FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")

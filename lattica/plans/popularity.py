@@ -377,22 +377,26 @@ def year_summary_by_cluster(spark, d):
     return f.groupBy(F.when(F.col("n") >= 100, "large").otherwise("small").alias("cluster")).agg(F.count("*").alias("templates"), F.round(F.avg("y"), 6).alias("mean_year"), F.median("y").alias("median_year"), F.min("y").alias("first_year"), F.max("y").alias("last_year"), F.round(F.avg(2026 - F.col("y")), 6).alias("mean_age"))
 
 
-@query("stratified_split")
+@query("stratified_split", f"""WITH {PREPARED}, r AS (SELECT key, template_key, row_number() OVER (PARTITION BY template_key ORDER BY md5(key || '|42'), key) AS r, count(*) OVER (PARTITION BY template_key) AS n FROM prepared)
+    SELECT key, template_key, CASE WHEN r <= least(greatest(round(n * 0.2), 1), n - 1) THEN 'test' ELSE 'train' END AS split, CAST(r % 5 AS INTEGER) AS fold FROM r""")
 def stratified_split(spark, d):
     return rel.stratified_split(_prepared(spark, d).select("key", "template_key"), "template_key", "key", 0.2, 42)
 
 
-@query("stratified_sample_n")
+@query("stratified_sample_n", f"""WITH {PREPARED}, r AS (SELECT key, template_key, row_number() OVER (PARTITION BY template_key ORDER BY md5(key || '|42'), key) AS r, count(*) OVER (PARTITION BY template_key) AS own, count(*) OVER () AS total FROM prepared)
+    SELECT key, template_key FROM r ORDER BY r > greatest(1, round(own * 500 / total)), r > 1, md5(key || '|42'), key LIMIT 500""")
 def stratified_sample_n(spark, d):
     return rel.stratified_sample(_prepared(spark, d).select("key", "template_key"), "template_key", "key", 500, 42)
 
 
-@query("one_example_per_label")
+@query("one_example_per_label", f"""WITH {PREPARED}, r AS (SELECT key, template_key, row_number() OVER (PARTITION BY template_key ORDER BY md5(key || '|42'), key) AS r FROM prepared)
+    SELECT key, template_key FROM r WHERE r = 1 ORDER BY md5(template_key || '|42'), template_key LIMIT 50""")
 def one_example_per_label(spark, d):
     return rel.one_per_label(_prepared(spark, d).select("key", "template_key"), "template_key", "key", 50, 42)
 
 
-@query("fixed_split_pipeline")
+@query("fixed_split_pipeline", f"""WITH {PREPARED}, big AS (SELECT key, template_key FROM (SELECT *, count(*) OVER (PARTITION BY template_key) AS c FROM prepared WHERE template_key NOT LIKE 'machinery%') WHERE c >= 7), r AS (SELECT key, template_key, row_number() OVER (PARTITION BY template_key ORDER BY md5(key || '|42'), key) AS r, count(*) OVER (PARTITION BY template_key) AS n FROM big)
+    SELECT key, template_key, CASE WHEN r <= least(greatest(round(n * 0.2), 1), n - 1) THEN 'test' ELSE 'train' END AS split, CAST(r % 5 AS INTEGER) AS fold FROM r""")
 def fixed_split_pipeline(spark, d):
     p = _prepared(spark, d).select("key", "template_key").where("template_key NOT LIKE 'machinery%'")
     return rel.stratified_split(rel.drop_small_classes(p, "template_key", 7), "template_key", "key", 0.2, 42)

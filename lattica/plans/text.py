@@ -175,7 +175,10 @@ def norm_words(spark, d):
     return _names(spark, d).select("s", sc.norm_words("s").alias("k"))
 
 
-@query("norm_synonyms", f"""SELECT s, regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(trim(s)), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\bman\\b', 'person', 'g'), '\\bguy\\b', 'person', 'g'), '\\bwoman\\b', 'person', 'g') AS k FROM ({_N})""")
+SYNONYMS_SQL = """regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(regexp_replace(replace(lower(trim({s})), '&', ' and '), '[^a-z0-9\\s]', ' ', 'g'), '\\s+', ' ', 'g')), '\\bman\\b', 'person', 'g'), '\\bguy\\b', 'person', 'g'), '\\bwoman\\b', 'person', 'g')"""
+
+
+@query("norm_synonyms", f"""SELECT s, {SYNONYMS_SQL.format(s='s')} AS k FROM ({_N})""")
 def norm_synonyms(spark, d):
     return _names(spark, d).select("s", sc.norm_synonyms("s").alias("k"))
 

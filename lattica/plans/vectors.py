@@ -12,6 +12,7 @@ from ..operators import popularity as pop
 from ..operators import relational as rel
 from .base import HASHES, NAMES, VECTORS, hashes, posts, query, table, texts, vectors
 from .popularity import FEATURES_SQL
+from .text import SYNONYMS_SQL
 
 TAU, DELTA = 0.25, 0.02
 _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2]))"
@@ -144,7 +145,11 @@ def prototype_update(spark, d):
     return c.select("label", F.round(F.col("centroid")[0], 6).alias("first"))
 
 
-@query("two_phase_assign")
+@query("two_phase_assign", f"""WITH {_CENTRES}, ps AS (SELECT best_label AS label, v, 0.5 AS w FROM t2 JOIN vectors USING (key) WHERE best_score >= {TAU} UNION ALL SELECT template, v, 1.0 FROM vectors WHERE NOT is_test),
+    e AS (SELECT label, w, unnest(range(1, 65)) AS i, unnest(v) AS x FROM ps), m AS (SELECT label, i, CAST(sum(x * w) / sum(w) AS DOUBLE) AS m FROM e GROUP BY 1, 2), a AS (SELECT label, list(m ORDER BY i) AS c FROM m GROUP BY 1),
+    cen2 AS (SELECT label, list_transform(c, lambda x: x / greatest(sqrt({_DOT.format(a='c', b='c')}), 1e-12)) AS c FROM a), s2 AS (SELECT key, cen2.label, {_DOT.format(a='v', b='c')} AS s FROM vectors, cen2 WHERE is_test),
+    r2 AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY s DESC, label) AS r FROM s2), o2 AS (SELECT key, max(CASE WHEN r = 1 THEN label END) AS label, max(CASE WHEN r = 1 THEN s END) AS s1, max(CASE WHEN r = 2 THEN s END) AS s2 FROM r2 GROUP BY 1)
+    SELECT key, s1 >= {TAU} AND s1 - s2 >= {DELTA} AS accepted, CASE WHEN s1 >= {TAU} AND s1 - s2 >= {DELTA} THEN label ELSE -1 END AS predicted FROM o2""")
 def two_phase_assign(spark, d):
     v = vectors(spark, d)
     pseudo = _top2(spark, d).where(F.col("best_score") >= TAU).select("key", F.col("best_label").alias("label")).join(v, "key").select("label", "v")
@@ -492,7 +497,10 @@ def multinomial_logreg(spark, d):
     return p.select("key", "class", F.get(order, F.col("prediction").cast("int")).alias("predicted"), F.round(F.array_max(vector_to_array("probability")), 4).alias("confidence"))
 
 
-@query("label_canonicalise")
+@query("label_canonicalise", f"""WITH RECURSIVE nm AS (SELECT {SYNONYMS_SQL.format(s='p_name')} AS name, count(*) AS n FROM part GROUP BY 1), ids AS (SELECT *, row_number() OVER (ORDER BY name) AS id FROM nm),
+    w AS (SELECT id, unnest(list_distinct(string_split(name, ' '))) AS w, len(list_distinct(string_split(name, ' '))) AS s FROM ids), e AS (SELECT x.id AS a, y.id AS b FROM w x JOIN w y ON x.w = y.w AND x.id <> y.id GROUP BY 1, 2 HAVING count(*) / sqrt(any_value(x.s) * any_value(y.s)) >= 0.8),
+    r AS (SELECT id, id AS c FROM ids UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id), cc AS (SELECT id, min(c) AS c FROM r GROUP BY 1), k AS (SELECT c, name, row_number() OVER (PARTITION BY c ORDER BY n DESC, ids.id) AS r, count(*) OVER (PARTITION BY c) AS variants FROM ids JOIN cc USING (id))
+    SELECT ids.name, k.name AS canonical, k.variants FROM ids JOIN cc USING (id) JOIN k ON k.c = cc.c AND k.r = 1""")
 def label_canonicalise(spark, d):
     names = table(spark, d, "part").select(sc.norm_synonyms("p_name").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
     ids = cl.checkpointed(names.withColumn("id", F.row_number().over(W.orderBy("name")).cast("long")))  # names of one catalogue
@@ -504,7 +512,7 @@ def label_canonicalise(spark, d):
     return named.join(best, "component").select("name", "canonical", "variants")
 
 
-@query("centroid_text_assign")
+@query("centroid_text_assign", f"WITH {_CENTRES} SELECT key, best_score >= 0.3 AND margin >= 0.01 AS accepted, CASE WHEN best_score >= 0.3 AND margin >= 0.01 THEN best_label ELSE -1 END AS label FROM open")
 def centroid_text_assign(spark, d):
     v = vectors(spark, d)
     c = nb.centroids_by_label(v.where("not is_test"), "template", "v")
@@ -523,9 +531,9 @@ def batch_assign_pipeline(spark, d):
     return assigned.join(votes, F.col("best_label") == F.col("cluster")).select("key", "accepted", F.when(F.col("accepted"), F.col("voted")).otherwise(-1).alias("label"))
 
 
-@query("sample_unlabelled")
+@query("sample_unlabelled", f"WITH {VECTORS}, p AS (SELECT key FROM vectors ORDER BY md5(key || '|42'), key LIMIT 50) SELECT key, CASE WHEN key NOT IN (SELECT key FROM p) THEN template END AS template FROM vectors")
 def sample_unlabelled(spark, d):
     v = vectors(spark, d).select("key", "template")
-    picked = v.orderBy(F.xxhash64("key", F.lit(42)), "key").limit(50).select(F.col("key"), F.lit(None).cast("int").alias("template"))
+    picked = v.orderBy(rel.by_hash("key", 42), "key").limit(50).select(F.col("key"), F.lit(None).cast("int").alias("template"))
     return rel.upsert(v, picked, "key")
 
