@@ -14,56 +14,60 @@ from pyspark.sql import functions as F
 
 from .common import Table, column, longs
 
-#: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+#: Words whose ids a Python worker remembers, in each of two generations.
+REMEMBERED = 200_000
 #: Pieces of one length and salt that are ranked in one task, about.
 RANKED_TOGETHER = 50_000
-# Letters with one lower-case form each, then ASCII punctuation without the apostrophe: the
-# tokenizer splits such a word between the two, so their ids may be looked up separately.
-_PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+# Texts of ASCII and Latin-1 letters, which have one lower-case form each and no other normal form,
+# and the words that the tokenizer finds in them; fixed values of its pattern.
+_PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
+_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
 
 
 class WordTokens:
     """Ids of texts as bytes of little-endian unsigned 32-bit numbers, by words that recur.
 
-    The tokenizer drops white space and never joins what it separates, so the ids of a text are
-    those of its words between spaces, one after the other.
+    Plain texts are split into words as the tokenizer does it, and each distinct word is encoded
+    once while it is remembered; a word's last token is marked as such in the vocabulary, so many
+    words are encoded as one text.  All other texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
-    def _encode(self, words: list[str], into: dict[str, bytes]) -> None:
-        for i in range(0, len(words), 5000):
-            part = words[i : i + 5000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                into[w] = np.array(e.ids, dtype="<u4").tobytes()
+    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
+        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            yield np.array(e.ids, dtype="<u4")
 
     def learn(self, words: set[str]) -> None:
-        plain, other = {}, []
-        for w in words:
-            if m := _PLAIN.fullmatch(w):
-                plain[w] = (m[1].lower(), m[2])
+        known = words & self.older.keys()
+        self.words.update((w, self.older[w]) for w in known)
+        new = list(words - known)
+        groups = [new[i : i + 2000] for i in range(0, len(new), 2000)]
+        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(group):
+                data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
+                self.words.update(zip(group, map(data.__getitem__, map(slice, at, at[1:]))))
             else:
-                other.append(w)
-        self._encode(list({x for pair in plain.values() for x in pair} - self.parts.keys()), self.parts)
-        self._encode(other, self.words)
-        for w, (a, b) in plain.items():
-            self.words[w] = self.parts[a] + self.parts[b]
+                self.words.update((w, x.tobytes()) for w, x in zip(group, self._ids(group)))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
+        plain = [_PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts]
         if len(self.words) > REMEMBERED:
-            self.words.clear()
-        if len(self.parts) > REMEMBERED:
-            self.parts = {"": b""}
-        split = [t.split(" ") for t in texts]
+            self.words, self.older = {}, self.words
+        split = [_WORD.findall(t.lower()) if ok else () for t, ok in zip(texts, plain)]
         self.learn(set().union(*split) - self.words.keys())
-        for words in split:
-            yield b"".join(map(self.words.__getitem__, words))
+        for t, ok, words in zip(texts, plain, split):
+            yield b"".join(map(self.words.__getitem__, words)) if ok else next(self._ids([t])).tobytes()
 
 
 _workers: dict[str, WordTokens] = {}
