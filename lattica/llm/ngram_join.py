@@ -7,10 +7,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, column, long_lists, longs, shingle_set, shuffle_cleanup
+from .common import Table, column, long_lists, longs, shingle_set
 from .components import components
 
 #: One document in so many is read to find the frequent shingles that go last in the global order.
@@ -79,15 +79,10 @@ def _described(order, width: int, percent: int):
 _N, _P = 27, 25
 
 
-def _unpack(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    return (v >> _P) & ((1 << _N) - 1), v & ((1 << _P) - 1)
-
-
 def _may_link(n1, p1, n2, p2, percent: int):
-    """Length and position bounds: what can still be common from these positions on."""
+    """Whether two sets can link whose first common element is at these positions."""
     need = -(-percent * (n1 + n2) // (100 + percent))
-    fits = (100 * n1 >= percent * n2) & (100 * n2 >= percent * n1)
-    return fits & (np.minimum(n1 - p1, n2 - p2) >= need)
+    return np.minimum(n1 - p1, n2 - p2) >= need
 
 
 def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,8 +143,8 @@ def _expand(key: np.ndarray, n: np.ndarray, rows: np.ndarray, others: np.ndarray
 
 
 def _cross_pairs(percent: int):
-    """Candidate pairs in one shingle's list whose documents are not yet known to be connected.
-    Within the largest component of a list nothing is paired, so a group of copies costs its size."""
+    """Pairs in one shingle's list that may link with it as their first common one, and whose
+    documents are not yet known to be connected.  Within the largest component of a list nothing is paired, so a group of copies costs its size."""
 
     def lists(t, v, rep, comp):
         key = np.cumsum(np.concatenate(([0], (t[1:] != t[:-1]).astype(np.int64))))
@@ -158,7 +153,7 @@ def _cross_pairs(percent: int):
         if not mixed.any():
             return
         key, v, rep, comp = key[mixed], v[mixed], rep[mixed], comp[mixed]
-        n, p = _unpack(v)
+        n, p = (v >> _P) & ((1 << _N) - 1), v & ((1 << _P) - 1)
         o = np.lexsort((n, key))
         key, n, p, rep, comp = key[o], n[o], p[o], rep[o], comp[o]
         c = np.lexsort((comp, key))
@@ -196,11 +191,43 @@ def _cross_pairs(percent: int):
     return run
 
 
-def _lists(order, width: int):
+def enough_in_prefix(common: Column, n1: Column, n2: Column, percent: int) -> Column:
+    """Whether sets of n1 and n2 with that many common prefix elements can link.
+
+    Of the set whose prefix ends first in the global order, common elements are in both prefixes
+    or behind its own: at most ``common`` and what it has behind its prefix.
+    """
+
+    def behind(n: Column) -> Column:
+        return F.ceil(n * percent / 100) - 1
+
+    fits = (F.lit(100) * n1 >= percent * n2) & (F.lit(100) * n2 >= percent * n1)
+    return fits & ((100 + percent) * (common + F.greatest(behind(n1), behind(n2))) >= percent * (n1 + n2))
+
+
+#: Bits of the filter by which documents without candidates are passed over: 16 an id, 16 MB at most.
+FILTER_BITS = 27
+
+
+def id_filter(ids: DataFrame) -> tuple[np.ndarray, int]:
+    """A bitmap of hashed ids, bounded in size; where ids outgrow it, it lets more documents pass."""
+    bits = 1 << min(FILTER_BITS, max(10, (16 * ids.count()).bit_length()))
+    at = F.pmod(F.xxhash64("doc_id"), F.lit(bits).cast("long"))
+    words = ids.select(at.alias("at")).groupBy(F.shiftright("at", 6).alias("w")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod("at", F.lit(64)).cast("int"))).alias("x")).toArrow()
+    out = np.zeros(bits // 64, np.uint64)
+    out[words.column("w").to_numpy()] = words.column("x").to_numpy().view(np.uint64)
+    return out, bits
+
+
+def _lists(order, wanted, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at = column(b, "at").astype(np.uint64)
+            hit = (wanted.value[at >> np.uint64(6)] >> (at & np.uint64(63))) & np.uint64(1)
+            b = b.filter(pa.array(hit == 1))
             sets = [order.value.sort(shingle_set(t, width))[0] for t in b.column("text").to_pylist()]
-            yield pa.record_batch([b.column("doc_id"), long_lists(sets)], names=["id", "s"])
+            digest = pa.array([hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets], pa.binary())
+            yield pa.record_batch([b.column("doc_id"), digest, long_lists(sets)], names=["id", "digest", "s"])
 
     return run
 
@@ -271,8 +298,11 @@ def verified_links(pairs: DataFrame, docs: DataFrame, order, width: int, percent
     """Those of the candidate pairs (a, b) whose whole sets link."""
     pairs_t = Table(pairs)
     ids = pairs_t.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    with shuffle_cleanup(docs.sparkSession):
-        sets = Table(docs.select("doc_id", "text").join(ids, "doc_id", "left_semi").mapInArrow(_lists(order, width), "id long, s array<long>"))
+    words, bits = id_filter(ids)
+    wanted = docs.sparkSession.sparkContext.broadcast(words)
+    near = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id"), F.lit(bits).cast("long")).alias("at")).where("doc_id is not null")
+    found = near.mapInArrow(_lists(order, wanted, width), "id long, digest binary, s array<long>").join(ids.withColumnRenamed("doc_id", "id"), "id", "left_semi")
+    sets = Table(found.groupBy("id").agg(F.min_by("s", "digest").alias("s")))
     blocks = pairs_t.df.groupBy("a").agg(F.ceil(F.count("*") / TRIE_SETS).alias("blocks"))
     members = pairs_t.df.join(blocks, "a").select("a", F.pmod(F.xxhash64("b"), "blocks").alias("block"), "b")
     probes = blocks.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(None).cast("long").alias("b"))
@@ -294,8 +324,9 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     1. Sets get a global order (frequent shingles last) and equal sets become one class.
     2. Prefix postings meet by shingle.  Each document is first compared with one hub of a list, the
        one with most frequent shingles, which connects groups of near copies at the cost of their size.
-    3. Pairs of a list not yet connected, within the length and position bounds, are compared next:
-       every link between different sets is found or joins two already connected documents.
+    3. Pairs of a list not yet connected follow, if their lengths and the number of their common
+       prefix elements allow a link: every link between different sets is found or joins two
+       already connected documents.
     4. Comparison walks tries of whole sets (`_trie_overlaps`); components follow.
 
     Null or empty text: no shingles, its own component.  Null doc_id: n_shingles is given, the
@@ -315,21 +346,30 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     postings = reps.select("t", packed.alias("v"), F.col("doc_id").alias("rep"))
     lists = Table(postings.repartition("t").sortWithinPartitions("t", "v", "rep").mapInArrow(_postings, "t long, v long, rep long, hub long, hub_v long"))
 
-    def part(v: str, bits: int, shift: int):
-        return F.shiftright(F.col(v), shift).bitwiseAND(F.lit((1 << bits) - 1).cast("long"))
+    def size(v: str):
+        return F.shiftright(F.col(v), _P).bitwiseAND(F.lit((1 << _N) - 1).cast("long"))
 
-    n1, n2, p1, p2 = part("v", _N, _P), part("hub_v", _N, _P), part("v", _P, 0), part("hub_v", _P, 0)
-    fits = (F.lit(100) * n1 >= percent * n2) & (F.lit(100) * n2 >= percent * n1) & ((100 + percent) * F.least(n1 - p1, n2 - p2) >= percent * (n1 + n2))
-    stars = lists.df.where((F.col("hub") != F.col("rep")) & fits).groupBy("rep", "hub").count()
-    best = stars.groupBy("rep").agg(F.max(F.struct("count", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("rep").alias("b"))
+    stars = lists.df.where("hub <> rep").groupBy("rep", "hub", size("v").alias("n1"), size("hub_v").alias("n2")).agg(F.count("*").alias("common"))
+    stars = stars.where(enough_in_prefix(F.col("common"), F.col("n1"), F.col("n2"), percent))
+    best = stars.groupBy("rep").agg(F.max(F.struct("common", "hub")).alias("m")).select(F.col("m.hub").alias("a"), F.col("rep").alias("b"))
     star_links = verified_links(best, docs, order, width, percent)
     known = components(star_links.df)
 
     rows = lists.df.select("t", "v", F.col("rep").alias("id")).join(known.df, "id", "left")
     rows = rows.select("t", "v", F.col("id").alias("rep"), F.coalesce("component", "id").alias("comp"))
-    cross = rows.repartition("t").sortWithinPartitions("t").mapInArrow(_cross_pairs(percent), "a long, b long").distinct()
-    cross_links = verified_links(cross, docs, order, width, percent)
-    lists.drop()
+    cross = Table(rows.repartition("t").sortWithinPartitions("t").mapInArrow(_cross_pairs(percent), "a long, b long").distinct())
+    ids = cross.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    own = classes.df.withColumnRenamed("rep", "doc_id").join(ids, "doc_id", "left_semi")
+    prefixes = Table(d.join(own, ["doc_id", "digest"]).select("doc_id", "n", "prefix").dropDuplicates(["doc_id"]))
+
+    def side(name: str, i: int) -> DataFrame:
+        return prefixes.df.select(F.col("doc_id").alias(name), F.col("n").alias(f"n{i}"), F.col("prefix").alias(f"p{i}"))
+
+    common = F.size(F.array_intersect("p1", "p2"))
+    likely = cross.df.join(side("a", 1), "a").join(side("b", 2), "b").where(enough_in_prefix(common, F.col("n1"), F.col("n2"), percent)).select("a", "b")
+    cross_links = verified_links(likely, docs, order, width, percent)
+    for t in (lists, cross, prefixes):
+        t.drop()
     final = components(star_links.df.unionByName(cross_links.df))
     for t in (known, star_links, cross_links):
         t.drop()
