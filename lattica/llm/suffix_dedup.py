@@ -61,13 +61,14 @@ def _tuples(length: int, key: int):
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix tuples sorted by (k, r, doc, place), read once with a bounded state.
+    """Suffix tuples sorted by (k, r, doc, place), read once.
 
-    kind 1: a run that a smaller document holds whole.  kind 2: the first holder of a run whose key
-    also starts other runs, so that some of its windows may be elsewhere; a key's first such run
-    waits until another one shows up.
+    kind 1: a run that a smaller document holds whole.  kind 2: every place of a run in its first
+    holder whose key also starts other runs, so that some of its windows may be elsewhere; the
+    places of a key's first such run wait until another one shows up (those of one doc_id).
     """
-    k0 = r0 = first = pending = None
+    k0 = r0 = first = None
+    is_open, pending = False, []
     for b in batches:
         if not b.num_rows:
             continue
@@ -78,20 +79,20 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = np.maximum.accumulate(np.where(new_r, idx, -1))
         least = np.where(at >= 0, doc[at], first if first is not None else 0)
         matched = doc > least
-        # Rows that start another run of a key that has one already; and the key's first run.
-        other = new_r & ~new_k
-        key_start = np.maximum.accumulate(np.where(new_k, idx, -1))
-        led = np.unique(key_start[other])
-        out = [(doc[matched], place[matched], np.ones(int(matched.sum()), np.int64)), (doc[other], place[other], np.full(int(other.sum()), 2))]
-        if len(led) and led[0] < 0:
-            if pending is not None:
-                out.append((np.array([pending[0]]), np.array([pending[1]]), np.array([2])))
-            pending = None
-            led = led[1:]
-        out.append((doc[led], place[led], np.full(len(led), 2)))
-        s = key_start[-1]
-        if s >= 0:
-            pending = None if len(led) and led[-1] == s else (doc[s], place[s])
+        # Keys by number, 0 for one that began in an earlier batch, and whether they start several runs.
+        group = np.cumsum(new_k)
+        several = np.bincount(group[new_r & ~new_k], minlength=group[-1] + 1) > 0
+        several[0] |= is_open
+        led = ~matched & several[group]
+        out = [(doc[matched], place[matched], np.ones(int(matched.sum()), np.int64)), (doc[led], place[led], np.full(int(led.sum()), 2))]
+        if several[0]:
+            out += [(d, p, np.full(len(d), 2)) for d, p in pending]
+        if several[0] or group[-1]:
+            pending = []
+        is_open = bool(several[group[-1]])
+        waits = ~matched & (group == group[-1])
+        if not is_open and waits.any():
+            pending.append((doc[waits], place[waits]))
         k0, r0, first = k[-1], r[-1], least[-1]
         yield pa.record_batch([longs(np.concatenate(x)) for x in zip(*out)], names=["doc", "place", "kind"])
 

@@ -1,10 +1,13 @@
 """Operators on documents against plain versions."""
 
 import hashlib
+import random
+import string
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -92,6 +95,41 @@ def test_repeated_spans(docs, rows):
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
 
 
+def test_repeated_spans_twice_in_a_document(spark):
+    """A shared passage that a later document holds twice, between equal bytes of its own."""
+    r = random.Random(5)
+
+    def text(n, of=string.ascii_letters):
+        return "".join(r.choices(of, k=n))
+
+    rows = []
+    for i, n in enumerate([50, 51, 55, 60, 70, 75, 90, 200] * 3):
+        p, v, w = text(n), text(60), text(60)
+        rows += [(2 * i + 1, text(60, string.digits) + p + text(60, string.digits)), (2 * i + 2, v + p + w + "\n" + v + p + w)]
+    got = {x.doc_id: x for x in suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), with_bytes=True).collect()}
+    for d, t in rows:
+        own = t[:60].encode() + t[-60:].encode()
+        want = t.encode() if d % 2 else own[:60] + own[-60:] + b"\n" + own[:60] + own[-60:]
+        assert (d, bytes(got[d].kept)) == (d, want)
+        assert got[d].n_spans == (0 if d % 2 else 2)
+
+
+def test_induction_in_any_batches():
+    """First holders of runs of open keys, whatever the cuts between batches."""
+    r = np.random.default_rng(1)
+    rows = np.unique(r.integers(0, [6, 3, 3, 40], (300, 4)), axis=0)
+    rows = rows[~((rows[:, 0] == 5) & (rows[:, 1] > 0))]
+    least, runs = {}, defaultdict(set)
+    for k, run, d, _ in rows.tolist():
+        least[k, run] = min(d, least.get((k, run), d))
+        runs[k].add(run)
+    want = Counter((d, p, 1 if d > least[k, run] else 2) for k, run, d, p in rows.tolist() if d > least[k, run] or len(runs[k]) > 1)
+    for size in (1, 2, 7, 50, 1000):
+        batches = [pa.record_batch([pa.array(c) for c in rows[i : i + size].T], names=["k", "r", "doc", "place"]) for i in range(0, len(rows), size)]
+        got = Counter(tuple(x.values()) for b in suffix_dedup._induce(iter(batches)) for x in b.to_pylist())
+        assert got == want
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
