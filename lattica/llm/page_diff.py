@@ -205,9 +205,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments).  Pages are
     paired by URL path within each host (`nearest_pairs`), the pair's lines aligned by longest
     common subsequence, and shared lines deleted.  Lines of an element marked as the article are
-    not deleted, since an article may be a copy of its neighbour's; if a page has such lines, they
-    are its text.  A page all of whose lines are shared is a copy and keeps them.  Lines are joined
-    by two line ends.
+    not deleted, since an article may be a copy of its neighbour's; other lines of such a page are
+    judged like those of any page.  A page all of whose lines are shared is a copy and keeps them.
+    Lines are joined by two line ends.
 
     Null url or a URL without a host: the page is paired within the empty host.  Null page_id and
     repeated rows are pages like others.  An empty table gives an empty result.
@@ -223,8 +223,7 @@ def main_text(pages: DataFrame) -> DataFrame:
         masks = Table(nearest_pairs(keys).mapInArrow(_shared, "page_id long, version long, shared array<int>").where("size(shared) > 0").dropDuplicates(["page_id", "version"]))
     same = (F.col("l.version") == F.col("r.version")) & F.col("l.page_id").eqNullSafe(F.col("r.page_id"))
     rows = parsed.alias("l").join(masks.df.alias("r"), same, "left").select("l.page_id", "l.url", "l.lines", "r.shared")
-    marked = F.filter("lines", lambda x: x.kind == MAIN)
-    kept = F.filter("lines", lambda x, i: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i.cast("int")))
-    chosen = F.when(F.size(marked) > 0, marked).when(F.size(kept) > 0, kept).otherwise(F.col("lines"))
+    kept = F.filter("lines", lambda x, i: (x.kind == MAIN) | ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), i.cast("int")))
+    chosen = F.when(F.size(kept) > 0, kept).otherwise(F.col("lines"))
     text = F.array_join(F.transform(chosen, lambda x: x.text), "\n\n")
     return rows.select("page_id", "url", text.alias("text")).withColumn("n_chars", F.length("text").cast("long"))

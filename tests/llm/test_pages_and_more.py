@@ -58,6 +58,15 @@ def test_main_text(pages):
     assert got == {1: "First & only\n\ntext one more", 2: "Second text", 3: "Head\n\nBody", 4: "Head\n\nBody", 5: "", 6: "", 7: "plain < text > é", 8: "plain < text > é", None: "null id"}
 
 
+def test_differencing_judges_pages_with_a_marked_part(spark):
+    """Markup keeps shared lines of its element; it does not decide on the lines outside of it."""
+    teaser = "<article><p>Read this too</p></article>"
+    rows = [(i, f"http://h.example/b/{i}", f"<body>{MENU}<div>Site name</div><p>Text {i}</p><p>More {i}</p>{teaser}<div>Legal line</div></body>") for i in (1, 2)]
+    rows.append((3, "http://h.example/c", f"<body><div>Site name</div>{teaser}<div>Legal line</div></body>"))
+    got = {r.page_id: r.text for r in page_diff.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Text 1\n\nMore 1\n\nRead this too", 2: "Text 2\n\nMore 2\n\nRead this too", 3: "Read this too"}
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     r = np.random.default_rng(5)
     for _ in range(40):
