@@ -7,15 +7,19 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, hamming, l2_normalise
 
-#: References up to this number are sent to every task as they are; beyond, they are joined in blocks.
+#: Centroids up to this number are sent to every task as they are; more are refused.
 BROADCAST_ROWS = 20_000
+#: Rows of a block where each pair of blocks is compared in one task.
 BLOCK = 4096
+#: Stands for the distance of a null hash, beyond all others.
+_NO_DISTANCE = 65
 
 
 def centroids_by_label(rows: DataFrame, label: str, vector: str) -> DataFrame:
@@ -63,18 +67,19 @@ def _search_block(k: int):
     return run
 
 
+def _dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+    """Rows in blocks by their key, once for every block of the other side."""
+    hashed = df.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(n_own).cast("long")))
+    return hashed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
+
+
 def knn_topk(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
     """Exact k largest inner products of (key, v) queries with (key, v) references.
 
     Both sides are dealt into blocks of bounded size; each pair of blocks is a matrix product.
     """
     nq, nr = (1 + x.count() // BLOCK for x in (queries, references))
-
-    def dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-        hashed = df.select("key", "v", F.pmod(F.xxhash64("key"), F.lit(n_own).cast("long")).alias(own))
-        return hashed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-
-    q, r = dealt(queries, "bq", nq, "br", nr), dealt(references, "br", nr, "bq", nq)
+    q, r = _dealt(queries.select("key", "v"), "bq", nq, "br", nr), _dealt(references.select("key", "v"), "br", nr, "bq", nq)
     r = r.select(F.col("key").alias("ref"), F.col("v").alias("w"), F.col("bq").alias("cq"), F.col("br").alias("cr"))
     found = q.groupBy("bq", "br").cogroup(r.groupBy("cq", "cr")).applyInPandas(_search_block(k), "key long, ref long, score double")
     w = W.partitionBy("key").orderBy(F.desc(F.round("score", 9)), "ref")
@@ -107,11 +112,36 @@ def radius_join_euclid(left: DataFrame, right: DataFrame, r: float) -> DataFrame
     return pairs.withColumn("distance", d).where(F.col("distance") <= r).select("a", "b", "distance")
 
 
+def _nearest_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
+    best, at = np.zeros(left.num_rows, np.int32), np.zeros(left.num_rows, np.int64)
+    if left.num_rows and right.num_rows:
+        right = right.sort_by("ref")  # the first of the nearest has the smallest key
+        h, g = (x.combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for x in (left["hash"], right["ref_hash"]))
+        none, lacks = (x.combine_chunks().is_null().to_numpy(zero_copy_only=False) for x in (left["hash"], right["ref_hash"]))
+        for i in range(0, len(h), 256):
+            d = np.bitwise_count((h[i : i + 256, None] ^ g[None, :]).view(np.uint64))
+            d[none[i : i + 256]] = _NO_DISTANCE
+            d[:, lacks] = _NO_DISTANCE
+            at[i : i + 256] = d.argmin(axis=1)
+            best[i : i + 256] = d.min(axis=1)
+    else:
+        left, best, at = left.slice(0, 0), best[:0], at[:0]
+    return pa.table({"key": left["key"], "ref": right["ref"].take(pa.array(at)), "distance": pa.array(best)})
+
+
 def hamming_nearest(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """Nearest reference hash of every query, the smallest key on ties."""
-    pairs = _checked_cross(queries.select("key", "hash"), references.select(F.col("key").alias("ref"), F.col("hash").alias("ref_hash")))
-    best = pairs.groupBy("key").agg(F.min(F.struct(hamming("hash", "ref_hash").alias("distance"), "ref")).alias("m"))
-    return best.select("key", "m.ref", "m.distance")
+    """Nearest reference hash of every query, the smallest key on ties; (key, hash) rows of longs.
+
+    Both sides are dealt into blocks as in `knn_topk`; each pair of blocks is a table of bit counts.
+    Null hashes are at no distance (null) and come after all others.
+    """
+    nq, nr = (1 + x.count() // BLOCK for x in (queries, references))
+    long = [F.col(c).cast("long").alias(c) for c in ("key", "hash")]
+    q, r = _dealt(queries.select(*long), "bq", nq, "br", nr), _dealt(references.select(*long), "br", nr, "bq", nq)
+    r = r.select(F.col("key").alias("ref"), F.col("hash").alias("ref_hash"), F.col("bq").alias("cq"), F.col("br").alias("cr"))
+    found = q.groupBy("bq", "br").cogroup(r.groupBy("cq", "cr")).applyInArrow(_nearest_in_block, "key long, ref long, distance int")
+    best = found.groupBy("key").agg(F.min(F.struct("distance", "ref")).alias("m"))
+    return best.select("key", "m.ref", F.nullif("m.distance", F.lit(_NO_DISTANCE)).alias("distance"))
 
 
 def radius_vote(neighbours: DataFrame, labels: DataFrame, queries: DataFrame, by_distance: bool = False, reject: int = -1) -> DataFrame:

@@ -3,6 +3,7 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -98,3 +99,18 @@ def test_entropy_is_null_with_a_missing_score(spark):
     df = spark.createDataFrame([(0.5, 0.5), (1.0, None), (0.0, 0.0)], "a double, b double")
     got = [r[0] for r in df.select(sc.score_entropy("a", "b")).collect()]
     assert got[0] == pytest.approx(1.0) and got[1:] == [None, None] and math.isfinite(got[0])
+
+
+def test_hamming_nearest_has_no_largest_number_of_references(spark):
+    r = np.random.default_rng(3)
+    q, g = r.integers(0, 1 << 12, 300), r.integers(-(1 << 62), 1 << 62, 20_500)
+    g[:400] = r.integers(0, 1 << 12, 400)  # near ones, with ties
+    ids = r.permutation(len(g))
+    d = np.bitwise_count((q[:, None] ^ g[None, :]).view(np.uint64))
+    want = {i: min(zip(x.tolist(), ids.tolist())) for i, x in enumerate(d)}
+    queries = spark.createDataFrame([*enumerate(q.tolist()), (900, None)], "key long, hash long")
+    references = spark.createDataFrame([*zip(ids.tolist(), g.tolist()), (-5, None)], "key long, hash long")
+    want[900] = (None, -5)
+    got = {x.key: (x.distance, x.ref) for x in neighbors.hamming_nearest(queries, references).collect()}
+    assert got == want
+    assert neighbors.hamming_nearest(queries, references.where("false")).count() == 0
