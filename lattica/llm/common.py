@@ -53,10 +53,11 @@ class Table:
 
 # --- hashing of byte strings -------------------------------------------------------------------
 # A polynomial hash modulo 2**64 over random byte values, so that the hash of any substring comes
-# from two prefix sums; mixed afterwards, as the low bits of the plain sum are weak.
+# from two prefix sums; mixed afterwards, as the low bits of the plain sum are weak.  The second
+# lane, of another base and other byte values, is independent of the first.
 
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_INVERSES = tuple(pow(x, -1, 2**64) for x in _BASES)
 _U = np.uint64
 
 
@@ -66,7 +67,7 @@ def mix(z: np.ndarray) -> np.ndarray:
     return z ^ (z >> _U(31))
 
 
-BYTE_VALUES = mix(np.arange(1, 257, dtype=np.uint64) * _U(_BASE))
+BYTE_VALUES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * _U(x)) for x in _BASES)
 IS_SPACE = np.isin(np.arange(256), [0x20, 9, 10, 11, 12, 13])
 _tables: dict[int, np.ndarray] = {}
 
@@ -81,15 +82,15 @@ def powers(base: int, n: int) -> np.ndarray:
     return have[:n]
 
 
-def prefix_sums(b: np.ndarray) -> np.ndarray:
+def prefix_sums(b: np.ndarray, lane: int = 0) -> np.ndarray:
     c = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[b] * powers(_BASE, len(b)), out=c[1:])
+    np.cumsum(BYTE_VALUES[lane][b] * powers(_BASES[lane], len(b)), out=c[1:])
     return c
 
 
-def substring_hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+def substring_hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray, lane: int = 0) -> np.ndarray:
     """Hashes of the substrings [start, end) of the text with prefix sums c."""
-    return mix((c[end] - c[start]) * powers(_INVERSE, len(c))[start] + (end - start).astype(np.uint64))
+    return mix((c[end] - c[start]) * powers(_INVERSES[lane], len(c))[start] + (end - start).astype(np.uint64))
 
 
 _LANES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]

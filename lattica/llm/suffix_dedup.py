@@ -8,23 +8,33 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Table, column, longs, mix, prefix_sums, substring_hashes
 
 #: Bytes of the key by which suffixes are sampled; a string of `length` bytes holds length - KEY + 1.
 KEY = 24
-#: A place packs (variant, first window, windows) into one long: 8, 33 and 22 bits.
-_LO, _LEN = 33, 22
+#: A place packs (first window, windows) into one long; texts have at most 2**31 bytes.
+_LEN = 8
+#: Flags of places that pass the sort of suffixes: known to be held before, or to be compared by window.
+_SETTLED, _DIRECT = 1 << 61, 1 << 62
+_MARK = -1
+#: Tuples that a task combines before they are shuffled, and runs of one key among them from which on
+#: the key counts as open.  Both decide cost, never results.
+TOGETHER, MANY_RUNS = 400_000, 8
+_U = np.uint64
 
 
-def sampled_runs(b: np.ndarray, c: np.ndarray, length: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def sampled_runs(b: np.ndarray, length: int, key: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of neighbouring windows of ``length`` bytes that sample the same suffix.
 
     The sampled suffix of a window is the one whose first ``key`` bytes have the smallest hash in
     it; that depends on the window alone, so equal windows sample equal suffixes in every document.
-    Returns the key hashes, hashes of the runs' whole bytes, and the first and last windows.
+    Returns k (56 bits of the key's hash, then 8 of a second hash of the run's whole bytes), r (64
+    bits of their first hash), and the first and last windows.
     """
+    c = prefix_sums(b)
     h = substring_hashes(c, np.arange(len(b) - key + 1), np.arange(key, len(b) + 1))
     width, step, m = length - key + 1, 1, h
     while step * 2 <= width:
@@ -35,33 +45,59 @@ def sampled_runs(b: np.ndarray, c: np.ndarray, length: int, key: int) -> tuple[n
     edge = np.concatenate(([True], m[1:] != m[:-1]))
     start = np.flatnonzero(edge)
     most = (1 << _LEN) - 1
-    if len(m) > most:  # a very long run is cut
+    if np.diff(np.concatenate((start, [len(m)]))).max() > most:  # a very long run is cut
         edge |= (np.arange(len(m)) - np.repeat(start, np.diff(np.concatenate((start, [len(m)]))))) % most == 0
         start = np.flatnonzero(edge)
     last = np.concatenate((start[1:] - 1, [len(m) - 1]))
-    return m[start], substring_hashes(c, start, last + length), start, last
+    second = substring_hashes(prefix_sums(b, 1), start, last + length, 1)
+    k = (m[start] & ~_U(0xFF)) | (second & _U(0xFF))
+    return k, substring_hashes(c, start, last + length), start, last
 
 
-def _tuples(length: int, key: int):
+def _combined(k: np.ndarray, r: np.ndarray, doc: np.ndarray, variant: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
+    """Tuples of one task, combined before they are shuffled.
+
+    A run that a smaller document of the same task holds is settled.  A key with many runs is open
+    whatever other tasks hold: its runs go to the comparison by window straight away, and a mark
+    says so to the task that sorts the key.  Both pass the sort under keys of their own, so that
+    a frequent string sends a few tuples a task to the one that sorts it.
+    """
+    o = np.argsort(mix(k) ^ r, kind="stable")
+    k, r, doc, variant, place = k[o], r[o], doc[o], variant[o], place[o]
+    start = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1]))))
+    size = np.diff(np.concatenate((start, [len(k)])))
+    settled = doc > np.repeat(np.minimum.reduceat(doc, start), size)
+    keys, runs = np.unique(k[start] >> _U(8), return_counts=True)
+    opened = keys[runs >= MANY_RUNS]
+    at = np.minimum(np.searchsorted(opened, k >> _U(8)), max(len(opened) - 1, 0))
+    direct = (opened[at] == k >> _U(8)) & ~settled if len(opened) else np.zeros(len(k), bool)
+    place = place | np.where(settled, _SETTLED, 0) | np.where(direct, _DIRECT, 0)
+    k = np.where(settled | direct, mix(doc.view(np.uint64) ^ (place.view(np.uint64) << _U(20))), k)
+    n, none = len(opened), np.iinfo(np.int64).min
+    cols = [(k, opened << _U(8)), (r.view(np.int64), np.full(n, none)), (doc, np.full(n, none)), (variant, np.zeros(n, np.int64)), (place, np.full(n, _MARK))]
+    names = ["k", "r", "doc", "variant", "place"]
+    return pa.record_batch([longs(np.concatenate(x)) for x in cols], names=names)
+
+
+def _tuples(length: int, key: int, together: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
-            parts = []
             for doc, variant, t in zip(*(batch.column(x).to_pylist() for x in ("doc", "variant", "text"))):
-                b = np.frombuffer(t.encode("utf-8"), np.uint8)
-                k, r, lo, hi = sampled_runs(b, prefix_sums(b), length, key)
-                place = (np.int64(variant) << (_LO + _LEN)) + (lo << _LEN) + (hi - lo + 1)
-                parts.append((k.view(np.int64), r.view(np.int64), np.full(len(k), doc), place))
-                if sum(len(x[0]) for x in parts) > 200_000:
-                    yield pa.record_batch([longs(np.concatenate(x)) for x in zip(*parts)], names=["k", "r", "doc", "place"])
-                    parts = []
-            if parts:
-                yield pa.record_batch([longs(np.concatenate(x)) for x in zip(*parts)], names=["k", "r", "doc", "place"])
+                k, r, lo, hi = sampled_runs(np.frombuffer(t.encode("utf-8"), np.uint8), length, key)
+                parts.append((k, r, np.full(len(k), doc, np.int64), np.full(len(k), variant, np.int64), (lo << _LEN) + (hi - lo + 1)))
+                held += len(k)
+                if held > together:
+                    yield _combined(*(np.concatenate(x) for x in zip(*parts)))
+                    parts, held = [], 0
+        if parts:
+            yield _combined(*(np.concatenate(x) for x in zip(*parts)))
 
     return run
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix tuples sorted by (k, r, doc, place), read once.
+    """Suffix tuples sorted by (k, r, doc, variant, place), read once.
 
     kind 1: a run that a smaller document holds whole.  kind 2: every place of a run in its first
     holder whose key also starts other runs, so that some of its windows may be elsewhere; the
@@ -72,66 +108,103 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         if not b.num_rows:
             continue
-        k, r, doc, place = (column(b, x) for x in ("k", "r", "doc", "place"))
-        idx = np.arange(len(k))
-        new_k = np.concatenate(([k0 is None or k[0] != k0], k[1:] != k[:-1]))
-        new_r = new_k | np.concatenate(([r0 is None or r[0] != r0], r[1:] != r[:-1]))
-        at = np.maximum.accumulate(np.where(new_r, idx, -1))
-        least = np.where(at >= 0, doc[at], first if first is not None else 0)
-        matched = doc > least
-        # Keys by number, 0 for one that began in an earlier batch, and whether they start several runs.
-        group = np.cumsum(new_k)
-        several = np.bincount(group[new_r & ~new_k], minlength=group[-1] + 1) > 0
-        several[0] |= is_open
-        led = ~matched & several[group]
-        out = [(doc[matched], place[matched], np.ones(int(matched.sum()), np.int64)), (doc[led], place[led], np.full(int(led.sum()), 2))]
-        if several[0]:
-            out += [(d, p, np.full(len(d), 2)) for d, p in pending]
-        if several[0] or group[-1]:
-            pending = []
-        is_open = bool(several[group[-1]])
-        waits = ~matched & (group == group[-1])
-        if not is_open and waits.any():
-            pending.append((doc[waits], place[waits]))
-        k0, r0, first = k[-1], r[-1], least[-1]
-        yield pa.record_batch([longs(np.concatenate(x)) for x in zip(*out)], names=["doc", "place", "kind"])
-
-
-def _windows(length: int):
+        rows = [column(b, x) for x in ("k", "r", "doc", "variant", "place")]
+        passing = rows[4] >= _SETTLED
+        doc, variant, place = (x[passing] for x in rows[2:])
+        out = [(doc, variant, place & (_SETTLED - 1), np.where(place >= _DIRECT, 2, 1))]
+        k, r, doc, variant, place = (x[~passing] for x in rows)
+        if len(k):
+            idx = np.arange(len(k))
+            key = k >> 8
+            new_k = np.concatenate(([k0 is None or key[0] != k0 >> 8], key[1:] != key[:-1]))
+            new_r = new_k | np.concatenate(([k0 is None or k[0] != k0 or r[0] != r0], (k[1:] != k[:-1]) | (r[1:] != r[:-1])))
+            at = np.maximum.accumulate(np.where(new_r, idx, -1))
+            least = np.where(at >= 0, doc[at], first if first is not None else 0)
+            matched = doc > least
+            # Keys by number, 0 for one that began in an earlier batch, and whether they start several runs.
+            group = np.cumsum(new_k)
+            several = np.bincount(group[new_r & ~new_k], minlength=group[-1] + 1) > 0
+            several[0] |= is_open
+            led = ~matched & several[group] & (place != _MARK)
+            out += [(doc[x], variant[x], place[x], np.full(int(x.sum()), kind)) for x, kind in ((matched, 1), (led, 2))]
+            if several[0]:
+                out += pending
+            if several[0] or group[-1]:
+                pending = []
+            is_open = bool(several[group[-1]])
+            waits = ~matched & (group == group[-1]) & (place != _MARK)
+            if not is_open and waits.any():
+                pending.append((doc[waits], variant[waits], place[waits], np.full(int(waits.sum()), 2)))
+            k0, r0, first = k[-1], r[-1], least[-1]
+        yield pa.record_batch([longs(np.concatenate(x)) for x in zip(*out)], names=["doc", "variant", "place", "kind"])
+
+
+def _windows(length: int, together: int):
+    """Windows of open runs: two hashes of their bytes, and their places.
+
+    Of equal windows in one task those of the smallest document stand for all; the others are
+    settled (place below 0) and pass the sort under hashes of their own.
+    """
+
+    def flush(parts: list) -> pa.RecordBatch:
+        w, v, doc, variant, at = (np.concatenate(x) for x in zip(*parts))
+        o = np.argsort(w, kind="stable")
+        w, v, doc, variant, at = w[o], v[o], doc[o], variant[o], at[o]
+        start = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]))))
+        settled = doc > np.repeat(np.minimum.reduceat(doc, start), np.diff(np.concatenate((start, [len(w)]))))
+        w = np.where(settled, mix(w ^ doc.view(np.uint64) ^ (at.view(np.uint64) << _U(20))), w)
+        cols = [longs(w), pa.array(v.view(np.int32)), longs(doc), pa.array(variant.astype(np.int32)), longs(np.where(settled, ~at, at))]
+        return pa.record_batch(cols, names=["w", "v", "doc", "variant", "at"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
         for batch in batches:
             for doc, variant, t, places in zip(*(batch.column(x).to_pylist() for x in ("doc", "variant", "text", "places"))):
-                c = prefix_sums(np.frombuffer(t.encode("utf-8"), np.uint8))
+                b = np.frombuffer(t.encode("utf-8"), np.uint8)
                 p = np.array(places, np.int64)
-                lo, n = (p >> _LEN) & ((1 << _LO) - 1), p & ((1 << _LEN) - 1)
+                lo, n = p >> _LEN, p & ((1 << _LEN) - 1)
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                place = (np.int64(variant) << (_LO + _LEN)) + (at << _LEN) + 1
-                yield pa.record_batch([longs(substring_hashes(c, at, at + length)), longs(np.full(len(at), doc)), longs(place)], names=["w", "doc", "place"])
+                w = substring_hashes(prefix_sums(b), at, at + length)
+                v = substring_hashes(prefix_sums(b, 1), at, at + length, 1)
+                parts.append((w, (v >> _U(32)).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), variant, np.int64), at))
+                held += len(at)
+                if held > 2 * together:
+                    yield flush(parts)
+                    parts, held = [], 0
+        if parts:
+            yield flush(parts)
 
     return run
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows sorted by (w, doc): those in a document after the first one that holds them."""
-    w0 = first = None
+    """Windows sorted by (w, v, doc): those in a document after the first one that holds them."""
+    before = first = None
     for b in batches:
         if not b.num_rows:
             continue
-        w, doc, place = (column(b, x) for x in ("w", "doc", "place"))
-        at = np.maximum.accumulate(np.where(np.concatenate(([w0 is None or w[0] != w0], w[1:] != w[:-1])), np.arange(len(w)), -1))
-        least = np.where(at >= 0, doc[at], first if first is not None else 0)
-        w0, first = w[-1], least[-1]
-        ok = doc > least
-        yield pa.record_batch([longs(doc[ok]), longs(place[ok])], names=["doc", "place"])
+        rows = [column(b, x) for x in ("w", "v", "doc", "variant", "at")]
+        settled = rows[4] < 0
+        out = [(rows[2][settled], rows[3][settled], ~rows[4][settled])]
+        w, v, doc, variant, at = (x[~settled] for x in rows)
+        if len(w):
+            new = np.concatenate(([before is None or (w[0], v[0]) != before], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
+            head = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
+            least = np.where(head >= 0, doc[head], first if first is not None else 0)
+            before, first = (w[-1], v[-1]), least[-1]
+            ok = doc > least
+            out.append((doc[ok], variant[ok], at[ok]))
+        doc, variant, at = (np.concatenate(x) for x in zip(*out))
+        yield pa.record_batch([longs(doc), longs(variant), longs((at << _LEN) + 1)], names=["doc", "variant", "place"])
 
 
 def _removed(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
+            rows = {"n_removed": [], "n_spans": [], "kept_sha256": [], "kept": []}
             for t, places in zip(batch.column("text").to_pylist(), batch.column("places").to_pylist()):
                 b = t.encode("utf-8")
-                p = np.sort(np.array(places or [], np.int64) & ((1 << (_LO + _LEN)) - 1))
+                p = np.sort(np.array(places or [], np.int64))
                 start, end, kept, spans = p >> _LEN, (p >> _LEN) + (p & ((1 << _LEN) - 1)) - 1 + length, [], 0
                 at = 0
                 if len(p):
@@ -141,15 +214,15 @@ def _removed(length: int):
                         kept.append(b[at:s])
                         at, spans = e, spans + 1
                 kept = b"".join([*kept, b[at:]])
-                for name, x in zip(rows, (len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)):
+                for name, x in zip(rows, (len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest(), kept)):
                     rows[name].append(x)
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
-            yield pa.record_batch([batch.column("doc"), batch.column("variant"), *(pa.array(v, x) for v, x in zip(rows.values(), types))], names=["doc", "variant", *rows])
+            types = (pa.int64(), pa.int64(), pa.string(), pa.binary())
+            yield pa.record_batch([batch.column("doc"), batch.column("digest"), *(pa.array(v, x) for v, x in zip(rows.values(), types))], names=["doc", "digest", *rows])
 
     return run
 
 
-def repeated_spans(docs: DataFrame, length: int = 50, key: int = KEY, with_bytes: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = 50, key: int = KEY, with_bytes: bool = False, together: int = TOGETHER) -> DataFrame:
     """Bytes of each document left after removal of what smaller doc_ids hold.
 
     docs: doc_id long, text string (null: empty); other columns are ignored.  A byte goes if a
@@ -159,49 +232,51 @@ def repeated_spans(docs: DataFrame, length: int = 50, key: int = KEY, with_bytes
 
     Suffixes are sampled so that equal windows sample equal suffixes; tuples of the sampled ones are
     sorted externally, and the windows between follow from the sampled suffix they belong to: whole
-    runs by one comparison, windows of differing runs one by one.
+    runs by one comparison, windows of differing runs one by one.  Runs are compared by 128 bits of
+    hashes, windows by 96.  Tasks combine equal strings before each shuffle, ``together`` of them at
+    a time.
 
     Null doc_id: nothing is removed and the row serves no other.  Rows that repeat a doc_id are
     judged each by itself, as their ids are not smaller than one another.  Texts shorter than
-    ``length`` bytes stay.  An empty table gives an empty result.
+    ``length`` bytes stay.  Texts are read whole, up to the 2 GB of a string.  An empty table gives
+    an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     ids = docs.where("doc_id is not null").groupBy("digest", "doc_id").agg(F.lit(1))
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("doc"))
     # Different texts of one doc_id get a variant number each.
-    numbered = first.groupBy("doc").agg(F.array_sort(F.collect_set("digest")).alias("all")).select("doc", F.posexplode("all").alias("variant", "digest"))
-    reps = Table(numbered)
-    texts = docs.join(reps.df.withColumnRenamed("doc", "doc_id"), ["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), "variant", "text")
+    reps = first.withColumn("variant", (F.row_number().over(W.partitionBy("doc").orderBy("digest")) - 1).cast("int"))
+    texts = docs.join(reps.withColumnRenamed("doc", "doc_id"), ["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), "variant", "digest", "text")
     texts = Table(texts.dropDuplicates(["doc", "variant"]))
     long_enough = texts.df.where(F.octet_length("text") >= length)
-    tuples = long_enough.mapInArrow(_tuples(length, key), "k long, r long, doc long, place long")
-    induced = Table(tuples.repartition("k").sortWithinPartitions("k", "r", "doc", "place").mapInArrow(_induce, "doc long, place long, kind long"))
+    tuples = long_enough.mapInArrow(_tuples(length, key, together), "k long, r long, doc long, variant long, place long")
+    tuples = tuples.withColumn("variant", F.col("variant").cast("int")).repartition(F.shiftright("k", 8))
+    induced = Table(tuples.sortWithinPartitions("k", "r", "doc", "variant", "place").mapInArrow(_induce, "doc long, variant long, place long, kind long"))
 
     def per_text(df: DataFrame) -> DataFrame:
-        return df.groupBy("doc", F.shiftright("place", _LO + _LEN).cast("int").alias("variant")).agg(F.collect_list("place").alias("places"))
-
-    open_runs = per_text(induced.df.where("kind = 2").select("doc", "place"))
-    windows = long_enough.join(open_runs, ["doc", "variant"]).mapInArrow(_windows(length), "w long, doc long, place long")
-    later = Table(windows.repartition("w").sortWithinPartitions("w", "doc").mapInArrow(_later, "doc long, place long"))
-    places = per_text(induced.df.where("kind = 1").select("doc", "place").unionByName(later.df))
-    schema = "doc long, variant int, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
-    judged = texts.df.join(places, ["doc", "variant"], "left").select("doc", "variant", "text", "places").mapInArrow(_removed(length), schema)
+        return df.groupBy("doc", F.col("variant").cast("int").alias("variant")).agg(F.collect_list("place").alias("places"))
+
+    open_runs = per_text(induced.df.where("kind = 2").select("doc", "variant", "place"))
+    windows = long_enough.select("doc", "variant", "text").join(open_runs, ["doc", "variant"]).mapInArrow(_windows(length, together), "w long, v int, doc long, variant int, at long")
+    later = Table(windows.repartition("w").sortWithinPartitions("w", "v", "doc").mapInArrow(_later, "doc long, variant long, place long"))
+    places = per_text(induced.df.where("kind = 1").select("doc", "variant", "place").unionByName(later.df))
+    schema = "doc long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
+    judged = texts.df.join(places, ["doc", "variant"], "left").select("doc", "digest", "text", "places").mapInArrow(_removed(length), schema)
     judged = Table(judged if with_bytes else judged.drop("kept"))
-    induced.drop()
-    later.drop()
-    texts.drop()
-
-    empty = F.sha2(F.lit(""), 256)
-    rows = docs.withColumn("n", F.octet_length("text").cast("long"))
-    rows = rows.select("doc_id", "digest", "n", *(["text"] if with_bytes else [])).join(reps.df, "digest", "left").join(judged.df, ["doc", "variant"], "left")
-    own = F.col("doc_id") == F.col("doc")
+    for t in (induced, later, texts):
+        t.drop()
+
+    # Every row with an id is the first holder of its text, judged above, or a later copy, all of which goes.
+    rows = docs.select("doc_id", "digest", F.octet_length("text").cast("long").alias("n"), *(["text"] if with_bytes else []))
+    rows = rows.join(judged.df.withColumnRenamed("doc", "doc_id"), ["doc_id", "digest"], "left")
+    own = F.col("n_removed").isNotNull()
     none = F.col("doc_id").isNull() | (F.col("n") < length)
     out = [
         "doc_id",
         F.col("n").alias("n_bytes"),
         F.when(none, 0).when(own, F.col("n_removed")).otherwise(F.col("n")).alias("n_removed"),
         F.when(none, 0).when(own, F.col("n_spans")).otherwise(1).cast("long").alias("n_spans"),
-        F.when(none, F.lower(F.hex("digest"))).when(own, F.col("kept_sha256")).otherwise(empty).alias("kept_sha256"),
+        F.when(none, F.lower(F.hex("digest"))).when(own, F.col("kept_sha256")).otherwise(F.sha2(F.lit(""), 256)).alias("kept_sha256"),
     ]
     if with_bytes:
         out.append(F.when(none, F.encode("text", "UTF-8")).when(own, F.col("kept")).otherwise(F.lit(b"")).alias("kept"))

@@ -75,21 +75,7 @@ def test_trie_finds_exactly_the_links():
 
 
 def test_repeated_spans(docs, rows):
-    first = {}
-    for d, t, _ in rows:
-        b = (t or "").encode()
-        for p in range(len(b) - 49 if d is not None else 0):
-            first[b[p : p + 50]] = min(first.get(b[p : p + 50], d), d)
-    want = []
-    for d, t, _ in rows:
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for p in range(len(b) - 49 if d is not None else 0):
-            if first[b[p : p + 50]] < d:
-                gone[p : p + 50] = b"\1" * 50
-        kept = bytes(x for x, g in zip(b, gone) if not g)
-        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
-        want.append((d, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    want = _plain_spans([(d, t) for d, t, _ in rows])
     got = suffix_dedup.repeated_spans(docs, with_bytes=True).collect()
     assert Counter(tuple(r)[:5] for r in got) == Counter(want)
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in got)
@@ -119,17 +105,64 @@ def test_induction_in_any_batches():
     r = np.random.default_rng(1)
     rows = np.unique(r.integers(0, [6, 3, 3, 40], (300, 4)), axis=0)
     rows = rows[~((rows[:, 0] == 5) & (rows[:, 1] > 0))]
+    rows[:, 0] <<= 8
     least, runs = {}, defaultdict(set)
     for k, run, d, _ in rows.tolist():
         least[k, run] = min(d, least.get((k, run), d))
         runs[k].add(run)
     want = Counter((d, p, 1 if d > least[k, run] else 2) for k, run, d, p in rows.tolist() if d > least[k, run] or len(runs[k]) > 1)
     for size in (1, 2, 7, 50, 1000):
-        batches = [pa.record_batch([pa.array(c) for c in rows[i : i + size].T], names=["k", "r", "doc", "place"]) for i in range(0, len(rows), size)]
-        got = Counter(tuple(x.values()) for b in suffix_dedup._induce(iter(batches)) for x in b.to_pylist())
+        batches = [pa.record_batch([pa.array(c) for c in np.insert(rows[i : i + size], 3, 0, axis=1).T], names=["k", "r", "doc", "variant", "place"]) for i in range(0, len(rows), size)]
+        got = Counter((x["doc"], x["place"], x["kind"]) for b in suffix_dedup._induce(iter(batches)) for x in b.to_pylist())
         assert got == want
 
 
+def _plain_spans(rows):
+    """doc_id, bytes, removed bytes, runs and digest of the rest, straight from the definition."""
+    first = {}
+    for d, t in rows:
+        b = (t or "").encode()
+        for p in range(len(b) - 49 if d is not None else 0):
+            first[b[p : p + 50]] = min(first.get(b[p : p + 50], d), d)
+    want = []
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for p in range(len(b) - 49 if d is not None else 0):
+            if first[b[p : p + 50]] < d:
+                gone[p : p + 50] = b"\1" * 50
+        kept = bytes(x for x, g in zip(b, gone) if not g)
+        spans = sum(g and not (i and gone[i - 1]) for i, g in enumerate(gone))
+        want.append((d, len(b), len(b) - len(kept), spans, hashlib.sha256(kept).hexdigest()))
+    return want
+
+
+@pytest.mark.parametrize("together", [60, 3000, suffix_dedup.TOGETHER])
+def test_repeated_spans_of_frequent_strings(spark, together):
+    """A line of 40, one of 60 and a phrase of 100 bytes in most documents, in ever other contexts."""
+    r = random.Random(8)
+
+    def text(n):
+        return "".join(r.choices(string.ascii_letters + " ", k=n))
+
+    line, longer, phrase = text(40), text(60), text(100)
+    rows = []
+    for d in range(120):
+        parts = [text(r.randrange(90)), r.choice([line, line + "\n"]), text(r.randrange(3)), longer, text(r.randrange(60)), r.choice(["", phrase]), text(30), "ab" * r.randrange(60)]
+        r.shuffle(parts)
+        rows.append((r.randrange(100), "".join(parts)))
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), together=together).collect()
+    assert Counter(map(tuple, got)) == Counter(_plain_spans(rows))
+
+
+def test_repeated_spans_of_many_texts_with_one_id(spark):
+    r = random.Random(9)
+    shared = "".join(r.choices(string.ascii_letters, k=80))
+    rows = [(1, shared)] + [(2, f"{i:05} {shared} {i:05}") for i in range(400)]
+    got = suffix_dedup.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter(map(tuple, got)) == Counter(_plain_spans(rows))
+
+
 def test_packing(docs, rows):
     from tokenizers import Tokenizer
 
