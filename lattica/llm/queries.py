@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +13,7 @@ from .mixing import mix
 from .ngram_join import ngram_components
 from .packing import pack_documents
 from .page_diff import main_text
+from .pseudonyms import pseudonymise
 from .quality import score_quality
 from .suffix_dedup import repeated_spans
 from .warc import deduplicated_archives
@@ -28,6 +30,15 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pseudonym_key(spark: SparkSession) -> str:
+    """The session's key in spark.lattica.pseudonymKey; where it is unset, a random one for the session."""
+    key = spark.conf.get("spark.lattica.pseudonymKey", None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set("spark.lattica.pseudonymKey", key)
+    return key
+
+
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
@@ -65,9 +76,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .pseudonyms import pseudonymise
-
-    return pseudonymise(_read(spark, sf_dir, "documents"))
+    return pseudonymise(_read(spark, sf_dir, "documents"), pseudonym_key(spark))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

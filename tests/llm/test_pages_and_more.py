@@ -118,7 +118,73 @@ def test_pseudonyms(spark):
     assert new[3].endswith("000-12-3456") and new[4].endswith("2023-02-29") and new[9] == TEXTS[9]
     y, m, d = new[4].split(" ")[0].split("-")
     assert new[4].split(" ")[1] == f"{d}/{m}/{y}" and new[4].split(" ")[2] == f"{d}.{m}.{y}"
-    assert pseudonyms.pseudonymise(df.where("false")).count() == 0
+    assert pseudonyms.pseudonymise(df.where("false"), "k").count() == 0
+
+
+def test_pseudonyms_of_every_day(spark):
+    """In a writing the pseudonyms of all days of the cycle are those days, and can be undone; the
+    writings that hold every day are one permutation, of which a tenth of the days is looked at."""
+    day = F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int"))
+    d, m, y = F.day(day).cast("string"), F.month(day).cast("string"), F.date_format(day, "yyyy")
+    dd, mm = F.lpad(d, 2, "0"), F.lpad(m, 2, "0")
+    writings = {
+        "iso": F.when(F.col("id") % 10 == 0, F.date_format(day, "yyyy-MM-dd")),
+        "padded": F.when(F.col("id") % 10 == 0, F.concat_ws("/", dd, mm, y)),
+        "short": F.when((F.length(d) == 1) & (F.length(m) == 1), F.concat_ws("/", d, m, y)),
+        "short day": F.when(F.length(d) == 1, F.concat_ws(".", d, mm, y)),
+        "short month": F.when((F.length(m) == 1) & (F.col("id") % 10 == 0), F.concat_ws(".", dd, m, y)),
+        "month first": F.when(F.day(day) > 12, F.concat_ws("/", mm, dd, y)),
+        "short month first": F.when((F.day(day) > 12) & (F.length(m) == 1), F.concat_ws("/", m, dd, y)),
+    }
+    days = spark.range(0, 146_097, 1, 8).select("id", F.explode(F.map_from_arrays(F.array(*map(F.lit, writings)), F.array(*writings.values()))).alias("doc", "text")).where("text is not null")
+    days = days.select(F.col("id").alias("doc_id"), F.concat("text", F.lit(" was the day")).alias("text"), F.col("doc").alias("writing"))
+    joined = days.groupBy("writing", F.floor(F.col("doc_id") / 40)).agg(F.array_join(F.collect_list("text"), "\n").alias("text")).withColumn("doc_id", F.xxhash64("text"))
+    out = pseudonyms.pseudonymise(joined, "k")
+    back = pseudonyms.pseudonymise(out, "k", inverse=True)
+    old, new, again = ({r.doc_id: r.text for r in x.collect()} for x in (joined, out, back))
+    assert again == old
+    seen = defaultdict(lambda: ([], []))
+    for r in joined.select("doc_id", "writing").collect():
+        seen[r.writing][0].extend(old[r.doc_id].split("\n"))
+        seen[r.writing][1].extend(new[r.doc_id].split("\n"))
+    assert len(seen) == len(writings)
+    for writing, (values, others) in seen.items():
+        assert len(set(others)) == len(others) and (writing in ("iso", "padded", "short month") or sorted(values) == sorted(others))
+
+
+def test_pseudonyms_of_addresses(spark):
+    """Different addresses stay different, case and shape stay, and all can be undone."""
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    local = [a + b for a in letters for b in letters] + ["Ann.Lee", "ann.lee", "ANN.LEE", "x", "7", "a1", "_", "long.name" * 7 + "9", "q" * 41]
+    texts = [f"to {x}@mail.example.org, or" for x in local]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = pseudonyms.pseudonymise(df, "k")
+    new = {r.doc_id: r.text for r in out.collect()}
+    assert {r.doc_id: r.text for r in pseudonyms.pseudonymise(out, "k", inverse=True).collect()} == dict(enumerate(texts))
+    assert len(set(new.values())) == len(texts)
+    shape = lambda t: "".join("9" if c.isdigit() else "A" if c.isupper() else "a" if c.islower() else c for c in t)
+    assert all(shape(new[i]) == shape(t) for i, t in enumerate(texts))
+    ann = [new[len(letters) ** 2 + i] for i in range(3)]
+    assert len({x.lower() for x in ann}) == 1 and "ann" not in ann[1]
+
+
+def test_pseudonyms_of_numbers(spark):
+    """Phone numbers, addresses, security and card numbers: one to one, undone by the inverse."""
+    r = np.random.default_rng(4)
+
+    def digits(n):
+        return "".join(map(str, r.integers(0, 10, n)))
+
+    values = {f"{r.integers(2, 10)}{digits(2)}-{digits(3)}-{digits(4)}" for _ in range(300)} | {f"({r.integers(2, 10)}{digits(2)}) {digits(3)}-{digits(4)}" for _ in range(300)}
+    values |= {f"+1 {digits(3)} {digits(3)} {digits(4)}" for _ in range(300)} | {f"+{r.integers(20, 99)} {digits(3)} {digits(5)}" for _ in range(300)}
+    values |= {".".join(map(str, r.integers(0, 300, 4))) for _ in range(500)} | {f"{digits(3)}-{digits(2)}-{digits(4)}" for _ in range(500)}
+    values |= {digits(n) for n in range(13, 20) for _ in range(200)} | {f"{digits(4)} {digits(4)} {digits(4)} {digits(4)}" for _ in range(500)}
+    rows = list(enumerate(sorted(values)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = pseudonyms.pseudonymise(df, "k")
+    new = {x.doc_id: x.text for x in out.collect()}
+    assert len(set(new.values())) == len(rows)
+    assert {x.doc_id: x.text for x in pseudonyms.pseudonymise(out, "k", inverse=True).collect()} == dict(rows)
 
 
 def test_feistel_is_a_permutation(spark):
