@@ -22,7 +22,7 @@ _SETTLED, _DIRECT = 1 << 61, 1 << 62
 _MARK = -1
 #: Tuples that a task combines before they are shuffled, and runs of one key among them from which on
 #: the key counts as open.  Both decide cost, never results.
-TOGETHER, MANY_RUNS = 400_000, 8
+TOGETHER, MANY_RUNS = 400_000, 32
 _U = np.uint64
 
 
@@ -54,6 +54,21 @@ def sampled_runs(b: np.ndarray, length: int, key: int) -> tuple[np.ndarray, np.n
     return k, substring_hashes(c, start, last + length), start, last
 
 
+def _held_before(order: np.ndarray, same: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows whose like (equal in all of ``same``) a smaller document here holds, and one row of each
+    kind.  ``order`` brings like rows together; the rows themselves stay in place, as neighbours in
+    a text compress well."""
+    o = np.argsort(order, kind="stable")
+    new = np.zeros(len(o), bool)
+    new[0] = True
+    for x in same:
+        new[1:] |= x[o][1:] != x[o][:-1]
+    start = np.flatnonzero(new)
+    settled = np.empty(len(o), bool)
+    settled[o] = doc[o] > np.repeat(np.minimum.reduceat(doc[o], start), np.diff(np.concatenate((start, [len(o)]))))
+    return settled, o[start]
+
+
 def _combined(k: np.ndarray, r: np.ndarray, doc: np.ndarray, variant: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Tuples of one task, combined before they are shuffled.
 
@@ -62,12 +77,8 @@ def _combined(k: np.ndarray, r: np.ndarray, doc: np.ndarray, variant: np.ndarray
     says so to the task that sorts the key.  Both pass the sort under keys of their own, so that
     a frequent string sends a few tuples a task to the one that sorts it.
     """
-    o = np.argsort(mix(k) ^ r, kind="stable")
-    k, r, doc, variant, place = k[o], r[o], doc[o], variant[o], place[o]
-    start = np.flatnonzero(np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1]))))
-    size = np.diff(np.concatenate((start, [len(k)])))
-    settled = doc > np.repeat(np.minimum.reduceat(doc, start), size)
-    keys, runs = np.unique(k[start] >> _U(8), return_counts=True)
+    settled, first = _held_before(mix(k) ^ r, (k, r), doc)
+    keys, runs = np.unique(k[first] >> _U(8), return_counts=True)
     opened = keys[runs >= MANY_RUNS]
     at = np.minimum(np.searchsorted(opened, k >> _U(8)), max(len(opened) - 1, 0))
     direct = (opened[at] == k >> _U(8)) & ~settled if len(opened) else np.zeros(len(k), bool)
@@ -148,10 +159,7 @@ def _windows(length: int, together: int):
 
     def flush(parts: list) -> pa.RecordBatch:
         w, v, doc, variant, at = (np.concatenate(x) for x in zip(*parts))
-        o = np.argsort(w, kind="stable")
-        w, v, doc, variant, at = w[o], v[o], doc[o], variant[o], at[o]
-        start = np.flatnonzero(np.concatenate(([True], (w[1:] != w[:-1]) | (v[1:] != v[:-1]))))
-        settled = doc > np.repeat(np.minimum.reduceat(doc, start), np.diff(np.concatenate((start, [len(w)]))))
+        settled, _ = _held_before(w, (w, v), doc)
         w = np.where(settled, mix(w ^ doc.view(np.uint64) ^ (at.view(np.uint64) << _U(20))), w)
         cols = [longs(w), pa.array(v.view(np.int32)), longs(doc), pa.array(variant.astype(np.int32)), longs(np.where(settled, ~at, at))]
         return pa.record_batch(cols, names=["w", "v", "doc", "variant", "at"])
@@ -166,7 +174,7 @@ def _windows(length: int, together: int):
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 w = substring_hashes(prefix_sums(b), at, at + length)
                 v = substring_hashes(prefix_sums(b, 1), at, at + length, 1)
-                parts.append((w, (v >> _U(32)).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), variant, np.int64), at))
+                parts.append((w, (v >> _U(40)).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), variant, np.int64), at))
                 held += len(at)
                 if held > 2 * together:
                     yield flush(parts)
@@ -233,7 +241,7 @@ def repeated_spans(docs: DataFrame, length: int = 50, key: int = KEY, with_bytes
     Suffixes are sampled so that equal windows sample equal suffixes; tuples of the sampled ones are
     sorted externally, and the windows between follow from the sampled suffix they belong to: whole
     runs by one comparison, windows of differing runs one by one.  Runs are compared by 128 bits of
-    hashes, windows by 96.  Tasks combine equal strings before each shuffle, ``together`` of them at
+    hashes, windows by 88.  Tasks combine equal strings before each shuffle, ``together`` of them at
     a time.
 
     Null doc_id: nothing is removed and the row serves no other.  Rows that repeat a doc_id are
