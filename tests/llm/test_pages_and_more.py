@@ -48,6 +48,26 @@ def test_archives_round_trip(spark, pages, tmp_path):
     assert all(r.payload == next(h or "" for i, _, h in PAGES if i == r.page_id) for r in back)
 
 
+@pytest.mark.parametrize("few", [0, warc.FEW])
+def test_archives_of_hot_payloads(spark, few):
+    """A third of all pages hold one payload, some rows are repeated, and a payload looks like a record."""
+    odd = "x\r\n\r\nWARC/1.1\r\nWARC/1.1\r\nWARC-Type: response\r\n\r\n"
+    rows = [(i, f"http://h.example/{i}", "same" if i % 3 == 0 else odd if i % 50 == 1 else f"page {i} é" * 5) for i in range(300)]
+    rows += [(297, "http://h.example/297", "same")] * 3 + [(5, "http://h.example/5", rows[5][2])] * 2 + [(None, "n", "none")] * 2
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    got = warc.resolve(df, few=few)
+    assert len({(r.page_id, r.digest, r["copy"]) for r in got.select("page_id", "digest", "copy").collect()}) == len(rows)
+    answers = [(r.page_id, r.original) for r in got.select("page_id", "original").collect()]
+    same = [(i, x) for i, x in answers if i is not None and i % 3 == 0]
+    assert sum(x is None for _, x in same) == 1 and {x for _, x in same} == {None, 297} and (297, None) in same
+    assert sorted(str(x) for i, x in answers if i == 5) == ["5", "5", "None"] and [x for i, x in answers if i is None] == [None, None]
+    back = warc.deduplicated_archives(df).collect()
+    assert Counter((r.page_id, r.refers_to) for r in back) == Counter(answers)
+    size = {(i, len(h.encode()), base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, _, h in rows}
+    assert all((r.page_id, r.payload_bytes, r.payload_digest) in size for r in back)
+    assert warc.deduplicated_archives(df.where("false")).count() == 0
+
+
 def test_small_payloads_stay_responses(spark, pages, tmp_path):
     got = warc.deduplicated_archives(pages, min_bytes=10**6, path=str(tmp_path / "w")).collect()
     assert {r.record_type for r in got} == {"response"} and len(got) == len(PAGES)
