@@ -119,6 +119,22 @@ def test_search(spark):
     assert maxscore.top_k(df.where("false")).count() == 0
 
 
+def test_search_of_many_shards_and_large_numbers(spark):
+    """Shards of 40 rows, components beyond 2**40 and of 1e300, and one row repeated 90 times."""
+    r = np.random.default_rng(11)
+    rows = [(i, (r.normal(size=8) * (2.0**41 if i % 37 == 0 else 1)).tolist()) for i in range(400)]
+    rows += [(401, [1e300] * 8), (402, [-1e300] + [0.0] * 7), (403, [])] + [(77, rows[77][1])] * 90
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    whole = [(i, [int(x) * 256 if abs(x) > 1e290 else int(np.floor(256 * x)) for x in v]) for i, v in rows]
+    want = []
+    for q in range(0, 400, 50):
+        x = dict(whole)[q]
+        best = sorted((-min(max(sum(a * b for a, b in zip(x, v)), -(2**63)), 2**63 - 1), i) for i, v in whole if i != q)[:5]
+        want += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+    got = sorted((x.query_id, x["rank"], x.vec_id, x.score) for x in maxscore.top_k(df, shard=40).collect())
+    assert got == sorted(want)
+
+
 TEXTS = ["card 4532 0151 1283 0366, 4532015112830366 and 4532015112830367", "ip 10.1.2.3. then 999.1.2.3", "+1 (988) 555-2485 or 988-555-2485", "ssn 123-45-6789 not 000-12-3456", "2024-02-29 29/02/2024 29.02.2024 2023-02-29", "+49 30 1234567", " odd  10.1.2.3", None, "", "v1.2.3.4.5"]
 
 
