@@ -12,24 +12,55 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Table, column, longs
+from .common import Table, column, longs, prefix_sums, substring_hashes
 
-#: Words whose ids a Python worker remembers, in each of two generations.
-REMEMBERED = 200_000
+#: Words whose ids a Python worker remembers, in each of two halves.
+REMEMBERED = 300_000
+#: Characters of texts that are split into words at once, about.
+TOGETHER = 1 << 21
 #: Pieces of one length and salt that are ranked in one task, about.
 RANKED_TOGETHER = 50_000
 # Texts of ASCII and Latin-1 letters, which have one lower-case form each and no other normal form,
-# and the words that the tokenizer finds in them; fixed values of its pattern.
+# and, as bytes of Latin-1, how the tokenizer splits them: runs of letters, single digits, runs of
+# other signs, and the endings of contractions; fixed values of its pattern.
 _PLAIN = re.compile(r"[\t-\r -~À-ÖØ-öø-ÿ]*")
-_WORD = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\s0-9a-zß-öø-ÿ]+")
+SPACE, LETTER, DIGIT, OTHER = range(4)
+_ENDINGS = ("'s", "'t", "'re", "'ve", "'m", "'ll", "'d")
+_LOWER = np.frombuffer(bytes(x + 32 if 65 <= x <= 90 or 0xC0 <= x <= 0xDE and x != 0xD7 else x for x in range(256)), np.uint8)
+_CLASS = np.full(256, OTHER, np.uint8)
+_CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
+_CLASS[48:58] = DIGIT
+_CLASS[[*range(97, 123), *range(0xDF, 0xF7), *range(0xF8, 0x100)]] = LETTER
+
+
+def words_of(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words of lower-case Latin-1 bytes that end in white space."""
+    kind = _CLASS[b]
+    new = np.empty(len(b), bool)
+    new[0] = True
+    np.not_equal(kind[1:], kind[:-1], out=new[1:])
+    new |= kind == DIGIT
+    # A contraction's ending starts at a run of other signs that is one apostrophe.
+    quote = np.flatnonzero((b[:-1] == 39) & new[:-1] & (kind[1:] == LETTER))
+    for ending in _ENDINGS if len(quote) else ():
+        n = len(ending)
+        at = quote[quote + n < len(b)]
+        for i in range(1, n):
+            at = at[b[at + i] == ord(ending[i])]
+        new[at + 1] = False
+        new[at + n] = True
+    start = np.flatnonzero(new)
+    end = np.append(start[1:], len(b))
+    word = kind[start] != SPACE
+    return start[word], end[word]
 
 
 class WordTokens:
     """Ids of texts as bytes of little-endian unsigned 32-bit numbers, by words that recur.
 
-    Plain texts are split into words as the tokenizer does it, and each distinct word is encoded
-    once while it is remembered; a word's last token is marked as such in the vocabulary, so many
-    words are encoded as one text.  All other texts go to the tokenizer whole.
+    Plain texts are split into words as the tokenizer does it, and each distinct word (by a 64-bit
+    hash) is encoded once while it is remembered; a word's last token is marked as such in the
+    vocabulary, so many words are encoded as one text.  All other texts go to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -40,34 +71,123 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> Iterator[np.ndarray]:
-        for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            yield np.array(e.ids, dtype="<u4")
-
-    def learn(self, words: set[str]) -> None:
-        known = words & self.older.keys()
-        self.words.update((w, self.older[w]) for w in known)
-        new = list(words - known)
-        groups = [new[i : i + 2000] for i in range(0, len(new), 2000)]
-        for group, ids in zip(groups, self._ids([" ".join(g) for g in groups])):
-            cut = np.flatnonzero(self.ends[ids]) + 1
+        # Words known: sorted hashes, and where their ids lie in `ids`.  The older half is looked at
+        # where a word is new.
+        self.known = self.older = self._nothing()
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of ids of the words, and all their ids."""
+        sizes, ids = [], []
+        groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
+        for group, x in zip(groups, self._ids([" ".join(g) for g in groups])):
+            cut = np.flatnonzero(self.ends[x]) + 1
             if len(cut) == len(group):
-                data, at = ids.tobytes(), [0, *(4 * cut).tolist()]
-                self.words.update(zip(group, map(data.__getitem__, map(slice, at, at[1:]))))
+                sizes.append(np.diff(cut, prepend=0))
+                ids.append(x)
             else:
-                self.words.update((w, x.tobytes()) for w, x in zip(group, self._ids(group)))
+                each = self._ids(group)
+                sizes.append(np.array([len(y) for y in each], np.int64))
+                ids.extend(each)
+        return np.concatenate(sizes), np.concatenate(ids)
+
+    @staticmethod
+    def _find(table, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(table[0], hashes)
+        near = np.minimum(at, max(len(table[0]) - 1, 0))
+        return at, (table[0][near] == hashes if len(table[0]) else np.zeros(len(hashes), bool))
+
+    def _learn(self, hashes: np.ndarray, word_of) -> None:
+        """Adds words that are not known yet: sorted distinct hashes, and word_of(i) of the i-th."""
+        known, first, size, ids = self.known
+        at, have = self._find(self.known, hashes)
+        place, old = self._find(self.older, hashes)
+        moved, new = np.flatnonzero(old & ~have), np.flatnonzero(~old & ~have)
+        parts_first, parts_size, parts_ids, rows = [], [], [ids], []
+        if len(moved):
+            f, n = self.older[1][place[moved]], self.older[2][place[moved]]
+            parts_first.append(len(ids) + np.cumsum(n) - n)
+            parts_size.append(n)
+            parts_ids.append(_ranges(self.older[3], f, n))
+            rows.append(moved)
+        if len(new):
+            n, more = self._encode_words([word_of(i) for i in new.tolist()])
+            parts_first.append(sum(map(len, parts_ids)) + np.cumsum(n) - n)
+            parts_size.append(n)
+            parts_ids.append(more)
+            rows.append(new)
+        if rows:
+            rows = np.concatenate(rows)
+            o = np.argsort(rows)
+            rows = rows[o]
+            added = (hashes[rows], np.concatenate(parts_first)[o], np.concatenate(parts_size)[o])
+            self.known = (*(np.insert(x, at[rows], y) for x, y in zip((known, first, size), added)), np.concatenate(parts_ids))
+
+    def _encode_plain(self, texts: list[str]) -> list[bytes]:
+        joined = "\n".join(texts) + "\n"
+        b = _LOWER[np.frombuffer(joined.encode("latin-1"), np.uint8)]
+        start, end = words_of(b)
+        edges = np.cumsum([len(t) + 1 for t in texts])
+        if not len(start):
+            return [b""] * len(texts)
+        h, index, inverse = np.unique(substring_hashes(prefix_sums(b), start, end), return_index=True, return_inverse=True)
+        if len(self.known[0]) > REMEMBERED:
+            self.known, self.older = self._nothing(), self.known
+        raw = b.tobytes()
+        self._learn(h, lambda i: raw[start[index[i]] : end[index[i]]].decode("latin-1"))
+        at, _ = self._find(self.known, h)
+        first, size = self.known[1][at][inverse], self.known[2][at][inverse]
+        ids = _ranges(self.known[3], first, size).tobytes()
+        upto = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, edges)]
+        return [ids[4 * i : 4 * j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist())]
+
+    @staticmethod
+    def _nothing():
+        return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         plain = [_PLAIN.fullmatch(t) is not None and not any(x in t for x in self.special) for t in texts]
-        if len(self.words) > REMEMBERED:
-            self.words, self.older = {}, self.words
-        split = [_WORD.findall(t.lower()) if ok else () for t, ok in zip(texts, plain)]
-        self.learn(set().union(*split) - self.words.keys())
-        for t, ok, words in zip(texts, plain, split):
-            yield b"".join(map(self.words.__getitem__, words)) if ok else next(self._ids([t])).tobytes()
+        out: dict[int, list[bytes]] = {i: [] for i in range(len(texts))}
+        group, held = [], 0
+
+        def done() -> None:
+            for (i, _), ids in zip(group, self._encode_plain([t for _, t in group])):
+                out[i].append(ids)
+            group.clear()
+
+        for i, (t, ok) in enumerate(zip(texts, plain)):
+            if not ok:
+                out[i].append(self._ids([t])[0].tobytes())
+                continue
+            for part in _parts(t):
+                group.append((i, part))
+                held += len(part)
+                if held > TOGETHER:
+                    done()
+                    held = 0
+        if group:
+            done()
+        for x in out.values():
+            yield b"".join(x)
+
+
+def _ranges(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """values[first : first + size] one after the other."""
+    return values[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
+
+
+def _parts(text: str) -> Iterator[str]:
+    """A long text cut at white space, which no word crosses."""
+    at = 0
+    while len(text) - at > TOGETHER:
+        cut = max(text.rfind(x, at, at + TOGETHER) for x in " \n\t")
+        if cut <= at:
+            break
+        yield text[at:cut]
+        at = cut
+    yield text[at:]
 
 
 _workers: dict[str, WordTokens] = {}
@@ -79,8 +199,8 @@ def _pieces(path: str, capacity: int, end_id: int):
             _workers[path] = WordTokens(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 rows = ([], [], [], [], [])
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), _workers[path].encode(texts)):

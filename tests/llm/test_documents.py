@@ -196,6 +196,21 @@ def test_word_tokens_agree_with_the_tokenizer(text):
     assert np.frombuffer(got, "<u4").tolist() == want
 
 
+def test_word_tokens_of_many_texts(monkeypatch):
+    """Texts that are cut and words that are forgotten and learnt again give the tokenizer's ids."""
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "TOGETHER", 300)
+    monkeypatch.setattr(packing, "REMEMBERED", 50)
+    r = random.Random(3)
+    signs = string.ascii_letters + "éÀß" + "0123456789" + " \n\t  ''.,-!#"
+    texts = ["".join(r.choices(signs, k=r.choice([0, 1, 30, 200, 2000]))) for _ in range(60)] + ["don't 日本", "y" * 900]
+    tokenizer, w = Tokenizer.from_file(word_tokenizer()), packing.WordTokens(word_tokenizer())
+    for _ in range(2):
+        for t, ids in zip(texts, w.encode(texts), strict=True):
+            assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_packing_on_counts_keeps_every_item():
     r = np.random.default_rng(1)
     counts = np.bincount(r.integers(1, 101, 5000), minlength=101)
