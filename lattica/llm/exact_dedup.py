@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Table
 
-#: Parts that one digest's rows are dealt into before they are combined.
-SALTS = 32
+#: Parts that one digest's rows are dealt into, at least, and rows for which there is one more part.
+SALTS, ROWS_A_SALT = 32, 1_000_000
 
 
-def duplicate_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
+def duplicate_groups(docs: DataFrame, salts: int | None = None) -> DataFrame:
     """For every document, which of its equal texts stays.
 
     docs: doc_id long, text string (null counts as empty); other columns are ignored.  Texts are
@@ -19,21 +20,36 @@ def duplicate_groups(docs: DataFrame, salts: int = SALTS) -> DataFrame:
     kept, text_sha256 (hex digest of the text in UTF-8).
 
     Copies are combined three times, always by (digest, whole text): in each task, by the digest
-    and a salt, and over the salts' winners, of which a group has ``salts`` at most.  Each salt
-    then labels its own rows, by narrow columns.
+    and a salt, and over the salts' winners, of which a group has ``salts`` at most (None: by the
+    number of rows).  Each salt then labels its own rows: by the digest where all rows of a digest
+    were found to hold one text, by the whole text otherwise.
 
     Null doc_id: counts in group_size and is not kept, unless no row of its text has an id; then
     keep_id is null and all are kept.  Repeated rows of one doc_id are the same document, so each
-    gets the same answer.  An empty table gives an empty result.
+    gets the same answer.  Long texts are compared whole.  An empty table gives an empty result.
     """
+    salts = salts or max(SALTS, docs.count() // ROWS_A_SALT)
     text = F.coalesce("text", F.lit(""))
     salt = F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(salts)).cast("int")
     rows = docs.select(F.col("doc_id").cast("long"), text.alias("text")).select("doc_id", "text", F.unhex(F.sha2("text", 256)).alias("digest"), salt.alias("salt"))
+    return _labelled(rows, _labels(rows))
+
+
+def _labels(rows: DataFrame) -> DataFrame:
+    """keep_id and group_size of each digest and salt; with the text where a digest has several."""
     local = rows.groupBy("digest", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
-    winners = local.groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
-    # Texts of one digest, if ever there were two, are told apart by a second hash and their length.
-    other = F.xxhash64("text", F.length("text"))
-    labels = Table(winners.select("digest", other.alias("other"), "keep_id", "group_size", F.explode("salts").alias("salt")))
-    narrow = rows.select("doc_id", "digest", other.alias("other"), "salt")
+    # One exchange serves the groups and the count of a digest's texts.
+    winners = local.repartition("digest").groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
+    winners = winners.withColumn("texts", F.count("*").over(W.partitionBy("digest")))
+    text = F.when(F.col("texts") > 1, F.col("text")).alias("text")
+    return Table(winners.select("digest", text, "keep_id", "group_size", F.explode("salts").alias("salt"))).df
+
+
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    alone = labels.where("text is null").drop("text")
+    out = rows.select("doc_id", "digest", "salt").join(alone, ["digest", "salt"])
+    shared = labels.where("text is not null")
+    if shared.limit(1).count():
+        out = out.unionByName(rows.join(shared, ["digest", "salt", "text"]).drop("text"))
     kept = F.col("keep_id").isNull() | F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
-    return narrow.join(labels.df, ["digest", "other", "salt"]).select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))

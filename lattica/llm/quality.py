@@ -91,6 +91,13 @@ def fit(train: DataFrame, names: list[str], trees: int = 20, depth: int = 3, pen
     gives no rule and a constant score of the smoothed share of label 1.
     """
     table = Table(train)
+    try:
+        return _fitted(table, names, trees, depth, penalty, seed)
+    finally:
+        table.drop()
+
+
+def _fitted(table: Table, names: list[str], trees: int, depth: int, penalty: float, seed: int) -> Rules:
     n, ones = table.df.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     base = (ones + 0.5) / (n + 1)
     constant = Rules((), (), math.log(base / (1 - base)))
@@ -107,7 +114,6 @@ def fit(train: DataFrame, names: list[str], trees: int = 20, depth: int = 3, pen
     flags = flags.select("label", array_to_vector("a").alias("features")).repartition(8).persist()
     model = LogisticRegression(elasticNetParam=1.0, regParam=penalty, standardization=False, maxIter=60).fit(flags)
     flags.unpersist()
-    table.drop()
     kept = [(r, w) for r, w in zip(rules, model.coefficients.toArray().tolist()) if w != 0]
     return Rules(tuple(r for r, _ in kept), tuple(w for _, w in kept), model.intercept)
 
@@ -145,10 +151,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ma
 
     Null text counts as empty and gets the score of an empty text.  Null doc_id: scored, held out.
     Labels that are null, or of unknown documents, are ignored; of contradicting ones the lower
-    counts.  Without labels of both values every score is the same.  Empty documents: no rows.
+    counts.  Without labels of both values every score is the same.  Texts are read whole, however
+    long.  Repeated rows are documents each; rows that tie get the same score.  Empty documents: no
+    rows.
     """
-    names = list(statistics("text"))
-    rules = fit(training_rows(docs, labels, max_rows), names)
+    rules = fit(training_rows(docs, labels, max_rows), list(statistics("text")))
+    return scored(docs, rules, threshold)
+
+
+def scored(docs: DataFrame, rules: Rules, threshold: float = 0.3) -> DataFrame:
+    """The rules' score of every document, as one Spark expression over its statistics."""
     rows = docs.select(F.col("doc_id").cast("long"), *(c.cast("double").alias(k) for k, c in statistics("text").items()))
     rows = rows.select("doc_id", held_out("doc_id").alias("held_out"), rules.score().alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -33,6 +33,17 @@ def test_exact_dedup(docs, rows):
     assert Counter(map(tuple, got)) == Counter(want)
 
 
+def test_exact_dedup_compares_texts_of_one_digest(spark):
+    """Different texts under one digest, which real digests never give, stay apart."""
+    rows = [(1, "a", 0), (2, "a", 1), (3, "b", 0), (4, "b", 2), (5, "b", 2), (None, "c", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, salt int").withColumn("digest", F.lit(b"one"))
+    df = df.unionByName(spark.createDataFrame([(9, "d", 3), (8, "d", 3)], "doc_id long, text string, salt int").withColumn("digest", F.lit(b"two")))
+    got = exact_dedup._labelled(df, exact_dedup._labels(df)).collect()
+    assert Counter((x.doc_id, x.keep_id, x.group_size, x.kept) for x in got) == Counter(
+        [(1, 2, 2, False), (2, 2, 2, True), (3, 5, 3, False), (4, 5, 3, False), (5, 5, 3, True), (None, None, 1, True), (9, 9, 2, True), (8, 9, 2, False)]
+    )
+
+
 def test_ngram_components(docs, rows):
     sets = {d: _shingles(t) for d, t, _ in rows if d is not None}
     parent = {d: d for d in sets}
@@ -275,6 +286,35 @@ def test_quality_learns_the_label(spark):
     assert all(got[d].held_out == (zlib.crc32(str(d).encode()) % 5 == 0) for d, _, _ in good + bad)
 
 
+def test_scores_are_the_rules(spark, docs, rows):
+    """The compiled column against statistics and rules worked out in Python."""
+    bounds = {"log_chars": 4.0, "word_length": 5.5, "upper": 0.1, "symbols": 0.0, "digits": 0.2, "stops": 0.01, "own_lines": 0.6, "line_length": 100.0}
+    one = tuple(((name, at_most, b),) for name, b in bounds.items() for at_most in (True, False))
+    model = quality.Rules((*one, (("log_chars", False, 3.0), ("digits", True, 0.3))), tuple(0.1 * i - 0.7 for i in range(17)), 0.25)
+    texts = [(d, t) for d, t, _ in rows if d not in (None, 40)] + [(900, "A!b <c>\nA!b <c>\n\n12, é"), (901, "word " * 200_000), (902, "\n\n"), (903, "\x1f\xa0x")]
+
+    def plain(t):
+        t = t or ""
+        n, lines = max(len(t), 1), t.split("\n")
+        share = lambda chars: sum(c in chars for c in t) / n
+        s = {"log_chars": np.log1p(len(t)), "word_length": len(t) / max(1, len(t.encode().split())), "upper": share(quality.UPPER), "symbols": share(quality.SYMBOLS), "digits": share("0123456789"), "stops": share(".,;:?"), "own_lines": len(set(lines)) / len(lines), "line_length": len(t) / len(lines)}
+        z = model.intercept + sum(w for rule, w in zip(model.rules, model.weights) if all((s[k] <= b) == at_most for k, at_most, b in rule))
+        return 1 / (1 + np.exp(-z))
+
+    df = spark.createDataFrame(texts, "doc_id long, text string").withColumn("upper", F.lit("x"))
+    got = quality.scored(df, model).collect()
+    assert len(got) == len(texts)
+    for x in got:
+        want = plain(dict(texts)[x.doc_id])
+        assert x.score == pytest.approx(want, abs=1e-12) and x.predicted == (want >= 0.3)
+
+
+def test_tree_paths():
+    debug = "Tree 0 (weight 1.0):\n  If (feature 1 <= 0.5)\n   If (feature 0 <= 2.0)\n    Predict: 0.0\n   Else (feature 0 > 2.0)\n    Predict: 1.0\n  Else (feature 1 > 0.5)\n   Predict: 1.0\n"
+    low, high = ("b", True, 0.5), ("b", False, 0.5)
+    assert quality.tree_paths(debug, ["a", "b"]) == {(low,), (high,), (("a", True, 2.0), low), (("a", False, 2.0), low)}
+
+
 def test_one_class_gives_one_score(spark, docs):
     labels = spark.createDataFrame([(1, 1), (3, 1), (4, 1), (8, 1)], "doc_id long, quality int")
     assert len({r.score for r in quality.score_quality(docs, labels).collect()}) == 1
