@@ -20,8 +20,12 @@ def _keep(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier does not reject."""
-    scores = score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that the quality classifier does not reject.
+
+    The scores are written first: a filter on them would else be pushed into the expression, and
+    the statistics be computed again for every rule.
+    """
+    scores = Table(score_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))).df
     return _keep(docs, scores.where("predicted = 1"))
 
 
