@@ -23,6 +23,8 @@ _MARK = -1
 #: Tuples that a task combines before they are shuffled, and runs of one key among them from which on
 #: the key counts as open.  Both decide cost, never results.
 TOGETHER, MANY_RUNS = 400_000, 32
+#: Passes in which windows are compared, each those of some hashes: they bound the disk in use.
+PASSES = 2
 _U = np.uint64
 
 
@@ -54,34 +56,36 @@ def sampled_runs(b: np.ndarray, length: int, key: int) -> tuple[np.ndarray, np.n
     return k, substring_hashes(c, start, last + length), start, last
 
 
-def _held_before(order: np.ndarray, same: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows whose like (equal in all of ``same``) a smaller document here holds, and one row of each
-    kind.  ``order`` brings like rows together; the rows themselves stay in place, as neighbours in
-    a text compress well."""
+def _held_before(order: np.ndarray, same: tuple[np.ndarray, ...], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows whose like (equal in all of ``same``) a smaller document here holds, one row of each
+    kind, and those of kinds with one row.  ``order`` brings like rows together; the rows themselves
+    stay in place, as neighbours in a text compress well."""
     o = np.argsort(order, kind="stable")
     new = np.zeros(len(o), bool)
     new[0] = True
     for x in same:
         new[1:] |= x[o][1:] != x[o][:-1]
     start = np.flatnonzero(new)
-    settled = np.empty(len(o), bool)
-    settled[o] = doc[o] > np.repeat(np.minimum.reduceat(doc[o], start), np.diff(np.concatenate((start, [len(o)]))))
-    return settled, o[start]
+    size = np.diff(np.concatenate((start, [len(o)])))
+    settled, single = np.empty(len(o), bool), np.zeros(len(o), bool)
+    settled[o] = doc[o] > np.repeat(np.minimum.reduceat(doc[o], start), size)
+    single[o[start[size == 1]]] = True
+    return settled, o[start], single
 
 
 def _combined(k: np.ndarray, r: np.ndarray, doc: np.ndarray, variant: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
     """Tuples of one task, combined before they are shuffled.
 
     A run that a smaller document of the same task holds is settled.  A key with many runs is open
-    whatever other tasks hold: its runs go to the comparison by window straight away, and a mark
-    says so to the task that sorts the key.  Both pass the sort under keys of their own, so that
-    a frequent string sends a few tuples a task to the one that sorts it.
+    whatever other tasks hold: those of its runs that come once here go to the comparison by window
+    straight away, and a mark says so to the task that sorts the key.  Both pass the sort under keys
+    of their own, so that a frequent string sends a few tuples a task to the one that sorts it.
     """
-    settled, first = _held_before(mix(k) ^ r, (k, r), doc)
+    settled, first, single = _held_before(mix(k) ^ r, (k, r), doc)
     keys, runs = np.unique(k[first] >> _U(8), return_counts=True)
     opened = keys[runs >= MANY_RUNS]
     at = np.minimum(np.searchsorted(opened, k >> _U(8)), max(len(opened) - 1, 0))
-    direct = (opened[at] == k >> _U(8)) & ~settled if len(opened) else np.zeros(len(k), bool)
+    direct = (opened[at] == k >> _U(8)) & single if len(opened) else np.zeros(len(k), bool)
     place = place | np.where(settled, _SETTLED, 0) | np.where(direct, _DIRECT, 0)
     k = np.where(settled | direct, mix(doc.view(np.uint64) ^ (place.view(np.uint64) << _U(20))), k)
     n, none = len(opened), np.iinfo(np.int64).min
@@ -150,8 +154,8 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([longs(np.concatenate(x)) for x in zip(*out)], names=["doc", "variant", "place", "kind"])
 
 
-def _windows(length: int, together: int):
-    """Windows of open runs: two hashes of their bytes, and their places.
+def _windows(length: int, together: int, part: int):
+    """Windows of open runs in one pass: two hashes of their bytes, and their places.
 
     Of equal windows in one task those of the smallest document stand for all; the others are
     settled (place below 0) and pass the sort under hashes of their own.
@@ -159,7 +163,7 @@ def _windows(length: int, together: int):
 
     def flush(parts: list) -> pa.RecordBatch:
         w, v, doc, variant, at = (np.concatenate(x) for x in zip(*parts))
-        settled, _ = _held_before(w, (w, v), doc)
+        settled, _, _ = _held_before(w, (w, v), doc)
         w = np.where(settled, mix(w ^ doc.view(np.uint64) ^ (at.view(np.uint64) << _U(20))), w)
         cols = [longs(w), pa.array(v.view(np.int32)), longs(doc), pa.array(variant.astype(np.int32)), longs(np.where(settled, ~at, at))]
         return pa.record_batch(cols, names=["w", "v", "doc", "variant", "at"])
@@ -173,13 +177,15 @@ def _windows(length: int, together: int):
                 lo, n = p >> _LEN, p & ((1 << _LEN) - 1)
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 w = substring_hashes(prefix_sums(b), at, at + length)
+                own = w % _U(PASSES) == part
+                w, at = w[own], at[own]
                 v = substring_hashes(prefix_sums(b, 1), at, at + length, 1)
                 parts.append((w, (v >> _U(40)).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), variant, np.int64), at))
                 held += len(at)
                 if held > 2 * together:
                     yield flush(parts)
                     parts, held = [], 0
-        if parts:
+        if held:
             yield flush(parts)
 
     return run
@@ -265,13 +271,16 @@ def repeated_spans(docs: DataFrame, length: int = 50, key: int = KEY, with_bytes
         return df.groupBy("doc", F.col("variant").cast("int").alias("variant")).agg(F.collect_list("place").alias("places"))
 
     open_runs = per_text(induced.df.where("kind = 2").select("doc", "variant", "place"))
-    windows = long_enough.select("doc", "variant", "text").join(open_runs, ["doc", "variant"]).mapInArrow(_windows(length, together), "w long, v int, doc long, variant int, at long")
-    later = Table(windows.repartition("w").sortWithinPartitions("w", "v", "doc").mapInArrow(_later, "doc long, variant long, place long"))
-    places = per_text(induced.df.where("kind = 1").select("doc", "variant", "place").unionByName(later.df))
+    places, later = induced.df.where("kind = 1").select("doc", "variant", "place"), []
+    for part in range(PASSES):
+        windows = long_enough.select("doc", "variant", "text").join(open_runs, ["doc", "variant"]).mapInArrow(_windows(length, together, part), "w long, v int, doc long, variant int, at long")
+        later.append(Table(windows.repartition("w").sortWithinPartitions("w", "v", "doc").mapInArrow(_later, "doc long, variant long, place long")))
+        places = places.unionByName(later[-1].df)
+    places = per_text(places)
     schema = "doc long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"
     judged = texts.df.join(places, ["doc", "variant"], "left").select("doc", "digest", "text", "places").mapInArrow(_removed(length), schema)
     judged = Table(judged if with_bytes else judged.drop("kept"))
-    for t in (induced, later, texts):
+    for t in (induced, *later, texts):
         t.drop()
 
     # Every row with an id is the first holder of its text, judged above, or a later copy, all of which goes.
