@@ -21,6 +21,9 @@ ORDER_MAX = 200_000
 #: Partners of one document that are stored in one trie.
 TRIE_SETS = 256
 _PAIRS_AT_ONCE = 2_000_000
+#: Rows of a shingle's list that are paired in one task with as many others; longer lists are paired
+#: chunk by chunk.  Lists of several chunks are broadcast by name up to the second number.
+CHUNK, FEW_LISTS = 16_384, 1_000_000
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -66,6 +69,8 @@ def _described(order, width: int, percent: int):
             n, digest, frequent, prefix = [], [], [], []
             for t in b.column("text").to_pylist():
                 s, share = order.value.sort(shingle_set(t, width))
+                if len(s) >= 1 << _N:
+                    raise ValueError(f"a text of {len(s)} shingles; postings hold sets of less than 2**{_N}")
                 n.append(len(s))
                 digest.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 frequent.append(int(share * 15))
@@ -85,40 +90,48 @@ def _may_link(n1, p1, n2, p2, percent: int):
     return np.minimum(n1 - p1, n2 - p2) >= need
 
 
-def _postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (shingle, posting, rep): drops shingles of one document only and names the
-    first row of each (shingle, length band), the one with most frequent shingles, its hub."""
-    held = np.empty((3, 0), np.int64)
-    last_shingle, hub = None, (None, 0, 0)
-    names = ["t", "v", "rep", "hub", "hub_v"]
-
-    def close(t, v, r, more: bool):
-        nonlocal last_shingle, hub, held
-        keep = len(t) - 1 if more else len(t)  # the last row waits for its successor
-        same = t[1:] == t[:-1]
-        before = np.concatenate(([last_shingle is not None and len(t) > 0 and t[0] == last_shingle], same))
-        after = np.concatenate((same, [False]))
-        band = v >> 56
-        first = np.concatenate(([True], ~same | (band[1:] != band[:-1])))
-        at = np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
-        h, hv = r[at], v[at]
-        if len(t) and hub[0] == (t[0], band[0]):
-            run = at == 0
-            h[run], hv[run] = hub[1], hub[2]
-        ok = (before | after)[:keep]
-        held = np.stack([t[keep:], v[keep:], r[keep:]])
-        if keep:
-            last_shingle, hub = t[keep - 1], ((t[keep - 1], band[keep - 1]), h[keep - 1], hv[keep - 1])
-        return pa.record_batch([longs(x[:keep][ok]) for x in (t, v, r, h, hv)], names=names)
-
-    for b in batches:
-        if not b.num_rows:
-            continue
-        t, v, r = (np.concatenate((held[i], column(b, c))) for i, c in enumerate(("t", "v", "rep")))
-        new = np.concatenate(([True], (t[1:] != t[:-1]) | (v[1:] != v[:-1]) | (r[1:] != r[:-1])))  # repeated rows
-        yield close(t[new], v[new], r[new], True)
-    if held.shape[1]:
-        yield close(*held, False)
+def _postings(chunk: int):
+    """Rows sorted by (shingle, posting, rep): drops shingles of one document only, names the first
+    row of each (shingle, length band), the one with most frequent shingles, its hub, and numbers
+    each list's chunks."""
+    names = ["t", "v", "rep", "hub", "hub_v", "chunk"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.empty((3, 0), np.int64)
+        last_shingle, hub, length = None, (None, 0, 0), 0
+
+        def close(t, v, r, more: bool):
+            nonlocal last_shingle, hub, held, length
+            keep = len(t) - 1 if more else len(t)  # the last row waits for its successor
+            same = t[1:] == t[:-1]
+            before = np.concatenate(([last_shingle is not None and len(t) > 0 and t[0] == last_shingle], same))
+            after = np.concatenate((same, [False]))
+            band = v >> 56
+            first = np.concatenate(([True], ~same | (band[1:] != band[:-1])))
+            at = np.maximum.accumulate(np.where(first, np.arange(len(t)), 0))
+            h, hv = r[at], v[at]
+            if len(t) and hub[0] == (t[0], band[0]):
+                run = at == 0
+                h[run], hv[run] = hub[1], hub[2]
+            # Places in the lists, of which the first may have begun before.
+            start = np.maximum.accumulate(np.where(before, 0, np.arange(len(t))))
+            place = np.arange(len(t)) - start + np.where((start == 0) & before[0], length, 0)
+            ok = (before | after)[:keep]
+            held = np.stack([t[keep:], v[keep:], r[keep:]])
+            if keep:
+                last_shingle, hub, length = t[keep - 1], ((t[keep - 1], band[keep - 1]), h[keep - 1], hv[keep - 1]), place[keep - 1] + 1
+            return pa.record_batch([longs(x[:keep][ok]) for x in (t, v, r, h, hv, place // chunk)], names=names)
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t, v, r = (np.concatenate((held[i], column(b, c))) for i, c in enumerate(("t", "v", "rep")))
+            new = np.concatenate(([True], (t[1:] != t[:-1]) | (v[1:] != v[:-1]) | (r[1:] != r[:-1])))  # repeated rows
+            yield close(t[new], v[new], r[new], True)
+        if held.shape[1]:
+            yield close(*held, False)
+
+    return run
 
 
 def _expand(key: np.ndarray, n: np.ndarray, rows: np.ndarray, others: np.ndarray, percent: int, ahead: bool):
@@ -144,18 +157,20 @@ def _expand(key: np.ndarray, n: np.ndarray, rows: np.ndarray, others: np.ndarray
 
 def _cross_pairs(percent: int):
     """Pairs in one shingle's list that may link with it as their first common one, and whose
-    documents are not yet known to be connected.  Within the largest component of a list nothing is paired, so a group of copies costs its size."""
+    documents are not yet known to be connected.  A group is a list, or two chunks of a long one,
+    then paired with each other only.  Within the largest component of a group nothing is paired,
+    so a group of copies costs its size."""
 
-    def lists(t, v, rep, comp):
-        key = np.cumsum(np.concatenate(([0], (t[1:] != t[:-1]).astype(np.int64))))
-        start = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
+    def lists(t, v, rep, comp, lo, hi, side):
+        new = np.concatenate(([True], (t[1:] != t[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])))
+        key, start = np.cumsum(new) - 1, np.flatnonzero(new)
         mixed = (np.minimum.reduceat(comp, start) != np.maximum.reduceat(comp, start))[key]
         if not mixed.any():
             return
-        key, v, rep, comp = key[mixed], v[mixed], rep[mixed], comp[mixed]
+        key, v, rep, comp, lo, hi, side = (x[mixed] for x in (key, v, rep, comp, lo, hi, side))
         n, p = (v >> _P) & ((1 << _N) - 1), v & ((1 << _P) - 1)
         o = np.lexsort((n, key))
-        key, n, p, rep, comp = key[o], n[o], p[o], rep[o], comp[o]
+        key, n, p, rep, comp, lo, hi, side = (x[o] for x in (key, n, p, rep, comp, lo, hi, side))
         c = np.lexsort((comp, key))
         runs = np.flatnonzero(np.concatenate(([True], (key[c][1:] != key[c][:-1]) | (comp[c][1:] != comp[c][:-1]))))
         size = np.diff(np.concatenate((runs, [len(c)])))
@@ -164,8 +179,13 @@ def _cross_pairs(percent: int):
         order = np.lexsort((size, key[c][runs]))
         last = np.concatenate((key[c][runs][order][1:] != key[c][runs][order][:-1], [True]))
         main = np.isin(of, order[last])
-        m, rest = np.flatnonzero(main), np.flatnonzero(~main)
-        for rows, others, ahead in ((rest, rest, True), (rest, m, False)):
+        whole, one = lo == hi, side == lo
+        m, rest = np.flatnonzero(main & whole), np.flatnonzero(~main & whole)
+        todo = [(rest, rest, True), (rest, m, False)]
+        if not whole.all():
+            left, right = (np.flatnonzero(~whole & x) for x in (one, ~one))
+            todo += [(left[~main[left]], right, False), (left[main[left]], right[~main[right]], False)]
+        for rows, others, ahead in todo:
             for x, y in _expand(key, n, rows, others, percent, ahead):
                 ok = (comp[x] != comp[y]) & _may_link(n[x], p[x], n[y], p[y], percent)
                 if ok.any():
@@ -174,23 +194,38 @@ def _cross_pairs(percent: int):
                     yield pa.record_batch([longs(pairs[0]), longs(pairs[1])], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held: list[list[np.ndarray]] = []  # parts of the group that may go on, at most two chunks
         for b in batches:
             if not b.num_rows:
                 continue
-            rows = [column(b, c) for c in ("t", "v", "rep", "comp")]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows)]
-            cut = int(np.searchsorted(rows[0], rows[0][-1], side="left"))  # the last list may go on
-            held = [x[cut:] for x in rows]
+            rows = [column(b, c) for c in ("t", "v", "rep", "comp", "lo", "hi", "side")]
+            own = (rows[0] == rows[0][-1]) & (rows[4] == rows[4][-1]) & (rows[5] == rows[5][-1])
+            cut = int(np.argmax(own))  # the last group of a batch may go on
+            begun = held and all(held[0][i][0] == rows[i][0] for i in (0, 4, 5))
+            if held and not begun:
+                yield from lists(*(np.concatenate(x) for x in zip(*held)))
+                held = []
             if cut:
-                yield from lists(*(x[:cut] for x in rows))
-        if held is not None:
-            yield from lists(*held)
+                held.append([x[:cut] for x in rows])
+                yield from lists(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+            held.append([x[cut:] for x in rows])
+        if held:
+            yield from lists(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
+def _in_chunks(rows: DataFrame, lists: DataFrame) -> DataFrame:
+    """Rows of lists of several chunks once for each pair of chunks that holds theirs (lo, hi)."""
+    many = lists.where("chunk > 0").groupBy("t").agg((F.max("chunk") + 1).alias("chunks"))
+    if many.limit(FEW_LISTS + 1).count() <= FEW_LISTS:
+        many = F.broadcast(many)
+    others = F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("chunks", F.lit(1)) - 1)).alias("other")
+    rows = rows.join(many, "t", "left").select("t", "v", "rep", "comp", F.col("chunk").alias("side"), others)
+    return rows.select("t", "v", "rep", "comp", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side")
+
+
 def enough_in_prefix(common: Column, n1: Column, n2: Column, percent: int) -> Column:
     """Whether sets of n1 and n2 with that many common prefix elements can link.
 
@@ -313,7 +348,7 @@ def verified_links(pairs: DataFrame, docs: DataFrame, order, width: int, percent
     return links
 
 
-def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80, chunk: int = CHUNK) -> DataFrame:
     """Groups of documents linked by the Jaccard similarity of their word-shingle sets.
 
     docs: doc_id long, text string; other columns are ignored.  Words are [^\\x20\\x09-\\x0D]+ of
@@ -326,12 +361,14 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
        one with most frequent shingles, which connects groups of near copies at the cost of their size.
     3. Pairs of a list not yet connected follow, if their lengths and the number of their common
        prefix elements allow a link: every link between different sets is found or joins two
-       already connected documents.
+       already connected documents.  Lists longer than ``chunk`` are dealt into pairs of chunks.
     4. Comparison walks tries of whole sets (`_trie_overlaps`); components follow.
 
     Null or empty text: no shingles, its own component.  Null doc_id: n_shingles is given, the
     component is null and it links with nothing.  Rows that repeat a doc_id are one document, judged
-    by that of its texts whose set digest is smallest.  An empty table gives an empty result.
+    by that of its texts whose set digest is smallest.  Texts are read whole; one of 2**27 shingles
+    or more, which a string hardly holds, ends the job with an error.  An empty table gives an empty
+    result.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long"), "text")
@@ -344,7 +381,7 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     band = F.floor(F.log("n") / F.log(F.lit(1.25))).cast("long")
     packed = F.shiftleft(band, 56) + F.shiftleft(15 - F.col("frequent"), 52) + F.shiftleft(F.col("n"), _P) + F.col("pos")
     postings = reps.select("t", packed.alias("v"), F.col("doc_id").alias("rep"))
-    lists = Table(postings.repartition("t").sortWithinPartitions("t", "v", "rep").mapInArrow(_postings, "t long, v long, rep long, hub long, hub_v long"))
+    lists = Table(postings.repartition("t").sortWithinPartitions("t", "v", "rep").mapInArrow(_postings(chunk), "t long, v long, rep long, hub long, hub_v long, chunk long"))
 
     def size(v: str):
         return F.shiftright(F.col(v), _P).bitwiseAND(F.lit((1 << _N) - 1).cast("long"))
@@ -355,9 +392,10 @@ def ngram_components(docs: DataFrame, width: int = 5, percent: int = 80) -> Data
     star_links = verified_links(best, docs, order, width, percent)
     known = components(star_links.df)
 
-    rows = lists.df.select("t", "v", F.col("rep").alias("id")).join(known.df, "id", "left")
-    rows = rows.select("t", "v", F.col("id").alias("rep"), F.coalesce("component", "id").alias("comp"))
-    cross = Table(rows.repartition("t").sortWithinPartitions("t").mapInArrow(_cross_pairs(percent), "a long, b long").distinct())
+    rows = lists.df.select("t", "v", "chunk", F.col("rep").alias("id")).join(known.df, "id", "left")
+    rows = _in_chunks(rows.select("t", "v", "chunk", F.col("id").alias("rep"), F.coalesce("component", "id").alias("comp")), lists.df)
+    group = ["t", "lo", "hi"]
+    cross = Table(rows.repartition(*group).sortWithinPartitions(*group).mapInArrow(_cross_pairs(percent), "a long, b long").distinct())
     ids = cross.df.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     own = classes.df.withColumnRenamed("rep", "doc_id").join(ids, "doc_id", "left_semi")
     prefixes = Table(d.join(own, ["doc_id", "digest"]).select("doc_id", "n", "prefix").dropDuplicates(["doc_id"]))

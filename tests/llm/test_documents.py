@@ -63,6 +63,46 @@ def test_ngram_components(docs, rows):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got) == Counter((d, len(_shingles(t)), None if d is None else root(d)) for d, t, _ in rows)
 
 
+@pytest.mark.parametrize("chunk", [3, 10, ngram_join.CHUNK])
+def test_ngram_components_of_one_shingle_in_most_documents(spark, chunk):
+    """Texts of few shingles, one of them common, so that its list holds unconnected documents."""
+    r = random.Random(12)
+    common = "a very common line here"
+    rows = [(i, " ".join([*r.choices("pqrs", k=r.randrange(3)), common, *r.choices("uvwx", k=r.randrange(3))])) for i in range(150)]
+    rows += [(200 + i, f"{common} and then {' '.join(r.choices('klmn', k=9))}") for i in range(40)]
+    sets = {d: _shingles(t) for d, t in rows}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            i = len(sets[a] & sets[b])
+            if a < b and 100 * i >= 80 * (len(sets[a]) + len(sets[b]) - i):
+                x, y = root(a), root(b)
+                parent[max(x, y)] = min(x, y)
+    got = ngram_join.ngram_components(spark.createDataFrame(rows, "doc_id long, text string"), chunk=chunk).collect()
+    assert {x.doc_id: x.component_id for x in got} == {d: root(d) for d in sets}
+
+
+def test_lists_in_chunks():
+    """Hubs and chunk numbers do not depend on the batches."""
+    r = np.random.default_rng(2)
+    rows = np.unique(np.stack([r.integers(0, 12, 200), (r.integers(0, 3, 200) << 56) + r.integers(0, 9, 200), r.integers(0, 500, 200)], axis=1), axis=0)
+    want = []
+    for t in range(12):
+        own = rows[rows[:, 0] == t]
+        for i, (_, v, rep) in enumerate(own.tolist()):
+            hub = next(x for x in own.tolist() if x[1] >> 56 == v >> 56)
+            want += [(t, v, rep, hub[2], hub[1], i // 4)] if len(own) > 1 else []
+    for size in (1, 3, 50, 1000):
+        batches = [pa.record_batch([pa.array(c) for c in rows[i : i + size].T], names=["t", "v", "rep"]) for i in range(0, len(rows), size)]
+        assert [tuple(x.values()) for b in ngram_join._postings(4)(iter(batches)) for x in b.to_pylist()] == want
+
+
 def test_prefix_bound_is_never_too_strict():
     for n1 in range(1, 60):
         for n2 in range(n1, min(60, n1 * 5 // 4) + 1):
