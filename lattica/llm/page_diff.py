@@ -27,6 +27,8 @@ APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
 MAIN_WORDS = frozenset(["main", "article", "articlebody"])
+#: Of these words, those that say nothing inside of the main text.
+ARTICLE_WORDS = frozenset(["alert", "byline"])
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?>(?:[^>"']|"[^"]*"|'[^']*')*+))>|<[!?][^>]*>""", re.S)
 _ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"']+)))?""")
@@ -36,14 +38,15 @@ _WORD = re.compile(r"[a-z0-9]+")
 MAIN, OPEN = 2, 1
 
 
-def _flags(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element stands apart from the main text, and whether it is the main text."""
+def _flags(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element (inside of the main text or not) stands apart from it, and whether it is
+    the main text."""
     apart, main = tag in APART, tag in ("article", "main")
     if attributes.strip():
         at = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
         words = {x for name in ("class", "id", "role") for x in _WORD.findall(at.get(name, "").lower())}
         if tag not in ("html", "body", "main"):
-            apart = apart or bool(words & APART_WORDS) or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "").lower()
+            apart = apart or bool(words & APART_WORDS - ARTICLE_WORDS if inside else words & APART_WORDS) or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "").lower()
         main = main or at.get("itemprop", "").lower() == "articlebody" or bool(set(at.get("role", "").lower().split()) & MAIN_WORDS)
     return apart, main
 
@@ -92,7 +95,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         if name in VOID:
             continue
-        a, m = _flags(name, tag[3])
+        a, m = _flags(name, tag[3], main > 0)
         a = a or (name == "header" and not main)
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
@@ -190,7 +193,10 @@ def nearest_pairs(keys: DataFrame) -> DataFrame:
     both = rows.unionByName(extra).select("*", F.lag(F.struct("host", "path", "hashes")).over(w).alias("p"), F.lead(F.struct("host", "path", "hashes")).over(w).alias("n")).where("not extra")
 
     def common(x: str):
-        return F.length(F.regexp_extract(F.concat(F.col("path"), F.lit("\n"), F.col(x)), r"(?s)^([^\n]*)[^\n]*\n\1", 1))
+        """Characters with which both paths begin."""
+        same = F.zip_with(F.split("path", ""), F.split(x, ""), lambda a, b: F.coalesce(a == b, F.lit(False)))
+        first = F.array_position(same, F.lit(False))
+        return F.when(first > 0, first - 1).otherwise(F.size(same))
 
     here = {x: F.coalesce(F.col(f"{x}.host") == F.col("host"), F.lit(False)) for x in "pn"}
     near = F.when(here["p"] & (~here["n"] | (common("p.path") >= common("n.path"))), F.col("p.hashes")).when(here["n"], F.col("n.hashes"))
@@ -210,12 +216,14 @@ def main_text(pages: DataFrame) -> DataFrame:
     Lines are joined by two line ends.
 
     Null url or a URL without a host: the page is paired within the empty host.  Null page_id and
-    repeated rows are pages like others.  An empty table gives an empty result.
+    repeated rows are pages like others; of equal paths those next in page_id are paired.  Long
+    pages are read whole, and their lines aligned in memory that grows with their length.  An empty
+    table gives an empty result.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumn("version", F.xxhash64("url", "html"))
     line = "array<struct<text string, kind int>>"
-    parsed = pages.select("page_id", "url", "version", "html").mapInArrow(_parse, f"page_id long, url string, version long, lines {line}")
+    parsed = Table(pages.select("page_id", "url", "version", "html").mapInArrow(_parse, f"page_id long, url string, version long, lines {line}")).df
     host = F.coalesce(F.lower(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#]*)", 1)), F.lit(""))
     path = F.coalesce(F.regexp_extract("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)", 1), F.lit(""))
     keys = parsed.select("page_id", "version", host.alias("host"), path.alias("path"), F.transform("lines", lambda x: F.xxhash64(x.text)).alias("hashes"))

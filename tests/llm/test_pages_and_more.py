@@ -75,6 +75,7 @@ def test_small_payloads_stay_responses(spark, pages, tmp_path):
 
 def test_main_text(pages):
     got = {r.page_id: r.text for r in page_diff.main_text(pages).collect()}
+    assert page_diff.main_text(pages.where("false")).count() == 0
     assert got == {1: "First & only\n\ntext one more", 2: "Second text", 3: "Head\n\nBody", 4: "Head\n\nBody", 5: "", 6: "", 7: "plain < text > é", 8: "plain < text > é", None: "null id"}
 
 
@@ -87,6 +88,36 @@ def test_differencing_judges_pages_with_a_marked_part(spark):
     assert got == {1: "Text 1\n\nMore 1\n\nRead this too", 2: "Text 2\n\nMore 2\n\nRead this too", 3: "Read this too"}
 
 
+def test_blocks_of_an_article():
+    lines = page_diff.page_lines("<div class='byline'>out</div><article><p class='byline'>By A</p><div class='alert'>Mind</div><div class='promo'>no</div><p>Text</p></article><div class='alert'>out</div>")
+    assert lines == [("By A", 2), ("Mind", 2), ("Text", 2)]
+
+
+def test_nearest_pairs(spark):
+    """Pairs over many range partitions, with equal paths and a host of most pages, against sorting."""
+    r = np.random.default_rng(6)
+    rows = [("big" if r.random() < 0.8 else f"h{r.integers(0, 30)}", "/" + "".join(r.choice(list("ab/é"), r.integers(0, 6))), int(r.integers(0, 150)), i) for i in range(300)]
+    df = spark.createDataFrame([(*x, [x[3]]) for x in rows], "host string, path string, page_id long, version long, hashes array<long>")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "23")
+    try:
+        got = {(x.page_id, x.version): x.near[0] for x in page_diff.nearest_pairs(df.repartition(5)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+    def common(a, b):
+        return next((i for i, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+    rows.sort(key=lambda x: (x[0].encode(), x[1].encode(), x[2], x[3]))
+    want = {}
+    for i, (host, path, page, version) in enumerate(rows):
+        near = [(-common(path, o[1]), j, o[3]) for j, o in ((k, rows[k]) for k in (i - 1, i + 1) if 0 <= k < len(rows)) if o[0] == host]
+        if near:
+            want[page, version] = min(near)[2]
+    assert got == want
+
+
 def test_shared_lines_is_a_longest_common_subsequence():
     r = np.random.default_rng(5)
     for _ in range(40):
