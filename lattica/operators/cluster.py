@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import itertools
+import math
 import tempfile
 import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -49,14 +51,23 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
     """Rows with a ``cluster``, by the cheapest of several seeded k-means models on ``features``."""
     data = df.persist()
-    models = [KMeans(k=k, seed=s, maxIter=30).fit(data) for s in seeds]
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    out = best.transform(data).withColumnRenamed("prediction", "cluster")
-    return out
+    try:
+        models = [KMeans(k=k, seed=s, maxIter=30).fit(data) for s in seeds]
+        best = min(models, key=lambda m: m.summary.trainingCost)
+    finally:
+        data.unpersist()
+    return best.transform(df).withColumnRenamed("prediction", "cluster")
 
 
-def gmm(df: DataFrame, k: int, seed: int = 1) -> DataFrame:
-    return GaussianMixture(k=k, seed=seed, maxIter=30).fit(df).transform(df).withColumnRenamed("prediction", "cluster").drop("probability")
+def gmm(df: DataFrame, k: int, seeds: Sequence[int] = (1, 2, 3, 4, 5)) -> DataFrame:
+    """Rows with a ``cluster``, by the likeliest of several seeded Gaussian mixtures on ``features``."""
+    data = df.persist()
+    try:
+        models = [GaussianMixture(k=k, seed=s, maxIter=30).fit(data) for s in seeds]
+        best = max(models, key=lambda m: m.summary.logLikelihood)
+    finally:
+        data.unpersist()
+    return best.transform(df).withColumnRenamed("prediction", "cluster").drop("probability")
 
 
 def bisecting(df: DataFrame, k: int, seed: int = 1) -> DataFrame:
@@ -76,14 +87,18 @@ def curves_as_arrays(matrix: DataFrame) -> DataFrame:
 
 
 def _dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
-    """Squared dynamic time warping cost of two curves and the path of aligned positions."""
+    """Squared dynamic time warping cost of two curves and the path of aligned positions.
+
+    Cells of one diagonal do not depend on each other, so each is one array operation.
+    """
     n, m = len(a), len(b)
     c = np.full((n + 1, m + 1), np.inf)
     c[0, 0] = 0.0
     d = (a[:, None] - b[None, :]) ** 2
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            c[i, j] = d[i - 1, j - 1] + min(c[i - 1, j - 1], c[i - 1, j], c[i, j - 1])
+    for s in range(2, n + m + 1):
+        i = np.arange(max(1, s - m), min(n, s - 1) + 1)
+        j = s - i
+        c[i, j] = d[i - 1, j - 1] + np.minimum(c[i - 1, j - 1], np.minimum(c[i - 1, j], c[i, j - 1]))
     path, i, j = [], n, m
     while i and j:
         path.append((i - 1, j - 1))
@@ -91,36 +106,54 @@ def _dtw(a: np.ndarray, b: np.ndarray) -> tuple[float, list[tuple[int, int]]]:
     return float(c[n, m]), path
 
 
-def _aligned(centres: list[np.ndarray]):
+def _aligned(starts: list[list[np.ndarray]]):
+    """Every curve with its nearest centre of each start, position by position."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for key, curve in zip(b["template_key"], b["curve"]):
-                best = min(((*_dtw(c, np.asarray(curve)), k) for k, c in enumerate(centres)), key=lambda x: (x[0], x[2]))
-                rows += [(key, best[2], best[0], t, curve[s]) for t, s in best[1]]
-            yield pd.DataFrame(rows, columns=["template_key", "cluster", "cost", "t", "value"])
+                for number, centres in enumerate(starts):
+                    best = min(((*_dtw(c, np.asarray(curve)), k) for k, c in enumerate(centres)), key=lambda x: (x[0], x[2]))
+                    rows += [(key, number, best[2], best[0], t, curve[s]) for t, s in best[1]]
+            yield pd.DataFrame(rows, columns=["template_key", "start", "cluster", "cost", "t", "value"])
 
     return run
 
 
-def dtw_kmeans(curves: DataFrame, k: int, rounds: int = 4, seed: int = 1) -> DataFrame:
-    """Templates with a cluster by k-means under time warping.
+def dtw_kmeans(curves: DataFrame, k: int, rounds: int = 20, starts: int = 10) -> DataFrame:
+    """Templates with a cluster by k-means under time warping, the cheapest of several starts.
 
-    Each round aligns every curve with the k centres, which are as long as a curve, and takes the
-    mean of the values aligned with each position as the next centre.
+    A start takes k curves as its centres, which are as long as a curve.  Each round aligns every
+    curve with the centres of all starts and takes the mean of the values aligned with each position
+    as the next centre (a barycentre step), until no start gets cheaper or ``rounds`` are over.
     """
-    schema = "template_key string, cluster int, cost double, t int, value double"
-    first = curves.orderBy(F.xxhash64("template_key", F.lit(seed)), "template_key").limit(k).select("curve").collect()  # k curves
-    centres = [np.asarray(r.curve) for r in first]
-    aligned = None
+    schema = "template_key string, start int, cluster int, cost double, t int, value double"
+    seeds = None
+    for i in range(starts):
+        own = curves.select("curve", F.xxhash64("template_key", F.lit(i)).alias("o"), "template_key").orderBy("o", "template_key").limit(k)
+        own = own.select(F.lit(i).alias("start"), "o", "template_key", "curve")
+        seeds = own if seeds is None else seeds.unionByName(own)
+    centres: list[list[np.ndarray]] = [[] for _ in range(starts)]
+    for r in seeds.orderBy("start", "o", "template_key").collect():  # k curves a start
+        centres[r.start].append(np.asarray(r.curve))
+    before = math.inf
     for _ in range(rounds):
-        aligned = curves.mapInPandas(_aligned(centres), schema)
-        means = aligned.groupBy("cluster", "t").agg(F.avg("value").alias("v")).collect()  # k curves
-        new = [c.copy() for c in centres]
-        for r in means:
-            new[r.cluster][r.t] = r.v
+        if not centres[0]:
+            break
+        aligned = checkpointed(curves.mapInPandas(_aligned(centres), schema))
+        cost = aligned.where("t = 0").dropDuplicates(["template_key", "start"]).groupBy("start").agg(F.sum("cost").alias("cost")).agg(F.sum("cost")).first()[0]
+        if not cost < before * (1 - 1e-9):
+            break
+        before = cost
+        new = [[c.copy() for c in x] for x in centres]
+        for r in aligned.groupBy("start", "cluster", "t").agg(F.avg("value").alias("v")).collect():  # k curves a start
+            new[r.start][r.cluster][r.t] = r.v
         centres = new
-    return curves.mapInPandas(_aligned(centres), schema).groupBy("template_key").agg(F.first("cluster").alias("cluster"), F.first("cost").alias("cost"))
+    final = curves.mapInPandas(_aligned(centres), schema).groupBy("template_key", "start").agg(F.first("cluster").alias("cluster"), F.first("cost").alias("cost"))
+    final = checkpointed(final)
+    best = final.groupBy("start").agg(F.round(F.sum("cost"), 9).alias("total")).orderBy("total", "start").limit(1).select("start")
+    return final.join(F.broadcast(best), "start").drop("start")
 
 
 def cluster_profiles(rows: DataFrame, columns: Sequence[str], weights: dict[str, dict[str, float]]) -> DataFrame:
@@ -171,13 +204,39 @@ def davies_bouldin(rows: DataFrame, vector: str) -> DataFrame:
     return r.agg(F.avg("r").alias("davies_bouldin"))
 
 
-def silhouette(rows: DataFrame, key: str, vector: str) -> DataFrame:
-    """Mean silhouette by Euclidean distance; for entity tables, as all their pairs are made."""
-    a = rows.select(F.col(key).alias("a"), F.col("cluster").alias("ca"), F.col(vector).alias("va"))
-    b = rows.select(F.col(key).alias("b"), F.col("cluster").alias("cb"), F.col(vector).alias("vb"))
-    d = F.sqrt(F.aggregate(F.zip_with("va", "vb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    m = a.crossJoin(b).where("a <> b").groupBy("a", "ca", "cb").agg(F.avg(d).alias("m"))
-    s = m.groupBy("a").agg(F.max(F.when(F.col("ca") == F.col("cb"), F.col("m"))).alias("own"), F.min(F.when(F.col("ca") != F.col("cb"), F.col("m"))).alias("near"))
+def _distance_sums(left: pa.Table, right: pa.Table) -> pa.Table:
+    """Sums of the distances of every left row to the rows of each cluster on the right."""
+    if not (left.num_rows and right.num_rows):
+        return pa.table({"key": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
+    x, y = (np.stack(t.column("v").to_numpy()) for t in (left, right))
+    ids, at = np.unique(right.column("cluster").to_numpy(), return_inverse=True)
+    member = np.zeros((len(y), len(ids)))
+    member[np.arange(len(y)), at] = 1.0
+    sums = np.empty((len(x), len(ids)))
+    for i in range(0, len(x), 64):
+        sums[i : i + 64] = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2)) @ member
+    return pa.table({"key": np.repeat(left.column("key").to_numpy(), len(ids)), "other": np.tile(ids, len(x)), "total": sums.ravel()})
+
+
+def silhouette(rows: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:
+    """Mean silhouette by Euclidean distance over all rows; keys are unique.
+
+    Rows are dealt into blocks; each pair of blocks gives every row's sum of distances to each
+    cluster, so what leaves a task is rows times clusters, never pairs.
+    """
+    x = rows.select(F.col(key).cast("long").alias("key"), F.col("cluster").cast("long").alias("cluster"), F.col(vector).cast("array<double>").alias("v"))
+    n = 1 + x.count() // block
+
+    def dealt(own: str, other: str) -> DataFrame:
+        y = x.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(n).cast("long")))
+        return y.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+
+    right = dealt("c", "b").select("key", "cluster", "v", F.col("b").alias("b2"), F.col("c").alias("c2"))
+    sums = dealt("b", "c").groupBy("b", "c").cogroup(right.groupBy("b2", "c2")).applyInArrow(_distance_sums, "key long, other long, total double")
+    sizes = x.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("n"))
+    m = sums.groupBy("key", "other").agg(F.sum("total").alias("total")).join(sizes, "other").join(x.select("key", "cluster"), "key")
+    own, same = F.col("other") == F.col("cluster"), F.col("total") / (F.col("n") - 1)
+    s = m.groupBy("key").agg(F.max(F.when(own & (F.col("n") > 1), same)).alias("own"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("near"))
     return s.agg(F.avg(F.when(F.col("own").isNull(), 0.0).otherwise((F.col("near") - F.col("own")) / F.greatest("near", "own"))).alias("silhouette"))
 
 

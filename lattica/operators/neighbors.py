@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import difflib
-from collections.abc import Iterator, Sequence
+import itertools
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -14,10 +16,12 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, hamming, l2_normalise
 
-#: Centroids up to this number are sent to every task as they are; more are refused.
+#: Centroids up to this number are sent to every task as they are; more are searched in blocks.
 BROADCAST_ROWS = 20_000
 #: Rows of a block where each pair of blocks is compared in one task.
 BLOCK = 4096
+#: Probes of one hash at most.
+MAX_PROBES = 2000
 #: Stands for the distance of a null hash, beyond all others.
 _NO_DISTANCE = 65
 
@@ -30,23 +34,67 @@ def centroids_by_label(rows: DataFrame, label: str, vector: str) -> DataFrame:
     return arrays.select(label, l2_normalise("c").alias("centroid"))
 
 
-def _checked_cross(left: DataFrame, right: DataFrame) -> DataFrame:
-    """All pairs with a small table of references; its size is checked before it is broadcast."""
-    n = right.limit(BROADCAST_ROWS + 1).count()
-    if n > BROADCAST_ROWS:
-        raise ValueError(f"more than {BROADCAST_ROWS} references; use knn_topk")
-    return left.crossJoin(F.broadcast(right))
+def with_each(rows: DataFrame, references: DataFrame, score: Callable[[], Column]) -> DataFrame:
+    """Every row with the ``score`` of each reference, where that is the result.  References up to
+    BROADCAST_ROWS are broadcast; more are dealt into as many blocks as are broadcast together, and
+    the rows are copied to the blocks."""
+    n = references.count()
+    if n <= BROADCAST_ROWS:
+        return rows.crossJoin(F.broadcast(references)).withColumn("score", score())
+    blocks = F.lit(1 + n // BROADCAST_ROWS).cast("long")
+    refs = references.withColumn("_b", F.pmod(F.xxhash64(*references.columns), blocks))
+    every = rows.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    return every.join(refs, "_b").withColumn("score", score()).drop("_b")
+
+
+def _two_best(labels: np.ndarray, centroids: np.ndarray, null_label):
+    """labels in rising order, so that the first of equal scores has the smallest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column(1)
+            n = b.num_rows
+            first, score, second = np.zeros(n, int), np.full(n, np.nan), np.full(n, np.nan)
+            good = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
+            for at in range(0, len(good), 1024):
+                rows = good[at : at + 1024]
+                s = np.stack(lists.take(pa.array(rows)).to_numpy(zero_copy_only=False)).astype(float) @ centroids.T
+                first[rows] = s.argmax(axis=1)
+                score[rows] = s.max(axis=1)
+                if len(labels) > 1:
+                    second[rows] = np.partition(s, -2, axis=1)[:, -2]
+            best = pa.array([labels[i] if ok else None for i, ok in zip(first.tolist(), lists.is_valid().to_pylist())], null_label)
+            cols = [b.column(0), best, *(pa.array(x, pa.float64(), from_pandas=True) for x in (score, second))]
+            yield pa.record_batch(cols, names=["key", "best_label", "best_score", "second_score"])
+
+    return run
 
 
-def top2(queries: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, score: Column | None = None) -> DataFrame:
-    """Best label and score of every query, the second score (null with one label) and the margin."""
-    pairs = _checked_cross(queries, centroids.withColumnRenamed(label, "_label"))
-    s = score if score is not None else dot(vector, "centroid")
-    best = pairs.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(s.alias("s"), "_label")), asc=False).alias("all"))
-    # One list item a label: as many as there are centroids, whose number is checked.
-    top = F.get("all", 0)
-    ties = F.array_min(F.transform(F.filter("all", lambda x: x["s"] == top["s"]), lambda x: x["_label"]))
-    return best.select(key, ties.alias("best_label"), top["s"].alias("best_score"), F.get("all", 1)["s"].alias("second_score")).withColumn("margin", F.col("best_score") - F.col("second_score"))
+def top2(queries: DataFrame, centroids: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """Best label (the smallest on ties) and inner product of every query, the second one (null with
+    one label) and the margin; centroids: one row a label with ``centroid``.
+
+    Up to BROADCAST_ROWS centroids go to every task as a matrix, and nothing is shuffled; more are
+    searched in blocks.  A null vector has null scores; without centroids there is no row.
+    """
+    rows = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+    kinds = rows.schema["key"].dataType.simpleString(), centroids.schema[label].dataType.simpleString()
+    c = centroids.select(F.col(label).alias("label"), F.col("centroid").cast("array<double>").alias("c"))
+    if c.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+        t = c.orderBy("label").toArrow()
+        if not t.num_rows:
+            rows, t = rows.where("false"), None
+        labels, matrix = (t.column("label").to_pylist(), np.stack(t.column("c").to_numpy(zero_copy_only=False))) if t else ([], np.zeros((0, 1)))
+        run = _two_best(labels, matrix, t.schema.field("label").type if t else pa.null())
+        out = rows.mapInArrow(run, f"key {kinds[0]}, best_label {kinds[1]}, best_score double, second_score double")
+    else:
+        numbered = c.withColumn("ref", F.xxhash64("label"))
+        q = rows.withColumn("row", F.xxhash64("key")).where("v is not null")
+        found = knn_topk(q.select(F.col("row").alias("key"), "v").dropDuplicates(["key"]), numbered.select(F.col("ref").alias("key"), F.col("c").alias("v")), 2)
+        named = found.join(numbered.select("ref", "label"), "ref")
+        two = named.groupBy(F.col("key").alias("row")).agg(F.min_by("label", "rank").alias("best_label"), F.max("score").alias("best_score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second_score"))
+        out = rows.withColumn("row", F.xxhash64("key")).join(two, "row", "left").select("key", "best_label", "best_score", "second_score")
+    return out.withColumnRenamed("key", key).withColumn("margin", F.col("best_score") - F.col("second_score"))
 
 
 def assign_open_set(assigned: DataFrame, tau: float, delta: float, reject: int = -1) -> DataFrame:
@@ -86,30 +134,93 @@ def knn_topk(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def radius_join_hamming(left: DataFrame, right: DataFrame, r: int, bits: int = 64) -> DataFrame:
-    """Exactly the pairs of (key, hash) rows within r bits: with r + 1 bands, one must be equal."""
-    bands = r + 1
-    cuts = [bits * i // bands for i in range(bands + 1)]
+def _flips(width: int, most: int) -> list[int]:
+    """Masks of up to ``most`` of ``width`` bits."""
+    return [sum(1 << i for i in x) for n in range(most + 1) for x in itertools.combinations(range(width), n)]
+
+
+def _bands(r: int, bits: int, n: int) -> int:
+    """Number of bands at which one query meets fewest of n random hashes, its probes included."""
+
+    def cost(m: int) -> float:
+        probes = m * sum(math.comb(-(-bits // m), i) for i in range(r // m + 1))
+        return probes * (1 + n / 2 ** (bits // m)) if probes <= MAX_PROBES else math.inf
+
+    return min(range(1, r + 2), key=cost)
+
+
+def radius_join_hamming(left: DataFrame, right: DataFrame, r: int, bits: int = 64, bands: int | None = None) -> DataFrame:
+    """Exactly the pairs of (key, hash) rows within r bits.
+
+    With m bands one of them differs in r // m bits at most, so the left side probes each band with
+    that many bits flipped.  More rows on the right make for fewer and wider bands (None: by their
+    number), so that a probe meets few of them.
+    """
+    m = bands or _bands(r, bits, right.count())
+    cuts = [bits * i // m for i in range(m + 1)]
+    parts = [F.struct(F.lit(i).alias("band"), F.call_function("shiftrightunsigned", "hash", F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long")).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
 
     def banded(df: DataFrame, key: str) -> DataFrame:
-        parts = [F.struct(F.lit(i).alias("band"), F.call_function("shiftrightunsigned", "hash", F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1).cast("long")).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
         return df.select(F.col("key").alias(key), F.col("hash").alias(f"hash_{key}"), F.explode(F.array(*parts)).alias("x")).select(key, f"hash_{key}", "x.*")
 
-    pairs = banded(left, "a").join(banded(right, "b"), ["band", "part"])
+    probes = banded(left, "a")
+    if r // m:
+        masks = [(i, x if x < 1 << 63 else x - (1 << 64)) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) for x in _flips(b - a, r // m)]
+        flips = left.sparkSession.createDataFrame(masks, "band int, mask long")  # MAX_PROBES rows at most
+        probes = probes.join(F.broadcast(flips), "band").withColumn("part", F.col("part").bitwiseXOR(F.col("mask"))).drop("mask")
+    pairs = probes.join(banded(right, "b"), ["band", "part"])
     return pairs.withColumn("distance", hamming("hash_a", "hash_b")).where(F.col("distance") <= r).select("a", "b", "distance").distinct()
 
 
-def radius_join_euclid(left: DataFrame, right: DataFrame, r: float) -> DataFrame:
-    """Pairs of (key, v) rows within Euclidean distance r: their norms differ by r at most, so rows
-    meet in buckets of norms of that width; then distances decide."""
+def _within(r: float):
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if left.num_rows and right.num_rows:
+            x, y = (np.stack(t.column("v").to_numpy()) for t in (left, right))
+            ids, others = (t.column("key").to_numpy() for t in (left, right))
+            for i in range(0, len(x), 256):
+                part = x[i : i + 256]
+                near = (part * part).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * part @ y.T
+                at, of = np.nonzero(near <= r * r + 1e-6 * (1 + r * r))
+                exact = np.sqrt(((part[at] - y[of]) ** 2).sum(axis=1))
+                ok = exact <= r
+                a.append(ids[i : i + 256][at[ok]])
+                b.append(others[of[ok]])
+                d.append(exact[ok])
+        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "distance": np.concatenate(d)})
 
-    def bucketed(df: DataFrame, key: str, spread: Sequence[int]) -> DataFrame:
-        b = F.floor(F.sqrt(dot("v", "v")) / r)
-        return df.select(F.col("key").alias(key), F.col("v").alias(f"v_{key}"), F.explode(F.array(*(b + i for i in spread))).alias("bucket"))
+    return run
 
-    pairs = bucketed(left, "a", (0,)).join(bucketed(right, "b", (-1, 0, 1)), "bucket")
-    d = F.sqrt(F.aggregate(F.zip_with("v_a", "v_b", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    return pairs.withColumn("distance", d).where(F.col("distance") <= r).select("a", "b", "distance")
+
+def radius_join_euclid(left: DataFrame, right: DataFrame, r: float, block: int = BLOCK) -> DataFrame:
+    """Exactly the pairs of (key, v) rows within Euclidean distance r.
+
+    Norms, and projections on a fixed direction, of such a pair differ by r at most, so rows meet in
+    cells of that width.  Cells of more than ``block`` rows are dealt into blocks, and each pair of
+    blocks is compared as a matrix; only pairs within r leave the task.  Vectors that are null, and
+    rows without key, take no part.
+    """
+
+    def placed(df: DataFrame) -> DataFrame:
+        rows = df.select(F.col("key").cast("long"), F.col("v").cast("array<double>").alias("v")).where("key is not null and v is not null")
+        signs = F.transform("v", lambda x, i: F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, x).otherwise(-x))
+        along = F.aggregate(signs, F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.greatest(F.size("v"), F.lit(1)))
+        return rows.withColumns({"i": F.floor(F.sqrt(dot("v", "v")) / r), "j": F.floor(along / r)})
+
+    def sizes(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy("i", "j").agg(F.ceil(F.count("*") / block).alias(name))
+
+    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
+    a = placed(left)
+    b = placed(right).withColumn("s", F.explode(steps)).select("key", "v", (F.col("i") + F.col("s.x")).alias("i"), (F.col("j") + F.col("s.y")).alias("j"))
+    cells = sizes(a, "na").join(sizes(b, "nb"), ["i", "j"])
+
+    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
+        x = df.join(cells, ["i", "j"]).withColumn(own, F.pmod(F.xxhash64("key"), F.col(n_own)))
+        return x.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).select("key", "v", "i", "j", "p", "q")
+
+    group = ["i", "j", "p", "q"]
+    return dealt(a, "p", "na", "q", "nb").groupBy(*group).cogroup(dealt(b, "q", "nb", "p", "na").groupBy(*group)).applyInArrow(_within(r), "a long, b long, distance double")
 
 
 def _nearest_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -182,13 +293,27 @@ def token_scores(query: Column, candidate: Column) -> tuple[Column, Column]:
     return jaccard, containment
 
 
+def _grams(name: Column) -> Column:
+    """Distinct strings of three characters of a padded name."""
+    padded = F.concat(F.lit("  "), name, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
+
+
 def fuzzy_match_topk(queries: DataFrame, candidates: DataFrame, k: int, with_sequence: bool = False) -> DataFrame:
-    """The k best candidates (row_id, name) of every query (name) among those that share a word:
-    the largest of the token scores, and optionally the sequence ratio, times 100; ties go to the
-    larger row_id."""
+    """The k best candidates (row_id, name) of every query (name) among those that share a word,
+    or, with the sequence ratio, a string of three characters: the largest of the token scores, and
+    optionally that ratio, times 100; ties go to the larger row_id.
+
+    A shared word is three characters in common, so the token scores lose nothing by the second
+    blocking; the ratio of names without three characters in a row in common is not looked at.
+    """
+
+    def parts(c: str) -> Column:
+        return _grams(F.col(c)) if with_sequence else F.array_distinct(F.split(c, " "))
+
     q = queries.select(F.col("name").alias("query"))
-    words = candidates.select("row_id", "name", F.explode(F.array_distinct(F.split("name", " "))).alias("w"))
-    pairs = q.select("query", F.explode(F.array_distinct(F.split("query", " "))).alias("w")).join(words, "w").select("query", "row_id", "name").distinct()
+    words = candidates.select("row_id", "name", F.explode(parts("name")).alias("w"))
+    pairs = q.select("query", F.explode(parts("query")).alias("w")).join(words, "w").select("query", "row_id", "name").distinct()
     score = F.greatest(*token_scores(F.col("query"), F.col("name")))
     if with_sequence:
 
@@ -199,4 +324,3 @@ def fuzzy_match_topk(queries: DataFrame, candidates: DataFrame, k: int, with_seq
         score = F.greatest(score, ratio("query", "name"))
     scored = pairs.withColumn("score", F.round(score * 100, 4))
     return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("row_id")))).where(F.col("rank") <= k)
-

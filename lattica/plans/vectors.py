@@ -61,11 +61,17 @@ def fuse_vectors(spark, d):
     return v.select("key", F.round(F.col("f")[0], 6).alias("first"), F.round(F.col("f")[63], 6).alias("last"))
 
 
-@query("fused_scores", f"WITH {_VIEWS} SELECT x.key AS key, y.key AS ref, round(0.7 * {_DOT.format(a='x.a', b='y.a')} + 0.3 * {_DOT.format(a='x.b', b='y.b')}, 6) AS score FROM nv x, nv y WHERE x.is_test AND y.key < 20")
+_FUSED = f"""{_VIEWS}, e AS (SELECT template, unnest(range(1, 33)) AS i, unnest(a) AS x, unnest(b) AS y FROM nv WHERE NOT is_test), m AS (SELECT template, i, avg(x) AS x, avg(y) AS y FROM e GROUP BY 1, 2), c0 AS (SELECT template, list(x ORDER BY i) AS a, list(y ORDER BY i) AS b FROM m GROUP BY 1),
+    c AS (SELECT template, list_transform(a, lambda x: x / greatest(sqrt({_DOT.format(a='a', b='a')}), 1e-12)) AS a, list_transform(b, lambda x: x / greatest(sqrt({_DOT.format(a='b', b='b')}), 1e-12)) AS b FROM c0)"""
+
+
+@query("fused_scores", f"WITH {_FUSED} SELECT x.key AS key, y.template AS ref, round(0.7 * {_DOT.format(a='x.a', b='y.a')} + 0.3 * {_DOT.format(a='x.b', b='y.b')}, 6) AS score FROM nv x, c y WHERE x.is_test")
 def fused_scores(spark, d):
     v = _views(spark, d)
-    q, r = v.where("is_test").select("key", "a", "b"), v.where("key < 20").select(F.col("key").alias("ref"), F.col("a").alias("ra"), F.col("b").alias("rb"))
-    return q.crossJoin(F.broadcast(r)).select("key", "ref", F.round(0.7 * sc.dot("a", "ra") + 0.3 * sc.dot("b", "rb"), 6).alias("score"))  # twenty references
+    train = v.where("not is_test")
+    c = nb.centroids_by_label(train, "template", "a").withColumnRenamed("centroid", "ra").join(nb.centroids_by_label(train, "template", "b").withColumnRenamed("centroid", "rb"), "template")
+    q = v.where("is_test").select("key", "a", "b")
+    return nb.with_each(q, c, lambda: (0.7 * sc.dot("a", "ra") + 0.3 * sc.dot("b", "rb"))).select("key", F.col("template").alias("ref"), F.round("score", 6).alias("score"))
 
 
 @query("center_bits", f"WITH {HASHES} SELECT key, round((CAST(hash & 1 AS DOUBLE) * 2 - 1) / sqrt(63), 6) AS first FROM hashes")
@@ -183,9 +189,9 @@ def radius_join_hamming(spark, d):
     return nb.radius_join_hamming(h, h, 8).where("a < b")
 
 
-@query("radius_join_euclid", f"WITH {VECTORS}, s AS (SELECT key, list_transform(v, lambda x: x * (1 + key % 7)) AS v FROM vectors WHERE key < 150), p AS (SELECT a.key AS a, b.key AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM s a JOIN s b ON a.key < b.key) SELECT a, b, round(distance, 6) AS distance FROM p WHERE distance <= 1.2")
+@query("radius_join_euclid", f"WITH {VECTORS}, s AS (SELECT key, list_transform(v, lambda x: x * (1 + key % 7)) AS v FROM vectors), p AS (SELECT a.key AS a, b.key AS b, sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2])))) AS distance FROM s a JOIN s b ON a.key < b.key) SELECT a, b, round(distance, 6) AS distance FROM p WHERE distance <= 1.2")
 def radius_join_euclid(spark, d):
-    s = vectors(spark, d).where("key < 150").select("key", F.transform("v", lambda x: x * (1 + F.col("key") % 7)).alias("v"))
+    s = vectors(spark, d).select("key", F.transform("v", lambda x: x * (1 + F.col("key") % 7)).alias("v"))
     return _r(nb.radius_join_euclid(s, s, 1.2).where("a < b"), "distance")
 
 
@@ -222,13 +228,15 @@ def threshold_sweep(spark, d):
     return x.groupBy("s", "m").agg(F.round(F.avg(ok.cast("int")), 6).alias("rate")).select((F.col("s") / 20.0).alias("tau"), (F.col("m") / 50.0).alias("delta"), "rate")
 
 
-@query("mutual_match_ratio", f"""WITH {HASHES}, ds AS (SELECT key // 60 AS s, key, hash FROM hashes WHERE key < 360 AND key % 6 < 3), p AS (SELECT a.s AS a, b.s AS b, a.key AS i, b.key AS j, bit_count(xor(a.hash, b.hash)) AS d FROM ds a JOIN ds b ON a.s < b.s),
+@query("mutual_match_ratio", f"""WITH {HASHES}, ds AS (SELECT key // 60 AS s, key, hash FROM hashes), p AS (SELECT a.s AS a, b.s AS b, a.key AS i, b.key AS j, bit_count(xor(a.hash, b.hash)) AS d FROM ds a JOIN ds b ON b.s BETWEEN a.s + 1 AND a.s + 3),
     r AS (SELECT a, b, row_number() OVER (PARTITION BY a, b, i ORDER BY d, j) AS ra, row_number() OVER (PARTITION BY a, b, j ORDER BY d, i) AS rb FROM p), n AS (SELECT s, count(*) AS n FROM ds GROUP BY 1), m AS (SELECT a, b, count(*) FILTER (WHERE ra = 1 AND rb = 1) AS m FROM r GROUP BY 1, 2)
     SELECT a, b, m AS matches, round(1 - m / greatest(x.n, y.n), 6) AS distance FROM m JOIN n x ON x.s = a JOIN n y ON y.s = b""")
 def mutual_match_ratio(spark, d):
-    ds = hashes(spark, d).where("key < 360 and key % 6 < 3").select(F.floor(F.col("key") / 60).alias("set"), F.col("key").alias("id"), "hash")
+    ds = hashes(spark, d).select(F.floor(F.col("key") / 60).alias("set"), F.col("key").alias("id"), "hash")
     s = ds.select("set").distinct()
-    pairs = s.select(F.col("set").alias("a")).crossJoin(s.select(F.col("set").alias("b"))).where("a < b")
+    # A set is matched with the three that follow it.
+    near = s.select(F.col("set").alias("a"), F.explode(F.array(*(F.col("set") + i for i in (1, 2, 3)))).alias("b"))
+    pairs = near.join(s.select(F.col("set").alias("b")), "b", "left_semi")
     return _r(nb.mutual_match_ratio(ds, pairs), "distance")
 
 
@@ -372,8 +380,7 @@ def kmeans_features(spark, d):
 
 @query("gmm_features")
 def gmm_features(spark, d):
-    z = cl.standardise(_features(spark, d).select("template_key", *FEATURES[:4]), FEATURES[:4])
-    return cl.gmm(cl.vectorised(cl.checkpointed(z), FEATURES[:4]), 3).select("template_key", "cluster")
+    return _clustered(spark, d, cl.gmm).select("template_key", "cluster")
 
 
 @query("hier_features")
@@ -397,9 +404,9 @@ def cluster_robustness(spark, d):
     z = cl.vectorised(cl.checkpointed(cl.standardise(_features(spark, d).select("template_key", *FEATURES), FEATURES)), FEATURES)
     out = None
     for k in (3, 4, 5):
-        p = cl.kmeans(z, k, (1,)).groupBy("cluster").agg(F.count("*").alias("size")).withColumn("k", F.lit(k))
+        p = cl.cluster_profiles(cl.kmeans(z, k), FEATURES, WEIGHTS).withColumn("k", F.lit(k))
         out = p if out is None else out.unionByName(p)
-    return out
+    return out.select("k", "cluster", "size", *(F.round(c, 4).alias(c) for c in FEATURES))
 
 
 @query("representative_template")
@@ -428,7 +435,7 @@ def kmeans_curves(spark, d):
 
 @query("dtw_kmeans_curves")
 def dtw_kmeans_curves(spark, d):
-    return cl.dtw_kmeans(cl.checkpointed(cl.curves_as_arrays(_matrix(spark, d))), 3, 2).select("template_key", "cluster")
+    return cl.dtw_kmeans(cl.checkpointed(cl.curves_as_arrays(_matrix(spark, d))), 3).select("template_key", "cluster")
 
 
 @query("temporal_clusters")
@@ -447,7 +454,8 @@ def kmeans_vectors(spark, d):
 
 @query("pca_reduce")
 def pca_reduce(spark, d):
-    return cl.pca_reduce(vectors(spark, d), "v", 8).select("key", F.size("reduced").alias("dims"), F.round(sc.dot("reduced", "reduced"), 4).alias("squared"))
+    # A component's sign is free, so sizes are given.
+    return cl.pca_reduce(vectors(spark, d), "v", 8).select("key", F.transform("reduced", lambda x: F.round(F.abs(x), 4)).alias("reduced"))
 
 
 @query("refine_clusters")
@@ -463,10 +471,10 @@ def davies_bouldin(spark, d):
     return cl.davies_bouldin(v, "v").select(F.round("davies_bouldin", 5).alias("davies_bouldin"))
 
 
-@query("silhouette", f"""WITH {VECTORS}, x AS (SELECT * FROM vectors WHERE is_test), p AS (SELECT a.key, a.template AS ca, b.template AS cb, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS m FROM x a JOIN x b ON a.key <> b.key GROUP BY 1, 2, 3),
+@query("silhouette", f"""WITH {VECTORS}, x AS (SELECT * FROM vectors), p AS (SELECT a.key, a.template AS ca, b.template AS cb, avg(sqrt(list_sum(list_transform(list_zip(a.v, b.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))))) AS m FROM x a JOIN x b ON a.key <> b.key GROUP BY 1, 2, 3),
     s AS (SELECT key, max(CASE WHEN ca = cb THEN m END) AS own, min(CASE WHEN ca <> cb THEN m END) AS near FROM p GROUP BY 1) SELECT round(avg(CASE WHEN own IS NULL THEN 0 ELSE (near - own) / greatest(near, own) END), 6) AS silhouette FROM s""")
 def silhouette(spark, d):
-    v = vectors(spark, d).where("is_test").withColumn("cluster", F.col("template"))
+    v = vectors(spark, d).withColumn("cluster", F.col("template"))
     return _r(cl.silhouette(v, "key", "v"), "silhouette")
 
 

@@ -1,6 +1,5 @@
 """Registered queries against their SQL on the smallest tables."""
 
-import os
 
 import duckdb
 import pytest
@@ -9,8 +8,6 @@ from lattica.plans.registry import QUERIES, SQL
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-# One query or two of every part, since all of them take minutes; ALL_QUERIES=1 runs the rest too.
-CHOSEN = ["prepare_posts", "template_popularity", "lifecycle_features", "lifecycle_events", "top_lifecycles", "transition_counts", "mutual_information", "mann_whitney", "chi2_contingency", "class_keywords_tfidf", "token_stats", "assign_open_set", "radius_join_hamming", "dbscan_hamming", "fuzzy_match_topk", "read_nested_jsonl", "read_affect_jsonl", "parse_polymorphic_list", "response_json_parse", "classification_metrics", "knn_cosine_topk", "stream_volume"]
 
 
 @pytest.fixture(scope="session")
@@ -25,7 +22,7 @@ def _order(row):
     return tuple((v is None, str(type(v).__name__ if not isinstance(v, (int, float)) else "n"), 0 if v is None else v) for v in row)
 
 
-@pytest.mark.parametrize("name", list(SQL) if os.environ.get("ALL_QUERIES") else CHOSEN)
+@pytest.mark.parametrize("name", list(SQL))
 def test_query_matches_sql(spark, con, name):
     df = QUERIES[name](spark, DIR)
     cols = sorted(df.columns)
