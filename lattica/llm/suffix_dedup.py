@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import Table, column, longs, mix, prefix_sums, substring_hashes
 
 #: Bytes of the key by which suffixes are sampled; a string of `length` bytes holds length - KEY + 1.
-KEY = 24
+KEY = 20
 #: A place packs (first window, windows) into one long; texts have at most 2**31 bytes.
 _LEN = 8
 #: Flags of places that pass the sort of suffixes: known to be held before, or to be compared by window.
