@@ -169,11 +169,27 @@ def cluster_profiles(rows: DataFrame, columns: Sequence[str], weights: dict[str,
     return p.select("*", *(score({c: x for c, x in w.items() if c in columns}).alias(f"score_{name}") for name, w in weights.items()))
 
 
-def cluster_naming(profiles: DataFrame, names: Sequence[str]) -> DataFrame:
+def manual_names(text: str, names: Sequence[str]) -> dict[int, str]:
+    """Names by cluster of a text like "0=evergreen, 2=bursty"."""
+    out = {}
+    for item in filter(None, map(str.strip, text.split(","))):
+        cluster, sign, name = item.partition("=")
+        name = name.strip().lower().replace(" ", "_")
+        if not sign or name not in names:
+            raise ValueError(f"{item!r} is not cluster=name with one of {list(names)}")
+        out[int(cluster)] = name
+    return out
+
+
+def cluster_naming(profiles: DataFrame, names: Sequence[str], manual: str = "") -> DataFrame:
     """The one-to-one naming of up to six clusters with the largest total score; others are cluster_i.
 
-    All permutations of the few clusters are rows, joined with the scores.
+    All permutations of the few clusters are rows, joined with the scores.  With ``manual`` names
+    those count instead, and clusters without one are cluster_i.
     """
+    if given := manual_names(manual, names):
+        own = F.create_map(*(F.lit(x) for pair in given.items() for x in pair))[F.col("cluster").cast("int")]
+        return profiles.select("cluster", F.coalesce(own, F.concat(F.lit("cluster_"), F.col("cluster").cast("string"))).alias("name"))
     k = min(len(names), 6)
     ids = profiles.select("cluster").orderBy("cluster").limit(6)
     numbered = ids.withColumn("i", F.row_number().over(W.orderBy("cluster")) - 1)

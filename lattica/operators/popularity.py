@@ -177,3 +177,18 @@ def context_summary(rows: DataFrame, key: str, text: str, score: str, time: str,
     first = ranked.groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", text))), lambda x: x[text]), " | ").alias("texts"))
     words = rows.groupBy(key).agg(F.count_distinct(keyword).alias("keywords"), F.count("*").alias("posts"))
     return words.join(first, key, "left").withColumn("keywords_per_post", F.col("keywords") / F.col("posts"))
+
+
+BALANCES = ("global_sentiment_balance", "local_sentiment_balance")
+#: Balances, and the emotions whose means describe a month.
+MONTHLY = (*BALANCES, *(f"{k}_{c}" for c in ("global", "local") for k in ("joy", "anger", "sadness", "disgust", "optimism", "fear")))
+
+
+def with_balances(posts: DataFrame) -> DataFrame:
+    """positive - negative of both contexts; null where one is."""
+    return posts.withColumns({f"{c}_sentiment_balance": F.col(f"positive_{c}") - F.col(f"negative_{c}") for c in ("global", "local")})
+
+
+def monthly_features(posts: DataFrame) -> DataFrame:
+    """Posts, mean score, mean balances and mean emotions of every month."""
+    return posts.groupBy("month").agg(F.count("*").alias("posts"), F.avg("score").alias("mean_score"), *(F.avg(c).alias(c) for c in MONTHLY))

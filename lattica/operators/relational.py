@@ -44,10 +44,11 @@ def coverage_counts(df: DataFrame, label: str, sentinel: str = "NO_TEMPLATE") ->
     return df.agg(F.count("*").alias("total"), F.count_if(~named).alias("sentinel"), F.count_if(named).alias("labelled"), F.round(F.count_if(named) / F.count("*"), 6).alias("labelled_share"))
 
 
-def score_summary(df: DataFrame, group: str, entity: str, scores: Sequence[str], digits: int = 6) -> DataFrame:
+def score_summary(df: DataFrame, group: str, entity: str, scores: Sequence[str], digits: int = 6, means: Sequence[str] = ()) -> DataFrame:
+    """Rows and entities of every group, mean and median of ``scores``, and the plain mean of ``means``."""
     aggs = [f(s).alias(f"{n}_{s}") for s in scores for n, f in (("mean", F.avg), ("median", F.median))]
-    out = df.groupBy(group).agg(F.count("*").alias("posts"), F.count_distinct(entity).alias("templates"), *aggs)
-    return out.select(group, "posts", "templates", *(F.round(f"{n}_{s}", digits).alias(f"{n}_{s}") for s in scores for n in ("mean", "median")))
+    out = df.groupBy(group).agg(F.count("*").alias("posts"), F.count_distinct(entity).alias("templates"), *aggs, *(F.avg(c).alias(c) for c in means))
+    return out.select(group, "posts", "templates", *(F.round(f"{n}_{s}", digits).alias(f"{n}_{s}") for s in scores for n in ("mean", "median")), *means)
 
 
 def composition_share(df: DataFrame, group: str, category: str) -> DataFrame:

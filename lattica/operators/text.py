@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,13 +17,46 @@ def exploded(rows: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
 
 def token_stats(rows: DataFrame, key: str, tokens: Column) -> DataFrame:
     """Tokens, distinct tokens, their ratio, normalised entropy, concentration and the largest
-    share of every row; 0 where there is no token."""
-    counted = exploded(rows, [key], tokens).groupBy(key, "token").agg(F.count("*").alias("c"))
-    total = F.sum("c").over(W.partitionBy(key))
-    p = counted.select(key, "c", (F.col("c") / total).alias("p"))
-    s = p.groupBy(key).agg(F.sum("c").alias("tokens"), F.count("*").alias("distinct"), (-F.sum(F.col("p") * F.log("p"))).alias("h"), F.sum(F.col("p") * F.col("p")).alias("hhi"), F.max("p").alias("top1_share"))
-    s = s.withColumn("ttr", F.col("distinct") / F.col("tokens")).withColumn("entropy_norm", F.when(F.col("distinct") > 1, F.col("h") / F.log("distinct")).otherwise(0.0)).drop("h")
-    return rows.select(key).join(s, key, "left").fillna(0)
+    share of every row; 0 where there is no token.
+
+    A row's tokens are counted in the row: they are sorted, and one pass adds up the runs of equal
+    ones, so nothing is shuffled.
+    """
+    names = ("run", "distinct", "c_log_c", "squares", "most")
+
+    def closed(s: Column) -> list[Column]:
+        """The sums with the run that ends here."""
+        c = s["run"]
+        return [s["distinct"] + F.when(c > 0, 1.0).otherwise(0.0), s["c_log_c"] + F.when(c > 0, c * F.log(c)).otherwise(0.0), s["squares"] + c * c, F.greatest(s["most"], c)]
+
+    def state(last: Column, *values: Column) -> Column:
+        return F.struct(last.alias("last"), *(v.cast("double").alias(n) for n, v in zip(names, values)))
+
+    def step(s: Column, token: Column) -> Column:
+        more = state(token, s["run"] + 1, *(s[n] for n in names[1:]))
+        return F.when(s["last"] == token, more).otherwise(state(token, F.lit(1.0), *closed(s)))
+
+    def end(s: Column) -> Column:
+        return F.struct(*(c.alias(n) for n, c in zip(names[1:], closed(s))))
+
+    start = state(F.lit(None).cast("string"), *(F.lit(0.0) for _ in names))
+    listed = rows.select(key, F.coalesce(tokens, F.array().cast("array<string>")).alias("t"))
+    x = listed.select(key, F.size("t").cast("long").alias("tokens"), F.aggregate(F.array_sort("t"), start, step, end).alias("s"))
+    n, some = F.col("tokens"), F.col("tokens") > 0
+    h = F.log(n) - F.col("s.c_log_c") / n
+
+    def given(c: Column, otherwise: float = 0.0) -> Column:
+        return F.when(some, c).otherwise(otherwise)
+
+    return x.select(
+        key,
+        "tokens",
+        F.col("s.distinct").cast("long").alias("distinct"),
+        given(F.col("s.squares") / (n * n)).alias("hhi"),
+        given(F.col("s.most") / n).alias("top1_share"),
+        given(F.col("s.distinct") / n).alias("ttr"),
+        F.when(F.col("s.distinct") > 1, h / F.log("s.distinct")).otherwise(0.0).alias("entropy_norm"),
+    )
 
 
 def class_token_profile(rows: DataFrame, group: str, tokens: Column) -> DataFrame:
@@ -49,20 +84,21 @@ def topk_overlap(profile: DataFrame, group: str, k: int) -> DataFrame:
     return both.select("a", "b", F.size(shared).alias("shared"), (F.size(shared) / F.size(F.array_union("x", "y"))).alias("jaccard"), F.array_join(shared, " ").alias("tokens"))
 
 
-def tfidf(rows: DataFrame, key: str, tokens: Column, group: str | None = None) -> DataFrame:
+def tfidf(rows: DataFrame, key: str, tokens: Column, group: str | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length in every document.
 
-    With ``group`` n and df are of the document's group.
+    With ``group`` n and df are of the document's group; ``carried`` columns of the document ride
+    along.
     """
     groups = [group] if group else []
-    tf = exploded(rows, [*groups, key], tokens).groupBy(*groups, key, "token").agg(F.count("*").alias("tf"))
+    tf = exploded(rows, [*groups, *carried, key], tokens).groupBy(*groups, *carried, key, "token").agg(F.count("*").alias("tf"))
     df = tf.groupBy(*groups, "token").agg(F.count("*").alias("df"))
     n = rows.groupBy(*groups).agg(F.count("*").alias("n"))
     x = tf.join(df, [*groups, "token"])
     x = x.join(F.broadcast(n), groups) if group else x.crossJoin(F.broadcast(n))  # a row a group, or one
     x = x.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*groups, key)))
-    return x.select(*groups, key, "token", "tf", (F.col("w") / norm).alias("w"))
+    return x.select(*groups, *carried, key, "token", "tf", (F.col("w") / norm).alias("w"))
 
 
 def ngram_terms(tokens: Column) -> Column:
@@ -82,6 +118,7 @@ def text_pair_cosine(rows: DataFrame, key: str, left: Column, right: Column) ->
     return rows.select(key).join(sims, key, "left").select(key, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
+# Thresholds and names of the classes.
 def abstraction_class(origin_local: Column, global_local: Column, origin_global: Column) -> Column:
     return (
         F.when(origin_local >= 0.18, "origin-retaining reuse")
@@ -105,9 +142,9 @@ def topic_labels(rows: DataFrame, topic: str, key: str, tokens: Column, n: int =
 
 def class_keywords(rows: DataFrame, group: str, key: str, tokens: Column, k: int = 20) -> DataFrame:
     """Terms by how far a class's unit centroid exceeds the best other one, times ln(1 + count)."""
-    w = tfidf(rows, key, tokens)
+    w = tfidf(rows, key, tokens, carried=[group])
     sizes = rows.groupBy(group).agg(F.count("*").alias("docs"))
-    c = w.join(rows.select(key, group), key).groupBy(group, "token").agg(F.sum("w").alias("s"), F.sum("tf").alias("n"))
+    c = w.groupBy(group, "token").agg(F.sum("w").alias("s"), F.sum("tf").alias("n"))
     c = c.join(F.broadcast(sizes), group).withColumn("m", F.col("s") / F.col("docs"))
     c = c.withColumn("m", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(W.partitionBy(group))))
     by_token = W.partitionBy("token")

@@ -15,7 +15,12 @@ from .popularity import _prepared
 
 
 def _folder(spark) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lattica-")
+    """A new folder in the shared one that the session names; in local mode without it, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lattica-")
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
@@ -44,9 +49,9 @@ def label_provenance_fallback(spark, d):
     return io.provenance(io.parse_annotations(_lines(spark, d))).select("key", "template_final", "template_source")
 
 
-@query("label_provenance_strict", "SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus END AS template_final FROM orders WHERE o_orderkey % 50 <> 1 AND o_orderkey % 10 <> 0")
+@query("label_provenance_strict", "SELECT CAST(o_orderkey AS VARCHAR) AS key, CASE WHEN o_orderkey % 3 = 0 THEN o_orderstatus ELSE 'NO_TEMPLATE' END AS template_final, CASE WHEN o_orderkey % 3 = 0 THEN 'closed_set_assignment' ELSE 'closed_set_no_template' END AS template_source FROM orders WHERE o_orderkey % 50 <> 1 AND o_orderkey % 10 <> 0")
 def label_provenance_strict(spark, d):
-    return io.parse_annotations(_lines(spark, d)).select("key", F.col("pred_template").alias("template_final"))
+    return io.provenance_strict(io.parse_annotations(_lines(spark, d))).select("key", "template_final", "template_source")
 
 
 @query("read_affect_jsonl", "SELECT CAST(vec_id AS VARCHAR) AS key, round(abs(CAST(embedding[2] AS DOUBLE)), 6) AS joy_global, round(abs(CAST(embedding[3] AS DOUBLE)), 6) AS positive_global, CAST(NULL AS DOUBLE) AS anger_global FROM embeddings")
@@ -81,17 +86,22 @@ def read_parquet_pruned(spark, d):
     return table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("key"), "o_orderstatus")
 
 
-@query("read_csv_typed", "SELECT name, type, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS row_id FROM (SELECT p_name AS name, min(p_type) AS type FROM part GROUP BY 1)")
+def _in_order(df, key):
+    """Rows in the order of a key, over the files by their names and in each file."""
+    return df.repartitionByRange(key).sortWithinPartitions(key)
+
+
+@query("read_csv_typed", "SELECT name, type, CAST(row_number() OVER (ORDER BY name) AS INTEGER) AS row_id FROM (SELECT p_name AS name, arg_min(p_type, p_partkey) AS type FROM part GROUP BY 1)")
 def read_csv_typed(spark, d):
     path = _folder(spark)
-    table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_type").alias("type")).write.csv(path, header=True)
+    _in_order(table(spark, d, "part"), "p_partkey").select(F.col("p_name").alias("name"), F.col("p_type").alias("type")).write.csv(path, header=True)
     return io.read_csv_typed(spark, path, ["name", "type"], "name").select("name", "type", "row_id")
 
 
-@query("read_headerless_csv2", "SELECT p_name AS key, min(p_type) AS value FROM part GROUP BY 1")
+@query("read_headerless_csv2", "SELECT p_name AS key, arg_min(p_type, p_partkey) AS value FROM part GROUP BY 1")
 def read_headerless_csv2(spark, d):
     path = _folder(spark)
-    table(spark, d, "part").select("p_name", "p_type").write.csv(path)
+    _in_order(table(spark, d, "part"), "p_partkey").select("p_name", "p_type").write.csv(path)
     return io.read_headerless_csv(spark, path)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.scalars import EMOTIONS, SENTIMENTS
 from ..operators import popularity as op
 from ..operators import relational as rel
-from .base import POSTS, PREPARED, min_posts, posts, query, table
+from .base import AFFECTS, POSTS, PREPARED, affect, min_posts, posts, query, table
 
 DAY = "yyyy-MM-dd"
 
@@ -257,12 +258,24 @@ def popularity_groups(spark, d):
     return op.popularity_groups(op.template_popularity(_prepared(spark, d)), 15, min_posts(d))
 
 
-@query("group_affect_summary", f"""WITH {PREPARED}{_POPULAR}{_GROUPS}
-    SELECT "group", count(*) AS posts, count(DISTINCT template_key) AS templates, round(avg(score), 4) AS mean_score, round(median(score), 4) AS median_score FROM prepared JOIN groups USING (template_key) GROUP BY 1""")
+_SCORED_POSTS = f"""{PREPARED}, {AFFECTS}, scored AS (SELECT prepared.*, affect.* EXCLUDE (key), positive_global - negative_global AS global_sentiment_balance, positive_local - negative_local AS local_sentiment_balance FROM prepared LEFT JOIN affect USING (key))"""
+
+
+def _scored(spark, d):
+    """Posts with the affect scores of their key, and balances, null where a score is."""
+    return op.with_balances(_prepared(spark, d).join(affect(spark, d), "key", "left"))
+
+
+_ALL_SCORES = [*op.BALANCES, *(f"{k}_{c}" for c in ("global", "local") for k in (*SENTIMENTS, *EMOTIONS))]
+
+
+@query("group_affect_summary", f"""WITH {_SCORED_POSTS}{_POPULAR}{_GROUPS}
+    SELECT "group", count(*) AS posts, count(DISTINCT template_key) AS templates, round(avg(score), 4) AS mean_score, round(median(score), 4) AS median_score, {", ".join(f"round(avg({c}), 6) AS {c}" for c in _ALL_SCORES)} FROM scored JOIN groups USING (template_key) GROUP BY 1""")
 def group_affect_summary(spark, d):
-    p = _prepared(spark, d)
+    p = _scored(spark, d)
     g = op.popularity_groups(op.template_popularity(p), 15, min_posts(d)).select("template_key", "group")
-    return rel.score_summary(p.join(F.broadcast(g), "template_key"), "group", "template_key", ["score"], 4)  # thirty rows
+    s = rel.score_summary(p.join(F.broadcast(g), "template_key"), "group", "template_key", ["score"], 4, _ALL_SCORES)  # thirty rows
+    return s.select("group", "posts", "templates", "mean_score", "median_score", *(F.round(c, 6).alias(c) for c in _ALL_SCORES))
 
 
 @query("representative_post", f"""WITH {PREPARED} SELECT template_key, key, round(score, 4) AS score FROM (
@@ -365,9 +378,14 @@ def composition_share(spark, d):
     return rel.composition_share(_prepared(spark, d), "template_key", "year")
 
 
-@query("monthly_features", f"WITH {PREPARED} SELECT strftime(month, '%Y-%m-%d') AS month, count(*) AS posts, round(avg(score), 4) AS mean_score FROM prepared GROUP BY 1")
+def _means_sql(columns, digits=6) -> str:
+    return ", ".join(f"round(avg({c}), {digits}) AS {c}" for c in columns)
+
+
+@query("monthly_features", f"WITH {_SCORED_POSTS} SELECT strftime(month, '%Y-%m-%d') AS month, count(*) AS posts, round(avg(score), 4) AS mean_score, {_means_sql(op.MONTHLY)} FROM scored GROUP BY 1")
 def monthly_features(spark, d):
-    return _prepared(spark, d).groupBy(_d("month")).agg(F.count("*").alias("posts"), F.round(F.avg("score"), 4).alias("mean_score"))
+    m = op.monthly_features(_scored(spark, d))
+    return m.select(_d("month"), "posts", F.round("mean_score", 4).alias("mean_score"), *(F.round(c, 6).alias(c) for c in op.MONTHLY))
 
 
 @query("year_summary_by_cluster", f"""WITH {PREPARED}, f AS (SELECT template_key, min(year(created_utc)) AS y, count(*) AS n FROM prepared GROUP BY 1)

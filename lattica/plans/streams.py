@@ -8,6 +8,7 @@ from ..operators import neighbors as nb
 from ..streaming import streams as st
 from .base import query, table, vectors
 from .ingest import _folder
+from .vectors import _CENTRES
 
 
 def _stream(spark, d, name):
@@ -25,10 +26,10 @@ def stream_volume(spark, d):
     return v.select(F.date_format("period", "yyyy-MM-dd").alias("period"), "event_type", "n")
 
 
-@query("stream_assign")
+@query("stream_assign", f"WITH {_CENTRES.replace('FROM vectors, cen WHERE is_test', 'FROM vectors, cen')} SELECT key, accepted, CASE WHEN accepted THEN best_label ELSE -1 END AS label FROM open")
 def stream_assign(spark, d):
     c = nb.centroids_by_label(vectors(spark, d).where("not is_test"), "template", "v")
-    v = _stream(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("v")).where("key % 5 = 0")
+    v = _stream(spark, d, "embeddings").select(F.col("vec_id").alias("key"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     return st.stream_assign(v, c, "key", "v", "template", 0.25, 0.02, _folder(spark), _folder(spark)).select("key", "accepted", "label")
 
 

@@ -529,14 +529,22 @@ def centroid_text_assign(spark, d):
 
 @query("batch_assign_pipeline")
 def batch_assign_pipeline(spark, d):
-    v = _views(spark, d).withColumn("v", sc.fuse_vectors("a", "b", 0.6)).drop("a", "b")
+    """Reference bank, reduction, clusters, refinement, votes, assignment with the scores of both
+    views, and the upsert into the records."""
+    views = _views(spark, d)
+    v = views.withColumn("v", sc.fuse_vectors("a", "b", 0.6)).drop("a", "b")
     r = cl.checkpointed(cl.pca_reduce(v, "v", 16).select("key", "template", "is_test", F.col("reduced").alias("v")))
     train = r.where("not is_test")
     c = cl.checkpointed(cl.kmeans(cl.vectorised(train, "v"), 10, (1,)).select("key", "template", "v", "cluster"))
     refined = cl.refine_clusters(c.select("key", "v", "cluster"), 1).join(c.select("key", "template"), "key")
     votes = cl.majority_vote_label(refined, "cluster", "template").withColumnRenamed("label", "voted")
     assigned = nb.assign_open_set(nb.top2(r.where("is_test"), nb.centroids_by_label(refined, "cluster", "v"), "key", "v", "cluster"), TAU, DELTA)
-    return assigned.join(votes, F.col("best_label") == F.col("cluster")).select("key", "accepted", F.when(F.col("accepted"), F.col("voted")).otherwise(-1).alias("label"))
+    members = views.join(refined.select("key", "cluster"), "key")
+    by_view = [nb.top2(views.where("is_test"), nb.centroids_by_label(members, "cluster", x), "key", x, "cluster").select("key", F.col("best_score").alias(f"{x}_best_score")) for x in "ab"]
+    named = assigned.join(votes, F.col("best_label") == F.col("cluster")).join(by_view[0], "key").join(by_view[1], "key")
+    changes = named.select("key", F.when(F.col("accepted"), F.col("voted")).otherwise(-1).alias("label"), F.lit("prediction").alias("source"), "accepted", *(F.round(x, 4).alias(x) for x in ("best_score", "margin", "a_best_score", "b_best_score")))
+    records = views.select("key", F.col("template").alias("label"), F.lit("original").alias("source"))
+    return rel.upsert(records, changes, "key")
 
 
 @query("sample_unlabelled", f"WITH {VECTORS}, p AS (SELECT key FROM vectors ORDER BY md5(key || '|42'), key LIMIT 50) SELECT key, CASE WHEN key NOT IN (SELECT key FROM p) THEN template END AS template FROM vectors")

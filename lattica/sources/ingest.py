@@ -60,8 +60,14 @@ def parse_truncated_json(documents: DataFrame, text: str = "value") -> DataFrame
     return x.select(F.col("r")[names[0]].alias("key"), F.col("r")[names[1]].cast("int").alias("topic"), F.col("r")[names[2]].cast("double").alias("probability"))
 
 
+def file_order() -> Column:
+    """Orders rows of a file source by file name, block and line."""
+    return F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("b"), F.monotonically_increasing_id().alias("n"))
+
+
 def read_csv_typed(spark: SparkSession, path: str, columns: Sequence[str], name: str, encodings: Sequence[str] = ("UTF-8", "windows-1252", "ISO-8859-1")) -> DataFrame:
-    """String columns of a CSV file: rows without a name go, one row a name, numbered by name.
+    """String columns of a CSV file: rows without a name go, the first row of a name stays, in the
+    order of files and their lines; rows are numbered by name.
 
     The first encoding without replacement characters is taken.
     """
@@ -71,15 +77,15 @@ def read_csv_typed(spark: SparkSession, path: str, columns: Sequence[str], name:
         df = spark.read.csv(path, header=True, schema=schema, encoding=e, multiLine=True, escape='"')
         if not df.where(F.concat_ws("", *columns).contains("�")).limit(1).count():
             break
-    df = df.where(F.trim(name) != "")
-    one = df.groupBy(name).agg(F.min(F.struct(*columns)).alias("r")).select("r.*")
+    df = df.select("*", file_order().alias("_at")).where(F.trim(name) != "")
+    one = df.groupBy(name).agg(F.min_by(F.struct(*columns), "_at").alias("r")).select("r.*")
     return one.withColumn("row_id", F.row_number().over(W.orderBy(name)))  # a catalogue of names
 
 
 def read_headerless_csv(spark: SparkSession, path: str) -> DataFrame:
-    """(key, value) of a two-column file; blank keys go, the first value in order is kept."""
-    df = spark.read.csv(path, header=False, schema="key string, value string")
-    return df.where(F.trim("key") != "").groupBy("key").agg(F.min("value").alias("value"))
+    """(key, value) of a two-column file; blank keys go, the first row of a key stays."""
+    df = spark.read.csv(path, header=False, schema="key string, value string").select("*", file_order().alias("_at"))
+    return df.where(F.trim("key") != "").groupBy("key").agg(F.min_by("value", "_at").alias("value"))
 
 
 def scan_labelled_tree(spark: SparkSession, path: str, extensions: Sequence[str] = tuple(MIME_TYPES), max_labels: int | None = None, max_files: int | None = None) -> DataFrame:
@@ -115,6 +121,13 @@ def provenance(data: DataFrame) -> DataFrame:
     return data.withColumn("template_source", F.when(has, "prediction").when(F.col("template_original").isNotNull(), "original").otherwise("none")).withColumn("template_final", F.when(has, F.col("pred_template")).otherwise(F.col("template_original")))
 
 
+def provenance_strict(data: DataFrame, none: str = "NO_TEMPLATE") -> DataFrame:
+    """Final label and where it comes from, by the prediction alone: one that is missing or ``none``
+    is no template."""
+    label = F.coalesce("pred_template", F.lit(none))
+    return data.withColumn("template_final", label).withColumn("template_source", F.when(label != none, "closed_set_assignment").otherwise("closed_set_no_template"))
+
+
 def parse_response(c: Column | str, labels: Sequence[str], first_year: int = 1990, last_year: int = 2026) -> dict[str, Column]:
     """Fields of a model's answer: fences are stripped, the outermost object parsed, years outside
     the range dropped, and labels that are not known are invalid."""

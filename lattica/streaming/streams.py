@@ -2,22 +2,35 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.neighbors import assign_open_set, top2
+from ..operators.relational import last_per_key
 
 
-def drained(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
-    """Runs an aggregating stream until its input is used up: the last update of every key."""
+def _batch_writer(path: str, change: Callable[[DataFrame, int], DataFrame]) -> Callable[[DataFrame, int], None]:
+    """Writes each micro-batch to a folder of its number, so that a batch that is tried again
+    replaces what its first try left."""
 
     def batch(df: DataFrame, number: int) -> None:
-        df.withColumn("_batch", F.lit(number).cast("long")).write.mode("append").parquet(path)
+        change(df, number).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    return batch
 
-    q = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).outputMode("update").trigger(availableNow=True).start()
+
+def _run(stream: DataFrame, path: str, checkpoint: str, change: Callable[[DataFrame, int], DataFrame], mode: str = "append") -> None:
+    q = stream.writeStream.foreachBatch(_batch_writer(path, change)).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+
+
+def drained(stream: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataFrame:
+    """Runs an aggregating stream until its input is used up: the last update of every key."""
+    _run(stream, path, checkpoint, lambda df, number: df, "update")
     rest = [c for c in stream.columns if c not in keys]
-    last = stream.sparkSession.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r"))
+    last = stream.sparkSession.read.parquet(path).groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_r"))
     return last.select(*keys, *(F.col(f"_r.{c}").alias(c) for c in rest))
 
 
@@ -28,20 +41,33 @@ def stream_volume(events: DataFrame, time: str, key: str, window: str = "1 day",
 
 
 def stream_assign(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, tau: float, delta: float, path: str, checkpoint: str) -> DataFrame:
-    """Each micro-batch assigned to static centroids; the assignments are appended."""
-
-    def batch(df: DataFrame, _: int) -> None:
-        assign_open_set(top2(df, centroids, key, vector, label), tau, delta).write.mode("append").parquet(path)
-
-    q = vectors.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return vectors.sparkSession.read.parquet(path)
+    """Each micro-batch assigned to static centroids."""
+    _run(vectors, path, checkpoint, lambda df, number: assign_open_set(top2(df, centroids, key, vector, label), tau, delta))
+    return vectors.sparkSession.read.parquet(path).drop("batch")
 
 
 def stream_upsert(spark: SparkSession, changes: DataFrame, key: str, sequence: str, path: str, checkpoint: str) -> DataFrame:
-    """Changes appended batch by batch; the table is the last change of every key."""
-    from ..operators.relational import last_per_key
-
-    q = changes.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return last_per_key(spark.read.schema(changes.schema).parquet(path), key, sequence)
+    """Each micro-batch upserted into the table: the last change of every key, by ``sequence``.
+
+    A batch reads the table as the batch before it left it (the newest folder with a lower number)
+    and writes its own folder, so a batch that is tried again gives the same table; readers take the
+    newest folder.
+    """
+
+    def merged(df: DataFrame, number: int) -> DataFrame:
+        table = _newest(spark, path, changes, number)
+        return last_per_key(df if table is None else table.unionByName(df), key, sequence)
+
+    _run(changes, path, checkpoint, merged)
+    table = _newest(spark, path, changes, None)
+    return spark.createDataFrame([], changes.schema) if table is None else table
+
+
+def _newest(spark: SparkSession, path: str, like: DataFrame, before: int | None) -> DataFrame | None:
+    """The folder of the last batch (before one), or None."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(folder)] if fs.exists(folder) else []
+    numbers = [int(x.removeprefix("batch=")) for x in names if x.startswith("batch=")]
+    numbers = [x for x in numbers if before is None or x < before]
+    return spark.read.schema(like.schema).parquet(f"{path}/batch={max(numbers)}") if numbers else None
