@@ -206,6 +206,17 @@ def cluster_naming(profiles: DataFrame, names: Sequence[str], manual: str = "")
     return profiles.select("cluster").join(chosen, "cluster", "left").select("cluster", F.coalesce("name", F.concat(F.lit("cluster_"), F.col("cluster").cast("string"))).alias("name"))
 
 
+def representatives(rows: DataFrame, key: str, size: str, n: int) -> DataFrame:
+    """The n rows of every cluster that are near its mean of ``v`` and large: the rank by distance
+    and 0.65 times the rank by size, both dense, are added; (cluster, key, place)."""
+    c = rows.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
+    apart = F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y))
+    x = rows.join(F.broadcast(c), "cluster").withColumn("d", F.round(apart, 9))  # one row a cluster
+    w = W.partitionBy("cluster")
+    x = x.withColumn("r", F.dense_rank().over(w.orderBy("d")) + 0.65 * F.dense_rank().over(w.orderBy(F.desc(size))))
+    return x.withColumn("place", F.row_number().over(w.orderBy("r", key))).where(F.col("place") <= n).select("cluster", key, "place")
+
+
 def davies_bouldin(rows: DataFrame, vector: str) -> DataFrame:
     """Davies and Bouldin's index of ``cluster`` over vectors; clusters' pairs only are joined."""
     long = rows.select("cluster", F.posexplode(vector).alias("i", "x"))

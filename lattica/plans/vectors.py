@@ -413,11 +413,7 @@ def cluster_robustness(spark, d):
 def representative_template(spark, d):
     z = _clustered(spark, d, cl.kmeans).withColumn("v", F.array(*FEATURES)).select("template_key", "cluster", "v")
     n = pop.prepare_posts(posts(spark, d)).groupBy("template_key").agg(F.count("*").alias("posts"))
-    c = z.select("cluster", F.posexplode("v").alias("i", "x")).groupBy("cluster", "i").agg(F.avg("x").alias("m")).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda s: s["m"]).alias("c"))
-    x = z.join(F.broadcast(c), "cluster").join(n, "template_key").withColumn("d", F.round(F.sqrt(F.aggregate(F.zip_with("v", "c", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, y: s + y)), 9))
-    w = W.partitionBy("cluster")
-    x = x.withColumn("r", F.dense_rank().over(w.orderBy("d")) + 0.65 * F.dense_rank().over(w.orderBy(F.desc("posts"))))
-    return x.withColumn("place", F.row_number().over(w.orderBy("r", "template_key"))).where("place <= 3").select("cluster", "template_key", "place")
+    return cl.representatives(z.join(n, "template_key"), "template_key", "posts", 3)
 
 
 def _matrix(spark, d):
@@ -458,7 +454,15 @@ def pca_reduce(spark, d):
     return cl.pca_reduce(vectors(spark, d), "v", 8).select("key", F.transform("reduced", lambda x: F.round(F.abs(x), 4)).alias("reduced"))
 
 
-@query("refine_clusters")
+def _refined_sql(steps: int) -> str:
+    out = f"{VECTORS}, a0 AS (SELECT key, v, template AS c FROM vectors)"
+    for i in range(steps):
+        out += f""", m{i} AS (SELECT c, i, avg(x) AS m FROM (SELECT c, unnest(range(1, 65)) AS i, unnest(v) AS x FROM a{i}) GROUP BY 1, 2), q{i} AS (SELECT c, list(m ORDER BY i) AS q FROM m{i} GROUP BY 1),
+    n{i} AS (SELECT c, list_transform(q, lambda x: x / greatest(sqrt({_DOT.format(a='q', b='q')}), 1e-12)) AS q FROM q{i}), s{i} AS (SELECT key, v, n{i}.c AS c, row_number() OVER (PARTITION BY key ORDER BY {_DOT.format(a='v', b='q')} DESC, n{i}.c) AS r FROM a{i}, n{i}), a{i + 1} AS (SELECT key, v, c FROM s{i} WHERE r = 1)"""
+    return out
+
+
+@query("refine_clusters", f"WITH {_refined_sql(2)} SELECT key, c AS cluster FROM a2")
 def refine_clusters(spark, d):
     return cl.refine_clusters(vectors(spark, d).select("key", "v", F.col("template").alias("cluster")), 2).select("key", "cluster")
 

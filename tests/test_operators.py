@@ -1,6 +1,8 @@
 """Edge cases on small tables."""
 
 import datetime as dt
+import difflib
+import itertools
 import math
 
 import numpy as np
@@ -9,7 +11,9 @@ from pyspark.sql import functions as F
 
 from lattica.functions import scalars as sc
 from lattica.operators import affect, cluster, neighbors, popularity, relational, statistics
+from lattica.plans.registry import QUERIES
 from lattica.sources import ingest
+from lattica.streaming import streams
 
 
 def test_dominant_takes_the_first_label_on_ties_and_skips_nulls(spark):
@@ -49,14 +53,212 @@ def test_split_covers_rows_once_and_every_class(spark):
     assert len(rows) == 200 and {r.label for r in rows if r.split == "test"} == set(range(7))
 
 
-def test_banded_radius_join_is_exact(spark):
-    values = [(i, (i * 0x9E3779B97F4A7C15) % 2**64 - 2**63) for i in range(40)] + [(100 + i, 3 ^ (1 << i)) for i in range(12)]
+@pytest.mark.parametrize("bands", [None, 9, 5, 3])
+def test_banded_radius_join_is_exact(spark, bands):
+    values = [(i, (i * 0x9E3779B97F4A7C15) % 2**64 - 2**63) for i in range(40)] + [(100 + i, 3 ^ (1 << i)) for i in range(12)] + [(200, -1), (201, -1 ^ 255)]
     df = spark.createDataFrame(values, "key long, hash long")
-    got = {(r.a, r.b) for r in neighbors.radius_join_hamming(df, df, 8).collect()}
-    want = {(a, b) for a, x in values for b, y in values if bin((x ^ y) & (2**64 - 1)).count("1") <= 8}
+    r = 8 if bands != 5 else 4
+    got = {(x.a, x.b) for x in neighbors.radius_join_hamming(df, df, r, bands=bands).collect()}
+    want = {(a, b) for a, x in values for b, y in values if bin((x ^ y) & (2**64 - 1)).count("1") <= r}
     assert got == want
 
 
+def test_more_rows_make_for_wider_bands():
+    assert neighbors._bands(8, 64, 100) == 9 and neighbors._bands(8, 64, 10**7) < neighbors._bands(8, 64, 10**4) < 9
+    assert len(neighbors._flips(10, 2)) == 1 + 10 + 45
+
+
+def test_euclidean_radius_join_is_exact(spark):
+    """Unit vectors, which one cell could hold, in blocks of 16, and some far away."""
+    g = np.random.default_rng(3)
+    v = g.normal(size=(120, 6))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    v = np.concatenate((v, v[:30] * 5, v[:10]))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None), (None, [0.0] * 6)], "key long, v array<double>")
+    got = {(x.a, x.b): x.distance for x in neighbors.radius_join_euclid(df, df, 0.7, block=16).where("a < b").collect()}
+    d = np.linalg.norm(v[:, None] - v[None], axis=2)
+    assert set(got) == {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if d[a, b] <= 0.7}
+    assert all(got[x] == pytest.approx(d[x], abs=1e-9) for x in got)
+
+
+@pytest.mark.parametrize("limit", [100, 2])
+def test_two_nearest_centroids(spark, monkeypatch, limit):
+    """As a matrix in every task and, beyond the limit, in blocks."""
+    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", limit)
+    g = np.random.default_rng(4)
+    v, c = g.normal(size=(50, 5)), g.normal(size=(7, 5))
+    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "key long, v array<double>")
+    refs = spark.createDataFrame([(f"l{i}", x.tolist()) for i, x in enumerate(c)], "label string, centroid array<double>")
+    got = {x.key: x for x in neighbors.top2(q, refs, "key", "v", "label").collect()}
+    for i, s in enumerate(v @ c.T):
+        o = np.argsort(-s)
+        assert got[i].best_label == f"l{o[0]}" and (got[i].best_score, got[i].second_score) == pytest.approx((s[o[0]], s[o[1]]))
+    assert got[99].best_label is None and got[99].best_score is None and got[99].margin is None
+    assert neighbors.top2(q, refs.where("label = 'l1'"), "key", "v", "label").where("second_score is null").count() == 51
+    assert neighbors.top2(q, refs.where("false"), "key", "v", "label").count() == 0
+
+
+def test_silhouette_is_that_of_all_pairs(spark):
+    g = np.random.default_rng(5)
+    v, c = g.normal(size=(60, 3)), g.integers(0, 4, 60)
+    c[0] = 9  # a cluster of one row
+    df = spark.createDataFrame([(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, c))], "key long, v array<double>, cluster int")
+    d = np.linalg.norm(v[:, None] - v[None], axis=2)
+    s = []
+    for i in range(60):
+        mean = {k: d[i, (c == k) & (np.arange(60) != i)].mean() for k in set(c.tolist()) if ((c == k) & (np.arange(60) != i)).any()}
+        near = min(x for k, x in mean.items() if k != c[i])
+        s.append((near - mean[c[i]]) / max(near, mean[c[i]]) if c[i] in mean else 0.0)
+    assert cluster.silhouette(df, "key", "v", block=20).first()[0] == pytest.approx(np.mean(s))
+
+
+def _same_groups(got, want):
+    pairs = set(zip(got, want))
+    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+
+
+def test_clusterings_find_separate_groups(spark):
+    g = np.random.default_rng(6)
+    rows = [(i, (np.eye(3)[i % 3] * 20 + g.normal(size=3)).tolist()) for i in range(90)]
+    df = cluster.vectorised(spark.createDataFrame(rows, "key long, v array<double>"), "v")
+    for method in (cluster.kmeans, cluster.gmm, cluster.bisecting):
+        got = method(df, 3).orderBy("key").collect()
+        assert len(got) == 90 and _same_groups([x.cluster for x in got], [i % 3 for i in range(90)])
+    named = cluster.relabelled(cluster.kmeans(df, 3), F.min("key")).collect()
+    assert {(x.key % 3, x.cluster) for x in named} == {(0, 0), (1, 1), (2, 2)}
+
+
+def test_warped_clusters(spark):
+    """The cost is that of the plain recursion, and shifted peaks fall together."""
+    g = np.random.default_rng(7)
+    for _ in range(20):
+        a, b = g.normal(size=g.integers(1, 9)), g.normal(size=g.integers(1, 9))
+        c = np.full((len(a) + 1, len(b) + 1), np.inf)
+        c[0, 0] = 0
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                c[i + 1, j + 1] = (x - y) ** 2 + min(c[i, j], c[i, j + 1], c[i + 1, j])
+        cost, path = cluster._dtw(a, b)
+        assert cost == pytest.approx(c[-1, -1]) and sum((a[i] - b[j]) ** 2 for i, j in path) == pytest.approx(cost)
+    shapes = [np.eye(20)[3 + i % 5] * 9 if i % 2 else np.where(np.arange(20) > 4 + i % 5, 9.0, 0.0) for i in range(24)]
+    curves = spark.createDataFrame([(f"t{i:02}", x.tolist()) for i, x in enumerate(shapes)], "template_key string, curve array<double>")
+    got = cluster.dtw_kmeans(curves, 2, starts=4).orderBy("template_key").collect()
+    assert len(got) == 24 and _same_groups([x.cluster for x in got], [i % 2 for i in range(24)])
+    assert cluster.dtw_kmeans(curves.where("false"), 2, starts=2).count() == 0
+
+
+def test_names_of_clusters(spark):
+    g = np.random.default_rng(8)
+    names = ["evergreen", "bursty", "faded"]
+    for n in (2, 3, 5):
+        s = g.normal(size=(n, 3))
+        profiles = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(s)], "cluster int, score_evergreen double, score_bursty double, score_faded double")
+        got = {x.cluster: x["name"] for x in cluster.cluster_naming(profiles, names).collect()}
+        k = min(n, 3)
+        best = max((sum(s[c, m] for c, m in zip(cs, ms)), dict(zip(cs, ms))) for cs in itertools.combinations(range(n), k) for ms in itertools.permutations(range(3), k))[1]
+        assert got == {i: names[best[i]] if i in best else f"cluster_{i}" for i in range(n)}
+    manual = cluster.cluster_naming(profiles, names, "0 = Bursty, 3=faded").collect()
+    assert {x.cluster: x["name"] for x in manual} == {0: "bursty", 1: "cluster_1", 2: "cluster_2", 3: "faded", 4: "cluster_4"}
+    with pytest.raises(ValueError):
+        cluster.manual_names("1=other", names)
+
+
+def test_profiles_and_representatives(spark):
+    g = np.random.default_rng(9)
+    rows = [(f"t{i:02}", i % 3, g.normal(size=2).round(1).tolist(), int(g.integers(1, 6))) for i in range(40)]
+    df = spark.createDataFrame(rows, "template_key string, cluster int, v array<double>, posts long")
+    flat = df.select("cluster", F.col("v")[0].alias("x"), F.col("v")[1].alias("y"))
+    p = {r.cluster: r for r in cluster.cluster_profiles(flat, ["x", "y"], {"up": {"x": 2.0, "y": -1.0, "z": 5.0}}).collect()}
+    got = {(r.cluster, r.place): r.template_key for r in cluster.representatives(df, "template_key", "posts", 3).collect()}
+    for k in range(3):
+        own = [r for r in rows if r[1] == k]
+        m = np.mean([r[2] for r in own], axis=0)
+        assert (p[k].size, p[k].x, p[k].score_up) == (len(own), pytest.approx(m[0]), pytest.approx(2 * m[0] - m[1]))
+        d = [round(float(np.linalg.norm(np.array(r[2]) - m)), 9) for r in own]
+        far, large = sorted(set(d)), sorted({r[3] for r in own}, reverse=True)
+        order = sorted((1 + far.index(x) + 0.65 * (1 + large.index(r[3])), r[0]) for x, r in zip(d, own))
+        assert [got[k, i] for i in (1, 2, 3)] == [name for _, name in order[:3]]
+
+
+def test_reduction_is_that_of_the_singular_vectors(spark):
+    g = np.random.default_rng(10)
+    v = g.normal(size=(50, 6)) * [5, 3, 2, 1, 0.5, 0.1] + 7
+    out = cluster.pca_reduce(spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, v array<double>"), "v", 3).collect()
+    centred = v - v.mean(axis=0)
+    p = centred @ np.linalg.svd(centred)[2][:3].T
+    p /= np.linalg.norm(p, axis=1, keepdims=True)
+    assert all(np.abs(x.reduced) == pytest.approx(np.abs(p[x.key]), abs=1e-6) for x in out)
+
+
+def test_names_match_by_sequence(spark):
+    """All pairs with three characters in a row in common, by the plain ratio."""
+    g = np.random.default_rng(11)
+    words = ["drake", "darke", "hotline", "hot", "line", "distracted", "boyfriend", "boy"]
+    names = sorted({" ".join(g.choice(words, g.integers(1, 4))) for _ in range(25)})
+    q, c = names[::2], names[1::2]
+    queries = spark.createDataFrame([(x,) for x in q], "name string")
+    candidates = spark.createDataFrame(list(enumerate(c)), "row_id long, name string")
+    got = {(x.query, x["rank"]): (x.row_id, x.score) for x in neighbors.fuzzy_match_topk(queries, candidates, 2, True).collect()}
+
+    def grams(x):
+        x = f"  {x} "
+        return {x[i : i + 3] for i in range(len(x) - 2)}
+
+    def score(a, b):
+        x, y = set(a.split()), set(b.split())
+        held = min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else 0
+        return round(100 * max(len(x & y) / len(x | y), held, difflib.SequenceMatcher(None, a, b).ratio()), 4)
+
+    for a in q:
+        best = sorted(((-score(a, b), -i) for i, b in enumerate(c) if grams(a) & grams(b)))[:2]
+        assert [got.get((a, n)) for n in (1, 2)] == [(-i, -s) for s, i in best] + [None] * (2 - len(best))
+
+
+def test_a_batch_tried_again_replaces_its_output(spark, tmp_path):
+    df = spark.range(5).select(F.col("id").alias("key"), F.col("id").alias("seq"))
+    write = streams._batch_writer(str(tmp_path / "w"), lambda x, number: x)
+    for number in (0, 1, 1, 0):
+        write(df.withColumn("n", F.lit(number)), number)
+    assert spark.read.parquet(str(tmp_path / "w")).count() == 10
+    source = str(tmp_path / "s")
+    for lo in (0, 3):
+        df.where(F.col("key") >= lo).withColumn("seq", F.col("seq") + lo).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("key long, seq long").option("maxFilesPerTrigger", 1).parquet(source)
+    for _ in range(2):  # the second run starts with a new checkpoint, so every batch is tried again
+        t = streams.stream_upsert(spark, stream, "key", "seq", str(tmp_path / "t"), str(tmp_path / f"c{_}"))
+        assert sorted(map(tuple, t.collect())) == [(0, 0), (1, 1), (2, 2), (3, 6), (4, 7)]
+
+
+def test_first_row_of_a_name_stays(spark, tmp_path):
+    (tmp_path / "b.csv").write_text("n,v\nx,1\ny,2\n")
+    (tmp_path / "a.csv").write_text("n,v\nx,9\n,3\nx,0\nz,4\n")
+    got = ingest.read_csv_typed(spark, str(tmp_path), ["n", "v"], "n").orderBy("row_id").collect()
+    assert [(r.n, r.v, r.row_id) for r in got] == [("x", "9", 1), ("y", "2", 2), ("z", "4", 3)]
+
+
+@pytest.mark.parametrize("name", ["batch_assign_pipeline", "multinomial_logreg", "temporal_clusters", "kmeans_curves", "cluster_robustness"])
+def test_queries_without_sql(spark, name):
+    d = "/root/testdata/sf0.001"
+    rows = QUERIES[name](spark, d).collect()
+    if name == "batch_assign_pipeline":
+        keys = {r.vec_id for r in spark.read.parquet(f"{d}/embeddings.parquet").collect()}
+        assert {r.key for r in rows} == keys and len(rows) == len(keys)
+        new = [r for r in rows if r.source == "prediction"]
+        assert {r.key for r in new} == {k for k in keys if k % 5 == 0}
+        assert all(r.accepted == (r.best_score >= 0.25 and (r.margin is None or r.margin >= 0.02)) or abs(r.best_score - 0.25) < 1e-3 or abs(r.margin - 0.02) < 1e-3 for r in new)
+        assert all(r.label == -1 for r in new if not r.accepted) and all(-1.001 <= r.a_best_score <= 1.001 for r in new)
+    elif name == "multinomial_logreg":
+        assert all(0.25 <= r.confidence <= 1 for r in rows) and sum(r.predicted == r["class"] for r in rows) > 0.6 * len(rows)
+    elif name == "temporal_clusters":
+        first = [min(r.month for r in rows if r.cluster == k) for k in sorted({r.cluster for r in rows})]
+        assert first == sorted(first) and len({r.month for r in rows}) == len(rows)
+    elif name == "kmeans_curves":
+        assert len({r.template_key for r in rows}) == len(rows) and {r.cluster for r in rows} == set(range(4))
+    else:
+        sizes = {k: sum(r["size"] for r in rows if r.k == k) for k in (3, 4, 5)}
+        assert len(set(sizes.values())) == 1 and all(abs(sum(r["size"] * r.active_ratio for r in rows if r.k == k)) < 1e-2 * sizes[k] for k in sizes)
+
+
 def test_jensen_shannon_is_one_for_disjoint_distributions(spark):
     df = spark.createDataFrame([("x", "p", 1), ("y", "q", 3), ("z", "p", 2)], "g string, c string, n int")
     got = {(r.a, r.b): r.distance for r in affect.jensen_shannon(df, "g", "c", "n", 2.0).collect()}
