@@ -9,7 +9,9 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -64,36 +66,106 @@ def value_ranks(rows: DataFrame, value: str) -> DataFrame:
     return parts.join(F.broadcast(offsets), "part").select(value, "c", (F.col("offset") + F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
 
 
+def _pair_sums(labels: list, sizes: np.ndarray):
+    """Rows (part, group, value, n) sorted by value: for every two groups, what this partition adds to
+    the pairs of rows, ties and distances of distribution functions; and its rows by group (b null)."""
+    g, index = len(labels), {x: i for i, x in enumerate(labels)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, u, squares, cubes = np.zeros(g), np.zeros((g, g)), np.zeros((g, g)), np.zeros(g)
+        hi, lo = np.full((g, g), -np.inf), np.full((g, g), np.inf)
+        held, part = None, None
+
+        def add(value, at, n) -> None:
+            nonlocal below, u, squares, cubes
+            number = np.cumsum(np.concatenate(([0], (value[1:] != value[:-1]).astype(int))))
+            step = max(1, 1_000_000 // g)
+            for lo_at in range(0, int(number[-1]) + 1, step):
+                own = (number >= lo_at) & (number < lo_at + step)
+                c = np.zeros((min(step, int(number[-1]) + 1 - lo_at), g))
+                np.add.at(c, (number[own] - lo_at, at[own]), n[own])
+                upto = below + np.cumsum(c, axis=0)
+                u += c.T @ (upto - c / 2)
+                squares += (c * c).T @ c
+                cubes += (c**3).sum(axis=0)
+                share = upto / sizes
+                for i in range(g):
+                    d = share[:, [i]] - share
+                    np.maximum(hi[i], d.max(axis=0), out=hi[i])
+                    np.minimum(lo[i], d.min(axis=0), out=lo[i])
+                below = upto[-1]
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            part = b.column("part")[0].as_py()
+            rows = [b.column("value").to_numpy(zero_copy_only=False), np.array([index[x] for x in b.column("label").to_pylist()]), b.column("n").to_numpy().astype(float)]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1]))  # the last value may go on
+            if cut:
+                add(*(x[:cut] for x in rows))
+            held = [x[cut:] for x in rows]
+        if held is not None:
+            add(*held)
+        if part is not None:
+            a, b = np.triu_indices(g, 1)
+            none = np.full(g, np.nan)
+            ties = cubes[a] + cubes[b] + 3 * squares[a, b] + 3 * squares[b, a]
+            cols = {"a": np.concatenate((a, np.arange(g))), "u": np.concatenate((u[a, b], below)), "ties": np.concatenate((ties, none)), "hi": np.concatenate((hi[a, b], none)), "lo": np.concatenate((lo[a, b], none))}
+            other = pa.array([*b.tolist(), *[None] * g], pa.int32())
+            yield pa.record_batch([pa.array([part] * len(other), pa.int32()), pa.array(cols["a"], pa.int32()), other, *(pa.array(cols[x], pa.float64()) for x in ("u", "ties", "hi", "lo"))], names=["part", "a", "b", "u", "ties", "hi", "lo"])
+
+    return run
+
+
 def _group_pairs(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Each row once for every pair of groups that its group is part of."""
-    names = rows.select(group).distinct()
-    pairs = names.select(F.col(group).alias("a")).crossJoin(names.select(F.col(group).alias("b"))).where("a < b")
-    of = pairs.select("a", "b", F.explode(F.array("a", "b")).alias(group))
-    return rows.select(group, F.col(value).alias("v")).join(of, group)
+    """For every two groups (a before b): na, nb, u (pairs of rows in which a's is larger, ties half),
+    ties (sum of the cubes of equal values' counts) and d, the largest distance of their distribution
+    functions.
+
+    Rows are counted by group and value and range-partitioned by value once for all pairs; a partition
+    gives a few numbers a pair, and what lies below it comes from the partitions' sizes.
+    """
+    spark = rows.sparkSession
+    x = rows.select(F.col(group).alias("label"), F.col(value).cast("double").alias("value")).where("label is not null and value is not null")
+    sizes = x.groupBy("label").agg(F.count("*").alias("size")).orderBy("label").collect()  # one row a group
+    cells = x.groupBy("label", "value").agg(F.count("*").alias("n")).repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
+    run = _pair_sums([r.label for r in sizes], np.array([r["size"] for r in sizes], float))
+    parts = cells.select("part", "label", "value", "n").mapInArrow(run, "part int, a int, b int, u double, ties double, hi double, lo double")
+    from .cluster import checkpointed
+
+    parts = checkpointed(parts)
+    inside = parts.where("b is null").select("part", "a", F.col("u").alias("n"))
+    inside = inside.withColumn("before", F.sum("n").over(W.partitionBy("a").orderBy("part")) - F.col("n"))
+
+    def side(name: str) -> DataFrame:
+        return inside.select("part", F.col("a").alias(name), F.col("n").alias(f"n{name}"), F.col("before").alias(f"before_{name}"))
+
+    names = spark.createDataFrame([(i, r.label, r["size"]) for i, r in enumerate(sizes)], f"i int, label {x.schema['label'].dataType.simpleString()}, size long")
+    named = [names.select(F.col("i").alias(c), F.col("label").alias(f"label_{c}"), F.col("size").alias(f"size_{c}")) for c in "ab"]
+    p = parts.where("b is not null").join(side("a"), ["part", "a"]).join(side("b"), ["part", "b"]).join(F.broadcast(named[0]), "a").join(F.broadcast(named[1]), "b")
+    apart = F.col("before_a") / F.col("size_a") - F.col("before_b") / F.col("size_b")
+    d = F.greatest(F.abs(apart + F.col("hi")), F.abs(apart + F.col("lo")))
+    u = F.sum(F.col("u") + F.col("na") * F.col("before_b"))
+    return p.groupBy(F.col("label_a").alias("a"), F.col("label_b").alias("b")).agg(F.first("size_a").alias("na"), F.first("size_b").alias("nb"), u.alias("u"), F.sum("ties").alias("ties"), F.max(d).alias("d"))
 
 
 def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
     """U of the first group for every pair of groups, its effect size, and z with the corrections
-    for ties and continuity."""
-    x = _group_pairs(rows, group, value).withColumn("r", mid_rank("v", "a", "b"))
-    x = x.withColumn("tie", F.pow(F.count("*").over(W.partitionBy("a", "b", "v")), F.lit(2)) - 1)
-    first = F.col(group) == F.col("a")
-    s = x.groupBy("a", "b").agg(F.sum(F.when(first, F.col("r"))).alias("ra"), F.count_if(first).alias("na"), F.count_if(~first).alias("nb"), F.sum("tie").alias("t"))
+    for ties and continuity.  Rows without a group or value take no part."""
+    s = _group_pairs(rows, group, value)
     na, nb = F.col("na"), F.col("nb")
     n = na + nb
-    s = s.withColumn("u", F.col("ra") - na * (na + 1) / 2).withColumn("rank_biserial", 2 * F.col("u") / (na * nb) - 1)
-    sd = F.sqrt(na * nb / 12.0 * (n + 1 - F.col("t") / (n * (n - 1))))
-    return s.withColumn("z", F.greatest(F.abs(F.col("u") - na * nb / 2.0) - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0))).drop("ra", "t")
+    s = s.withColumn("rank_biserial", 2 * F.col("u") / (na * nb) - 1)
+    sd = F.sqrt(na * nb / 12.0 * (n + 1 - (F.col("ties") - n) / (n * (n - 1))))
+    z = F.greatest(F.abs(F.col("u") - na * nb / 2.0) - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0))
+    return s.select("a", "b", "na", "nb", "u", "rank_biserial", z.alias("z"))
 
 
 def ks_two_sample(rows: DataFrame, group: str, value: str) -> DataFrame:
     """Largest distance of the two distribution functions for every pair of groups."""
-    x = _group_pairs(rows, group, value)
-    first = F.col(group) == F.col("a")
-    c = x.groupBy("a", "b", "v").agg(F.count_if(first).alias("ca"), F.count_if(~first).alias("cb"))
-    w, every = W.partitionBy("a", "b").orderBy("v"), W.partitionBy("a", "b")
-    f = c.select("a", "b", (F.sum("ca").over(w) / F.sum("ca").over(every)).alias("fa"), (F.sum("cb").over(w) / F.sum("cb").over(every)).alias("fb"), F.sum("ca").over(every).alias("na"), F.sum("cb").over(every).alias("nb"))
-    return f.groupBy("a", "b").agg(F.max(F.abs(F.col("fa") - F.col("fb"))).alias("d"), F.first("na").alias("na"), F.first("nb").alias("nb"))
+    return _group_pairs(rows, group, value).select("a", "b", "d", "na", "nb")
 
 
 def chi2_contingency(rows: DataFrame, row: str, column: str) -> DataFrame:

@@ -229,6 +229,25 @@ def test_a_batch_tried_again_replaces_its_output(spark, tmp_path):
         assert sorted(map(tuple, t.collect())) == [(0, 0), (1, 1), (2, 2), (3, 6), (4, 7)]
 
 
+def test_rank_tests_of_all_pairs(spark):
+    """U, ties and distances over many range partitions, against counting pairs."""
+    g = np.random.default_rng(12)
+    rows = [(["x", "y", "z", "w"][int(g.integers(0, 4))], float(v)) for v in g.normal(size=300).round(1)] + [("one", 0.3), (None, 1.0), ("x", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    of = {k: np.array([v for h, v in rows if h == k and v is not None]) for k in ("x", "y", "z", "w", "one")}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {(r.a, r.b): r for r in statistics._group_pairs(df, "g", "v").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert set(got) == set(itertools.combinations(sorted(of), 2))
+    for (a, b), r in got.items():
+        x, y = of[a], of[b]
+        both = np.unique(np.concatenate((x, y)), return_counts=True)
+        assert (r.na, r.nb, r.u, r.ties) == (len(x), len(y), (x[:, None] > y).sum() + (x[:, None] == y).sum() / 2, (both[1] ** 3).sum())
+        assert r.d == pytest.approx(max(abs((x <= v).mean() - (y <= v).mean()) for v in both[0]))
+
+
 def test_first_row_of_a_name_stays(spark, tmp_path):
     (tmp_path / "b.csv").write_text("n,v\nx,1\ny,2\n")
     (tmp_path / "a.csv").write_text("n,v\nx,9\n,3\nx,0\nz,4\n")
