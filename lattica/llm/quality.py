@@ -159,6 +159,19 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ma
     return scored(docs, rules, threshold)
 
 
+def accepted(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, max_rows: int = MAX_TRAIN) -> DataFrame:
+    """The rows of docs, with their columns, whose score reaches the threshold.
+
+    Each row is judged by its own text, so a null doc_id and repeated ids are rows like others.  Rows
+    are written with their scores before they are filtered: a filter on the scores would else be
+    pushed into the expression, and the statistics be computed again for every rule.
+    """
+    rules = fit(training_rows(docs, labels, max_rows), list(statistics("text")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *(c.cast("double").alias(k) for k, c in statistics("text").items()))
+    judged = Table(rows.select("_row", (rules.score() >= threshold).alias("_good"))).df
+    return judged.where("_good").select("_row.*")
+
+
 def scored(docs: DataFrame, rules: Rules, threshold: float = 0.3) -> DataFrame:
     """The rules' score of every document, as one Spark expression over its statistics."""
     rows = docs.select(F.col("doc_id").cast("long"), *(c.cast("double").alias(k) for k, c in statistics("text").items()))

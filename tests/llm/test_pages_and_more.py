@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lattica.llm import maxscore, page_diff, pseudonyms, warc
+from lattica.llm import maxscore, mixing, ngram_join, page_diff, pseudonyms, quality, warc
 
 MENU = "<nav><a href='/'>Home</a></nav>"
 PAGES = [
@@ -271,3 +271,38 @@ def test_pipeline(spark):
             assert docs.select("text").distinct().count() == docs.count() == before.select("text").distinct().count()
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, d).collect()
     assert Counter(r.doc_id for r in packed if r.piece == 0) == Counter(r.doc_id for r in docs.collect())
+
+
+def test_pipeline_of_odd_rows(spark, docs, rows, tmp_path):
+    """Nulls, empty texts, ties, repeated rows and clashing columns, stage by stage against plain versions."""
+    schema = "doc_id long, quality int"
+    good = [d for d, t, _ in rows if d is not None and t and "x" * 50 not in t]
+    spark.createDataFrame([(d, int(d in good)) for d, _, _ in rows if d is not None], schema).write.parquet(str(tmp_path / "labels.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    model = quality.fit(quality.training_rows(docs, spark.read.parquet(str(tmp_path / "labels.parquet"))), list(quality.statistics("text")))
+    scores = Counter((r.doc_id, r.predicted) for r in quality.scored(docs, model).collect())
+    first = stages["quality"](spark, docs, str(tmp_path))
+    assert first.columns == docs.columns
+    assert Counter(r.doc_id for r in first.collect()) == Counter({d: n for (d, p), n in scores.items() if p})
+
+    largest = {}
+    for d, t, _ in rows:
+        largest[t or ""] = max(largest.get(t or "", -1), -1 if d is None else d)
+    second = stages["exact_copies"](spark, docs, str(tmp_path))
+    assert second.columns == docs.columns
+    assert Counter((r.doc_id, r.text or "") for r in second.collect()) == Counter((d, t) for t, d in largest.items())
+    nameless = docs.withColumn("doc_id", F.lit(None).cast("long"))
+    assert Counter(r.text or "" for r in stages["exact_copies"](spark, nameless, str(tmp_path)).collect()) == Counter(set(largest))
+
+    component = {r.doc_id: r.component_id for r in ngram_join.ngram_components(docs).collect()}
+    third = stages["near_copies"](spark, docs, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.text) for r in third) == Counter((d, t) for d, t, _ in rows if d is None or component[d] == d)
+
+    taken = {(r.doc_id, r["size"]): r.taken for r in mixing.mix(docs).collect()}
+    fourth = stages["mixture"](spark, docs, str(tmp_path)).collect()
+    n = Counter(r.doc_id for r in fourth)
+    assert all(n[d] == int(t / size + 0.5) for (d, size), t in taken.items() if size and d not in (40, None))
+    pieces = stages["packing"](spark, docs, str(tmp_path)).collect()
+    assert Counter(r.doc_id for r in pieces if r.piece == 0) == Counter(d for d, _, _ in rows)
+    none = docs.where("false")
+    assert all(stage(spark, none, str(tmp_path)).count() == 0 for stage in stages.values())
