@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import defaultdict
@@ -17,7 +18,7 @@ from .common import Table, column, longs, prefix_sums, substring_hashes
 #: Words whose ids a Python worker remembers, in each of two halves.
 REMEMBERED = 300_000
 #: Characters of texts that are split into words at once, about.
-TOGETHER = 1 << 21
+TOGETHER = 1 << 18
 #: Pieces of one length and salt that are ranked in one task, about.
 RANKED_TOGETHER = 50_000
 # Texts of ASCII and Latin-1 letters, which have one lower-case form each and no other normal form,
@@ -64,6 +65,7 @@ class WordTokens:
     """
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a Spark task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -81,8 +83,9 @@ class WordTokens:
     def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of ids of the words, and all their ids."""
         sizes, ids = [], []
-        groups = [words[i : i + 2000] for i in range(0, len(words), 2000)]
-        for group, x in zip(groups, self._ids([" ".join(g) for g in groups])):
+        for at in range(0, len(words), 2000):
+            group = words[at : at + 2000]
+            x = self._ids([" ".join(group)])[0]
             cut = np.flatnonzero(self.ends[x]) + 1
             if len(cut) == len(group):
                 sizes.append(np.diff(cut, prepend=0))
@@ -199,8 +202,8 @@ def _pieces(path: str, capacity: int, end_id: int):
             _workers[path] = WordTokens(path)
         end = np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
                 rows = ([], [], [], [], [])
                 texts = [t or "" for t in part.column("text").to_pylist()]
                 for doc, ids in zip(part.column("doc_id").to_pylist(), _workers[path].encode(texts)):
