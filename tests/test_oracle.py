@@ -1,5 +1,6 @@
 """Registered queries against their SQL on the smallest tables."""
 
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -18,15 +19,29 @@ def con():
     return c
 
 
+@pytest.fixture(scope="session")
+def results(spark, request):
+    """Rows of the chosen queries, a few of which run at a time, as most of their time is planning."""
+
+    def run(name):
+        df = QUERIES[name](spark, DIR)
+        cols = sorted(df.columns)
+        return cols, [tuple(r) for r in df.select(*cols).collect()]
+
+    names = [x.callspec.params["name"] for x in request.session.items if getattr(x, "originalname", "") == "test_query_matches_sql"]
+    pool = ThreadPoolExecutor(4)
+    yield {name: pool.submit(run, name) for name in names}
+    pool.shutdown(cancel_futures=True)
+
+
 def _order(row):
     return tuple((v is None, str(type(v).__name__ if not isinstance(v, (int, float)) else "n"), 0 if v is None else v) for v in row)
 
 
 @pytest.mark.parametrize("name", list(SQL))
-def test_query_matches_sql(spark, con, name):
-    df = QUERIES[name](spark, DIR)
-    cols = sorted(df.columns)
-    got = sorted((tuple(r) for r in df.select(*cols).collect()), key=_order)
+def test_query_matches_sql(results, con, name):
+    cols, got = results[name].result()
+    got = sorted(got, key=_order)
     r = con.sql(SQL[name])
     assert sorted(r.columns) == cols
     at = [r.columns.index(c) for c in cols]
