@@ -115,6 +115,27 @@ SQL = {
                CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
                CASE WHEN page_id <> original THEN original END AS refers_to
         FROM b""",
+    "op10_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS row, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+        b AS (  -- parts of 500 places, as a place is found by counting from its string's start
+            SELECT row, doc_id, k, n, substr(h, CAST(1000 * k + 1 AS BIGINT), 1098) AS part
+            FROM (SELECT row, doc_id, h, len(h) // 2 - 49 AS n, unnest(range(0, CAST(len(h) // 1000 + 1 AS BIGINT))) AS k FROM d WHERE doc_id IS NOT NULL)
+            WHERE n > 500 * k),
+        w AS (
+            SELECT row, doc_id, 500 * k + i AS p, substr(part, CAST(2 * i + 1 AS BIGINT), 100) AS s
+            FROM (SELECT *, unnest(range(0, CAST(least(500, n - 500 * k) AS BIGINT))) AS i FROM b)),
+        f AS (SELECT s, min(doc_id) AS m FROM w GROUP BY 1),
+        g AS (SELECT row, p, p > lag(p, 1, -51) OVER (PARTITION BY row ORDER BY p) + 50 AS head FROM w JOIN f USING (s) WHERE m < doc_id),
+        n AS (SELECT row, p, sum(CAST(head AS INTEGER)) OVER (PARTITION BY row ORDER BY p) AS span FROM g),
+        r AS (SELECT row, span, min(p) AS lo, max(p) + 50 AS hi FROM n GROUP BY 1, 2),
+        k AS (SELECT *, lag(hi, 1, 0) OVER (PARTITION BY row ORDER BY lo) AS upto FROM r),
+        a AS (
+            SELECT row, CAST(sum(hi - lo) AS BIGINT) AS n_removed, count(*) AS n_spans, max(hi) AS last,
+                   string_agg(substr(h, CAST(2 * upto + 1 AS BIGINT), CAST(2 * (lo - upto) AS BIGINT)), '' ORDER BY lo) AS kept
+            FROM k JOIN d USING (row) GROUP BY 1)
+        SELECT doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, CAST(2 * coalesce(last, 0) + 1 AS BIGINT)))) AS kept_sha256
+        FROM d LEFT JOIN a USING (row)""",
     "op8_ngram_join": """
         WITH RECURSIVE t AS (
             SELECT doc_id, regexp_extract_all(
