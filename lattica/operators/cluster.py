@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import itertools
 import math
-import tempfile
-import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -20,20 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, l2_normalise
 from .neighbors import centroids_by_label, radius_join_hamming
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, written to the shared folder that the session names, so that their lineage ends."""
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lattica-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from .relational import checkpointed
 
 
 def vectorised(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:

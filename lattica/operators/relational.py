@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -11,6 +13,31 @@ from pyspark.sql import functions as F
 from ..functions.scalars import CLASS_ORDER
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder that the session names, so that their lineage ends."""
+    spark = df.sparkSession
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="lattica-")
+        spark.conf.set("spark.checkpoint.dir", base)
+    path = f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, name: str, *order: str) -> DataFrame:
+    """Rows numbered from 1 in an order that tells them apart, by range partitions and their offsets.
+
+    The ranged rows are written, so that both readers see the same partitions."""
+    ranged = checkpointed(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    within = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    return ranged.withColumn("_w", within).join(F.broadcast(before), "_part").withColumn(name, F.col("_before") + F.col("_w")).drop("_part", "_w", "_before")
+
+
 def repeated_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 

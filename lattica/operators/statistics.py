@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .affect import jensen_shannon
+from .relational import checkpointed
 
 
 def mid_rank(value: str, *group: str) -> Column:
@@ -58,7 +59,7 @@ def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
 def value_ranks(rows: DataFrame, value: str) -> DataFrame:
     """Mean rank and count of every distinct value, by range partitions and their offsets."""
     n = rows.groupBy(value).agg(F.count("*").alias("c"))
-    parts = n.repartitionByRange(value).withColumn("part", F.spark_partition_id())
+    parts = checkpointed(n.repartitionByRange(value).withColumn("part", F.spark_partition_id()))  # one set of partitions for both readers
     before = F.sum("c").over(W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
     parts = parts.withColumn("before", F.coalesce(before, F.lit(0)))
     totals = parts.groupBy("part").agg(F.sum("c").alias("s"))
@@ -133,8 +134,6 @@ def _group_pairs(rows: DataFrame, group: str, value: str) -> DataFrame:
     cells = x.groupBy("label", "value").agg(F.count("*").alias("n")).repartitionByRange("value").sortWithinPartitions("value").withColumn("part", F.spark_partition_id())
     run = _pair_sums([r.label for r in sizes], np.array([r["size"] for r in sizes], float))
     parts = cells.select("part", "label", "value", "n").mapInArrow(run, "part int, a int, b int, u double, ties double, hi double, lo double")
-    from .cluster import checkpointed
-
     parts = checkpointed(parts)
     inside = parts.where("b is null").select("part", "a", F.col("u").alias("n"))
     inside = inside.withColumn("before", F.sum("n").over(W.partitionBy("a").orderBy("part")) - F.col("n"))

@@ -323,7 +323,7 @@ _FUZZY = f"""{NAMES}, w AS (SELECT row_id, name, unnest(list_distinct(string_spl
 def _names(spark, d):
     p = table(spark, d, "part")
     c = p.select(F.concat_ws(" ", "p_name", "p_type").alias("name")).union(table(spark, d, "nation").select("n_name")).distinct()
-    return p.select(F.col("p_name").alias("name")).distinct(), c.withColumn("row_id", F.row_number().over(W.orderBy("name")).cast("long"))  # names of one catalogue
+    return p.select(F.col("p_name").alias("name")).distinct(), rel.numbered(c, "row_id", "name")
 
 
 @query("fuzzy_match_topk", f"WITH {_FUZZY} SELECT query, row_id, score, rank FROM r WHERE rank <= 3")
@@ -515,7 +515,7 @@ def multinomial_logreg(spark, d):
     SELECT ids.name, k.name AS canonical, k.variants FROM ids JOIN cc USING (id) JOIN k ON k.c = cc.c AND k.r = 1""")
 def label_canonicalise(spark, d):
     names = table(spark, d, "part").select(sc.norm_synonyms("p_name").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    ids = cl.checkpointed(names.withColumn("id", F.row_number().over(W.orderBy("name")).cast("long")))  # names of one catalogue
+    ids = cl.checkpointed(rel.numbered(names, "id", "name"))
     words = ids.select("id", F.explode(F.array_distinct(F.split("name", " "))).alias("w"), F.size(F.array_distinct(F.split("name", " "))).alias("s"))
     common = words.alias("x").join(words.alias("y"), "w").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg((F.count("*") / F.sqrt(F.first("x.s") * F.first("y.s"))).alias("cosine"))
     found = cl.components(ids.select("id"), common.where("cosine >= 0.8").select("a", "b"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import EMOTIONS, SENTIMENTS, col
+from ..operators.relational import numbered
 
 ANNOTATION = "struct<template: string, template_original: string, pred_template: string, template_final: string, template_source: string, global_context_keywords: array<string>, local_context: struct<user_texts: array<string>, text_meaning: string>>"
 # MIME types by file extension.
@@ -79,7 +80,7 @@ def read_csv_typed(spark: SparkSession, path: str, columns: Sequence[str], name:
             break
     df = df.select("*", file_order().alias("_at")).where(F.trim(name) != "")
     one = df.groupBy(name).agg(F.min_by(F.struct(*columns), "_at").alias("r")).select("r.*")
-    return one.withColumn("row_id", F.row_number().over(W.orderBy(name)))  # a catalogue of names
+    return numbered(one, "row_id", name).withColumn("row_id", F.col("row_id").cast("int"))
 
 
 def read_headerless_csv(spark: SparkSession, path: str) -> DataFrame:
