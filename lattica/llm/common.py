@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 
@@ -25,15 +26,28 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+_cleaning: dict[str, tuple[int, str]] = {}  # sessions: queries that clean up now, and the setting before them
+_lock = threading.Lock()
+
+
 @contextlib.contextmanager
 def shuffle_cleanup(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of the queries run inside are removed when each of them ends."""
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
+    """Shuffle files of the queries run inside are removed when each of them ends; queries of one
+    session may do so at the same time."""
+    name = str(spark._jsparkSession.sessionUUID())
+    with _lock:
+        n, before = _cleaning.get(name, (0, spark.conf.get(CLEANUP, "false")))
+        _cleaning[name] = (n + 1, before)
+        spark.conf.set(CLEANUP, "true")
     try:
         yield
     finally:
-        spark.conf.set(CLEANUP, before)
+        with _lock:
+            n, before = _cleaning.pop(name)
+            if n > 1:
+                _cleaning[name] = (n - 1, before)
+            else:
+                spark.conf.set(CLEANUP, before)
 
 
 class Table:

@@ -93,7 +93,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     the r-th slot of a source takes the r-th block of its stream, the last one cut to the target.
     Where a source has a few slots less than its target needs, they follow at the end.
 
-    Null text and texts without words: size 0, nothing is taken.  Null source is a source of its
+    Null text and texts without words: size 0, nothing is taken.  The words of long texts are all
+    counted; a document longer than a block is taken block by block.  Null source is a source of its
     own, last in order.  Null doc_ids and repeated rows are documents like others.  An empty table
     gives an empty result.  Reruns agree, as the order is by hash.
     """
