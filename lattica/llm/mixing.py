@@ -14,7 +14,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 #: Slots of the schedule while blocks have at most MAX_BLOCK words; beyond, slots grow with the input.
 SLOTS, MAX_BLOCK = 131_072, 4096
 #: Documents of a source that are ordered in one task, about.
-ORDERED_TOGETHER = 8192
+ORDERED_TOGETHER = 2048
 #: Sources up to this number are broadcast.
 FEW_SOURCES = 10_000
 GOLDEN = 0.6180339887498949

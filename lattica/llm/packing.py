@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Table, column, longs, prefix_sums, substring_hashes
@@ -20,7 +21,7 @@ REMEMBERED = 300_000
 #: Characters of texts that are split into words at once, about.
 TOGETHER = 1 << 18
 #: Pieces of one length and salt that are ranked in one task, about.
-RANKED_TOGETHER = 50_000
+RANKED_TOGETHER = 2048
 # Texts of ASCII and Latin-1 letters, which have one lower-case form each and no other normal form,
 # and, as bytes of Latin-1, how the tokenizer splits them: runs of letters, single digits, runs of
 # other signs, and the endings of contractions; fixed values of its pattern.
@@ -362,15 +363,14 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
     pieces = Table(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(tokenizer, capacity, end_id), schema)).df
-    total = pieces.count()
-    salted = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(1 + total // RANKED_TOGETHER)))
-    by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     counts = np.zeros(capacity + 1, np.int64)
-    for length, n in by_salt.groupBy("length").agg(F.sum("n")).collect():
+    for length, n in pieces.groupBy("length").agg(F.count("*")).collect():
         counts[length] = n
     plan = spark.sparkContext.broadcast(slots(counts, capacity))
-    from pyspark.sql import Window as W
-
+    # A length of many pieces has many parts; at most ``capacity`` lengths are broadcast.
+    salts = spark.createDataFrame([(i, 1 + n // RANKED_TOGETHER) for i, n in enumerate(counts.tolist()) if n], "length long, salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), "salts")).drop("salts")
+    by_salt = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     offsets = by_salt.select("length", "salt", (F.sum("n").over(W.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     within = F.row_number().over(W.partitionBy("length", "salt").orderBy("doc_id", "piece", "ids_crc32"))
     ranked = salted.withColumn("within", within).join(offsets, ["length", "salt"]).withColumn("rank", F.col("before") + F.col("within") - 1)
