@@ -189,8 +189,8 @@ def test_pseudonyms(spark):
 
 
 def test_pseudonyms_of_every_day(spark):
-    """In a writing the pseudonyms of all days of the cycle are those days, and can be undone; the
-    writings that hold every day are one permutation, of which a tenth of the days is looked at."""
+    """In a writing the pseudonyms of all its days are those days, and can be undone: all days of the
+    shortest writing, and a tenth of those of the others."""
     day = F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int"))
     d, m, y = F.day(day).cast("string"), F.month(day).cast("string"), F.date_format(day, "yyyy")
     dd, mm = F.lpad(d, 2, "0"), F.lpad(m, 2, "0")
@@ -198,10 +198,10 @@ def test_pseudonyms_of_every_day(spark):
         "iso": F.when(F.col("id") % 10 == 0, F.date_format(day, "yyyy-MM-dd")),
         "padded": F.when(F.col("id") % 10 == 0, F.concat_ws("/", dd, mm, y)),
         "short": F.when((F.length(d) == 1) & (F.length(m) == 1), F.concat_ws("/", d, m, y)),
-        "short day": F.when(F.length(d) == 1, F.concat_ws(".", d, mm, y)),
+        "short day": F.when((F.length(d) == 1) & (F.col("id") % 10 == 0), F.concat_ws(".", d, mm, y)),
         "short month": F.when((F.length(m) == 1) & (F.col("id") % 10 == 0), F.concat_ws(".", dd, m, y)),
-        "month first": F.when(F.day(day) > 12, F.concat_ws("/", mm, dd, y)),
-        "short month first": F.when((F.day(day) > 12) & (F.length(m) == 1), F.concat_ws("/", m, dd, y)),
+        "month first": F.when((F.day(day) > 12) & (F.col("id") % 10 == 0), F.concat_ws("/", mm, dd, y)),
+        "short month first": F.when((F.day(day) > 12) & (F.length(m) == 1) & (F.col("id") % 10 == 0), F.concat_ws("/", m, dd, y)),
     }
     days = spark.range(0, 146_097, 1, 8).select("id", F.explode(F.map_from_arrays(F.array(*map(F.lit, writings)), F.array(*writings.values()))).alias("doc", "text")).where("text is not null")
     days = days.select(F.col("id").alias("doc_id"), F.concat("text", F.lit(" was the day")).alias("text"), F.col("doc").alias("writing"))
@@ -216,7 +216,7 @@ def test_pseudonyms_of_every_day(spark):
         seen[r.writing][1].extend(new[r.doc_id].split("\n"))
     assert len(seen) == len(writings)
     for writing, (values, others) in seen.items():
-        assert len(set(others)) == len(others) and (writing in ("iso", "padded", "short month") or sorted(values) == sorted(others))
+        assert len(set(others)) == len(others) and (writing != "short" or sorted(values) == sorted(others))
 
 
 def test_pseudonyms_of_addresses(spark):
