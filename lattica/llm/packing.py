@@ -129,11 +129,16 @@ class WordTokens:
             added = (hashes[rows], np.concatenate(parts_first)[o], np.concatenate(parts_size)[o])
             self.known = (*(np.insert(x, at[rows], y) for x, y in zip((known, first, size), added)), np.concatenate(parts_ids))
 
+    @staticmethod
+    def _split(joined: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The bytes to encode of texts that each end in a line feed, at ``ends``, and starts and ends
+        of their words."""
+        b = _LOWER[joined]
+        return b, *words_of(b)
+
     def _encode_plain(self, texts: list[str]) -> list[bytes]:
-        joined = "\n".join(texts) + "\n"
-        b = _LOWER[np.frombuffer(joined.encode("latin-1"), np.uint8)]
-        start, end = words_of(b)
         edges = np.cumsum([len(t) + 1 for t in texts])
+        b, start, end = self._split(np.frombuffer(("\n".join(texts) + "\n").encode("latin-1"), np.uint8), edges - 1)
         if not len(start):
             return [b""] * len(texts)
         h, index, inverse = np.unique(substring_hashes(prefix_sums(b), start, end), return_index=True, return_inverse=True)
@@ -147,6 +152,18 @@ class WordTokens:
         upto = np.concatenate(([0], np.cumsum(size)))[np.searchsorted(start, edges)]
         return [ids[4 * i : 4 * j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist())]
 
+    @staticmethod
+    def parts(text: str) -> Iterator[str]:
+        """A long text cut at white space, which no word crosses."""
+        at = 0
+        while len(text) - at > TOGETHER:
+            cut = max(text.rfind(x, at, at + TOGETHER) for x in " \n\t")
+            if cut <= at:
+                break
+            yield text[at:cut]
+            at = cut
+        yield text[at:]
+
     @staticmethod
     def _nothing():
         return (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, "<u4"))
@@ -165,7 +182,7 @@ class WordTokens:
             if not ok:
                 out[i].append(self._ids([t])[0].tobytes())
                 continue
-            for part in _parts(t):
+            for part in self.parts(t):
                 group.append((i, part))
                 held += len(part)
                 if held > TOGETHER:
@@ -182,18 +199,6 @@ def _ranges(values: np.ndarray, first: np.ndarray, size: np.ndarray) -> np.ndarr
     return values[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))]
 
 
-def _parts(text: str) -> Iterator[str]:
-    """A long text cut at white space, which no word crosses."""
-    at = 0
-    while len(text) - at > TOGETHER:
-        cut = max(text.rfind(x, at, at + TOGETHER) for x in " \n\t")
-        if cut <= at:
-            break
-        yield text[at:cut]
-        at = cut
-    yield text[at:]
-
-
 _workers: dict[str, WordTokens] = {}
 
 
