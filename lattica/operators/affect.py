@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dominant
+from .ordered import with_medians
 
 EPSILON = 1e-12
 
@@ -98,7 +99,9 @@ def mutual_information(counts: DataFrame) -> DataFrame:
 
 
 def dominant_summary(pairs: DataFrame, label: str, score: str, threshold: float) -> DataFrame:
-    s = pairs.where(F.col(score) >= threshold).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"), F.avg(score).alias("mean_score"), F.median(score).alias("median_score"))
+    kept = pairs.where(F.col(score) >= threshold).select(F.col(label).alias("label"), F.col(score).alias("score"))
+    s = kept.groupBy("label").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+    s = with_medians(s, kept, ["label"], ["score"])
     return s.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
 
 

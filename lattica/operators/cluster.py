@@ -17,7 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, l2_normalise
-from .neighbors import centroids_by_label, radius_join_hamming
+from .hashes import dbscan_hamming  # noqa: F401
+from .neighbors import centroids_by_label
 from .relational import checkpointed
 
 
@@ -299,22 +300,6 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def dbscan_hamming(rows: DataFrame, eps: int = 8, min_samples: int = 5) -> DataFrame:
-    """Density clusters of (key, hash): the smallest core key of the cluster, or -1 for noise.
-
-    Neighbours within ``eps`` bits come from the banded join; a core has ``min_samples`` of them,
-    itself included; a border row joins the neighbouring cluster with the smallest id.
-    """
-    pairs = checkpointed(radius_join_hamming(rows, rows, eps).select("a", "b"))
-    core = checkpointed(pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_samples).select(F.col("a").alias("id")))
-    is_core = core.select(F.col("id").alias("a")), core.select(F.col("id").alias("b"))
-    edges = pairs.join(is_core[0], "a", "left_semi").join(is_core[1], "b", "left_semi").where("a < b")
-    found = components(core, edges)
-    near = pairs.join(found.select(F.col("id").alias("b"), "component"), "b").groupBy("a").agg(F.min("component").alias("near"))
-    out = rows.select("key").join(found.withColumnRenamed("id", "key"), "key", "left").join(near.withColumnRenamed("a", "key"), "key", "left")
-    return out.select("key", F.coalesce("component", "near", F.lit(-1)).alias("cluster"))
-
-
 def majority_hash(rows: DataFrame, bits: int = 64) -> DataFrame:
     """Majority bits of every cluster's hashes, and the member nearest to them (smallest key on ties)."""
     from ..functions.scalars import hamming, pack_bits

@@ -1,10 +1,10 @@
-"""Nearest references, radius joins over hashes and vectors, votes, and fuzzy names."""
+"""Nearest centroids, scores of all references, votes, and fuzzy names.
+
+Searches of vectors are in `cells`, those of bit hashes in `hashes`."""
 
 from __future__ import annotations
 
 import difflib
-import itertools
-import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -14,16 +14,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.scalars import dot, hamming, l2_normalise
+from ..functions.scalars import hamming, l2_normalise
+from .cells import best_of, knn_topk, matrix, radius_join_euclid  # noqa: F401
+from .hashes import hamming_nearest, radius_join_hamming  # noqa: F401
+from .relational import checkpointed, numbered
 
-#: Centroids up to this number are sent to every task as they are; more are searched in blocks.
-BROADCAST_ROWS = 20_000
-#: Rows of a block where each pair of blocks is compared in one task.
-BLOCK = 4096
-#: Probes of one hash at most.
-MAX_PROBES = 2000
-#: Stands for the distance of a null hash, beyond all others.
-_NO_DISTANCE = 65
+#: Centroids up to this number of rows, and of numbers, are sent to every task as they are.
+BROADCAST_ROWS, BROADCAST_NUMBERS = 20_000, 1 << 23
 
 
 def centroids_by_label(rows: DataFrame, label: str, vector: str) -> DataFrame:
@@ -47,212 +44,67 @@ def with_each(rows: DataFrame, references: DataFrame, score: Callable[[], Column
     return every.join(refs, "_b").withColumn("score", score()).drop("_b")
 
 
-def _two_best(labels: np.ndarray, centroids: np.ndarray, null_label):
-    """labels in rising order, so that the first of equal scores has the smallest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            lists = b.column(1)
-            n = b.num_rows
-            first, score, second = np.zeros(n, int), np.full(n, np.nan), np.full(n, np.nan)
-            good = np.flatnonzero(lists.is_valid().to_numpy(zero_copy_only=False))
-            for at in range(0, len(good), 1024):
-                rows = good[at : at + 1024]
-                s = np.stack(lists.take(pa.array(rows)).to_numpy(zero_copy_only=False)).astype(float) @ centroids.T
-                first[rows] = s.argmax(axis=1)
-                score[rows] = s.max(axis=1)
-                if len(labels) > 1:
-                    second[rows] = np.partition(s, -2, axis=1)[:, -2]
-            best = pa.array([labels[i] if ok else None for i, ok in zip(first.tolist(), lists.is_valid().to_pylist())], null_label)
-            cols = [b.column(0), best, *(pa.array(x, pa.float64(), from_pandas=True) for x in (score, second))]
-            yield pa.record_batch(cols, names=["key", "best_label", "best_score", "second_score"])
-
-    return run
-
-
 def top2(queries: DataFrame, centroids: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """Best label (the smallest on ties) and inner product of every query, the second one (null with
-    one label) and the margin; centroids: one row a label with ``centroid``.
-
-    Up to BROADCAST_ROWS centroids go to every task as a matrix, and nothing is shuffled; more are
-    searched in blocks.  A null vector has null scores; without centroids there is no row.
+    """Best label (the smallest on ties, to nine digits) and inner product of every query, the second one
+    (null with one label) and the margin; centroids: one row a label with ``centroid``.
+
+    Up to BROADCAST_ROWS centroids of BROADCAST_NUMBERS numbers go to every task as a matrix, and
+    nothing is shuffled; more are searched in cells (`cells.knn_topk`), with the same result: every
+    row has a number of its own, labels are numbered in their order, and scores are summed alike.
+    A vector that is null, of another length, or not finite has null scores; null labels take no part.  Without
+    centroids there is no row.
     """
     rows = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
     kinds = rows.schema["key"].dataType.simpleString(), centroids.schema[label].dataType.simpleString()
-    c = centroids.select(F.col(label).alias("label"), F.col("centroid").cast("array<double>").alias("c"))
-    if c.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+    c = centroids.where(F.col(label).isNotNull() & F.col("centroid").isNotNull()).select(F.col(label).alias("label"), F.col("centroid").cast("array<double>").alias("c"))
+    n, numbers = c.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
+    spark = queries.sparkSession
+    schema = f"key {kinds[0]}, best_label {kinds[1]}, best_score double, second_score double"
+    if not n:
+        out = spark.createDataFrame([], schema)
+    elif n <= BROADCAST_ROWS and numbers <= BROADCAST_NUMBERS:
         t = c.orderBy("label").toArrow()
-        if not t.num_rows:
-            rows, t = rows.where("false"), None
-        labels, matrix = (t.column("label").to_pylist(), np.stack(t.column("c").to_numpy(zero_copy_only=False))) if t else ([], np.zeros((0, 1)))
-        run = _two_best(labels, matrix, t.schema.field("label").type if t else pa.null())
-        out = rows.mapInArrow(run, f"key {kinds[0]}, best_label {kinds[1]}, best_score double, second_score double")
+        shared = spark.sparkContext.broadcast((t["label"].to_pylist(), matrix(t["c"])))
+        out = rows.mapInArrow(_two_best(shared, t.schema.field("label").type), schema)
     else:
-        numbered = c.withColumn("ref", F.xxhash64("label"))
-        q = rows.withColumn("row", F.xxhash64("key")).where("v is not null")
-        found = knn_topk(q.select(F.col("row").alias("key"), "v").dropDuplicates(["key"]), numbered.select(F.col("ref").alias("key"), F.col("c").alias("v")), 2)
-        named = found.join(numbered.select("ref", "label"), "ref")
-        two = named.groupBy(F.col("key").alias("row")).agg(F.min_by("label", "rank").alias("best_label"), F.max("score").alias("best_score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second_score"))
-        out = rows.withColumn("row", F.xxhash64("key")).join(two, "row", "left").select("key", "best_label", "best_score", "second_score")
+        numbered_rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+        labels = checkpointed(numbered(c, "ref", "label"))
+        found = knn_topk(numbered_rows.select(F.col("row").alias("key"), "v"), labels.select(F.col("ref").alias("key"), F.col("c").alias("v")), 2)
+        named = found.join(labels.select("ref", "label"), "ref")
+        two = named.groupBy(F.col("key").alias("row")).agg(F.min_by("label", "rank").alias("best_label"), F.min_by("score", "rank").alias("best_score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second_score"))
+        out = numbered_rows.join(two, "row", "left").select("key", "best_label", "best_score", "second_score")
     return out.withColumnRenamed("key", key).withColumn("margin", F.col("best_score") - F.col("second_score"))
 
 
-def assign_open_set(assigned: DataFrame, tau: float, delta: float, reject: int = -1) -> DataFrame:
-    ok = (F.col("best_score") >= tau) & (F.coalesce("margin", F.lit(float("inf"))) >= delta)
-    return assigned.withColumn("accepted", ok).withColumn("label", F.when(ok, F.col("best_label")).otherwise(reject))
-
-
-def _search_block(k: int):
-    def run(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if left.empty or right.empty:
-            return pd.DataFrame({"key": [], "ref": [], "score": []})
-        s = np.stack(left["v"].to_numpy()) @ np.stack(right["w"].to_numpy()).T
-        ids = right["ref"].to_numpy()
-        order = np.lexsort((np.broadcast_to(ids, s.shape), -np.round(s, 9)), axis=1)[:, :k]
-        rows = np.repeat(np.arange(len(left)), order.shape[1])
-        return pd.DataFrame({"key": left["key"].to_numpy()[rows], "ref": ids[order.ravel()], "score": s[rows, order.ravel()]})
-
-    return run
-
-
-def _dealt(df: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
-    """Rows in blocks by their key, once for every block of the other side."""
-    hashed = df.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(n_own).cast("long")))
-    return hashed.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_other - 1).cast("long"))))
-
-
-def knn_topk(queries: DataFrame, references: DataFrame, k: int) -> DataFrame:
-    """Exact k largest inner products of (key, v) queries with (key, v) references.
-
-    Both sides are dealt into blocks of bounded size; each pair of blocks is a matrix product.
-    """
-    nq, nr = (1 + x.count() // BLOCK for x in (queries, references))
-    q, r = _dealt(queries.select("key", "v"), "bq", nq, "br", nr), _dealt(references.select("key", "v"), "br", nr, "bq", nq)
-    r = r.select(F.col("key").alias("ref"), F.col("v").alias("w"), F.col("bq").alias("cq"), F.col("br").alias("cr"))
-    found = q.groupBy("bq", "br").cogroup(r.groupBy("cq", "cr")).applyInPandas(_search_block(k), "key long, ref long, score double")
-    w = W.partitionBy("key").orderBy(F.desc(F.round("score", 9)), "ref")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-
-
-def _flips(width: int, most: int) -> list[int]:
-    """Masks of up to ``most`` of ``width`` bits."""
-    return [sum(1 << i for i in x) for n in range(most + 1) for x in itertools.combinations(range(width), n)]
-
-
-def _bands(r: int, bits: int, n: int) -> int:
-    """Number of bands at which one query meets fewest of n random hashes, its probes included."""
-
-    def cost(m: int) -> float:
-        probes = m * sum(math.comb(-(-bits // m), i) for i in range(r // m + 1))
-        return probes * (1 + n / 2 ** (bits // m)) if probes <= MAX_PROBES else math.inf
-
-    return min(range(1, r + 2), key=cost)
-
-
-def radius_join_hamming(left: DataFrame, right: DataFrame, r: int, bits: int = 64, bands: int | None = None) -> DataFrame:
-    """Exactly the pairs of (key, hash) rows within r bits.
+def _two_best(shared, kind: pa.DataType):
+    """labels in rising order, so that the first of equal scores has the smallest."""
 
-    With m bands one of them differs in r // m bits at most, so the left side probes each band with
-    that many bits flipped.  More rows on the right make for fewer and wider bands (None: by their
-    number), so that a probe meets few of them.
-    """
-    m = bands or _bands(r, bits, right.count())
-    cuts = [bits * i // m for i in range(m + 1)]
-    parts = [F.struct(F.lit(i).alias("band"), F.call_function("shiftrightunsigned", "hash", F.lit(a)).bitwiseAND(F.lit((1 << (b - a)) - 1 if b - a < 64 else -1).cast("long")).alias("part")) for i, (a, b) in enumerate(zip(cuts, cuts[1:]))]
-
-    def banded(df: DataFrame, key: str) -> DataFrame:
-        return df.select(F.col("key").alias(key), F.col("hash").alias(f"hash_{key}"), F.explode(F.array(*parts)).alias("x")).select(key, f"hash_{key}", "x.*")
-
-    probes = banded(left, "a")
-    if r // m:
-        masks = [(i, x if x < 1 << 63 else x - (1 << 64)) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) for x in _flips(b - a, r // m)]
-        flips = left.sparkSession.createDataFrame(masks, "band int, mask long")  # MAX_PROBES rows at most
-        probes = probes.join(F.broadcast(flips), "band").withColumn("part", F.col("part").bitwiseXOR(F.col("mask"))).drop("mask")
-    pairs = probes.join(banded(right, "b"), ["band", "part"])
-    return pairs.withColumn("distance", hamming("hash_a", "hash_b")).where(F.col("distance") <= r).select("a", "b", "distance").distinct()
-
-
-def _within(r: float):
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
-        if left.num_rows and right.num_rows:
-            x, y = (np.stack(t.column("v").to_numpy()) for t in (left, right))
-            ids, others = (t.column("key").to_numpy() for t in (left, right))
-            for i in range(0, len(x), 256):
-                part = x[i : i + 256]
-                near = (part * part).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * part @ y.T
-                at, of = np.nonzero(near <= r * r + 1e-6 * (1 + r * r))
-                exact = np.sqrt(((part[at] - y[of]) ** 2).sum(axis=1))
-                ok = exact <= r
-                a.append(ids[i : i + 256][at[ok]])
-                b.append(others[of[ok]])
-                d.append(exact[ok])
-        return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "distance": np.concatenate(d)})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, centroids = shared.value
+        ids = np.arange(len(labels))
+        for b in batches:
+            lists = b.column(1)
+            n = b.num_rows
+            first, score, second = [None] * n, np.full(n, np.nan), np.full(n, np.nan)
+            bad = lists.flatten().to_numpy(zero_copy_only=False)
+            ok = np.array([v is not None and len(v) == centroids.shape[1] for v in lists.to_pylist()]) if not np.isfinite(bad).all() or lists.null_count or len(bad) != n * centroids.shape[1] else np.ones(n, bool)
+            good = np.flatnonzero(ok)
+            x = matrix(lists.take(pa.array(good)))
+            finite = np.isfinite(x).all(axis=1)
+            good, x = good[finite], x[finite]
+            row, col, s = best_of(x, centroids, ids, 2)
+            lead = np.concatenate(([True], row[1:] != row[:-1])) if len(row) else np.zeros(0, bool)
+            score[good[row[lead]]], second[good[row[~lead]]] = s[lead], s[~lead]
+            for i, j in zip(good[row[lead]].tolist(), col[lead].tolist()):
+                first[i] = labels[j]
+            yield pa.record_batch([b.column(0), pa.array(first, kind), *(pa.array(x, pa.float64(), from_pandas=True) for x in (score, second))], names=["key", "best_label", "best_score", "second_score"])
 
     return run
 
 
-def radius_join_euclid(left: DataFrame, right: DataFrame, r: float, block: int = BLOCK) -> DataFrame:
-    """Exactly the pairs of (key, v) rows within Euclidean distance r.
-
-    Norms, and projections on a fixed direction, of such a pair differ by r at most, so rows meet in
-    cells of that width.  Cells of more than ``block`` rows are dealt into blocks, and each pair of
-    blocks is compared as a matrix; only pairs within r leave the task.  Vectors that are null, and
-    rows without key, take no part.
-    """
-
-    def placed(df: DataFrame) -> DataFrame:
-        rows = df.select(F.col("key").cast("long"), F.col("v").cast("array<double>").alias("v")).where("key is not null and v is not null")
-        signs = F.transform("v", lambda x, i: F.when(F.pmod(F.xxhash64(i), F.lit(2)) == 0, x).otherwise(-x))
-        along = F.aggregate(signs, F.lit(0.0), lambda s, x: s + x) / F.sqrt(F.greatest(F.size("v"), F.lit(1)))
-        return rows.withColumns({"i": F.floor(F.sqrt(dot("v", "v")) / r), "j": F.floor(along / r)})
-
-    def sizes(df: DataFrame, name: str) -> DataFrame:
-        return df.groupBy("i", "j").agg(F.ceil(F.count("*") / block).alias(name))
-
-    steps = F.array(*(F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x in (-1, 0, 1) for y in (-1, 0, 1)))
-    a = placed(left)
-    b = placed(right).withColumn("s", F.explode(steps)).select("key", "v", (F.col("i") + F.col("s.x")).alias("i"), (F.col("j") + F.col("s.y")).alias("j"))
-    cells = sizes(a, "na").join(sizes(b, "nb"), ["i", "j"])
-
-    def dealt(df: DataFrame, own: str, n_own: str, other: str, n_other: str) -> DataFrame:
-        x = df.join(cells, ["i", "j"]).withColumn(own, F.pmod(F.xxhash64("key"), F.col(n_own)))
-        return x.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n_other) - 1))).select("key", "v", "i", "j", "p", "q")
-
-    group = ["i", "j", "p", "q"]
-    return dealt(a, "p", "na", "q", "nb").groupBy(*group).cogroup(dealt(b, "q", "nb", "p", "na").groupBy(*group)).applyInArrow(_within(r), "a long, b long, distance double")
-
-
-def _nearest_in_block(left: pa.Table, right: pa.Table) -> pa.Table:
-    best, at = np.zeros(left.num_rows, np.int32), np.zeros(left.num_rows, np.int64)
-    if left.num_rows and right.num_rows:
-        right = right.sort_by("ref")  # the first of the nearest has the smallest key
-        h, g = (x.combine_chunks().fill_null(0).to_numpy(zero_copy_only=False) for x in (left["hash"], right["ref_hash"]))
-        none, lacks = (x.combine_chunks().is_null().to_numpy(zero_copy_only=False) for x in (left["hash"], right["ref_hash"]))
-        for i in range(0, len(h), 256):
-            d = np.bitwise_count((h[i : i + 256, None] ^ g[None, :]).view(np.uint64))
-            d[none[i : i + 256]] = _NO_DISTANCE
-            d[:, lacks] = _NO_DISTANCE
-            at[i : i + 256] = d.argmin(axis=1)
-            best[i : i + 256] = d.min(axis=1)
-    else:
-        left, best, at = left.slice(0, 0), best[:0], at[:0]
-    return pa.table({"key": left["key"], "ref": right["ref"].take(pa.array(at)), "distance": pa.array(best)})
-
-
-def hamming_nearest(queries: DataFrame, references: DataFrame) -> DataFrame:
-    """Nearest reference hash of every query, the smallest key on ties; (key, hash) rows of longs.
-
-    Both sides are dealt into blocks as in `knn_topk`; each pair of blocks is a table of bit counts.
-    Null hashes are at no distance (null) and come after all others.
-    """
-    nq, nr = (1 + x.count() // BLOCK for x in (queries, references))
-    long = [F.col(c).cast("long").alias(c) for c in ("key", "hash")]
-    q, r = _dealt(queries.select(*long), "bq", nq, "br", nr), _dealt(references.select(*long), "br", nr, "bq", nq)
-    r = r.select(F.col("key").alias("ref"), F.col("hash").alias("ref_hash"), F.col("bq").alias("cq"), F.col("br").alias("cr"))
-    found = q.groupBy("bq", "br").cogroup(r.groupBy("cq", "cr")).applyInArrow(_nearest_in_block, "key long, ref long, distance int")
-    best = found.groupBy("key").agg(F.min(F.struct("distance", "ref")).alias("m"))
-    return best.select("key", "m.ref", F.nullif("m.distance", F.lit(_NO_DISTANCE)).alias("distance"))
+def assign_open_set(assigned: DataFrame, tau: float, delta: float, reject: int = -1) -> DataFrame:
+    ok = (F.col("best_score") >= tau) & (F.coalesce("margin", F.lit(float("inf"))) >= delta)
+    return assigned.withColumn("accepted", ok).withColumn("label", F.when(ok, F.col("best_label")).otherwise(reject))
 
 
 def radius_vote(neighbours: DataFrame, labels: DataFrame, queries: DataFrame, by_distance: bool = False, reject: int = -1) -> DataFrame:

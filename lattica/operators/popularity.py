@@ -7,22 +7,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import SENTINELS, calendar_parts, norm_key_alnum, safe_divide, safe_log1p
+from .ordered import with_medians, with_pct_rank
 
 DAY_SECONDS = 86400.0
 
 
-def pct_rank_avg_ties(group: list[str], value: str) -> Column:
-    """Percentile in the group with the mean rank of ties, rank over number of rows."""
-    ranked = W.partitionBy(*group).orderBy(value)
-    return (F.rank().over(ranked) + (F.count("*").over(W.partitionBy(*group, value)) - 1) / 2) / F.count("*").over(W.partitionBy(*group))
-
-
 def prepare_posts(posts: DataFrame, sentinels: tuple[str, ...] = SENTINELS) -> DataFrame:
     """Posts with a time and a real template, with calendar parts, log score and score percentile in
     the month.  Optional columns keep their values; rows without a time or template go."""
     p = posts.where(F.col("created_utc").isNotNull() & F.col("template_final").isNotNull() & ~F.trim("template_final").isin(*sentinels))
     p = p.withColumns(calendar_parts("created_utc")).withColumns({"template_key": norm_key_alnum("template_final"), "log_score": safe_log1p("score")})
-    return p.withColumn("month_score_pct", pct_rank_avg_ties(["month"], "score"))
+    return with_pct_rank(p, ["month"], "score", "month_score_pct")
 
 
 def display_label(posts: DataFrame) -> DataFrame:
@@ -36,7 +31,8 @@ def display_label(posts: DataFrame) -> DataFrame:
 def template_popularity(posts: DataFrame) -> DataFrame:
     """Counts, times, scores, days and yearly rates of templates, ranked by posts."""
     end = posts.agg(F.max("created_utc").alias("dataset_end"))
-    t = posts.groupBy("template_key").agg(F.count("*").alias("posts"), F.min("created_utc").alias("first_seen"), F.max("created_utc").alias("last_seen"), F.avg("score").alias("mean_score"), F.median("score").alias("median_score"))
+    t = posts.groupBy("template_key").agg(F.count("*").alias("posts"), F.min("created_utc").alias("first_seen"), F.max("created_utc").alias("last_seen"), F.avg("score").alias("mean_score"))
+    t = with_medians(t, posts, ["template_key"], ["score"])
     t = t.crossJoin(F.broadcast(end))  # one row
 
     def days(a: str, b: str, least: int) -> Column:

@@ -53,6 +53,38 @@ def join_checked(left: DataFrame, right: DataFrame, key: str, how: str = "left")
     return left.join(assert_unique(right, [key]), key, how)
 
 
+def spread_lookup(rows: DataFrame, table: DataFrame, keys: Sequence[str], how: str = "inner", count: str | None = None, often: int = 1000) -> DataFrame:
+    """Rows joined to a table that has each key once, where any key may be that of most rows.
+
+    Keys of more than one row in ``often`` - fewer than ``often`` of them - are broadcast; the others
+    are joined by a shuffle.  ``count`` names a column of the table with the rows of each key (which
+    goes); without it the rows are counted.  Null keys are equal.  ``how``: inner or left."""
+    keys = list(keys)
+    named = {k: f"_k{i}" for i, k in enumerate(keys)}
+    rest = [c for c in table.columns if c not in keys and c != count]
+    counted = table.select(*(F.col(k).alias(n) for k, n in named.items()), *rest, F.lit(True).alias("_found"), *([F.col(count).alias("_rows")] if count else []))
+
+    def same(names: dict[str, str]) -> Column:
+        out = F.lit(True)
+        for k, n in names.items():
+            out = out & F.col(k).eqNullSafe(F.col(n))
+        return out
+
+    if not count:
+        sizes = rows.groupBy(*keys).agg(F.count("*").alias("_rows"))
+        sizes = sizes.select(*(F.col(k).alias(f"_s{n}") for k, n in named.items()), "_rows")
+        on = F.lit(True)
+        for n in named.values():
+            on = on & F.col(n).eqNullSafe(F.col(f"_s{n}"))
+        counted = checkpointed(counted.join(sizes, on).drop(*(f"_s{n}" for n in named.values())))
+    total = rows.agg(F.count("*").alias("_total"))  # one row
+    counted = counted.crossJoin(F.broadcast(total)).withColumn("_often", F.col("_rows") * often > F.col("_total")).drop("_rows", "_total")
+    hot = F.broadcast(counted.where("_often"))
+    mine = rows.join(hot, same(named))
+    others = rows.join(hot, same(named), "left_anti").join(counted.where("not _often"), same(named), how)
+    return mine.unionByName(others).drop(*named.values(), "_often", "_found")
+
+
 def dedupe(df: DataFrame, keys: Sequence[str], order: str, last: bool = False) -> DataFrame:
     w = W.partitionBy(*keys).orderBy(F.desc(order) if last else F.asc(order))
     return df.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
@@ -73,8 +105,11 @@ def coverage_counts(df: DataFrame, label: str, sentinel: str = "NO_TEMPLATE") ->
 
 def score_summary(df: DataFrame, group: str, entity: str, scores: Sequence[str], digits: int = 6, means: Sequence[str] = ()) -> DataFrame:
     """Rows and entities of every group, mean and median of ``scores``, and the plain mean of ``means``."""
-    aggs = [f(s).alias(f"{n}_{s}") for s in scores for n, f in (("mean", F.avg), ("median", F.median))]
+    from .ordered import with_medians
+
+    aggs = [F.avg(s).alias(f"mean_{s}") for s in scores]
     out = df.groupBy(group).agg(F.count("*").alias("posts"), F.count_distinct(entity).alias("templates"), *aggs, *(F.avg(c).alias(c) for c in means))
+    out = with_medians(out, df, [group], scores)
     return out.select(group, "posts", "templates", *(F.round(f"{n}_{s}", digits).alias(f"{n}_{s}") for s in scores for n in ("mean", "median")), *means)
 
 
@@ -110,25 +145,6 @@ def by_hash(key: str, seed: int) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))))
 
 
-def stratified_split(df: DataFrame, label: str, key: str, share: float, seed: int, folds: int = 5) -> DataFrame:
-    """Each class's rows in hash order: the first max(1, round(n * share)), n - 1 at most, are the test."""
-    w = W.partitionBy(label).orderBy(by_hash(key, seed), key)
-    n = F.count("*").over(W.partitionBy(label))
-    size = F.least(F.greatest(F.round(n * share), F.lit(1)), n - 1)
-    r = F.row_number().over(w)
-    return df.select("*", F.when(r <= size, "test").otherwise("train").alias("split"), (r % folds).cast("int").alias("fold"))
-
-
-def stratified_sample(df: DataFrame, label: str, key: str, n: int, seed: int) -> DataFrame:
-    """About proportional quotas, one at least, then trimmed or topped up to n in hash order."""
-    total = F.count("*").over(W.partitionBy())
-    own = F.count("*").over(W.partitionBy(label))
-    quota = F.greatest(F.lit(1), F.round(own * n / total))
-    r = F.row_number().over(W.partitionBy(label).orderBy(by_hash(key, seed), key))
-    ranked = df.select("*", (r > quota).alias("_extra"), r.alias("_r"), by_hash(key, seed).alias("_h"))
-    return ranked.orderBy("_extra", F.col("_r") > 1, "_h", key).limit(n).select(*df.columns)
-
-
 def one_per_label(df: DataFrame, label: str, key: str, k: int, seed: int) -> DataFrame:
     one = df.withColumn("_r", F.row_number().over(W.partitionBy(label).orderBy(by_hash(key, seed), key))).where("_r = 1").drop("_r")
     return one.orderBy(by_hash(label, seed), label).limit(k)

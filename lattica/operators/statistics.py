@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .affect import jensen_shannon
+from .ordered import prefix_sums, value_ranks
 from .relational import checkpointed
 
 
@@ -48,7 +49,8 @@ def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
     big = rows.groupBy(group).count().where("count >= 2").select(group)
     x = rows.join(big, group, "left_semi").select(group, value)
     ranks = value_ranks(x, value)
-    sums = x.join(ranks, value).groupBy(group).agg(F.count("*").alias("k"), F.sum("rank").alias("r"))
+    cells = x.groupBy(group, value).agg(F.count("*").alias("k"))
+    sums = cells.join(ranks.select(value, "rank"), value).groupBy(group).agg(F.sum("k").alias("k"), F.sum(F.col("rank") * F.col("k")).alias("r"))
     ties = ranks.agg(F.sum(F.pow("c", 3) - F.col("c")).alias("t"))
     s = sums.agg(F.sum("k").alias("n"), F.sum(F.col("r") * F.col("r") / F.col("k")).alias("q"), F.count("*").alias("groups")).crossJoin(ties)
     n = F.col("n").cast("double")
@@ -56,17 +58,6 @@ def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
     return s.select(h.alias("h"), "groups", (F.col("groups") - 1).alias("dof"))
 
 
-def value_ranks(rows: DataFrame, value: str) -> DataFrame:
-    """Mean rank and count of every distinct value, by range partitions and their offsets."""
-    n = rows.groupBy(value).agg(F.count("*").alias("c"))
-    parts = checkpointed(n.repartitionByRange(value).withColumn("part", F.spark_partition_id()))  # one set of partitions for both readers
-    before = F.sum("c").over(W.partitionBy("part").orderBy(value).rowsBetween(W.unboundedPreceding, -1))
-    parts = parts.withColumn("before", F.coalesce(before, F.lit(0)))
-    totals = parts.groupBy("part").agg(F.sum("c").alias("s"))
-    offsets = totals.select("part", (F.sum("s").over(W.orderBy("part")) - F.col("s")).alias("offset"))  # one row a partition
-    return parts.join(F.broadcast(offsets), "part").select(value, "c", (F.col("offset") + F.col("before") + (F.col("c") + 1) / 2).alias("rank"))
-
-
 def _pair_sums(labels: list, sizes: np.ndarray):
     """Rows (part, group, value, n) sorted by value: for every two groups, what this partition adds to
     the pairs of rows, ties and distances of distribution functions; and its rows by group (b null)."""
@@ -199,12 +190,12 @@ def intra_cluster_distances(rows: DataFrame, cluster: str, entity: str, category
 
 
 def roc_gmean_threshold(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """The score with the largest geometric mean of true positive and true negative rates."""
-    v = rows.groupBy(F.col(score).alias("s")).agg(F.sum(label).alias("p"), (F.count("*") - F.sum(label)).alias("n"))
-    down, every = W.orderBy(F.desc("s")), W.partitionBy()
-    c = v.select("s", (F.sum("p").over(down) / F.sum("p").over(every)).alias("tpr"), (F.sum("n").over(down) / F.sum("n").over(every)).alias("fpr"))
-    g = F.sqrt(F.col("tpr") * (1 - F.col("fpr")))
-    return c.agg(F.max(F.struct(g.alias("gmean"), "s")).alias("b")).select(F.col("b.s").alias("threshold"), F.col("b.gmean").alias("gmean"))
+    """The score with the largest geometric mean of true positive and true negative rates, from counts
+    of the rows at and above every distinct score.  Null scores are left out."""
+    v = prefix_sums(rows, [], score, {"p": F.sum(label), "n": F.count("*") - F.sum(label)})
+    tpr, fpr = ((F.col(f"all_{c}") - F.col(f"before_{c}")) / F.nullif(F.col(f"all_{c}"), F.lit(0)) for c in "pn")
+    g = F.sqrt(tpr * (1 - fpr))
+    return v.agg(F.max(F.struct(g.alias("gmean"), F.col(score).alias("s"))).alias("b")).select(F.col("b.s").alias("threshold"), F.col("b.gmean").alias("gmean"))
 
 
 def _map_result(df: DataFrame, of: Sequence[str], f, name: str = "p_value") -> DataFrame:

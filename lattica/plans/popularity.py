@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import EMOTIONS, SENTIMENTS
+from ..operators import ordered as od
 from ..operators import popularity as op
 from ..operators import relational as rel
 from .base import AFFECTS, POSTS, PREPARED, affect, min_posts, posts, query, table
@@ -48,7 +49,7 @@ def calendar_parts(spark, d):
 @query("pct_rank_avg_ties", f"""WITH {PREPARED}
     SELECT key, round((rank() OVER (PARTITION BY month ORDER BY score) + (count(*) OVER (PARTITION BY month, score) - 1) / 2) / count(*) OVER (PARTITION BY month), 6) AS pct FROM prepared""")
 def pct_rank(spark, d):
-    return _prepared(spark, d).select("key", F.round(op.pct_rank_avg_ties(["month"], "score"), 6).alias("pct"))
+    return od.with_pct_rank(_prepared(spark, d).select("key", "month", "score"), ["month"], "score", "pct").select("key", _r("pct"))
 
 
 _DISPLAY = """, spelled AS (SELECT template_key, template_final, count(*) AS n FROM prepared GROUP BY 1, 2),
@@ -398,13 +399,13 @@ def year_summary_by_cluster(spark, d):
 @query("stratified_split", f"""WITH {PREPARED}, r AS (SELECT key, template_key, row_number() OVER (PARTITION BY template_key ORDER BY md5(key || '|42'), key) AS r, count(*) OVER (PARTITION BY template_key) AS n FROM prepared)
     SELECT key, template_key, CASE WHEN r <= least(greatest(round(n * 0.2), 1), n - 1) THEN 'test' ELSE 'train' END AS split, CAST(r % 5 AS INTEGER) AS fold FROM r""")
 def stratified_split(spark, d):
-    return rel.stratified_split(_prepared(spark, d).select("key", "template_key"), "template_key", "key", 0.2, 42)
+    return od.stratified_split(_prepared(spark, d).select("key", "template_key"), "template_key", "key", 0.2, 42)
 
 
 @query("stratified_sample_n", f"""WITH {PREPARED}, r AS (SELECT key, template_key, row_number() OVER (PARTITION BY template_key ORDER BY md5(key || '|42'), key) AS r, count(*) OVER (PARTITION BY template_key) AS own, count(*) OVER () AS total FROM prepared)
     SELECT key, template_key FROM r ORDER BY r > greatest(1, round(own * 500 / total)), r > 1, md5(key || '|42'), key LIMIT 500""")
 def stratified_sample_n(spark, d):
-    return rel.stratified_sample(_prepared(spark, d).select("key", "template_key"), "template_key", "key", 500, 42)
+    return od.stratified_sample(_prepared(spark, d).select("key", "template_key"), "template_key", "key", 500, 42)
 
 
 @query("one_example_per_label", f"""WITH {PREPARED}, r AS (SELECT key, template_key, row_number() OVER (PARTITION BY template_key ORDER BY md5(key || '|42'), key) AS r FROM prepared)
@@ -417,7 +418,7 @@ def one_example_per_label(spark, d):
     SELECT key, template_key, CASE WHEN r <= least(greatest(round(n * 0.2), 1), n - 1) THEN 'test' ELSE 'train' END AS split, CAST(r % 5 AS INTEGER) AS fold FROM r""")
 def fixed_split_pipeline(spark, d):
     p = _prepared(spark, d).select("key", "template_key").where("template_key NOT LIKE 'machinery%'")
-    return rel.stratified_split(rel.drop_small_classes(p, "template_key", 7), "template_key", "key", 0.2, 42)
+    return od.stratified_split(rel.drop_small_classes(p, "template_key", 7), "template_key", "key", 0.2, 42)
 
 
 @query("class_sizes", f"""WITH {PREPARED}, n AS (SELECT template_key, count(*) AS n FROM prepared GROUP BY 1)

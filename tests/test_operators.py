@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.functions import scalars as sc
-from lattica.operators import affect, cluster, neighbors, popularity, relational, statistics
+from lattica.operators import affect, cluster, neighbors, ordered, popularity, relational, statistics
 from lattica.plans.registry import QUERIES
 from lattica.sources import ingest
 from lattica.streaming import streams
@@ -23,12 +23,6 @@ def test_dominant_takes_the_first_label_on_ties_and_skips_nulls(spark):
     assert [(r.l, r.s) for r in rows] == [("a", 0.5), ("unavailable", None), ("c", 0.4)]
 
 
-def test_percentile_gives_ties_their_mean_rank(spark):
-    df = spark.createDataFrame([("m", x) for x in (1, 2, 2, 3)], "g string, v int")
-    got = sorted(r[0] for r in df.select(popularity.pct_rank_avg_ties(["g"], "v")).collect())
-    assert got == [0.25, 0.625, 0.625, 1.0]
-
-
 def test_gap_filled_curve_keeps_the_posts_and_finds_runs(spark):
     t = [dt.datetime(2024, m, 3) for m in (1, 1, 2, 6)]
     posts = spark.createDataFrame([("a", x) for x in t] + [("b", dt.datetime(2024, 8, 1))], "template_key string, created_utc timestamp")
@@ -49,7 +43,7 @@ def test_repeated_key_raises(spark):
 
 def test_split_covers_rows_once_and_every_class(spark):
     df = spark.range(200).select(F.col("id").alias("key"), (F.col("id") % 7).alias("label"))
-    rows = relational.stratified_split(df, "label", "key", 0.2, 1).collect()
+    rows = ordered.stratified_split(df, "label", "key", 0.2, 1).collect()
     assert len(rows) == 200 and {r.label for r in rows if r.split == "test"} == set(range(7))
 
 
@@ -63,41 +57,6 @@ def test_banded_radius_join_is_exact(spark, bands):
     assert got == want
 
 
-def test_more_rows_make_for_wider_bands():
-    assert neighbors._bands(8, 64, 100) == 9 and neighbors._bands(8, 64, 10**7) < neighbors._bands(8, 64, 10**4) < 9
-    assert len(neighbors._flips(10, 2)) == 1 + 10 + 45
-
-
-def test_euclidean_radius_join_is_exact(spark):
-    """Unit vectors, which one cell could hold, in blocks of 16, and some far away."""
-    g = np.random.default_rng(3)
-    v = g.normal(size=(120, 6))
-    v /= np.linalg.norm(v, axis=1, keepdims=True)
-    v = np.concatenate((v, v[:30] * 5, v[:10]))
-    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(999, None), (None, [0.0] * 6)], "key long, v array<double>")
-    got = {(x.a, x.b): x.distance for x in neighbors.radius_join_euclid(df, df, 0.7, block=16).where("a < b").collect()}
-    d = np.linalg.norm(v[:, None] - v[None], axis=2)
-    assert set(got) == {(a, b) for a in range(len(v)) for b in range(a + 1, len(v)) if d[a, b] <= 0.7}
-    assert all(got[x] == pytest.approx(d[x], abs=1e-9) for x in got)
-
-
-@pytest.mark.parametrize("limit", [100, 2])
-def test_two_nearest_centroids(spark, monkeypatch, limit):
-    """As a matrix in every task and, beyond the limit, in blocks."""
-    monkeypatch.setattr(neighbors, "BROADCAST_ROWS", limit)
-    g = np.random.default_rng(4)
-    v, c = g.normal(size=(50, 5)), g.normal(size=(7, 5))
-    q = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(99, None)], "key long, v array<double>")
-    refs = spark.createDataFrame([(f"l{i}", x.tolist()) for i, x in enumerate(c)], "label string, centroid array<double>")
-    got = {x.key: x for x in neighbors.top2(q, refs, "key", "v", "label").collect()}
-    for i, s in enumerate(v @ c.T):
-        o = np.argsort(-s)
-        assert got[i].best_label == f"l{o[0]}" and (got[i].best_score, got[i].second_score) == pytest.approx((s[o[0]], s[o[1]]))
-    assert got[99].best_label is None and got[99].best_score is None and got[99].margin is None
-    assert neighbors.top2(q, refs.where("label = 'l1'"), "key", "v", "label").where("second_score is null").count() == 51
-    assert neighbors.top2(q, refs.where("false"), "key", "v", "label").count() == 0
-
-
 def test_silhouette_is_that_of_all_pairs(spark):
     g = np.random.default_rng(5)
     v, c = g.normal(size=(60, 3)), g.integers(0, 4, 60)
