@@ -251,10 +251,9 @@ def dominance_reduction(counts: np.ndarray, capacity: int) -> list[tuple[list[tu
             if not (j == gap or one or (two and _largest_pair(counts, fits, gap) <= j)):
                 counts[s] += 1
                 break
-            # The same choice holds for as many of these items as there are such partners.
+            # The same choice holds for as many of these items as there are such partners: fewer items
+            # leave no more that fit together, and no larger pair.
             n = (int(counts[s]) + 1) // 2 if j == s else min(int(counts[s]) + 1, int(counts[j]))
-            if not (j == gap or one):
-                n = 1
             fixed.append(([(s, 2)] if j == s else [(s, 1), (j, 1)], n))
             counts[s] += 1
             counts[s] -= n
@@ -363,7 +362,9 @@ def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id
     pieces share a sequence with which; pieces are ranked by salted parts of a length.
 
     Repeated rows and null doc_ids are documents like others.  An empty text is one piece of one
-    token.  An empty table gives an empty result.
+    token.  A text of any length is tokenised in its own row, part by part.  Pieces of one length
+    are told apart by doc_id, piece and checksum; which of equal ones goes where makes no difference.
+    An empty table gives an empty result.
     """
     spark = docs.sparkSession
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
