@@ -179,7 +179,8 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, scale: int = 256, sha
     n, dims = v.agg(F.count("*"), F.coalesce(F.max(F.greatest(F.coalesce(F.size("v"), F.lit(1)), F.coalesce(F.size("x"), F.lit(1)))), F.lit(1))).first()
     size = shard or max(1, min(SHARD_NUMBERS // max(dims, 1), max(SHARD, n // SHARDS)))
     block = max(1, QUERY_NUMBERS // max(dims, 1))
-    shards, blocks = 1 + n // size, 1 + n // every // block
+    asking = v.where(F.col("vec_id") % every == 0).count()
+    shards, blocks = 1 + n // size, 1 + asking // block
     queries = v.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min(F.struct("v", "x")).alias("q")).select("vec_id", "q.v", "q.x")
     queries = Table(queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks).cast("long")))).df
     # The written table's rows have fixed numbers, which also spread repeated rows.
