@@ -10,6 +10,8 @@ from .common import Table
 
 #: Parts that one digest's rows are dealt into, at least, and rows for which there is one more part.
 SALTS, ROWS_A_SALT = 32, 1_000_000
+#: Groups of more than one row in so many are broadcast by digest; there are no more than that.
+OFTEN = 1000
 
 
 def duplicate_groups(docs: DataFrame, salts: int | None = None) -> DataFrame:
@@ -21,8 +23,9 @@ def duplicate_groups(docs: DataFrame, salts: int | None = None) -> DataFrame:
 
     Copies are combined three times, always by (digest, whole text): in each task, by the digest
     and a salt, and over the salts' winners, of which a group has ``salts`` at most (None: by the
-    number of rows).  Each salt then labels its own rows: by the digest where all rows of a digest
-    were found to hold one text, by the whole text otherwise.
+    number of rows).  Rows then look up their group: by the digest where all rows of a digest
+    were found to hold one text, by the whole text otherwise.  Groups of more than one row in OFTEN
+    are broadcast, so that no group is one key of a shuffle, whatever its doc_ids.
 
     Null doc_id: counts in group_size and is not kept, unless no row of its text has an id; then
     keep_id is null and all are kept.  Repeated rows of one doc_id are the same document, so each
@@ -36,20 +39,24 @@ def duplicate_groups(docs: DataFrame, salts: int | None = None) -> DataFrame:
 
 
 def _labels(rows: DataFrame) -> DataFrame:
-    """keep_id and group_size of each digest and salt; with the text where a digest has several."""
+    """keep_id and group_size of each digest; with the text where a digest has several."""
     local = rows.groupBy("digest", "salt", "text").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
     # One exchange serves the groups and the count of a digest's texts.
-    winners = local.repartition("digest").groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"), F.collect_set("salt").alias("salts"))
+    winners = local.repartition("digest").groupBy("digest", "text").agg(F.max("keep_id").alias("keep_id"), F.sum("n").alias("group_size"))
     winners = winners.withColumn("texts", F.count("*").over(W.partitionBy("digest")))
     text = F.when(F.col("texts") > 1, F.col("text")).alias("text")
-    return Table(winners.select("digest", text, "keep_id", "group_size", F.explode("salts").alias("salt"))).df
+    return Table(winners.select("digest", text, "keep_id", "group_size")).df
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    total = labels.agg(F.coalesce(F.sum("group_size"), F.lit(0))).first()[0]
     alone = labels.where("text is null").drop("text")
-    out = rows.select("doc_id", "digest", "salt").join(alone, ["digest", "salt"])
+    often = F.col("group_size") * OFTEN > total
+    hot = F.broadcast(alone.where(often))  # fewer than OFTEN rows
+    narrow = rows.select("doc_id", "digest")
+    out = narrow.join(hot, "digest").unionByName(narrow.join(hot, "digest", "left_anti").join(alone.where(~often), "digest"))
     shared = labels.where("text is not null")
     if shared.limit(1).count():
-        out = out.unionByName(rows.join(shared, ["digest", "salt", "text"]).drop("text"))
+        out = out.unionByName(rows.join(shared, ["digest", "text"]).drop("text", "salt"))
     kept = F.col("keep_id").isNull() | F.coalesce(F.col("doc_id") == F.col("keep_id"), F.lit(False))
     return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
