@@ -20,6 +20,8 @@ _EOL = "\r\n"
 FEW = 200_000
 #: Parts that the headers of one payload are dealt into.
 SALTS = 32
+#: Payloads of more than one repeated row in so many are broadcast in any case; there are no more.
+OFTEN = 1000
 
 
 def base32_of_hex(digest: Column) -> Column:
@@ -34,8 +36,8 @@ def resolve(pages: DataFrame, min_bytes: int = 0, few: int = FEW) -> DataFrame:
 
     Only headers meet by payload digest, combined by (digest, salt, page_id) first.  The largest
     page_id of a digest with at least ``min_bytes`` bytes is the original.  Up to ``few`` repeated
-    payloads are broadcast to the pages; of more, each page's decision is made among headers and
-    joined to the page by page_id and digest, which spreads any one payload.
+    payloads are broadcast to the pages; of more, those of more than one in OFTEN repeated rows are, and
+    each other page's decision is made among headers and joined to the page by page_id and digest.
     """
     pages = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce("html", F.lit("")).alias("html"))
     pages = pages.withColumns({"digest": F.sha1("html"), "bytes": F.octet_length("html").cast("long")})
@@ -45,13 +47,19 @@ def resolve(pages: DataFrame, min_bytes: int = 0, few: int = FEW) -> DataFrame:
     found = heads.groupBy("digest").agg(largest.alias("original"), F.sum("n").alias("n"), F.max("n").alias("most"), F.collect_set("salt").alias("salts"))
     with shuffle_cleanup(pages.sparkSession):
         groups = Table(found.where("n > 1")).df
-    size, most = groups.agg(F.count("*"), F.coalesce(F.max("most"), F.lit(1))).first()
+    size, most, repeated = groups.agg(F.count("*"), F.coalesce(F.max("most"), F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if size <= few:
         rows = pages.join(F.broadcast(groups.select("digest", "original", "most")), "digest", "left")
     else:
-        by_salt = groups.select("digest", "original", "most", F.explode("salts").alias("salt"))
+        often = F.col("n") * OFTEN > repeated
+        hot = groups.where(often).select(F.col("digest").alias("h"), F.struct("original", "most").alias("hot"))  # fewer than OFTEN rows
+        by_salt = groups.where(~often).select("digest", "original", "most", F.explode("salts").alias("salt"))
         decided = heads.join(by_salt, ["digest", "salt"]).select(F.col("digest").alias("d"), F.col("page_id").alias("p"), "original", "most")
-        rows = pages.join(decided, (F.col("digest") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left").drop("d", "p")
+        rows = pages.join(F.broadcast(hot), F.col("digest") == F.col("h"), "left")
+        # Pages of a frequent payload have their answer and meet no other: their key is spread.
+        key = F.when(F.col("hot").isNull(), F.col("digest")).otherwise(F.concat(F.lit("#"), F.monotonically_increasing_id().cast("string")))
+        rows = rows.withColumn("key", key).join(decided, (F.col("key") == F.col("d")) & F.col("page_id").eqNullSafe(F.col("p")), "left")
+        rows = rows.withColumns({c: F.coalesce(f"hot.{c}", c) for c in ("original", "most")}).drop("d", "p", "h", "hot", "key")
     rows = rows.withColumn("copy", F.lit(1))
     if most > 1:  # some rows are repeated: they are numbered
         number = F.row_number().over(W.partitionBy("digest", "page_id").orderBy("url"))
