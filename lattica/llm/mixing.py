@@ -66,6 +66,7 @@ def _placed(docs: DataFrame, weights: tuple[float, ...], share: float, limit: fl
     parts = parts.select("number", "part", (F.sum("part_size").over(W.partitionBy("number").orderBy("part")) - F.col("part_size")).alias("before"))
     within = F.sum("size").over(W.partitionBy("number", "part").orderBy("order", "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)) - F.col("size")
     placed = docs_of.withColumn("within", within).join(parts, ["number", "part"]).withColumn("start", F.col("before") + F.col("within"))
+    placed = Table(placed.select("doc_id", "size", "order", "number", "source_size", "target", "start")).df
 
     # Slots take blocks of the stream, which holds every document once a lap.
     slots = schedule(sources.df, block, int(words) // block + 1, few)
@@ -76,8 +77,10 @@ def _placed(docs: DataFrame, weights: tuple[float, ...], share: float, limit: fl
     hit = covered.join(slots, ["number", "rank"])
     end = F.least(F.col("to"), (F.col("rank") + 1) * block, F.round("target").cast("long"))
     words_in = F.greatest(end - F.greatest(F.col("from"), F.col("rank") * block), F.lit(0))
-    taken = hit.groupBy("number", "start").agg(F.sum(words_in).cast("long").alias("taken")).withColumn("has_words", F.lit(True))
-    out = placed.withColumn("has_words", F.col("size") > 0).join(taken, ["number", "start", "has_words"], "left")
+    taken = hit.groupBy("number", "start").agg(F.sum(words_in).cast("long").alias("taken"))
+    # Texts without words share their start with each other; nothing is taken of them.
+    out = placed.where("size > 0").join(taken, ["number", "start"], "left")
+    out = out.unionByName(placed.where("size = 0").withColumn("taken", F.lit(0).cast("long")))
     return out.select("doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "order")
 
 
@@ -94,7 +97,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = 1.
     Where a source has a few slots less than its target needs, they follow at the end.
 
     Null text and texts without words: size 0, nothing is taken.  The words of long texts are all
-    counted; a document longer than a block is taken block by block.  Null source is a source of its
+    counted; a document longer than a block is taken block by block.  A source of most rows is many
+    parts, by its documents' hashes; only rows that repeat both doc_id and text share a part.  Null source is a source of its
     own, last in order.  Null doc_ids and repeated rows are documents like others.  An empty table
     gives an empty result.  Reruns agree, as the order is by hash.
     """
