@@ -26,6 +26,12 @@ APART = frozenset("nav footer aside form script style noscript template svg ifra
 APART_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising alert banner breadcrumb breadcrumbs byline comment comments complementary consent contentinfo cookie cookies copyright dialog disqus footer hidden login masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget widgets".split()
 )
+#: Of these words, those that decide as a whole class or id; the others need a name made up of such
+#: words and of neutral ones.
+SURE_WORDS = frozenset("ad ads adv advert adverts advertisement breadcrumb breadcrumbs comments cookie cookies disqus footer menu nav navbar navigation newsletter pagination sidebar sponsored".split())
+NEUTRAL_WORDS = frozenset("area bar block bottom box btn button buttons container content footer group header icons inner item items left links list outer panel right row section slot top unit wrap wrapper".split())
+#: Elements of running text, which a name that is not sure does not set apart.
+TEXT = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption li dl dt dd table td th tr b i em strong span a".split())
 MAIN_WORDS = frozenset(["main", "article", "articlebody"])
 #: Of these words, those that say nothing inside of the main text.
 ARTICLE_WORDS = frozenset(["alert", "byline"])
@@ -38,24 +44,44 @@ _WORD = re.compile(r"[a-z0-9]+")
 MAIN, OPEN = 2, 1
 
 
-def _flags(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element (inside of the main text or not) stands apart from it, and whether it is
-    the main text."""
-    apart, main = tag in APART, tag in ("article", "main")
+def _named(tag: str, names: list[str], inside: bool) -> tuple[bool, bool]:
+    """Whether class, id or role set an element apart, and whether they leave it in doubt.
+
+    A sure word decides by itself, and so does a name of nothing but such words on an element that
+    is no running text.  Of other elements with such a word, those outside of the main text
+    stand apart unless they are running text; the rest is left to differencing.
+    """
+    usual = APART_WORDS - ARTICLE_WORDS if inside else APART_WORDS
+    doubt = False
+    for name in names:
+        tokens = name.lower().split()
+        words = {x for t in tokens for x in _WORD.findall(t)}
+        if not words & usual:
+            continue
+        doubt = True
+        if SURE_WORDS & set(tokens) or tag not in TEXT and (not inside or all(x in usual or x in NEUTRAL_WORDS or x.isdigit() for x in words)):
+            return True, False
+    return False, doubt
+
+
+def _flags(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element (inside of the main text or not) stands apart from it, whether it is the main
+    text, and whether its name leaves that in doubt."""
+    apart, main, doubt = tag in APART, tag in ("article", "main"), False
     if attributes.strip():
         at = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)}
-        words = {x for name in ("class", "id", "role") for x in _WORD.findall(at.get(name, "").lower())}
         if tag not in ("html", "body", "main"):
-            apart = apart or bool(words & APART_WORDS - ARTICLE_WORDS if inside else words & APART_WORDS) or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "").lower()
+            named, doubt = _named(tag, [at[x] for x in ("class", "id", "role") if x in at], inside)
+            apart = apart or named or "hidden" in at or at.get("aria-hidden") == "true" or "display:none" in at.get("style", "").replace(" ", "").lower()
         main = main or at.get("itemprop", "").lower() == "articlebody" or bool(set(at.get("role", "").lower().split()) & MAIN_WORDS)
-    return apart, main
+    return apart, main, doubt
 
 
 def page_lines(page: str) -> list[tuple[str, int]]:
     """Lines of text outside of parts that stand apart, in page order, as (text, MAIN or OPEN)."""
     lines: list[tuple[str, int]] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: tag, apart, main
-    apart = main = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements that matter: tag, apart, main, in doubt
+    apart = main = doubt = 0
     held: list[str] = []
     at = 0
 
@@ -64,13 +90,14 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             text = " ".join(entities.unescape("".join(held)).split())
             held.clear()
             if text:
-                lines.append((text, MAIN if main else OPEN))
+                lines.append((text, MAIN if main and not doubt else OPEN))
 
     def leave(depth: int) -> None:
-        nonlocal apart, main
-        for _, a, m in stack[depth:]:
+        nonlocal apart, main, doubt
+        for _, a, m, d in stack[depth:]:
             apart -= a
             main -= m
+            doubt -= d
         del stack[depth:]
 
     while True:
@@ -95,7 +122,7 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             continue
         if name in VOID:
             continue
-        a, m = _flags(name, tag[3], main > 0)
+        a, m, d = _flags(name, tag[3], main > 0)
         a = a or (name == "header" and not main)
         if name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
@@ -109,10 +136,11 @@ def page_lines(page: str) -> list[tuple[str, int]]:
             leave(len(stack) - 1)
         if tag[3].endswith("/") and name not in BLOCKS:
             continue
-        if a or m or any(x == name for x, _, _ in stack) or name in ("div", "section", "header", "ul", "ol", "table", "article"):
-            stack.append((name, a, m))
+        if a or m or d or any(x[0] == name for x in stack) or name in ("div", "section", "header", "ul", "ol", "table", "article"):
+            stack.append((name, a, m, d))
             apart += a
             main += m
+            doubt += d
     flush()
     return lines
 
@@ -207,12 +235,13 @@ def main_text(pages: DataFrame) -> DataFrame:
     """Main text of each page: page_id, url, text, n_chars (code points of the text).
 
     pages: page_id long, url, html string (null: empty); other columns are ignored.  A page becomes
-    lines, one for each block of text, without parts that stand apart by element, class, id or role
-    (menus, headers, footers, sidebars, notices, adverts, forms, scripts, comments).  Pages are
+    lines, one for each block of text, without parts that stand apart by element, role or position, or
+    by a class or id that says so as a whole (menus, headers, footers, sidebars, notices, adverts,
+    forms, scripts, comments).  Pages are
     paired by URL path within each host (`nearest_pairs`), the pair's lines aligned by longest
     common subsequence, and shared lines deleted.  Lines of an element marked as the article are
-    not deleted, since an article may be a copy of its neighbour's; other lines of such a page are
-    judged like those of any page.  A page all of whose lines are shared is a copy and keeps them.
+    not deleted, since an article may be a copy of its neighbour's, unless their class or id leaves
+    them in doubt; these and all other lines of a page are judged alike.  A page all of whose lines are shared is a copy and keeps them.
     Lines are joined by two line ends.
 
     Null url or a URL without a host: the page is paired within the empty host.  Null page_id and
