@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -126,22 +127,26 @@ def histogram_smooth(histogram: DataFrame, kernel: Sequence[int] = (1, 2, 3, 2,
     return histogram.withColumn("smooth", total / float(sum(kernel)))
 
 
-def jensen_shannon(rows: DataFrame, group: str, category: str, value: str, base: float) -> DataFrame:
-    """Distance (square root) between every two groups' distributions over the union of categories.
+def jensen_shannon(rows: DataFrame, group: str, category: str, value: str, base: float, within: str | None = None) -> DataFrame:
+    """Distance (square root) between every two groups' distributions over the union of categories;
+    with ``within``, only between groups of one value of that column, which goes with the groups.
 
-    For entity tables: its rows are the pairs of groups times their categories.
+    A category of one group of a pair adds its share times ln 2 / 2, so all of those together follow
+    from the shares of the common ones: only categories that two groups share are joined, and
+    the pairs themselves are the result.  Null groups and categories, and groups whose values add
+    up to nothing, take no part.
     """
-    p = rows.groupBy(group, category).agg(F.sum(value).alias("v"))
-    p = p.select(group, category, (F.col("v") / F.sum("v").over(W.partitionBy(group))).alias("p")).where("p > 0")
-    names = p.select(group).distinct()
-    pairs = names.select(F.col(group).alias("a")).crossJoin(names.select(F.col(group).alias("b"))).where("a < b")
-    left = pairs.join(p.withColumnRenamed(group, "a"), "a").select("a", "b", category, F.col("p").alias("pa"), F.lit(0.0).alias("pb"))
-    right = pairs.join(p.withColumnRenamed(group, "b"), "b").select("a", "b", category, F.lit(0.0).alias("pa"), F.col("p").alias("pb"))
-    both = left.unionByName(right).groupBy("a", "b", category).agg(F.sum("pa").alias("pa"), F.sum("pb").alias("pb"))
-    m = (F.col("pa") + F.col("pb")) / 2
-
-    def part(x: str) -> Column:
-        return F.when(F.col(x) > 0, F.col(x) * F.log(F.col(x) / m)).otherwise(0.0)
-
-    js = both.groupBy("a", "b").agg((F.sum((part("pa") + part("pb")) / 2) / F.log(F.lit(base))).alias("js"))
-    return js.select("a", "b", F.sqrt(F.greatest("js", F.lit(0.0))).alias("distance"))
+    own = [within] if within else []
+    p = rows.where(F.col(group).isNotNull() & F.col(category).isNotNull()).groupBy(*own, group, category).agg(F.sum(value).alias("v"))
+    totals = p.groupBy(*own, group).agg(F.sum("v").alias("total")).where("total > 0")  # one row a group
+    p = p.where("v > 0").join(totals, [*own, group]).select(*own, group, category, (F.col("v") / F.col("total")).alias("p"))
+    left, right = (p.select(*own, category, F.col(group).alias(g), F.col("p").alias(f"p{g}")) for g in "ab")
+    pa, pb = F.col("pa"), F.col("pb")
+    both = pa * F.log(pa / (pa + pb)) + pb * F.log(pb / (pa + pb))
+    common = left.join(right, [*own, category]).where("a < b").groupBy(*own, "a", "b").agg(F.sum(both).alias("both"))
+    names = [totals.select(*own, F.col(group).alias(g)) for g in "ab"]
+    pairs = (names[0].join(names[1], own) if own else names[0].crossJoin(names[1])).where("a < b")
+    # p ln(p / m) is p ln(p / (pa + pb)) + p ln 2, and the shares of both groups add up to 2.
+    js = F.coalesce("both", F.lit(0.0)) / 2 + math.log(2)
+    out = pairs.join(common, [*own, "a", "b"], "left")
+    return out.select(*own, "a", "b", F.sqrt(F.greatest(js / F.log(F.lit(base)), F.lit(0.0))).alias("distance"))

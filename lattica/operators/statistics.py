@@ -17,7 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .affect import jensen_shannon
-from .ordered import prefix_sums, value_ranks
+from .ordered import prefix_sums, value_ranks, with_medians
 from .relational import checkpointed
 
 
@@ -141,21 +141,34 @@ def _group_pairs(rows: DataFrame, group: str, value: str) -> DataFrame:
     return p.groupBy(F.col("label_a").alias("a"), F.col("label_b").alias("b")).agg(F.first("size_a").alias("na"), F.first("size_b").alias("nb"), u.alias("u"), F.sum("ties").alias("ties"), F.max(d).alias("d"))
 
 
+def _described(pairs: DataFrame, rows: DataFrame, group: str, value: str) -> DataFrame:
+    """The pairs (a, b) with the mean and median of both groups."""
+    x = rows.select(F.col(group).alias("label"), F.col(value).cast("double").alias("value")).where("label is not null and value is not null")
+    d = with_medians(x.groupBy("label").agg(F.avg("value").alias("mean")), x, ["label"], ["value"])
+    for g in "ab":  # one row a group
+        pairs = pairs.join(F.broadcast(d.select(F.col("label").alias(g), F.col("mean").alias(f"mean_{g}"), F.col("median_value").alias(f"median_{g}"))), g)
+    return pairs
+
+
 def mann_whitney(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """U of the first group for every pair of groups, its effect size, and z with the corrections
-    for ties and continuity.  Rows without a group or value take no part."""
+    """U of the first group for every pair of groups, its effect size, z with the corrections for ties
+    and continuity (null without any spread), whether values tie, and means and medians.  Rows without
+    a group or value take no part."""
     s = _group_pairs(rows, group, value)
     na, nb = F.col("na"), F.col("nb")
     n = na + nb
     s = s.withColumn("rank_biserial", 2 * F.col("u") / (na * nb) - 1)
     sd = F.sqrt(na * nb / 12.0 * (n + 1 - (F.col("ties") - n) / (n * (n - 1))))
     z = F.greatest(F.abs(F.col("u") - na * nb / 2.0) - 0.5, F.lit(0.0)) / F.nullif(sd, F.lit(0.0))
-    return s.select("a", "b", "na", "nb", "u", "rank_biserial", z.alias("z"))
+    s = s.select("a", "b", "na", "nb", "u", "rank_biserial", z.alias("z"), (F.col("ties") > n).alias("tied"))
+    return _described(s, rows, group, value).select("a", "b", "na", "nb", "u", "rank_biserial", "z", "tied", "mean_a", "mean_b", "median_a", "median_b")
 
 
 def ks_two_sample(rows: DataFrame, group: str, value: str) -> DataFrame:
-    """Largest distance of the two distribution functions for every pair of groups."""
-    return _group_pairs(rows, group, value).select("a", "b", "d", "na", "nb")
+    """Largest distance of the two distribution functions for every pair of groups, with their means and
+    medians."""
+    s = _group_pairs(rows, group, value).select("a", "b", "d", "na", "nb")
+    return _described(s, rows, group, value).select("a", "b", "d", "na", "nb", "mean_a", "mean_b", "median_a", "median_b")
 
 
 def chi2_contingency(rows: DataFrame, row: str, column: str) -> DataFrame:
@@ -180,12 +193,11 @@ def bh_qvalues(tests: DataFrame, p: str, key: str) -> DataFrame:
 def intra_cluster_distances(rows: DataFrame, cluster: str, entity: str, category: str, value: str) -> DataFrame:
     """Summary of the natural-log Jensen-Shannon distances between the entities of every cluster."""
     sizes = rows.groupBy(cluster, F.col(entity).alias("e")).agg(F.sum(value).alias("w"))
-    tagged = rows.withColumn("_e", F.struct(F.col(cluster).alias("c"), F.col(entity).alias("e")))
-    d = jensen_shannon(tagged, "_e", category, value, math.e).where("a.c = b.c")
-    d = d.select(F.col("a.c").alias(cluster), F.col("a.e").alias("a"), F.col("b.e").alias("b"), "distance")
+    d = jensen_shannon(rows, entity, category, value, math.e, cluster)
     d = d.join(sizes.select(cluster, F.col("e").alias("a"), F.col("w").alias("wa")), [cluster, "a"]).join(sizes.select(cluster, F.col("e").alias("b"), F.col("w").alias("wb")), [cluster, "b"])
     w = F.least("wa", "wb")
-    s = d.groupBy(cluster).agg(F.count("*").alias("pairs"), F.avg("distance").alias("mean"), F.median("distance").alias("median"), F.max("distance").alias("max"), (F.sum(F.col("distance") * w) / F.sum(w)).alias("weighted"))
+    s = d.groupBy(cluster).agg(F.count("*").alias("pairs"), F.avg("distance").alias("mean"), F.max("distance").alias("max"), (F.sum(F.col("distance") * w) / F.sum(w)).alias("weighted"))
+    s = with_medians(s, d, [cluster], ["distance"]).withColumnRenamed("median_distance", "median")
     return s.select(cluster, "pairs", *(F.round(c, 6).alias(c) for c in ("mean", "median", "max", "weighted")))
 
 
@@ -234,3 +246,74 @@ def with_chi2_p(df: DataFrame, statistic: str, dof: str) -> DataFrame:
 
 def with_normal_p(df: DataFrame, z: str) -> DataFrame:
     return _map_result(df, [z], lambda v: math.erfc(abs(v) / math.sqrt(2)))
+
+
+#: Sizes up to which p-values come from counts of orders: of the smaller group and of the counts of U for
+#: the rank sums, of the larger group for the distribution functions.
+RANK_EXACT, RANK_COUNTS, PATH_EXACT = 8, 1 << 22, 10_000
+
+
+def rank_sum_counts(a: int, b: int) -> list[int]:
+    """Number of orders of a and b rows that give each U from 0 to a * b: the ways to write U as a sum of
+    at most a parts of at most b, built up by one row of the smaller group at a time."""
+    a, b = min(a, b), max(a, b)
+    counts = [1] + [0] * (a * b)
+    for i in range(1, a + 1):
+        for u in range(a * b, b + i - 1, -1):  # times 1 - q ** (b + i)
+            counts[u] -= counts[u - b - i]
+        for u in range(i, a * b + 1):  # over 1 - q ** i
+            counts[u] += counts[u - i]
+    return counts
+
+
+def rank_sum_p(u: float, a: int, b: int, z: float | None, tied: bool) -> float | None:
+    """Two-sided p of U: by counting orders where a group has RANK_EXACT rows at most and no values
+    tie, by the normal tail otherwise; null without any spread."""
+    if not tied and min(a, b) <= RANK_EXACT and a * b <= RANK_COUNTS:
+        counts = rank_sum_counts(a, b)
+        return min(1.0, 2 * (sum(counts[round(max(u, a * b - u)) :]) / math.comb(a + b, a)))
+    return None if z is None or math.isnan(z) else math.erfc(abs(z) / math.sqrt(2))
+
+
+def ks_paths_p(d: float, a: int, b: int) -> float:
+    """Share of the orders of a and b rows whose distribution functions are d apart somewhere.
+
+    An order is a path over the grid; the share of the paths to a point that have left the band is a
+    mean of those of its two predecessors, so no small number is a difference of large ones.
+    """
+    least = round(d * a * b)
+    if least <= 0:
+        return 1.0
+    i = np.arange(a + 1)
+    out = np.zeros(a + 1)
+    for s in range(1, a + b + 1):
+        j = s - i
+        new = out * (j / s)
+        new[1:] += out[:-1] * (i[1:] / s)
+        new[np.abs(i * b - j * a) >= least] = 1.0
+        new[(j < 0) | (j > b)] = 0.0
+        out = new
+    return float(min(out[a], 1.0))
+
+
+def kolmogorov_tail(x: float) -> float:
+    """Kolmogorov's limit, P(K > x), by the series that converges faster of two."""
+    if x <= 0:
+        return 1.0
+    if x < 1:
+        return max(0.0, 1 - math.sqrt(2 * math.pi) / x * sum(math.exp(-((2 * k - 1) ** 2) * math.pi**2 / (8 * x * x)) for k in range(1, 12)))
+    return min(1.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 12)))
+
+
+def ks_p(d: float, a: int, b: int) -> float:
+    """Two-sided p of the largest distance: by counting paths up to PATH_EXACT rows a group, beyond by the
+    limit."""
+    return ks_paths_p(d, a, b) if max(a, b) <= PATH_EXACT else kolmogorov_tail(d * math.sqrt(a * b / (a + b)))
+
+
+def with_rank_sum_p(tests: DataFrame) -> DataFrame:
+    return _map_result(tests, ["u", "na", "nb", "z", "tied"], rank_sum_p)
+
+
+def with_ks_p(tests: DataFrame) -> DataFrame:
+    return _map_result(tests, ["d", "na", "nb"], ks_p)

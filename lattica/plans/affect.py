@@ -258,33 +258,54 @@ def kruskal_wallis_p(spark, d):
     return st.with_chi2_p(st.kruskal_wallis(affect(spark, d).where("joy_global is not null"), "topic", "joy_global"), "h", "dof")
 
 
-@query("mann_whitney", f"""WITH {AFFECTS}, x AS (SELECT topic AS g, joy_global AS v FROM affect WHERE joy_global IS NOT NULL), p AS (SELECT a.g AS a, b.g AS b FROM (SELECT DISTINCT g FROM x) a JOIN (SELECT DISTINCT g FROM x) b ON a.g < b.g),
+_DESCRIBED = "m AS (SELECT g, avg(v) AS mean, median(v) AS median FROM x GROUP BY 1)"
+
+
+@query("mann_whitney", f"""WITH {AFFECTS}, x AS (SELECT topic AS g, joy_global AS v FROM affect WHERE joy_global IS NOT NULL), {_DESCRIBED}, p AS (SELECT a.g AS a, b.g AS b FROM (SELECT DISTINCT g FROM x) a JOIN (SELECT DISTINCT g FROM x) b ON a.g < b.g),
     y AS (SELECT p.a, p.b, x.g, x.v FROM p JOIN x ON x.g = p.a OR x.g = p.b), r AS (SELECT *, rank() OVER (PARTITION BY a, b ORDER BY v) + (count(*) OVER (PARTITION BY a, b, v) - 1) / 2 AS r FROM y),
-    s AS (SELECT a, b, sum(CASE WHEN g = a THEN r END) AS ra, count(*) FILTER (WHERE g = a) AS na, count(*) FILTER (WHERE g = b) AS nb FROM r GROUP BY 1, 2)
-    SELECT a, b, na, nb, round(ra - na * (na + 1) / 2, 4) AS u, round(2 * (ra - na * (na + 1) / 2) / (na * nb) - 1, 6) AS rank_biserial FROM s""")
+    s AS (SELECT a, b, sum(CASE WHEN g = a THEN r END) AS ra, count(*) FILTER (WHERE g = a) AS na, count(*) FILTER (WHERE g = b) AS nb FROM r GROUP BY 1, 2), t AS (SELECT a, b, sum(c * c * c) AS t FROM (SELECT a, b, count(*) AS c FROM y GROUP BY a, b, v) GROUP BY 1, 2),
+    u AS (SELECT *, ra - na * (na + 1) / 2 AS u, sqrt(na * nb / 12.0 * (na + nb + 1 - (t - na - nb) / ((na + nb) * (na + nb - 1)))) AS sd FROM s JOIN t USING (a, b))
+    SELECT a, b, na, nb, round(u, 4) AS u, round(2 * u / (na * nb) - 1, 6) AS rank_biserial, round(greatest(abs(u - na * nb / 2) - 0.5, 0) / nullif(sd, 0), 6) AS z, t > na + nb AS tied,
+           round(ma.mean, 6) AS mean_a, round(mb.mean, 6) AS mean_b, round(ma.median, 6) AS median_a, round(mb.median, 6) AS median_b FROM u JOIN m ma ON ma.g = a JOIN m mb ON mb.g = b""")
 def mann_whitney(spark, d):
     m = st.mann_whitney(affect(spark, d).where("joy_global is not null"), "topic", "joy_global")
-    return m.select("a", "b", "na", "nb", F.round("u", 4).alias("u"), F.round("rank_biserial", 6).alias("rank_biserial"))
+    return _rounded(m.withColumn("u", F.round("u", 4)), "rank_biserial", "z", "mean_a", "mean_b", "median_a", "median_b")
 
 
 @query("mann_whitney_p")
 def mann_whitney_p(spark, d):
-    return st.with_normal_p(st.mann_whitney(affect(spark, d).where("joy_global is not null"), "topic", "joy_global"), "z")
+    return st.with_rank_sum_p(st.mann_whitney(affect(spark, d).where("joy_global is not null"), "topic", "joy_global"))
 
 
-@query("ks_two_sample", f"""WITH {AFFECTS}, x AS (SELECT topic AS g, joy_global AS v FROM affect WHERE joy_global IS NOT NULL), p AS (SELECT a.g AS a, b.g AS b FROM (SELECT DISTINCT g FROM x) a JOIN (SELECT DISTINCT g FROM x) b ON a.g < b.g),
+@query("ks_two_sample", f"""WITH {AFFECTS}, x AS (SELECT topic AS g, joy_global AS v FROM affect WHERE joy_global IS NOT NULL), {_DESCRIBED}, p AS (SELECT a.g AS a, b.g AS b FROM (SELECT DISTINCT g FROM x) a JOIN (SELECT DISTINCT g FROM x) b ON a.g < b.g),
     y AS (SELECT p.a, p.b, x.v, count(*) FILTER (WHERE x.g = p.a) AS ca, count(*) FILTER (WHERE x.g = p.b) AS cb FROM p JOIN x ON x.g = p.a OR x.g = p.b GROUP BY 1, 2, 3),
     z AS (SELECT a, b, sum(ca) OVER w / sum(ca) OVER (PARTITION BY a, b) AS fa, sum(cb) OVER w / sum(cb) OVER (PARTITION BY a, b) AS fb FROM y WINDOW w AS (PARTITION BY a, b ORDER BY v))
-    SELECT a, b, round(max(abs(fa - fb)), 6) AS d FROM z GROUP BY 1, 2""")
+    SELECT a, b, round(max(abs(fa - fb)), 6) AS d, round(any_value(ma.mean), 6) AS mean_a, round(any_value(mb.mean), 6) AS mean_b, round(any_value(ma.median), 6) AS median_a, round(any_value(mb.median), 6) AS median_b
+    FROM z JOIN m ma ON ma.g = a JOIN m mb ON mb.g = b GROUP BY 1, 2""")
 def ks_two_sample(spark, d):
-    return _rounded(st.ks_two_sample(affect(spark, d).where("joy_global is not null"), "topic", "joy_global"), "d").select("a", "b", "d")
+    t = st.ks_two_sample(affect(spark, d).where("joy_global is not null"), "topic", "joy_global")
+    return _rounded(t, "d", "mean_a", "mean_b", "median_a", "median_b").drop("na", "nb")
+
+
+@query("ks_two_sample_p")
+def ks_two_sample_p(spark, d):
+    return st.with_ks_p(st.ks_two_sample(affect(spark, d).where("joy_global is not null"), "topic", "joy_global"))
+
+
+# The chi-square tail by its finite sums: of exponentials for even degrees, and for odd ones of half powers after
+# the normal tail, whose series is summed.
+_CHI2_P = """CASE WHEN dof % 2 = 0 THEN exp(-chi2 / 2) * list_sum(list_transform(range(0, CAST(dof // 2 AS BIGINT)), lambda i: pow(chi2 / 2, i) / gamma(i + 1)))
+    ELSE CASE WHEN chi2 > 50 THEN 0 ELSE 1 - 2 / sqrt(pi()) * list_sum(list_transform(range(0, 150), lambda i: pow(-1, i) * pow(sqrt(chi2 / 2), 2 * i + 1) / (gamma(i + 1) * (2 * i + 1)))) END
+         + coalesce(exp(-chi2 / 2) * list_sum(list_transform(range(1, CAST((dof - 1) // 2 + 1 AS BIGINT)), lambda i: pow(chi2 / 2, i - 0.5) / gamma(i + 0.5))), 0) END"""
 
 
 @query("chi2_contingency", f"""WITH {DOMINANT}, c AS (SELECT topic AS r, coalesce(global_label, 'unavailable') AS c, count(*) AS n FROM dom GROUP BY 1, 2), g AS (SELECT x.r, y.c FROM (SELECT DISTINCT r FROM c) x CROSS JOIN (SELECT DISTINCT c FROM c) y),
-    f AS (SELECT r, c, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (r, c)), e AS (SELECT n, sum(n) OVER (PARTITION BY r) * sum(n) OVER (PARTITION BY c) / sum(n) OVER () AS e FROM f)
-    SELECT round((SELECT sum((n - e) * (n - e) / e) FROM e), 6) AS chi2, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS BIGINT) AS dof, CAST(sum(n) AS BIGINT) AS total FROM f""")
+    f AS (SELECT r, c, coalesce(n, 0) AS n FROM g LEFT JOIN c USING (r, c)), e AS (SELECT n, sum(n) OVER (PARTITION BY r) * sum(n) OVER (PARTITION BY c) / sum(n) OVER () AS e FROM f),
+    t AS (SELECT (SELECT sum((n - e) * (n - e) / e) FROM e) AS chi2, CAST((count(DISTINCT r) - 1) * (count(DISTINCT c) - 1) AS BIGINT) AS dof, CAST(sum(n) AS BIGINT) AS total FROM f)
+    SELECT round(chi2, 6) AS chi2, dof, total, round({_CHI2_P}, 6) AS p_value FROM t""")
 def chi2_contingency(spark, d):
-    return _rounded(st.chi2_contingency(_pairs(spark, d), "topic", "global_label"), "chi2")
+    t = st.with_chi2_p(st.chi2_contingency(_pairs(spark, d), "topic", "global_label"), "chi2", "dof")
+    return _rounded(t, "chi2", "p_value")
 
 
 @query("bh_qvalues", f"""WITH {AFFECTS}, t AS (SELECT key, joy_global AS p FROM affect WHERE joy_global IS NOT NULL), r AS (SELECT *, row_number() OVER (ORDER BY p, key) AS i, count(*) OVER () AS m FROM t)

@@ -179,13 +179,6 @@ def test_a_batch_tried_again_replaces_its_output(spark, tmp_path):
     for number in (0, 1, 1, 0):
         write(df.withColumn("n", F.lit(number)), number)
     assert spark.read.parquet(str(tmp_path / "w")).count() == 10
-    source = str(tmp_path / "s")
-    for lo in (0, 3):
-        df.where(F.col("key") >= lo).withColumn("seq", F.col("seq") + lo).write.mode("append").parquet(source)
-    stream = spark.readStream.schema("key long, seq long").option("maxFilesPerTrigger", 1).parquet(source)
-    for _ in range(2):  # the second run starts with a new checkpoint, so every batch is tried again
-        t = streams.stream_upsert(spark, stream, "key", "seq", str(tmp_path / "t"), str(tmp_path / f"c{_}"))
-        assert sorted(map(tuple, t.collect())) == [(0, 0), (1, 1), (2, 2), (3, 6), (4, 7)]
 
 
 def test_rank_tests_of_all_pairs(spark):
