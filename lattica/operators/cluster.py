@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 import pandas as pd
@@ -34,11 +35,16 @@ def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return zscore(df, columns)
 
 
-def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = (1, 2, 3)) -> DataFrame:
+#: Starts of k-means, and how many of them are fitted at a time.
+STARTS, AT_ONCE = 20, 4
+
+
+def kmeans(df: DataFrame, k: int, seeds: Sequence[int] = tuple(range(1, STARTS + 1))) -> DataFrame:
     """Rows with a ``cluster``, by the cheapest of several seeded k-means models on ``features``."""
     data = df.persist()
     try:
-        models = [KMeans(k=k, seed=s, maxIter=30).fit(data) for s in seeds]
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            models = list(pool.map(lambda s: KMeans(k=k, seed=s, maxIter=30).fit(data), seeds))
         best = min(models, key=lambda m: m.summary.trainingCost)
     finally:
         data.unpersist()

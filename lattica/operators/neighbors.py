@@ -1,14 +1,12 @@
-"""Nearest centroids, scores of all references, votes, and fuzzy names.
+"""Nearest centroids, scores of all references, and votes.
 
-Searches of vectors are in `cells`, those of bit hashes in `hashes`."""
+Searches of vectors are in `cells`, those of bit hashes in `hashes`, those of names in `names`."""
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -17,6 +15,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import hamming, l2_normalise
 from .cells import best_of, knn_topk, matrix, radius_join_euclid  # noqa: F401
 from .hashes import hamming_nearest, radius_join_hamming  # noqa: F401
+from .names import fuzzy_match_topk  # noqa: F401
 from .relational import checkpointed, numbered
 
 #: Centroids up to this number of rows, and of numbers, are sent to every task as they are.
@@ -122,6 +121,12 @@ def radius_vote(neighbours: DataFrame, labels: DataFrame, queries: DataFrame, by
     return queries.select(F.col("key").alias("a")).join(best, "a", "left").select(F.col("a").alias("key"), F.coalesce(-F.col("m.l"), F.lit(reject)).alias("label"))
 
 
+def capped_pairs(pairs: DataFrame, labels: DataFrame, cap: int) -> DataFrame:
+    """The pairs (a, b) whose b is among the first ``cap`` sets of its label; labels: set, label."""
+    first = labels.withColumn("_r", F.row_number().over(W.partitionBy("label").orderBy("set"))).where(F.col("_r") <= cap)
+    return pairs.join(first.select(F.col("set").alias("b")), "b", "left_semi")
+
+
 def mutual_match_ratio(descriptors: DataFrame, pairs: DataFrame) -> DataFrame:
     """1 - mutual nearest pairs / the larger number of descriptors, for pairs (a, b) of sets;
     descriptors: set, id, hash.  Sets without descriptors are at distance 1."""
@@ -134,45 +139,3 @@ def mutual_match_ratio(descriptors: DataFrame, pairs: DataFrame) -> DataFrame:
     out = pairs.join(m, ["a", "b"], "left").join(sizes.select(F.col("set").alias("a"), F.col("n").alias("na")), "a", "left").join(sizes.select(F.col("set").alias("b"), F.col("n").alias("nb")), "b", "left")
     most = F.greatest("na", "nb")
     return out.select("a", "b", F.coalesce("matches", F.lit(0)).alias("matches"), F.when(F.col("na").isNull() | F.col("nb").isNull(), 1.0).otherwise(1 - F.coalesce("matches", F.lit(0)) / most).alias("distance"))
-
-
-def token_scores(query: Column, candidate: Column) -> tuple[Column, Column]:
-    """Jaccard similarity of the words, and the share of the longer name that a contained one is."""
-    a, b = (F.array_distinct(F.split(c, " ")) for c in (query, candidate))
-    jaccard = F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
-    contains = F.contains(candidate, query) | F.contains(query, candidate)
-    containment = F.when(contains, F.least(F.length(query), F.length(candidate)) / F.greatest(F.length(query), F.length(candidate))).otherwise(0.0)
-    return jaccard, containment
-
-
-def _grams(name: Column) -> Column:
-    """Distinct strings of three characters of a padded name."""
-    padded = F.concat(F.lit("  "), name, F.lit(" "))
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda i: F.substr(padded, i, F.lit(3))))
-
-
-def fuzzy_match_topk(queries: DataFrame, candidates: DataFrame, k: int, with_sequence: bool = False) -> DataFrame:
-    """The k best candidates (row_id, name) of every query (name) among those that share a word,
-    or, with the sequence ratio, a string of three characters: the largest of the token scores, and
-    optionally that ratio, times 100; ties go to the larger row_id.
-
-    A shared word is three characters in common, so the token scores lose nothing by the second
-    blocking; the ratio of names without three characters in a row in common is not looked at.
-    """
-
-    def parts(c: str) -> Column:
-        return _grams(F.col(c)) if with_sequence else F.array_distinct(F.split(c, " "))
-
-    q = queries.select(F.col("name").alias("query"))
-    words = candidates.select("row_id", "name", F.explode(parts("name")).alias("w"))
-    pairs = q.select("query", F.explode(parts("query")).alias("w")).join(words, "w").select("query", "row_id", "name").distinct()
-    score = F.greatest(*token_scores(F.col("query"), F.col("name")))
-    if with_sequence:
-
-        @F.pandas_udf("double")
-        def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-            return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
-
-        score = F.greatest(score, ratio("query", "name"))
-    scored = pairs.withColumn("score", F.round(score * 100, 4))
-    return scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), F.desc("row_id")))).where(F.col("rank") <= k)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars as sc
 from ..operators import cluster as cl
+from ..operators import agglomerate, names
 from ..operators import neighbors as nb
 from ..operators import popularity as pop
 from ..operators import relational as rel
@@ -228,15 +229,16 @@ def threshold_sweep(spark, d):
     return x.groupBy("s", "m").agg(F.round(F.avg(ok.cast("int")), 6).alias("rate")).select((F.col("s") / 20.0).alias("tau"), (F.col("m") / 50.0).alias("delta"), "rate")
 
 
-@query("mutual_match_ratio", f"""WITH {HASHES}, ds AS (SELECT key // 60 AS s, key, hash FROM hashes), p AS (SELECT a.s AS a, b.s AS b, a.key AS i, b.key AS j, bit_count(xor(a.hash, b.hash)) AS d FROM ds a JOIN ds b ON b.s BETWEEN a.s + 1 AND a.s + 3),
+@query("mutual_match_ratio", f"""WITH {HASHES}, ds AS (SELECT key // 60 AS s, key, hash FROM hashes), ref AS (SELECT s, row_number() OVER (PARTITION BY s % 4 ORDER BY s) AS r FROM (SELECT DISTINCT s FROM ds)),
+    p AS (SELECT a.s AS a, b.s AS b, a.key AS i, b.key AS j, bit_count(xor(a.hash, b.hash)) AS d FROM ds a JOIN ds b ON b.s BETWEEN a.s + 1 AND a.s + 3 JOIN ref ON ref.s = b.s AND ref.r <= 20),
     r AS (SELECT a, b, row_number() OVER (PARTITION BY a, b, i ORDER BY d, j) AS ra, row_number() OVER (PARTITION BY a, b, j ORDER BY d, i) AS rb FROM p), n AS (SELECT s, count(*) AS n FROM ds GROUP BY 1), m AS (SELECT a, b, count(*) FILTER (WHERE ra = 1 AND rb = 1) AS m FROM r GROUP BY 1, 2)
     SELECT a, b, m AS matches, round(1 - m / greatest(x.n, y.n), 6) AS distance FROM m JOIN n x ON x.s = a JOIN n y ON y.s = b""")
 def mutual_match_ratio(spark, d):
     ds = hashes(spark, d).select(F.floor(F.col("key") / 60).alias("set"), F.col("key").alias("id"), "hash")
     s = ds.select("set").distinct()
-    # A set is matched with the three that follow it.
+    # A set is matched with the three that follow it, of which a label has twenty references.
     near = s.select(F.col("set").alias("a"), F.explode(F.array(*(F.col("set") + i for i in (1, 2, 3)))).alias("b"))
-    pairs = near.join(s.select(F.col("set").alias("b")), "b", "left_semi")
+    pairs = nb.capped_pairs(near, s.withColumn("label", F.col("set") % 4), 20)
     return _r(nb.mutual_match_ratio(ds, pairs), "distance")
 
 
@@ -315,8 +317,8 @@ def annotation_progress(spark, d):
     return x.agg(F.count_if(F.col("quality").isNotNull() & F.col("toxic").isNotNull()).alias("reviewed"), F.min(F.when(F.col("quality").isNull(), F.col("doc_id"))).alias("first_open"))
 
 
-_FUZZY = f"""{NAMES}, w AS (SELECT row_id, name, unnest(list_distinct(string_split(name, ' '))) AS w FROM candidates), p AS (SELECT DISTINCT n.name AS query, w.row_id, w.name FROM (SELECT name, unnest(list_distinct(string_split(name, ' '))) AS w FROM names) n JOIN w ON n.w = w.w),
-    s AS (SELECT query, row_id, round(100 * greatest(len(list_intersect(string_split(query, ' '), string_split(name, ' '))) / len(list_distinct(list_concat(string_split(query, ' '), string_split(name, ' ')))), CASE WHEN contains(name, query) OR contains(query, name) THEN least(length(query), length(name)) / greatest(length(query), length(name)) ELSE 0 END), 4) AS score FROM p),
+_FUZZY = f"""{NAMES}, n AS (SELECT name AS query, list_distinct(string_split(name, ' ')) AS a FROM names), c AS (SELECT row_id, name, list_distinct(string_split(name, ' ')) AS b FROM candidates),
+    s AS (SELECT query, row_id, round(100 * greatest(len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))), CASE WHEN contains(name, query) OR contains(query, name) THEN least(length(query), length(name)) / greatest(length(query), length(name)) ELSE 0 END), 4) AS score FROM n, c),
     r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query ORDER BY score DESC, row_id DESC) AS INTEGER) AS rank FROM s)"""
 
 
@@ -340,10 +342,7 @@ def fuzzy_match_sequence(spark, d):
 def image_name_lookup(spark, d):
     n, c = _names(spark, d)
     exact = n.join(c.select("name", F.col("name").alias("image")), "name", "left")
-    rest = exact.where("image is null").select("name")
-    # Residual containment by the first word, which every containing name has.
-    found = rest.withColumn("w", F.split("name", " ")[0]).join(c.select(F.col("name").alias("image"), F.explode(F.array_distinct(F.split("name", " "))).alias("w")), "w").where(F.contains(F.concat(F.lit(" "), "image", F.lit(" ")), F.concat(F.lit(" "), "name", F.lit(" "))))
-    best = found.groupBy("name").agg(F.min("image").alias("found"))
+    best = names.containing_name(exact.where("image is null"), c)
     return exact.join(best, "name", "left").select("name", F.coalesce("image", "found").alias("image"))
 
 
@@ -385,7 +384,9 @@ def gmm_features(spark, d):
 
 @query("hier_features")
 def hier_features(spark, d):
-    return _clustered(spark, d, cl.bisecting).select("template_key", "cluster")
+    z = cl.checkpointed(cl.standardise(_features(spark, d).select("template_key", *FEATURES), FEATURES))
+    v = z.withColumn("v", F.array(*(F.coalesce(c, F.lit(0.0)) for c in FEATURES)))
+    return agglomerate.ward_clusters(v, "template_key", "v", 5).select("template_key", "cluster")
 
 
 @query("cluster_profiles")
@@ -445,7 +446,8 @@ def temporal_clusters(spark, d):
 @query("kmeans_vectors")
 def kmeans_vectors(spark, d):
     v = vectors(spark, d)
-    return cl.kmeans(cl.vectorised(v, "v"), 10, (1,)).select("key", "cluster")
+    k = v.select("template").distinct().count()
+    return cl.kmeans(cl.vectorised(v, "v"), k, (1,)).select("key", "cluster")
 
 
 @query("pca_reduce")
@@ -514,16 +516,30 @@ def multinomial_logreg(spark, d):
     r AS (SELECT id, id AS c FROM ids UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id), cc AS (SELECT id, min(c) AS c FROM r GROUP BY 1), k AS (SELECT c, name, row_number() OVER (PARTITION BY c ORDER BY n DESC, ids.id) AS r, count(*) OVER (PARTITION BY c) AS variants FROM ids JOIN cc USING (id))
     SELECT ids.name, k.name AS canonical, k.variants FROM ids JOIN cc USING (id) JOIN k ON k.c = cc.c AND k.r = 1""")
 def label_canonicalise(spark, d):
-    names = table(spark, d, "part").select(sc.norm_synonyms("p_name").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
-    ids = cl.checkpointed(rel.numbered(names, "id", "name"))
-    words = ids.select("id", F.explode(F.array_distinct(F.split("name", " "))).alias("w"), F.size(F.array_distinct(F.split("name", " "))).alias("s"))
-    common = words.alias("x").join(words.alias("y"), "w").where("x.id < y.id").groupBy(F.col("x.id").alias("a"), F.col("y.id").alias("b")).agg((F.count("*") / F.sqrt(F.first("x.s") * F.first("y.s"))).alias("cosine"))
-    found = cl.components(ids.select("id"), common.where("cosine >= 0.8").select("a", "b"))
+    ids = _spellings(spark, d)
+    found = cl.components(ids.select("id"), names.cosine_pairs(ids, 0.8).select("a", "b"))
     named = ids.join(found, "id")
     best = named.groupBy("component").agg(F.max_by("name", F.struct("n", (-F.col("id")).alias("i"))).alias("canonical"), F.count("*").alias("variants"))
     return named.join(best, "component").select("name", "canonical", "variants")
 
 
+def _spellings(spark, d):
+    n = table(spark, d, "part").select(sc.norm_synonyms("p_name").alias("name")).groupBy("name").agg(F.count("*").alias("n"))
+    return cl.checkpointed(rel.numbered(n, "id", "name"))
+
+
+@query("label_canonicalise_average")
+def label_canonicalise_average(spark, d):
+    """As label_canonicalise, by average linkage up to a cosine distance of 0.2."""
+    ids = _spellings(spark, d)
+    near = cl.checkpointed(names.cosine_pairs(ids, 0.8))
+    every = names.cosine_pairs(ids, 0.8, agglomerate.pairs_of_components(ids, near))
+    joins = agglomerate.merges(ids, every.select("a", "b", (1 - F.col("cosine")).alias("value")), "average", 0.2 + 1e-9)
+    named = ids.join(agglomerate.cut(ids, joins), "id")
+    best = named.groupBy("cluster").agg(F.max_by("name", F.struct("n", (-F.col("id")).alias("i"))).alias("canonical"), F.count("*").alias("variants"))
+    return named.join(best, "cluster").select("name", "canonical", "variants")
+
+
 @query("centroid_text_assign", f"WITH {_CENTRES} SELECT key, best_score >= 0.3 AND margin >= 0.01 AS accepted, CASE WHEN best_score >= 0.3 AND margin >= 0.01 THEN best_label ELSE -1 END AS label FROM open")
 def centroid_text_assign(spark, d):
     v = vectors(spark, d)

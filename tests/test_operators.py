@@ -149,30 +149,6 @@ def test_reduction_is_that_of_the_singular_vectors(spark):
     assert all(np.abs(x.reduced) == pytest.approx(np.abs(p[x.key]), abs=1e-6) for x in out)
 
 
-def test_names_match_by_sequence(spark):
-    """All pairs with three characters in a row in common, by the plain ratio."""
-    g = np.random.default_rng(11)
-    words = ["drake", "darke", "hotline", "hot", "line", "distracted", "boyfriend", "boy"]
-    names = sorted({" ".join(g.choice(words, g.integers(1, 4))) for _ in range(25)})
-    q, c = names[::2], names[1::2]
-    queries = spark.createDataFrame([(x,) for x in q], "name string")
-    candidates = spark.createDataFrame(list(enumerate(c)), "row_id long, name string")
-    got = {(x.query, x["rank"]): (x.row_id, x.score) for x in neighbors.fuzzy_match_topk(queries, candidates, 2, True).collect()}
-
-    def grams(x):
-        x = f"  {x} "
-        return {x[i : i + 3] for i in range(len(x) - 2)}
-
-    def score(a, b):
-        x, y = set(a.split()), set(b.split())
-        held = min(len(a), len(b)) / max(len(a), len(b)) if a in b or b in a else 0
-        return round(100 * max(len(x & y) / len(x | y), held, difflib.SequenceMatcher(None, a, b).ratio()), 4)
-
-    for a in q:
-        best = sorted(((-score(a, b), -i) for i, b in enumerate(c) if grams(a) & grams(b)))[:2]
-        assert [got.get((a, n)) for n in (1, 2)] == [(-i, -s) for s, i in best] + [None] * (2 - len(best))
-
-
 def test_a_batch_tried_again_replaces_its_output(spark, tmp_path):
     df = spark.range(5).select(F.col("id").alias("key"), F.col("id").alias("seq"))
     write = streams._batch_writer(str(tmp_path / "w"), lambda x, number: x)
