@@ -53,26 +53,37 @@ def top2(queries: DataFrame, centroids: DataFrame, key: str, vector: str, label:
     A vector that is null, of another length, or not finite has null scores; null labels take no part.  Without
     centroids there is no row.
     """
-    rows = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
-    kinds = rows.schema["key"].dataType.simpleString(), centroids.schema[label].dataType.simpleString()
-    c = centroids.where(F.col(label).isNotNull() & F.col("centroid").isNotNull()).select(F.col(label).alias("label"), F.col("centroid").cast("array<double>").alias("c"))
-    n, numbers = c.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
-    spark = queries.sparkSession
-    schema = f"key {kinds[0]}, best_label {kinds[1]}, best_score double, second_score double"
-    if not n:
-        out = spark.createDataFrame([], schema)
-    elif n <= BROADCAST_ROWS and numbers <= BROADCAST_NUMBERS:
-        t = c.orderBy("label").toArrow()
-        shared = spark.sparkContext.broadcast((t["label"].to_pylist(), matrix(t["c"])))
-        out = rows.mapInArrow(_two_best(shared, t.schema.field("label").type), schema)
-    else:
-        numbered_rows = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
-        labels = checkpointed(numbered(c, "ref", "label"))
-        found = knn_topk(numbered_rows.select(F.col("row").alias("key"), "v"), labels.select(F.col("ref").alias("key"), F.col("c").alias("v")), 2)
-        named = found.join(labels.select("ref", "label"), "ref")
-        two = named.groupBy(F.col("key").alias("row")).agg(F.min_by("label", "rank").alias("best_label"), F.min_by("score", "rank").alias("best_score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second_score"))
-        out = numbered_rows.join(two, "row", "left").select("key", "best_label", "best_score", "second_score")
-    return out.withColumnRenamed("key", key).withColumn("margin", F.col("best_score") - F.col("second_score"))
+    return Centroids(centroids, label).top2(queries, key, vector)
+
+
+class Centroids:
+    """Centroids made ready for `top2`, once for any number of query tables."""
+
+    def __init__(self, centroids: DataFrame, label: str):
+        c = centroids.where(F.col(label).isNotNull() & F.col("centroid").isNotNull()).select(F.col(label).alias("label"), F.col("centroid").cast("array<double>").alias("c"))
+        self.rows, numbers = c.agg(F.count("*"), F.coalesce(F.sum(F.size("c")), F.lit(0))).first()
+        self.kind, self.shared, self.numbered = c.schema["label"].dataType, None, None
+        if 0 < self.rows <= BROADCAST_ROWS and numbers <= BROADCAST_NUMBERS:
+            t = c.orderBy("label").toArrow()
+            self.arrow = t.schema.field("label").type
+            self.shared = c.sparkSession.sparkContext.broadcast((t["label"].to_pylist(), matrix(t["c"])))
+        elif self.rows:
+            self.numbered = checkpointed(numbered(c, "ref", "label"))
+
+    def top2(self, queries: DataFrame, key: str, vector: str) -> DataFrame:
+        rows = queries.select(F.col(key).alias("key"), F.col(vector).cast("array<double>").alias("v"))
+        schema = f"key {rows.schema['key'].dataType.simpleString()}, best_label {self.kind.simpleString()}, best_score double, second_score double"
+        if self.shared is not None:
+            out = rows.mapInArrow(_two_best(self.shared, self.arrow), schema)
+        elif self.numbered is None:
+            out = queries.sparkSession.createDataFrame([], schema)
+        else:
+            asked = checkpointed(rows.withColumn("row", F.monotonically_increasing_id()))
+            found = knn_topk(asked.select(F.col("row").alias("key"), "v"), self.numbered.select(F.col("ref").alias("key"), F.col("c").alias("v")), 2)
+            named = found.join(self.numbered.select("ref", "label"), "ref")
+            two = named.groupBy(F.col("key").alias("row")).agg(F.min_by("label", "rank").alias("best_label"), F.min_by("score", "rank").alias("best_score"), F.max(F.when(F.col("rank") == 2, F.col("score"))).alias("second_score"))
+            out = asked.join(two, "row", "left").select("key", "best_label", "best_score", "second_score")
+        return out.withColumnRenamed("key", key).withColumn("margin", F.col("best_score") - F.col("second_score"))
 
 
 def _two_best(shared, kind: pa.DataType):

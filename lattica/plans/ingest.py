@@ -64,10 +64,10 @@ def read_affect_jsonl(spark, d):
 
 
 def _keyed(spark, d, cut: bool):
-    """One document of topics for every source."""
+    """Documents of topics, of five hundred records at most."""
     k = F.col("doc_id")
     record = F.concat(F.lit('"'), k.cast("string"), F.lit('": {"topic": '), (k % 7).cast("string"), F.lit(', "probability": '), ((k % 100) / 100).cast("string"), F.lit("}"))
-    docs = table(spark, d, "documents").groupBy("source").agg(F.array_join(F.array_sort(F.collect_list(record)), ", ").alias("v"))
+    docs = table(spark, d, "documents").groupBy(F.floor(k / 500).alias("part")).agg(F.array_join(F.array_sort(F.collect_list(record)), ", ").alias("v"))
     return docs.select(F.concat(F.lit("{"), "v", F.lit(', "cut": {"topic": 1, "pro' if cut else "}")).alias("value"))
 
 

@@ -389,15 +389,38 @@ def hier_features(spark, d):
     return agglomerate.ward_clusters(v, "template_key", "v", 5).select("template_key", "cluster")
 
 
-@query("cluster_profiles")
+# Clusters that the table gives: the length of a template's name.
+_Z = ", ".join(f"CASE WHEN stddev_pop({c}) OVER () > 0 THEN ({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER () ELSE 0 END AS {c}" for c in FEATURES)
+_PROFILED = f"""{FEATURES_SQL}, z AS (SELECT template_key, CAST(length(template_key) % 4 AS INTEGER) AS cluster, {_Z} FROM features),
+    means AS (SELECT cluster, count(*) AS size, {', '.join(f'avg({c}) AS {c}' for c in FEATURES)} FROM z GROUP BY 1),
+    profiles AS (SELECT cluster, size, {', '.join(' + '.join(f'{x} * {c}' for c, x in w.items()) + f' AS score_{n}' for n, w in WEIGHTS.items())} FROM means)"""
+
+
+def _given(spark, d):
+    z = cl.standardise(_features(spark, d).select("template_key", *FEATURES), FEATURES)
+    return cl.checkpointed(z.withColumn("cluster", F.length("template_key") % 4))
+
+
+@query("cluster_profiles", f"WITH {_PROFILED} SELECT cluster, size, {', '.join(f'round(score_{n}, 4) AS score_{n}' for n in WEIGHTS)} FROM profiles")
 def cluster_profiles(spark, d):
-    p = cl.cluster_profiles(_clustered(spark, d, cl.kmeans), FEATURES, WEIGHTS)
+    p = cl.cluster_profiles(_given(spark, d), FEATURES, WEIGHTS)
     return p.select("cluster", "size", *(F.round(f"score_{n}", 4).alias(f"score_{n}") for n in WEIGHTS))
 
 
-@query("cluster_naming")
+@query("cluster_naming", f"""WITH {_PROFILED}, s AS (SELECT cluster, unnest([{', '.join(f"'{n}'" for n in WEIGHTS)}]) AS name, unnest([{', '.join(f'score_{n}' for n in WEIGHTS)}]) AS score FROM profiles),
+    best AS (SELECT [a.name, b.name, c.name, e.name] AS names FROM s a, s b, s c, s e WHERE a.cluster = 0 AND b.cluster = 1 AND c.cluster = 2 AND e.cluster = 3 AND len(list_distinct([a.name, b.name, c.name, e.name])) = 4
+             ORDER BY a.score + b.score + c.score + e.score DESC LIMIT 1)
+    SELECT cluster, names[cluster + 1] AS name FROM profiles, best""")
 def cluster_naming(spark, d):
-    return cl.cluster_naming(cl.checkpointed(cl.cluster_profiles(_clustered(spark, d, cl.kmeans), FEATURES, WEIGHTS)), list(WEIGHTS))
+    return cl.cluster_naming(cl.checkpointed(cl.cluster_profiles(_given(spark, d), FEATURES, WEIGHTS)), list(WEIGHTS))
+
+
+@query("cluster_naming_kmeans")
+def cluster_naming_kmeans(spark, d):
+    """Clusters of k-means with their sizes, scores and names."""
+    p = cl.checkpointed(cl.cluster_profiles(_clustered(spark, d, cl.kmeans), FEATURES, WEIGHTS))
+    named = cl.cluster_naming(p, list(WEIGHTS))
+    return p.join(named, "cluster").select("cluster", "size", "name", *(F.round(f"score_{n}", 4).alias(f"score_{n}") for n in WEIGHTS))
 
 
 @query("cluster_robustness")
@@ -410,9 +433,12 @@ def cluster_robustness(spark, d):
     return out.select("k", "cluster", "size", *(F.round(c, 4).alias(c) for c in FEATURES))
 
 
-@query("representative_template")
+@query("representative_template", f"""WITH {_PROFILED}, d AS (SELECT z.cluster, z.template_key, round(sqrt({' + '.join(f'(z.{c} - means.{c}) * (z.{c} - means.{c})' for c in FEATURES)}), 9) AS d, posts
+        FROM z JOIN means USING (cluster) JOIN (SELECT template_key, count(*) AS posts FROM prepared GROUP BY 1) n ON n.template_key = z.template_key),
+    r AS (SELECT *, dense_rank() OVER (PARTITION BY cluster ORDER BY d) + 0.65 * dense_rank() OVER (PARTITION BY cluster ORDER BY posts DESC) AS r FROM d),
+    p AS (SELECT cluster, template_key, CAST(row_number() OVER (PARTITION BY cluster ORDER BY r, template_key) AS INTEGER) AS place FROM r) SELECT * FROM p WHERE place <= 3""")
 def representative_template(spark, d):
-    z = _clustered(spark, d, cl.kmeans).withColumn("v", F.array(*FEATURES)).select("template_key", "cluster", "v")
+    z = _given(spark, d).withColumn("v", F.array(*FEATURES)).select("template_key", "cluster", "v")
     n = pop.prepare_posts(posts(spark, d)).groupBy("template_key").agg(F.count("*").alias("posts"))
     return cl.representatives(z.join(n, "template_key"), "template_key", "posts", 3)
 
@@ -497,18 +523,12 @@ def class_keywords_vectors(spark, d):
 
 @query("multinomial_logreg")
 def multinomial_logreg(spark, d):
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.functions import vector_to_array
-
-    t = texts(spark, d).select("key", "class", F.array(*(F.length(F.translate(F.lower("local_text"), c, "")) / F.greatest(F.length("local_text"), F.lit(1)) for c in "éñüçßöthe")).alias("x"))
+    """Classes of texts by a weighted logistic regression on hashed tf-idf terms; every fifth row is held
+    out."""
     order = F.array(*map(F.lit, ("en", "fr", "de", "es")))
-    t = cl.vectorised(t, "x").withColumn("y", (F.array_position(order, F.col("class")) - 1).cast("double"))
-    sizes = t.groupBy("y").agg(F.count("*").alias("n_c"))
-    n, k = sizes.agg(F.sum("n_c"), F.count("*")).first()
-    train = t.where("key % 5 <> 0").join(F.broadcast(sizes), "y").withColumn("weight", n / (k * F.col("n_c")))
-    m = LogisticRegression(family="multinomial", labelCol="y", weightCol="weight", regParam=1.0 / max(n, 1), standardization=False, maxIter=30).fit(train)
-    p = m.transform(t.where("key % 5 = 0"))
-    return p.select("key", "class", F.get(order, F.col("prediction").cast("int")).alias("predicted"), F.round(F.array_max(vector_to_array("probability")), 4).alias("confidence"))
+    t = texts(spark, d).select("key", "class", sc.tokenise_letters(F.coalesce("local_text", F.lit(""))).alias("tokens")).withColumn("y", (F.array_position(order, F.col("class")) - 1).cast("double")).where("y >= 0")
+    model, p = cl.text_classifier(t.where("key % 5 <> 0"), t.where("key % 5 = 0"), "tokens", "y")
+    return p.select("key", "class", F.get(order, F.col("prediction").cast("int")).alias("predicted"), F.round("confidence", 4).alias("confidence"))
 
 
 @query("label_canonicalise", f"""WITH RECURSIVE nm AS (SELECT {SYNONYMS_SQL.format(s='p_name')} AS name, count(*) AS n FROM part GROUP BY 1), ids AS (SELECT *, row_number() OVER (ORDER BY name) AS id FROM nm),

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.neighbors import assign_open_set, top2
+from ..operators.neighbors import Centroids, assign_open_set
 from ..operators.relational import last_per_key
 
 
@@ -41,8 +41,9 @@ def stream_volume(events: DataFrame, time: str, key: str, window: str = "1 day",
 
 
 def stream_assign(vectors: DataFrame, centroids: DataFrame, key: str, vector: str, label: str, tau: float, delta: float, path: str, checkpoint: str) -> DataFrame:
-    """Each micro-batch assigned to static centroids."""
-    _run(vectors, path, checkpoint, lambda df, number: assign_open_set(top2(df, centroids, key, vector, label), tau, delta))
+    """Each micro-batch assigned to static centroids, which are made ready once."""
+    ready = Centroids(centroids, label)
+    _run(vectors, path, checkpoint, lambda df, number: assign_open_set(ready.top2(df, key, vector), tau, delta))
     return vectors.sparkSession.read.parquet(path).drop("batch")
 
 
