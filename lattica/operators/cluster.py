@@ -243,7 +243,9 @@ def silhouette(rows: DataFrame, key: str, vector: str, block: int = 2048) -> Dat
     """Mean silhouette by Euclidean distance over all rows; keys are unique.
 
     Rows are dealt into blocks; each pair of blocks gives every row's sum of distances to each
-    cluster, so what leaves a task is rows times clusters, never pairs.
+    cluster, so what leaves a task is rows times clusters, never pairs.  The index needs every distance:
+    the work grows with the square of the rows, n ** 2 / block copies of rows are shuffled, and a task
+    holds two blocks.  Beyond some millions of rows, take it of a sample.
     """
     x = rows.select(F.col(key).cast("long").alias("key"), F.col("cluster").cast("long").alias("cluster"), F.col(vector).cast("array<double>").alias("v"))
     n = 1 + x.count() // block

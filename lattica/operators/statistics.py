@@ -21,11 +21,6 @@ from .ordered import prefix_sums, value_ranks, with_medians
 from .relational import checkpointed
 
 
-def mid_rank(value: str, *group: str) -> Column:
-    """Rank in the group, ties at their mean rank."""
-    return F.rank().over(W.partitionBy(*group).orderBy(value)) + (F.count("*").over(W.partitionBy(*group, value)) - 1) / 2
-
-
 def share_grid(rows: DataFrame, group: str, category: str) -> DataFrame:
     """Counts and shares of every category in every group, 0 included."""
     n = rows.groupBy(group, category).agg(F.count("*").alias("n"))
@@ -35,10 +30,23 @@ def share_grid(rows: DataFrame, group: str, category: str) -> DataFrame:
 
 
 def spearman(rows: DataFrame, engagement: str, metrics: Sequence[str]) -> DataFrame:
-    """Rank correlation with every metric; null below three rows or for a constant."""
-    long = rows.select(engagement, F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).alias("v")) for m in metrics))).alias("x")).select(engagement, "x.*").where(F.col("v").isNotNull() & F.col(engagement).isNotNull())
-    ranked = long.select("metric", mid_rank(engagement, "metric").alias("a"), mid_rank("v", "metric").alias("b"))
-    return ranked.groupBy("metric").agg(F.when((F.count("*") >= 3) & (F.stddev_pop("a") > 0) & (F.stddev_pop("b") > 0), F.corr("a", "b")).alias("rho"))
+    """Rank correlation with every metric; null below three rows or for a constant.
+
+    Rows are counted by metric and both values, and ranks come from the counts of distinct values, so
+    that no task orders the rows of a metric."""
+    long = rows.select(F.col(engagement).alias("x"), F.explode(F.array(*(F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("y")) for m in metrics))).alias("m")).select("x", "m.*").where("x is not null and y is not null")
+    cells = checkpointed(long.groupBy("metric", "x", "y").agg(F.count("*").alias("k")))
+    ranks = []
+    for v in "xy":
+        p = prefix_sums(cells, ["metric"], v, {"k": F.sum("k")})
+        ranks.append(p.select("metric", v, (F.col("before_k") + (F.col("k") + 1) / 2 - (F.col("all_k") + 1) / 2).alias(f"r{v}")))  # less the mean rank
+    placed = cells.join(ranks[0], ["metric", "x"]).join(ranks[1], ["metric", "y"])
+
+    def total(c: Column) -> Column:
+        return F.sum(F.col("k") * c)
+
+    sums = placed.groupBy("metric").agg(F.sum("k").alias("n"), total(F.col("rx") * F.col("ry")).alias("xy"), total(F.col("rx") * F.col("rx")).alias("xx"), total(F.col("ry") * F.col("ry")).alias("yy"))
+    return sums.select("metric", F.when((F.col("n") >= 3) & (F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / F.sqrt(F.col("xx") * F.col("yy"))).alias("rho"))
 
 
 def kruskal_wallis(rows: DataFrame, group: str, value: str) -> DataFrame:
@@ -117,7 +125,8 @@ def _group_pairs(rows: DataFrame, group: str, value: str) -> DataFrame:
     functions.
 
     Rows are counted by group and value and range-partitioned by value once for all pairs; a partition
-    gives a few numbers a pair, and what lies below it comes from the partitions' sizes.
+    gives a few numbers a pair, and what lies below it comes from the partitions' sizes.  The driver
+    holds the groups' names and sizes, and a task a few numbers for each pair of groups, as the result does.
     """
     spark = rows.sparkSession
     x = rows.select(F.col(group).alias("label"), F.col(value).cast("double").alias("value")).where("label is not null and value is not null")

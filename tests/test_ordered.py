@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattica.operators import ordered, relational
-from lattica.operators.statistics import roc_gmean_threshold
+from lattica.operators.statistics import roc_gmean_threshold, spearman
 
 
 @pytest.fixture(scope="module")
@@ -62,6 +62,19 @@ def test_roc_threshold(spark):
     assert (got.gmean, got.threshold) == (pytest.approx(best[0]), best[1])
 
 
+def test_rank_correlations(spark):
+    r = random.Random(4)
+    rows = [(r.choice([None, r.randrange(6) * 1.0, r.random()]), r.choice([None, float(r.randrange(9))]), 5.0, r.random()) for _ in range(200)]
+    df = spark.createDataFrame(rows, "x double, a double, b double, c double").repartition(4)
+    got = {m.metric: m.rho for m in spearman(df, "x", ["a", "b", "c"]).collect()}
+    p = pd.DataFrame(rows, columns=["x", "a", "b", "c"])
+    for m in "ac":
+        known = p[["x", m]].dropna().rank()
+        assert got[m] == pytest.approx(known["x"].corr(known[m]))
+    assert got["b"] is None
+    assert [x.rho for x in spearman(df.where("x is not null and a is not null").limit(2), "x", ["a"]).collect()] == [None]
+
+
 @pytest.mark.parametrize("size", [1, 20, 4096])
 def test_seeded_split_and_sample(df, rows, monkeypatch, size):
     monkeypatch.setattr(ordered, "RANGE", size)
