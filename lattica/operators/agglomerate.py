@@ -35,16 +35,19 @@ def merges(ids: DataFrame, pairs: DataFrame, linkage: str, most: float | None =
     sums over pairs of members, so a round relabels the pairs and adds them up.
     """
     measure = LINKAGES[linkage]
+
+    def measured(links: DataFrame, nodes: DataFrame) -> DataFrame:
+        """The links with their height, null where pairs of their members are missing."""
+        ends = [nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("w").alias(f"w{x}")) for x in "ab"]
+        at = links.join(ends[0], "a").join(ends[1], "b")
+        height = F.when(F.col("k") == F.col("na") * F.col("nb"), measure(*map(F.col, ("s", "na", "nb", "wa", "wb"))))
+        return checkpointed(at.select("a", "b", "s", "k", height.alias("height")))
+
     nodes = checkpointed(ids.select("id", F.lit(1).cast("long").alias("n"), F.lit(0.0).alias("w")))
-    links = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("value").cast("double").alias("s"), F.lit(1).cast("long").alias("k")).where("a <> b"))
+    links = measured(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("value").cast("double").alias("s"), F.lit(1).cast("long").alias("k")), nodes)
     out = None
     while True:
-        ends = [nodes.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("w").alias(f"w{x}")) for x in "ab"]
-        at = links.join(ends[0], "a").join(ends[1], "b").where(F.col("k") == F.col("na") * F.col("nb"))
-        at = at.withColumn("height", measure(*map(F.col, ("s", "na", "nb", "wa", "wb")))).select("a", "b", "s", "height")
-        if most is not None:
-            at = at.where(F.col("height") <= most)
-        at = checkpointed(at)
+        at = links.where("height is not null" if most is None else F.col("height") <= most)
         sides = at.select("a", F.struct("height", "b").alias("x")).unionByName(at.select(F.col("b").alias("a"), F.struct("height", F.col("a").alias("b")).alias("x")))
         best = sides.groupBy("a").agg(F.min("x").alias("x")).select("a", "x.b", "x.height")
         back = best.select(F.col("b").alias("a"), F.col("a").alias("b"))
@@ -57,10 +60,10 @@ def merges(ids: DataFrame, pairs: DataFrame, linkage: str, most: float | None =
         inner = joined.select(F.col("a").alias("id"), "s")
         moved = nodes.join(into, "id", "left").select(F.coalesce("to", "id").alias("id"), "n", "w").groupBy("id").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
         nodes = checkpointed(moved.join(inner, "id", "left").select("id", "n", (F.col("w") + F.coalesce("s", F.lit(0.0))).alias("w")))
+        ends = links.drop("height")
         for x in "ab":
-            links = links.join(into.select(F.col("id").alias(x), "to"), x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
-        links = links.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"), F.sum("k").alias("k"))
-        links = checkpointed(links)
+            ends = ends.join(into.select(F.col("id").alias(x), "to"), x, "left").withColumn(x, F.coalesce("to", x)).drop("to")
+        links = measured(ends.where("a <> b").groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("s").alias("s"), F.sum("k").alias("k")), nodes)
 
 
 def cut(ids: DataFrame, joins: DataFrame, clusters: int | None = None) -> DataFrame:
