@@ -94,7 +94,7 @@ def op11_first_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_vectors(_read(spark, sf_dir, "embeddings"))
+    return encode_vectors(_read(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
 
 
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
