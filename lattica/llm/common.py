@@ -76,9 +76,13 @@ _U = np.uint64
 
 
 def mix(z: np.ndarray) -> np.ndarray:
-    z = (z ^ (z >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> _U(27))) * _U(0x94D049BB133111EB)
-    return z ^ (z >> _U(31))
+    t = z >> _U(30)
+    z = t ^ z
+    z *= _U(0xBF58476D1CE4E5B9)
+    z ^= np.right_shift(z, _U(27), out=t)
+    z *= _U(0x94D049BB133111EB)
+    z ^= np.right_shift(z, _U(31), out=t)
+    return z
 
 
 BYTE_VALUES = tuple(mix(np.arange(1, 257, dtype=np.uint64) * _U(x)) for x in _BASES)
@@ -98,7 +102,9 @@ def powers(base: int, n: int) -> np.ndarray:
 
 def prefix_sums(b: np.ndarray, lane: int = 0) -> np.ndarray:
     c = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(BYTE_VALUES[lane][b] * powers(_BASES[lane], len(b)), out=c[1:])
+    v = BYTE_VALUES[lane][b]
+    v *= powers(_BASES[lane], len(b))
+    np.cumsum(v, out=c[1:])
     return c
 
 
@@ -107,6 +113,14 @@ def substring_hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray, lane: in
     return mix((c[end] - c[start]) * powers(_INVERSES[lane], len(c))[start] + (end - start).astype(np.uint64))
 
 
+def window_hashes(c: np.ndarray, width: int, lane: int = 0) -> np.ndarray:
+    """`substring_hashes` of every substring of ``width`` bytes, in order."""
+    z = c[width:] - c[:-width]
+    z *= powers(_INVERSES[lane], len(c))[: len(z)]
+    z += _U(width)
+    return mix(z)
+
+
 _LANES = [_U(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 
 

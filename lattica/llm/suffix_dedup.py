@@ -11,19 +11,24 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Table, column, longs, mix, prefix_sums, substring_hashes
+from .common import Table, column, longs, mix, prefix_sums, substring_hashes, window_hashes
 
 #: Bytes of the key by which suffixes are sampled; a string of `length` bytes holds length - KEY + 1.
 KEY = 20
 #: A place packs (first window, windows) into one long; texts have at most 2**31 bytes.
 _LEN = 8
-#: Flags of places that pass the sort of suffixes: known to be held before, or to be compared by window.
-_SETTLED, _DIRECT = 1 << 61, 1 << 62
+#: Flags of places: those that pass the sort of suffixes are known to be held before, or to be compared
+#: by window; windows are compared in the pass that a bit of their sampled suffix's hash says.
+_PART, _SETTLED, _DIRECT = 1 << 60, 1 << 61, 1 << 62
+_PART_BIT = np.uint64(1 << 8)
 _MARK = -1
+#: Runs of one key and second hash whose first holders a task remembers from batch to batch; rows of others
+#: are compared by window.
+REMEMBERED = 100_000
 #: Tuples that a task combines before they are shuffled, and runs of one key among them from which on
 #: the key counts as open.  Both decide cost, never results.
 TOGETHER, MANY_RUNS = 400_000, 32
-#: Passes in which windows are compared, each those of some hashes: they bound the disk in use.
+#: Passes in which windows are compared, each those of half of the sampled suffixes: they bound the disk in use.
 PASSES = 2
 _U = np.uint64
 
@@ -37,13 +42,12 @@ def sampled_runs(b: np.ndarray, length: int, key: int) -> tuple[np.ndarray, np.n
     bits of their first hash), and the first and last windows.
     """
     c = prefix_sums(b)
-    h = substring_hashes(c, np.arange(len(b) - key + 1), np.arange(key, len(b) + 1))
-    width, step, m = length - key + 1, 1, h
-    while step * 2 <= width:
-        m = np.minimum(m[:-step], m[step:])
-        step *= 2
-    if width > step:
-        m = np.minimum(m[: len(m) - (width - step)], m[width - step :])
+    m = window_hashes(c, key)
+    width, step, other = length - key + 1, 1, np.empty_like(m)
+    while step < width:  # minima of step neighbours, then of at most twice as many
+        by = min(step, width - step)
+        m, other = np.minimum(m[:-by], m[by:], out=other[: len(m) - by]), m
+        step += by
     edge = np.concatenate(([True], m[1:] != m[:-1]))
     start = np.flatnonzero(edge)
     most = (1 << _LEN) - 1
@@ -86,7 +90,7 @@ def _combined(k: np.ndarray, r: np.ndarray, doc: np.ndarray, variant: np.ndarray
     opened = keys[runs >= MANY_RUNS]
     at = np.minimum(np.searchsorted(opened, k >> _U(8)), max(len(opened) - 1, 0))
     direct = (opened[at] == k >> _U(8)) & single if len(opened) else np.zeros(len(k), bool)
-    place = place | np.where(settled, _SETTLED, 0) | np.where(direct, _DIRECT, 0)
+    place = place | np.where(settled, _SETTLED, 0) | np.where(direct, _DIRECT + np.where(k & _PART_BIT, _PART, 0), 0)
     k = np.where(settled | direct, mix(doc.view(np.uint64) ^ (place.view(np.uint64) << _U(20))), k)
     n, none = len(opened), np.iinfo(np.int64).min
     cols = [(k, opened << _U(8)), (r.view(np.int64), np.full(n, none)), (doc, np.full(n, none)), (variant, np.zeros(n, np.int64)), (place, np.full(n, _MARK))]
@@ -112,50 +116,56 @@ def _tuples(length: int, key: int, together: int):
 
 
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Suffix tuples sorted by (k, r, doc, variant, place), read once.
-
-    kind 1: a run that a smaller document holds whole.  kind 2: every place of a run in its first
-    holder whose key also starts other runs, so that some of its windows may be elsewhere; the
-    places of a key's first such run wait until another one shows up (those of one doc_id).
+    """Suffix tuples sorted by k (one number, which Spark sorts by radix), read once.
+
+    kind 1: a run that a smaller document holds whole.  kind 2 (3 where a bit of the key is set):
+    every place of a run in its first holder whose key also starts other runs, so that some of its
+    windows may be elsewhere.  A batch is ordered by run; of the key that may go on, the first
+    holders so far are carried over: of one run while it is the only one (places of one doc_id), else
+    a row for each run of the last k.  A holder that gives way to a smaller document later has gone
+    to the comparison by window like that document's run, which then finds it.
     """
-    k0 = r0 = first = None
-    is_open, pending = False, []
+    names = ("k", "r", "doc", "variant", "place")
+    carry, sent, last, is_open = [np.empty(0, np.int64)] * 5, np.empty(0, bool), None, False
     for b in batches:
         if not b.num_rows:
             continue
-        rows = [column(b, x) for x in ("k", "r", "doc", "variant", "place")]
+        rows = [column(b, x).astype(np.int64, copy=False) for x in names]
         passing = rows[4] >= _SETTLED
-        doc, variant, place = (x[passing] for x in rows[2:])
-        out = [(doc, variant, place & (_SETTLED - 1), np.where(place >= _DIRECT, 2, 1))]
-        k, r, doc, variant, place = (x[~passing] for x in rows)
-        if len(k):
-            idx = np.arange(len(k))
+        out = [(*(x[passing] for x in rows[2:]), np.where(rows[4][passing] >= _DIRECT, 2, 1))]
+        rows = [np.concatenate((x, y[~passing])) for x, y in zip(carry, rows)]
+        sent = np.concatenate((sent, np.zeros(len(rows[0]) - len(sent), bool)))
+        if len(sent):
+            o = np.lexsort((rows[1], rows[0]))
+            (k, r, doc, variant, place), sent = (x[o] for x in rows), sent[o]
+            place = place | np.where(k & int(_PART_BIT), _PART, 0)  # marks stay what they are
             key = k >> 8
-            new_k = np.concatenate(([k0 is None or key[0] != k0 >> 8], key[1:] != key[:-1]))
-            new_r = new_k | np.concatenate(([k0 is None or k[0] != k0 or r[0] != r0], (k[1:] != k[:-1]) | (r[1:] != r[:-1])))
-            at = np.maximum.accumulate(np.where(new_r, idx, -1))
-            least = np.where(at >= 0, doc[at], first if first is not None else 0)
-            matched = doc > least
-            # Keys by number, 0 for one that began in an earlier batch, and whether they start several runs.
-            group = np.cumsum(new_k)
+            new_k = np.concatenate(([True], key[1:] != key[:-1]))
+            new_r = new_k | np.concatenate(([True], (k[1:] != k[:-1]) | (r[1:] != r[:-1])))
+            start = np.flatnonzero(new_r)
+            least = np.minimum.reduceat(doc, start)
+            held = doc == least[np.cumsum(new_r) - 1]
+            group = np.cumsum(new_k) - 1
             several = np.bincount(group[new_r & ~new_k], minlength=group[-1] + 1) > 0
-            several[0] |= is_open
-            led = ~matched & several[group] & (place != _MARK)
-            out += [(doc[x], variant[x], place[x], np.full(int(x.sum()), kind)) for x, kind in ((matched, 1), (led, 2))]
-            if several[0]:
-                out += pending
-            if several[0] or group[-1]:
-                pending = []
-            is_open = bool(several[group[-1]])
-            waits = ~matched & (group == group[-1]) & (place != _MARK)
-            if not is_open and waits.any():
-                pending.append((doc[waits], variant[waits], place[waits], np.full(int(waits.sum()), 2)))
-            k0, r0, first = k[-1], r[-1], least[-1]
-        yield pa.record_batch([longs(np.concatenate(x)) for x in zip(*out)], names=["doc", "variant", "place", "kind"])
-
-
-def _windows(length: int, together: int, part: int):
-    """Windows of open runs in one pass: two hashes of their bytes, and their places.
+            several[0] |= is_open and key[0] == last
+            real = ~sent & (place != _MARK)
+            out += [(doc[x], variant[x], place[x], np.full(int(x.sum()), kind)) for x, kind in ((real & ~held, 1), (real & held & several[group], 2))]
+            last, is_open = key[-1], bool(several[-1])
+            if is_open:
+                of = np.flatnonzero(k[start] == k[-1])[:REMEMBERED]
+                kept = start[of]
+                carry, sent = [k[kept], r[kept], least[of], variant[kept], place[kept]], np.ones(len(kept), bool)
+            else:
+                kept = np.flatnonzero(held & (group == group[-1]))
+                kept = kept[:1] if place[kept[0]] == _MARK else kept
+                carry, sent = [x[kept] for x in (k, r, doc, variant, place)], np.zeros(len(kept), bool)
+        doc, variant, place, kind = (np.concatenate(x) for x in zip(*out))
+        kind = np.where((kind == 2) & (place & _PART > 0), 3, kind)
+        yield pa.record_batch([longs(x) for x in (doc, variant, place & (_PART - 1), kind)], names=["doc", "variant", "place", "kind"])
+
+
+def _windows(length: int, together: int):
+    """Windows of open runs of one pass: two hashes of their bytes, and their places.
 
     Of equal windows in one task those of the smallest document stand for all; the others are
     settled (place below 0) and pass the sort under hashes of their own.
@@ -177,8 +187,6 @@ def _windows(length: int, together: int, part: int):
                 lo, n = p >> _LEN, p & ((1 << _LEN) - 1)
                 at = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
                 w = substring_hashes(prefix_sums(b), at, at + length)
-                own = w % _U(PASSES) == part
-                w, at = w[own], at[own]
                 v = substring_hashes(prefix_sums(b, 1), at, at + length, 1)
                 parts.append((w, (v >> _U(40)).astype(np.uint32), np.full(len(at), doc, np.int64), np.full(len(at), variant, np.int64), at))
                 held += len(at)
@@ -192,22 +200,28 @@ def _windows(length: int, together: int, part: int):
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Windows sorted by (w, v, doc): those in a document after the first one that holds them."""
-    before = first = None
+    """Windows sorted by w (one number, which Spark sorts by radix): those in a document after the
+    first one that holds them.  Of the w that may go on, the first holders so far are carried over."""
+    carry = [np.empty(0, np.int64)] * 5
     for b in batches:
         if not b.num_rows:
             continue
-        rows = [column(b, x) for x in ("w", "v", "doc", "variant", "at")]
+        rows = [column(b, x).astype(np.int64, copy=False) for x in ("w", "v", "doc", "variant", "at")]
         settled = rows[4] < 0
         out = [(rows[2][settled], rows[3][settled], ~rows[4][settled])]
-        w, v, doc, variant, at = (x[~settled] for x in rows)
+        w, v, doc, variant, at = rows = [np.concatenate((x, y[~settled])) for x, y in zip(carry, rows)]
         if len(w):
-            new = np.concatenate(([before is None or (w[0], v[0]) != before], (w[1:] != w[:-1]) | (v[1:] != v[:-1])))
-            head = np.maximum.accumulate(np.where(new, np.arange(len(w)), -1))
-            least = np.where(head >= 0, doc[head], first if first is not None else 0)
-            before, first = (w[-1], v[-1]), least[-1]
-            ok = doc > least
+            same = w[1:] == w[:-1]
+            if (same & (v[1:] < v[:-1])).any():
+                o = np.lexsort((v, w))
+                w, v, doc, variant, at = rows = [x[o] for x in rows]
+                same = w[1:] == w[:-1]
+            new = np.concatenate(([True], ~same | (v[1:] != v[:-1])))
+            start = np.flatnonzero(new)
+            ok = doc > np.minimum.reduceat(doc, start)[np.cumsum(new) - 1]
             out.append((doc[ok], variant[ok], at[ok]))
+            kept = np.flatnonzero(~ok & (w == w[-1]))
+            carry = [x[kept] for x in rows]
         doc, variant, at = (np.concatenate(x) for x in zip(*out))
         yield pa.record_batch([longs(doc), longs(variant), longs((at << _LEN) + 1)], names=["doc", "variant", "place"])
 
@@ -260,21 +274,21 @@ def repeated_spans(docs: DataFrame, length: int = 50, key: int = KEY, with_bytes
     first = ids.groupBy("digest").agg(F.min("doc_id").alias("doc"))
     # Different texts of one doc_id get a variant number each.
     reps = first.withColumn("variant", (F.row_number().over(W.partitionBy("doc").orderBy("digest")) - 1).cast("int"))
-    texts = docs.join(reps.withColumnRenamed("doc", "doc_id"), ["doc_id", "digest"]).select(F.col("doc_id").alias("doc"), "variant", "digest", "text")
-    texts = Table(texts.dropDuplicates(["doc", "variant"]))
+    texts = docs.join(reps.withColumnRenamed("doc", "doc_id"), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    texts = Table(texts.select(F.col("doc_id").alias("doc"), "variant", "digest", "text"))
     long_enough = texts.df.where(F.octet_length("text") >= length)
     tuples = long_enough.mapInArrow(_tuples(length, key, together), "k long, r long, doc long, variant long, place long")
     tuples = tuples.withColumn("variant", F.col("variant").cast("int")).repartition(F.shiftright("k", 8))
-    induced = Table(tuples.sortWithinPartitions("k", "r", "doc", "variant", "place").mapInArrow(_induce, "doc long, variant long, place long, kind long"))
+    induced = Table(tuples.sortWithinPartitions("k").mapInArrow(_induce, "doc long, variant long, place long, kind long"))
 
     def per_text(df: DataFrame) -> DataFrame:
         return df.groupBy("doc", F.col("variant").cast("int").alias("variant")).agg(F.collect_list("place").alias("places"))
 
-    open_runs = per_text(induced.df.where("kind = 2").select("doc", "variant", "place"))
     places, later = induced.df.where("kind = 1").select("doc", "variant", "place"), []
     for part in range(PASSES):
-        windows = long_enough.select("doc", "variant", "text").join(open_runs, ["doc", "variant"]).mapInArrow(_windows(length, together, part), "w long, v int, doc long, variant int, at long")
-        later.append(Table(windows.repartition("w").sortWithinPartitions("w", "v", "doc").mapInArrow(_later, "doc long, variant long, place long")))
+        open_runs = per_text(induced.df.where(F.col("kind") == 2 + part).select("doc", "variant", "place"))
+        windows = long_enough.select("doc", "variant", "text").join(open_runs, ["doc", "variant"]).mapInArrow(_windows(length, together), "w long, v int, doc long, variant int, at long")
+        later.append(Table(windows.repartition("w").sortWithinPartitions("w").mapInArrow(_later, "doc long, variant long, place long")))
         places = places.unionByName(later[-1].df)
     places = per_text(places)
     schema = "doc long, digest binary, n_removed long, n_spans long, kept_sha256 string, kept binary"

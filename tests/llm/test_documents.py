@@ -206,6 +206,47 @@ def test_repeated_spans_of_frequent_strings(spark, together):
     assert Counter(map(tuple, got)) == Counter(_plain_spans(rows))
 
 
+@pytest.mark.parametrize("size", [1, 2, 7, 1000])
+def test_runs_and_windows_across_batches(size):
+    """Sorted rows in batches of any size: what a smaller document holds, and holders of open keys."""
+    r = random.Random(size)
+
+    def batches(rows, names):
+        rows.sort(key=lambda x: x[0])
+        for i in range(0, len(rows), size):
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in zip(*rows[i : i + size])], names=names)
+
+    rows = [((key << 8) + r.randrange(2), r.choice([5, -5, 9]) if key % 3 else 4, r.randrange(6), 0, 1000 + i) for i, key in enumerate(r.choices(range(-12, 12), k=600))]
+    rows = [(k if (k >> 8) % 3 else k >> 8 << 8, *rest) for k, *rest in rows]
+    mark = np.iinfo(np.int64).min
+    marks = [((key << 8), mark, mark, 0, suffix_dedup._MARK) for key in (-3, 3, 3, 11)]
+    first, runs = {}, {}
+    for k, run, d, _, _ in rows + marks:
+        first[k, run] = min(first.get((k, run), d), d)
+        runs.setdefault(k >> 8, set()).add((k, run))
+    got = {}
+    for b in suffix_dedup._induce(batches(rows + marks, ["k", "r", "doc", "variant", "place"])):
+        for d, _, place, kind in zip(*(b.column(i).to_pylist() for i in range(4))):
+            assert place not in got
+            got[place] = (d, kind)
+    for k, run, d, _, place in rows:
+        is_open, held = len(runs[k >> 8]) > 1, d == first[k, run]
+        by_window = (d, 2 + (k >> 8 & 1))
+        if held:
+            assert got.get(place) == (by_window if is_open else None)
+        else:
+            assert got[place] == (d, 1) or is_open and got[place] == by_window
+    assert len(got) <= len(rows)
+
+    rows = [(w, r.choice([1, 1, 1, 2]) if w % 2 else 0, r.randrange(9), 0, i) for i, w in enumerate(r.choices(range(20), k=500))]
+    first = {}
+    for w, v, d, _, _ in rows:
+        first[w, v] = min(first.get((w, v), d), d)
+    want = sorted((d, 0, (at << 8) + 1) for w, v, d, _, at in rows if d > first[w, v])
+    got = [x for b in suffix_dedup._later(batches(rows, ["w", "v", "doc", "variant", "at"])) for x in zip(*(b.column(i).to_pylist() for i in range(3)))]
+    assert sorted(got) == want
+
+
 def test_repeated_spans_of_many_texts_with_one_id(spark):
     r = random.Random(9)
     shared = "".join(r.choices(string.ascii_letters, k=80))
