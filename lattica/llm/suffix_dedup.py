@@ -118,9 +118,9 @@ def _tuples(length: int, key: int, together: int):
 def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffix tuples sorted by k (one number, which Spark sorts by radix), read once.
 
-    kind 1: a run that a smaller document holds whole.  kind 2 (3 where a bit of the key is set):
-    every place of a run in its first holder whose key also starts other runs, so that some of its
-    windows may be elsewhere.  A batch is ordered by run; of the key that may go on, the first
+    kind 1: a run that a smaller document holds whole.  kind 2: every place of a run in its first
+    holder whose key also starts other runs, so that some of its windows may be elsewhere; part, a bit
+    of the key, is the pass that compares them.  A batch is ordered by run; of the key that may go on, the first
     holders so far are carried over: of one run while it is the only one (places of one doc_id), else
     a row for each run of the last k.  A holder that gives way to a smaller document later has gone
     to the comparison by window like that document's run, which then finds it.
@@ -160,8 +160,8 @@ def _induce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 kept = kept[:1] if place[kept[0]] == _MARK else kept
                 carry, sent = [x[kept] for x in (k, r, doc, variant, place)], np.zeros(len(kept), bool)
         doc, variant, place, kind = (np.concatenate(x) for x in zip(*out))
-        kind = np.where((kind == 2) & (place & _PART > 0), 3, kind)
-        yield pa.record_batch([longs(x) for x in (doc, variant, place & (_PART - 1), kind)], names=["doc", "variant", "place", "kind"])
+        part = np.where((kind == 2) & (place & _PART > 0), 1, 0)
+        yield pa.record_batch([longs(x) for x in (doc, variant, place & (_PART - 1), kind, part)], names=["doc", "variant", "place", "kind", "part"])
 
 
 def _windows(length: int, together: int):
@@ -279,14 +279,14 @@ def repeated_spans(docs: DataFrame, length: int = 50, key: int = KEY, with_bytes
     long_enough = texts.df.where(F.octet_length("text") >= length)
     tuples = long_enough.mapInArrow(_tuples(length, key, together), "k long, r long, doc long, variant long, place long")
     tuples = tuples.withColumn("variant", F.col("variant").cast("int")).repartition(F.shiftright("k", 8))
-    induced = Table(tuples.sortWithinPartitions("k").mapInArrow(_induce, "doc long, variant long, place long, kind long"))
+    induced = Table(tuples.sortWithinPartitions("k").mapInArrow(_induce, "doc long, variant long, place long, kind long, part long"))
 
     def per_text(df: DataFrame) -> DataFrame:
         return df.groupBy("doc", F.col("variant").cast("int").alias("variant")).agg(F.collect_list("place").alias("places"))
 
     places, later = induced.df.where("kind = 1").select("doc", "variant", "place"), []
     for part in range(PASSES):
-        open_runs = per_text(induced.df.where(F.col("kind") == 2 + part).select("doc", "variant", "place"))
+        open_runs = per_text(induced.df.where((F.col("kind") == 2) & (F.col("part") == part)).select("doc", "variant", "place"))
         windows = long_enough.select("doc", "variant", "text").join(open_runs, ["doc", "variant"]).mapInArrow(_windows(length, together), "w long, v int, doc long, variant int, at long")
         later.append(Table(windows.repartition("w").sortWithinPartitions("w").mapInArrow(_later, "doc long, variant long, place long")))
         places = places.unionByName(later[-1].df)

@@ -226,16 +226,16 @@ def test_runs_and_windows_across_batches(size):
         runs.setdefault(k >> 8, set()).add((k, run))
     got = {}
     for b in suffix_dedup._induce(batches(rows + marks, ["k", "r", "doc", "variant", "place"])):
-        for d, _, place, kind in zip(*(b.column(i).to_pylist() for i in range(4))):
+        for d, _, place, kind, part in zip(*(b.column(i).to_pylist() for i in range(5))):
             assert place not in got
-            got[place] = (d, kind)
+            got[place] = (d, kind, part)
     for k, run, d, _, place in rows:
         is_open, held = len(runs[k >> 8]) > 1, d == first[k, run]
-        by_window = (d, 2 + (k >> 8 & 1))
+        by_window = (d, 2, k >> 8 & 1)
         if held:
             assert got.get(place) == (by_window if is_open else None)
         else:
-            assert got[place] == (d, 1) or is_open and got[place] == by_window
+            assert got[place] == (d, 1, 0) or is_open and got[place] == by_window
     assert len(got) <= len(rows)
 
     rows = [(w, r.choice([1, 1, 1, 2]) if w % 2 else 0, r.randrange(9), 0, i) for i, w in enumerate(r.choices(range(20), k=500))]
