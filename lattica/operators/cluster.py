@@ -30,11 +30,11 @@ def vectorised(df: DataFrame, columns: Sequence[str] | str) -> DataFrame:
     return df.withColumn("features", array_to_vector(a))
 
 
-def standardise(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Columns as z-scores by the population deviation; 0 without any."""
+def standardise(df: DataFrame, columns: Sequence[str], constant: float = 0.0) -> DataFrame:
+    """Columns as z-scores by the population deviation; ``constant`` without any."""
     from .relational import zscore
 
-    return zscore(df, columns)
+    return zscore(df, columns, constant)
 
 
 #: Starts of k-means, and how many of them are fitted at a time.

@@ -150,11 +150,11 @@ def one_per_label(df: DataFrame, label: str, key: str, k: int, seed: int) -> Dat
     return one.orderBy(by_hash(label, seed), label).limit(k)
 
 
-def zscore(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(x - mean) / population deviation, 0 without any."""
+def zscore(df: DataFrame, columns: Sequence[str], constant: float = 0.0) -> DataFrame:
+    """(x - mean) / population deviation; ``constant`` without any."""
     stats = df.agg(*(f(c).alias(f"_{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_pop))))
     out = df.crossJoin(F.broadcast(stats))  # one row
-    z = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(0.0) for c in columns}
+    z = {c: F.when(F.col(f"_s_{c}") > 0, (F.col(c) - F.col(f"_m_{c}")) / F.col(f"_s_{c}")).otherwise(F.lit(constant)) for c in columns}
     return out.withColumns(z).select(*df.columns)
 
 
