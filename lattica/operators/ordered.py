@@ -44,6 +44,20 @@ def prefix_sums(rows: DataFrame, group: Sequence[str], value: str, sums: dict[st
     return out.select(*group, value, *sums, *((F.col(f"_offset_{n}") + F.col(f"_before_{n}")).alias(f"before_{n}") for n in sums), *(f"all_{n}" for n in sums))
 
 
+def suffix_minima(rows: DataFrame, value: str, of: str) -> DataFrame:
+    """Rows of distinct values with ``of`` replaced by its least one among the values not below theirs.
+
+    Running minima within range partitions, from the largest value down, and one row a partition for
+    those above; a frame that reached forward would be read anew for every row.
+    """
+    parts = checkpointed(rows.repartitionByRange(value).withColumn("_part", F.spark_partition_id()))
+    above = W.orderBy(F.desc("_part")).rowsBetween(W.unboundedPreceding, -1)
+    later = parts.groupBy("_part").agg(F.min(of).alias("_m")).select("_part", F.min("_m").over(above).alias("_later"))
+    down = W.partitionBy("_part").orderBy(F.desc(value)).rowsBetween(W.unboundedPreceding, W.currentRow)
+    out = parts.withColumn(of, F.min(of).over(down)).join(F.broadcast(later), "_part")  # one row a partition
+    return out.withColumn(of, F.least(of, "_later")).drop("_part", "_later")
+
+
 def value_ranks(rows: DataFrame, value: str, group: Sequence[str] = ()) -> DataFrame:
     """Mean rank, count and number of rows of every distinct value (of a group)."""
     p = prefix_sums(rows, group, value, {"c": F.count("*")})

@@ -17,8 +17,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .affect import jensen_shannon
-from .ordered import prefix_sums, value_ranks, with_medians
-from .relational import checkpointed
+from .ordered import prefix_sums, suffix_minima, value_ranks, with_medians
+from .relational import checkpointed, spread_lookup
 
 
 def share_grid(rows: DataFrame, group: str, category: str) -> DataFrame:
@@ -192,11 +192,17 @@ def chi2_contingency(rows: DataFrame, row: str, column: str) -> DataFrame:
 
 
 def bh_qvalues(tests: DataFrame, p: str, key: str) -> DataFrame:
-    """Benjamini and Hochberg's q-values; for tables of tests, which one window orders."""
-    w = W.orderBy(p, key)
-    r = tests.withColumn("_i", F.row_number().over(w)).withColumn("_m", F.count("*").over(W.partitionBy()))
-    q = F.min(F.col(p) * F.col("_m") / F.col("_i")).over(W.orderBy("_i").rowsBetween(W.currentRow, W.unboundedFollowing))
-    return r.withColumn("q", F.least(q, F.lit(1.0))).drop("_i", "_m")
+    """Benjamini and Hochberg's q-values; null p-values have none and are no tests.
+
+    Tests of equal p have the q of the last of them, so distinct p-values are counted and ranked, and
+    the least ratio from a p-value on is found within range partitions and over the later ones.  The
+    ``key`` decides nothing.
+    """
+    c = prefix_sums(tests, [], p, {"c": F.count("*")})
+    ratio = F.col(p) * F.col("all_c") / (F.col("before_c") + F.col("c"))
+    least = suffix_minima(c.select(p, "c", ratio.alias("_ratio")), p, "_ratio")
+    q = least.select(p, "c", F.least("_ratio", F.lit(1.0)).alias("q"))
+    return spread_lookup(tests, q, [p], "left", "c")
 
 
 def intra_cluster_distances(rows: DataFrame, cluster: str, entity: str, category: str, value: str) -> DataFrame:

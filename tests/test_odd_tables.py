@@ -46,3 +46,20 @@ def test_standardise_of_a_feature_without_spread(spark, tmp_path):
         nation=([(0, "X")], "n_nationkey int, n_name string"),
     )
     assert all(math.isnan(ratio) and abs(hhi) == 1 for ratio, hhi, _ in got)
+
+
+def test_bh_qvalues_of_ties_over_many_partitions(spark, tmp_path):
+    # Every value is held by several rows, one by half of them; ratios rise and fall.
+    rows = [(i, [0.5 if i % 2 else (i * i % 97) / 97.0], 0) for i in range(600)] + [(600, [float("nan")], 0), (603, [0.0], 0)]
+    got = agrees(spark, "bh_qvalues", tmp_path, embeddings=([(i, v + [0.1] * 63, k) for i, v, k in rows], "vec_id long, embedding array<float>, label int"))
+    assert len({q for _, q in got}) > 5
+
+
+def test_bh_qvalues_plan_reads_no_frame_forward(spark):
+    from lattica.operators import statistics
+
+    t = spark.createDataFrame([(i, i / 100.0) for i in range(100)] + [(100, None)], "key long, p double")
+    q = statistics.bh_qvalues(t, "p", "key")
+    assert "unboundedfollowing" not in q._jdf.queryExecution().analyzed().toString().lower()
+    got = {r["key"]: r["q"] for r in q.collect()}
+    assert got[100] is None and abs(got[50] - 50 / 100 * 100 / 51) < 1e-12 and got[0] == 0.0
