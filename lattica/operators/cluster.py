@@ -20,6 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import dot, l2_normalise
+from .cells import matrix
 from .hashes import dbscan_hamming  # noqa: F401
 from .neighbors import centroids_by_label
 from .relational import checkpointed
@@ -225,42 +226,102 @@ def davies_bouldin(rows: DataFrame, vector: str) -> DataFrame:
     return r.agg(F.avg("r").alias("davies_bouldin"))
 
 
+#: Numbers of a block of vectors whose distances to another block's one task works out, at most, and rows.
+BLOCK_NUMBERS, BLOCK_ROWS = 1 << 20, 1 << 14
+
+
+def _by_cluster(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, vectors and weights in the order of clusters, the clusters and where each begins."""
+    c = t.column("cluster").to_numpy()
+    o = np.argsort(c, kind="stable")
+    ids, start = np.unique(c[o], return_index=True)
+    return t.column("key").to_numpy()[o], matrix(t.column("v"))[o], t.column("w").to_numpy()[o].astype(float), ids, start
+
+
+def _summed(keys: np.ndarray, ids: np.ndarray, sums: np.ndarray) -> pa.Table:
+    return pa.table({"key": np.repeat(keys, len(ids)), "other": np.tile(ids, len(keys)), "total": sums.ravel()})
+
+
 def _distance_sums(left: pa.Table, right: pa.Table) -> pa.Table:
-    """Sums of the distances of every left row to the rows of each cluster on the right."""
+    """Sums of the distances of every row of both blocks to the rows of each cluster of the other one;
+    of a block with itself, once.
+
+    A matrix product gives squared distances; those lost in rounding, and what is not finite, are worked out
+    by differences.
+    """
     if not (left.num_rows and right.num_rows):
         return pa.table({"key": pa.array([], pa.int64()), "other": pa.array([], pa.int64()), "total": pa.array([], pa.float64())})
-    x, y = (np.stack(t.column("v").to_numpy()) for t in (left, right))
-    ids, at = np.unique(right.column("cluster").to_numpy(), return_inverse=True)
-    member = np.zeros((len(y), len(ids)))
-    member[np.arange(len(y)), at] = 1.0
-    sums = np.empty((len(x), len(ids)))
-    for i in range(0, len(x), 64):
-        sums[i : i + 64] = np.sqrt(((x[i : i + 64, None, :] - y[None, :, :]) ** 2).sum(axis=2)) @ member
-    return pa.table({"key": np.repeat(left.column("key").to_numpy(), len(ids)), "other": np.tile(ids, len(x)), "total": sums.ravel()})
-
-
-def silhouette(rows: DataFrame, key: str, vector: str, block: int = 2048) -> DataFrame:
+    itself = left.column("b")[0].as_py() == right.column("c2")[0].as_py()
+    (kx, x, wx, cx, sx), (ky, y, wy, cy, sy) = _by_cluster(left), _by_cluster(right)
+    xx, yy, yt = (x * x).sum(axis=1), (y * y).sum(axis=1), np.ascontiguousarray(y.T)
+    out, back = np.zeros((len(x), len(cy))), np.zeros((len(y), len(cx)))
+
+    def parts(start: np.ndarray, n: int, first: int, last: int) -> list[tuple[int, slice]]:
+        """The clusters of the rows from first to last, each with its rows."""
+        ends, k = [*start[1:].tolist(), n], int(np.searchsorted(start, first, side="right")) - 1
+        found = []
+        while k < len(start) and start[k] < last:
+            found.append((k, slice(max(int(start[k]), first), min(ends[k], last))))
+            k += 1
+        return found
+
+    across = {i: parts(sx, len(x), i, min(i + 128, len(x))) for i in range(0, len(x), 128)}
+    with np.errstate(invalid="ignore"):
+        for j in range(0, len(y), 512):  # tiles that stay in a core's cache
+            q, down = slice(j, j + 512), parts(sy, len(y), j, min(j + 512, len(y)))
+            tile = np.ascontiguousarray(yt[:, q])
+            for i, held in across.items():
+                p = slice(i, i + 128)
+                d = x[p] @ tile
+                d *= -2
+                d += xx[p, None]
+                d += yy[q]
+                lost = 1e-6 * (xx[p].max() + yy[q].max())
+                if not d.min() > lost:
+                    at, of = np.nonzero(~(d > lost))
+                    for k in range(0, len(at), 16384):
+                        r, c = at[k : k + 16384], of[k : k + 16384]
+                        d[r, c] = ((x[i + r] - y[j + c]) ** 2).sum(axis=1)
+                np.sqrt(d, out=d)
+                for k, c in down:
+                    out[p, k] += d[:, c.start - j : c.stop - j] @ wy[c]
+                if not itself:
+                    for k, r in held:
+                        back[q, k] += wx[r] @ d[r.start - i : r.stop - i]
+    found = _summed(kx, cy, out)
+    return found if itself else pa.concat_tables([found, _summed(ky, cx, back)])
+
+
+def silhouette(rows: DataFrame, key: str, vector: str, block: int | None = None) -> DataFrame:
     """Mean silhouette by Euclidean distance over all rows; keys are unique.
 
-    Rows are dealt into blocks; each pair of blocks gives every row's sum of distances to each
-    cluster, so what leaves a task is rows times clusters, never pairs.  The index needs every distance:
-    the work grows with the square of the rows, n ** 2 / block copies of rows are shuffled, and a task
-    holds two blocks.  Beyond some millions of rows, take it of a sample.
+    Equal rows of a cluster become one with a weight.  Those are dealt into blocks, and a task works out
+    the distances of one pair of blocks for both sides, so what leaves it is rows times clusters, never
+    pairs.  The index needs every distance: the work grows with the square of the distinct rows, and
+    n ** 2 / block copies of them are shuffled; a task holds two blocks.  Rows without a key take no part;
+    those without a cluster or vector count as 0 and are in no cluster's mean.
     """
-    x = rows.select(F.col(key).cast("long").alias("key"), F.col("cluster").cast("long").alias("cluster"), F.col(vector).cast("array<double>").alias("v"))
-    n = 1 + x.count() // block
-
-    def dealt(own: str, other: str) -> DataFrame:
-        y = x.withColumn(own, F.pmod(F.xxhash64("key"), F.lit(n).cast("long")))
-        return y.withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-
-    right = dealt("c", "b").select("key", "cluster", "v", F.col("b").alias("b2"), F.col("c").alias("c2"))
-    sums = dealt("b", "c").groupBy("b", "c").cogroup(right.groupBy("b2", "c2")).applyInArrow(_distance_sums, "key long, other long, total double")
-    sizes = x.groupBy(F.col("cluster").alias("other")).agg(F.count("*").alias("n"))
-    m = sums.groupBy("key", "other").agg(F.sum("total").alias("total")).join(sizes, "other").join(x.select("key", "cluster"), "key")
+    given = rows.where(F.col(key).isNotNull()).select(F.col("cluster").cast("long").alias("cluster"), F.col(vector).cast("array<double>").alias("v"))
+    usable = F.col("cluster").isNotNull() & F.col("v").isNotNull()
+    x = given.where(usable).groupBy("cluster", "v").agg(F.count("*").alias("w"))
+    x = checkpointed(x.withColumn("key", F.monotonically_increasing_id()))  # written, so that both sides see the same numbers
+    total, size = x.agg(F.count("*"), F.max(F.size("v"))).first()
+    largest = block or max(1, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, size or 1)))
+    n = math.ceil(total / largest) if block else max(math.ceil(total / largest), min(16, math.ceil(total / 2048)))
+    mine = F.pmod(F.xxhash64("key"), F.lit(max(1, n)).cast("long"))
+    zero, last = F.lit(0).cast("long"), F.lit(max(0, n - 1)).cast("long")
+    left = x.withColumn("b", mine).withColumn("c", F.explode(F.sequence("b", last)))
+    right = x.withColumn("c2", mine).withColumn("b2", F.explode(F.sequence(zero, "c2")))
+    sums = left.groupBy("b", "c").cogroup(right.groupBy("b2", "c2")).applyInArrow(_distance_sums, "key long, other long, total double")
+    sizes = x.groupBy(F.col("cluster").alias("other")).agg(F.sum("w").alias("n"))
+    m = sums.groupBy("key", "other").agg(F.sum("total").alias("total")).join(sizes, "other").join(x.select("key", "cluster", "w"), "key")
     own, same = F.col("other") == F.col("cluster"), F.col("total") / (F.col("n") - 1)
-    s = m.groupBy("key").agg(F.max(F.when(own & (F.col("n") > 1), same)).alias("own"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("near"))
-    return s.agg(F.avg(F.when(F.col("own").isNull(), 0.0).otherwise((F.col("near") - F.col("own")) / F.greatest("near", "own"))).alias("silhouette"))
+    s = m.groupBy("key", "w").agg(F.max(F.when(own & (F.col("n") > 1), same)).alias("own"), F.min(F.when(~own, F.col("total") / F.col("n"))).alias("near"))
+    value = F.when(F.col("own").isNull(), 0.0).otherwise(F.when((F.col("near") == 0) & (F.col("own") == 0), float("nan")).otherwise((F.col("near") - F.col("own")) / F.greatest("near", "own")))
+    s = s.select("w", value.alias("s")).where("s is not null").agg(F.sum(F.col("s") * F.col("w")).alias("s"), F.sum("w").alias("n"))
+    others = given.agg(F.count("*").alias("all"), F.count_if(~usable).alias("none"))  # one row, as the other
+    of = F.coalesce("n", F.lit(0)) + F.col("none")
+    return s.crossJoin(F.broadcast(others)).select(F.when((F.col("all") > 1) & (of > 0), F.coalesce("s", F.lit(0.0)) / of).alias("silhouette"))
 
 
 def refine_clusters(rows: DataFrame, steps: int = 3) -> DataFrame:

@@ -63,3 +63,45 @@ def test_bh_qvalues_plan_reads_no_frame_forward(spark):
     assert "unboundedfollowing" not in q._jdf.queryExecution().analyzed().toString().lower()
     got = {r["key"]: r["q"] for r in q.collect()}
     assert got[100] is None and abs(got[50] - 50 / 100 * 100 / 51) < 1e-12 and got[0] == 0.0
+
+
+_VECTOR = "vec_id long, embedding array<float>, label int"
+
+
+def test_silhouette_of_copies_and_rows_without_cluster(spark, tmp_path):
+    rows = [(i, [float((i * 7 + j * j) % 5 if i % 3 else j % 4) for j in range(64)], i % 4) for i in range(40)]
+    rows += [(100, rows[0][1], None), (101, None, 1), (102, rows[1][1], 9), (None, rows[2][1], 1)]
+    assert len(agrees(spark, "silhouette", tmp_path, embeddings=(rows, _VECTOR))) == 1
+
+
+def test_silhouette_of_one_row(spark, tmp_path):
+    assert agrees(spark, "silhouette", tmp_path, embeddings=([(1, [1.0] * 64, 1)], _VECTOR)) == [(None,)]
+
+
+def test_silhouette_works_out_a_pair_of_blocks_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from lattica.operators.cluster import _distance_sums
+
+    g = np.random.default_rng(3)
+    x, y = g.normal(size=(150, 3)), g.normal(size=(70, 3))
+    y[:2] = x[:2]
+
+    def table(v, first, names):
+        n = len(v)
+        return pa.table({"key": np.arange(first, first + n), "cluster": np.arange(n) * 7 % 3, "v": v.tolist(), "w": np.arange(n) % 2 + 1, **{k: np.full(n, b) for k, b in names.items()}})
+
+    got = {(k, c): s for k, c, s in zip(*(z.to_pylist() for z in _distance_sums(table(x, 0, {"b": 0, "c": 1}), table(y, 1000, {"b2": 0, "c2": 1})).columns))}
+    d = np.sqrt(((x[:, None] - y[None]) ** 2).sum(axis=2))
+    for first, e, n in ((0, d, len(y)), (1000, d.T, len(x))):
+        of, w = np.arange(n) * 7 % 3, np.arange(n) % 2 + 1
+        for i in range(len(e)):
+            for c in range(3):
+                assert abs(got.pop((first + i, c)) - (e[i] * w)[of == c].sum()) < 1e-9
+    assert not got
+
+
+def test_silhouette_of_equal_vectors_is_that_of_its_sql(spark, tmp_path):
+    rows = [(i, [1.0] * 64, i % 2) for i in range(4)]
+    assert math.isnan(agrees(spark, "silhouette", tmp_path, embeddings=(rows, _VECTOR))[0][0])
