@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .affect import jensen_shannon
+from .ordered import prefix_sums
+from .relational import checkpointed
 
 
 def exploded(rows: DataFrame, keys: list[str], tokens: Column) -> DataFrame:
@@ -84,21 +89,108 @@ def topk_overlap(profile: DataFrame, group: str, k: int) -> DataFrame:
     return both.select("a", "b", F.size(shared).alias("shared"), (F.size(shared) / F.size(F.array_union("x", "y"))).alias("jaccard"), F.array_join(shared, " ").alias("tokens"))
 
 
+#: Tokens, the most frequent ones, whose weights are broadcast; the rows of the others are shuffled.
+FREQUENT = 200_000
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The token lists l and r of every row as its distinct tokens with their counts in both."""
+    for b in batches:
+        lists = [b.column("l"), b.column("r")]
+        sizes = [pc.fill_null(pc.list_value_length(x), 0).to_numpy(zero_copy_only=False) for x in lists]
+        flat = pa.concat_arrays([pc.list_flatten(x) for x in lists]).dictionary_encode()
+        many = max(1, len(flat.dictionary))
+        row = np.concatenate([np.repeat(np.arange(b.num_rows), n) for n in sizes])
+        cells, at = np.unique(row * many + flat.indices.to_numpy(zero_copy_only=False), return_inverse=True)
+        cut = int(sizes[0].sum())
+        counts = [pa.array(np.bincount(part, minlength=len(cells)).astype(np.int32)) for part in (at[:cut], at[cut:])]
+        offsets = np.searchsorted(cells // many, np.arange(b.num_rows + 1)).astype(np.int32)
+        t = pa.StructArray.from_arrays([flat.dictionary.take(pa.array(cells % many)), *counts], ["token", "l", "r"])
+        names = [n for n in b.schema.names if n not in ("l", "r")]
+        yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.ListArray.from_arrays(pa.array(offsets), t)], [*names, "t"])
+
+
+def _documents(rows: DataFrame, keys: list[str], left: Column, right: Column) -> DataFrame:
+    """A row for each value of ``keys``, written, with t: its distinct tokens and their counts on both sides.
+
+    Tokens are counted within a row; only where a key is found twice are lists brought together."""
+    x = rows.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), left.alias("l"), right.alias("r"))
+    numbered = [f"k{i}" for i in range(len(keys))]
+    if rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        x = x.groupBy(*numbered).agg(*(F.flatten(F.collect_list(c)).alias(c) for c in "lr"))
+    types = dict(x.dtypes)
+    schema = ", ".join([*(f"{k} {types[k]}" for k in numbered), "t array<struct<token: string, l: int, r: int>>"])
+    return checkpointed(x.mapInArrow(_counted, schema)).withColumnsRenamed(dict(zip(numbered, keys)))
+
+
+def _idf(docs: DataFrame, groups: list[str], n: DataFrame, df: Column) -> tuple[DataFrame, DataFrame | None]:
+    """Weights of tokens, i: of FREQUENT frequent ones at most, and of the others, if any."""
+    counts = _listed(docs).groupBy(*groups, "token").agg(df.alias("df"))
+    counts = counts.join(F.broadcast(n), groups) if groups else counts.crossJoin(F.broadcast(n))  # a row a group, or one
+    i = F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1
+    table = checkpointed(counts.select(*(F.col(g).alias(f"_{g}") for g in groups), F.col("token").alias("_token"), "df", i.alias("i")))
+    if table.count() <= FREQUENT:
+        return table.drop("df"), None
+    sizes = prefix_sums(table, [], "df", {"c": F.count("*")})
+    least = sizes.where(F.col("all_c") - F.col("before_c") - F.col("c") <= FREQUENT).agg(F.min("df")).first()[0]
+    return table.where(F.col("df") > least).drop("df"), table.where(F.col("df") <= least).drop("df")
+
+
+def _listed(docs: DataFrame) -> DataFrame:
+    rest = [c for c in docs.columns if c != "t"]
+    return docs.select(*rest, F.explode("t").alias("t")).select(*rest, "t.*")
+
+
+def _with_idf(docs: DataFrame, groups: list[str], frequent: DataFrame) -> DataFrame:
+    """Tokens of documents with their weights by a broadcast, so that they stay where their document is."""
+    return _listed(docs).join(F.broadcast(frequent), _same(groups)).drop("_token", *(f"_{g}" for g in groups))
+
+
+def _with_rare_idf(docs: DataFrame, groups: list[str], frequent: DataFrame, others: DataFrame) -> DataFrame:
+    """The tokens left, which are in few documents each, with their weights; written."""
+    x = _listed(docs).join(F.broadcast(frequent), _same(groups), "left_anti")
+    return checkpointed(x.join(others, _same(groups)).drop("_token", *(f"_{g}" for g in groups)))
+
+
+def _same(groups: list[str]) -> Column:
+    same = F.col("token") == F.col("_token")
+    for g in groups:
+        same = same & (F.col(g) == F.col(f"_{g}"))
+    return same
+
+
 def tfidf(rows: DataFrame, key: str, tokens: Column, group: str | None = None, carried: Sequence[str] = ()) -> DataFrame:
     """tf * (ln((1 + n) / (1 + df)) + 1), scaled to unit length in every document.
 
     With ``group`` n and df are of the document's group; ``carried`` columns of the document ride
-    along.
+    along.  Documents stay whole until their length is known: they are shuffled once to meet it, and only
+    the rows of rare tokens are shuffled by token.
     """
     groups = [group] if group else []
-    tf = exploded(rows, [*groups, *carried, key], tokens).groupBy(*groups, *carried, key, "token").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(*groups, "token").agg(F.count("*").alias("df"))
-    n = rows.groupBy(*groups).agg(F.count("*").alias("n"))
-    x = tf.join(df, [*groups, "token"])
-    x = x.join(F.broadcast(n), groups) if group else x.crossJoin(F.broadcast(n))  # a row a group, or one
-    x = x.withColumn("w", F.col("tf") * (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(*groups, key)))
-    return x.select(*groups, *carried, key, "token", "tf", (F.col("w") / norm).alias("w"))
+    owners, keys = [*groups, key], list(dict.fromkeys([*groups, *carried, key]))
+    docs = _documents(rows, keys, tokens, F.array().cast("array<string>"))
+    frequent, others = _idf(docs, groups, rows.groupBy(*groups).agg(F.count("*").alias("n")), F.count("*"))
+    rare = None if others is None else _with_rare_idf(docs, groups, frequent, others)
+    w = F.col("l") * F.col("i")
+
+    def squares(x: DataFrame) -> DataFrame:
+        return x.select(*owners, (w * w).alias("s")).groupBy(*owners).agg(F.sum("s").alias("s"))
+
+    s = squares(_with_idf(docs, groups, frequent))
+    if rare is not None:
+        s = s.unionByName(squares(rare)).groupBy(*owners).agg(F.sum("s").alias("s"))
+    lengths = checkpointed(s.select(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(owners)), F.sqrt("s").alias("_length")))
+    met = F.lit(True)
+    for i, c in enumerate(owners):
+        met = met & F.col(c).eqNullSafe(F.col(f"_o{i}"))
+
+    def measured(x: DataFrame) -> DataFrame:
+        return x.join(lengths.hint("shuffle_hash"), met).drop(*(f"_o{i}" for i in range(len(owners))))
+
+    out = _with_idf(measured(docs), groups, frequent)
+    if rare is not None:
+        out = out.unionByName(measured(rare))
+    return out.select(*groups, *carried, key, "token", F.col("l").cast("long").alias("tf"), (w / F.col("_length")).alias("w"))
 
 
 def ngram_terms(tokens: Column) -> Column:
@@ -108,13 +200,22 @@ def ngram_terms(tokens: Column) -> Column:
 
 
 def text_pair_cosine(rows: DataFrame, key: str, left: Column, right: Column) -> DataFrame:
-    """Cosine of two token lists of every row in the space of all lists; 0 without common tokens."""
-    side = F.explode(F.array(F.struct(F.lit("l").alias("side"), left.alias("t")), F.struct(F.lit("r").alias("side"), right.alias("t")))).alias("x")
-    both = rows.select(key, side).select(F.struct(key, "x.side").alias("id"), F.col("x.t").alias("t"))
-    w = tfidf(both, "id", F.col("t"))
-    a = w.where("id.side = 'l'").select(F.col(f"id.{key}").alias(key), "token", "w")
-    b = w.where("id.side = 'r'").select(F.col(f"id.{key}").alias(key), "token", F.col("w").alias("v"))
-    sims = a.join(b, [key, "token"]).groupBy(key).agg(F.sum(F.col("w") * F.col("v")).alias("cosine"))
+    """Cosine of two token lists of every row in the space of all lists; 0 without common tokens.
+
+    Both lists stay in their row; what is shuffled is three sums of it, and the rows of rare tokens."""
+    docs = _documents(rows, [key], left, right)
+    held = (F.col("l") > 0).cast("int") + (F.col("r") > 0).cast("int")
+    # Rows without a key count as one text, as their ids are null.
+    frequent, others = _idf(docs, [], rows.agg((2 * F.count("*")).alias("n")), F.sum(F.when(F.col(key).isNull(), 1).otherwise(held)))
+
+    def products(x: DataFrame) -> DataFrame:
+        i = F.col("i") * F.col("i")
+        return x.groupBy(key).agg(*(F.sum(F.col(a) * F.col(b) * i).alias(a + b) for a, b in ("lr", "ll", "rr")))
+
+    p = products(_with_idf(docs, [], frequent))
+    if others is not None:
+        p = p.unionByName(products(_with_rare_idf(docs, [], frequent, others))).groupBy(key).agg(*(F.sum(c).alias(c) for c in ("lr", "ll", "rr")))
+    sims = p.where("lr > 0").select(key, (F.col("lr") / F.sqrt(F.col("ll") * F.col("rr"))).alias("cosine"))
     return rows.select(key).join(sims, key, "left").select(key, F.coalesce("cosine", F.lit(0.0)).alias("cosine"))
 
 
@@ -145,8 +246,9 @@ def class_keywords(rows: DataFrame, group: str, key: str, tokens: Column, k: int
     w = tfidf(rows, key, tokens, carried=[group])
     sizes = rows.groupBy(group).agg(F.count("*").alias("docs"))
     c = w.groupBy(group, "token").agg(F.sum("w").alias("s"), F.sum("tf").alias("n"))
-    c = c.join(F.broadcast(sizes), group).withColumn("m", F.col("s") / F.col("docs"))
-    c = c.withColumn("m", F.col("m") / F.sqrt(F.sum(F.col("m") * F.col("m")).over(W.partitionBy(group))))
+    c = checkpointed(c.join(F.broadcast(sizes), group).withColumn("m", F.col("s") / F.col("docs")))
+    lengths = c.groupBy(group).agg(F.sqrt(F.sum(F.col("m") * F.col("m"))).alias("length"))  # a row a class
+    c = c.join(F.broadcast(lengths), group).withColumn("m", F.col("m") / F.col("length"))
     by_token = W.partitionBy("token")
     c = c.withColumn("first", F.max(F.struct("m", group)).over(by_token))
     second = F.coalesce(F.max(F.when(F.col(group) != F.col(f"first.{group}"), F.col("m"))).over(by_token), F.lit(0.0))

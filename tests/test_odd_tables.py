@@ -4,7 +4,10 @@ import datetime
 import math
 
 import duckdb
+import pytest
+from pyspark.sql import functions as F
 
+from lattica.operators import text
 from lattica.plans.registry import QUERIES, SQL
 
 
@@ -105,3 +108,24 @@ def test_silhouette_works_out_a_pair_of_blocks_once():
 def test_silhouette_of_equal_vectors_is_that_of_its_sql(spark, tmp_path):
     rows = [(i, [1.0] * 64, i % 2) for i in range(4)]
     assert math.isnan(agrees(spark, "silhouette", tmp_path, embeddings=(rows, _VECTOR))[0][0])
+
+
+_DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
+#: Frequent and rare words, repeated documents, a doc_id twice, empty texts, none, and none that counts.
+_TEXTS = [(i, f"alpha word{i % 3} word{i % 3}\nalpha beta{i} word{i % 7} gamma gamma", "en" if i % 2 else "fr", f"src{i % 4}", 1) for i in range(30)]
+_TEXTS += [(30, _TEXTS[0][1], "en", "src1", 1), (30, "delta alpha\nalpha", "en", "src1", 1), (31, "", "en", "src2", 0), (32, None, "fr", "src2", None), (33, "a 12 ..", "fr", "src3", 7)]
+
+
+@pytest.mark.parametrize("frequent", [3, 200_000])
+@pytest.mark.parametrize("name", ["tfidf_docs", "text_pair_cosine", "class_keywords_tfidf", "topic_labels"])
+def test_tfidf_with_tokens_that_are_not_broadcast(spark, tmp_path, monkeypatch, name, frequent):
+    monkeypatch.setattr(text, "FREQUENT", frequent)
+    rows = [x for x in _TEXTS if name != "class_keywords_tfidf" or x[0] != 30]  # its SQL joins texts by key
+    assert agrees(spark, name, tmp_path, documents=(rows, _DOCUMENT))
+
+
+def test_tfidf_shuffles_no_row_of_a_frequent_token(spark, tmp_path):
+    df = spark.createDataFrame(_TEXTS, _DOCUMENT)
+    w = text.tfidf(df, "doc_id", F.split("text", " "))
+    plan = w._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and "Aggregate" not in plan
