@@ -18,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .relational import checkpointed
 
-#: Rows of a block where each pair of blocks is compared in one task.
-BLOCK = 4096
+#: Rows of a block where each pair of blocks is compared in one task, and numbers in a packed one.
+BLOCK, BLOCK_NUMBERS = 4096, 1 << 18
+#: Rows that a radius join may send to cells for each row it has; beyond, packed blocks meet where they lie.
+COPIES = 4
 #: Centres at most, and numbers in all of them.
 CENTRES, CENTRE_NUMBERS = 1024, 1 << 20
 #: Rows that are compared with all centres, or with a block, at once.
@@ -81,14 +83,16 @@ def _near(x: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return cell, np.sqrt(((x - centres[cell]) ** 2).sum(axis=1))
 
 
-def met(left: DataFrame, right: DataFrame, cell: list[str], compare, schema: str) -> DataFrame:
+def met(left: DataFrame, right: DataFrame, cell: list[str], compare, schema: str, blocks: DataFrame | None = None) -> DataFrame:
     """Rows of compare(left, right) over the rows that share a cell.  Cells of more than BLOCK rows are
-    dealt into blocks, and each pair of blocks is one call."""
+    dealt into blocks, and each pair of blocks is one call.  ``blocks``: (cell, nl, nr), where the numbers
+    of blocks are known."""
 
     def sizes(df: DataFrame, name: str) -> DataFrame:
         return df.groupBy(*cell).agg(F.ceil(F.count("*") / BLOCK).alias(name))
 
-    blocks = checkpointed(sizes(left, "nl").join(sizes(right, "nr"), cell))
+    if blocks is None:
+        blocks = checkpointed(sizes(left, "nl").join(sizes(right, "nr"), cell))
     own = [f"_{c}" for c in cell]
 
     def dealt(df: DataFrame, mine: str, n_mine: str, other: str, n_other: str) -> DataFrame:
@@ -103,77 +107,219 @@ def met(left: DataFrame, right: DataFrame, cell: list[str], compare, schema: str
 # --- radius joins ------------------------------------------------------------------------------
 
 
-def ringed(left: DataFrame, right: DataFrame, r: float, cells: int | None = None) -> tuple[DataFrame, DataFrame] | None:
-    """Both sides, unless the right one is empty, by (cell, ring): the right side in the ring, of width r, of its distance to its nearest
-    centre; the left side in every cell and ring where the right side may have a row within r.
+class _Rings:
+    """Both sides of a radius join by (cell, ring): the right side in the ring, of width r, of its distance
+    to its nearest centre; the left side in every cell and ring where the right side may have a row within r.
 
     A centre much farther than the nearest one (2 r) cannot be the nearest of such a row, and the
     distances of the two to any centre differ by r at most.
     """
+
+    def __init__(self, left: DataFrame, right: DataFrame, n: int, r: float, cells: int | None):
+        self.rows, self.width = left, r if r > 0 else 1.0
+        centres = choose_centres(right, cells or max(math.isqrt(n) // 4, n // BLOCK))
+        shared, width = right.sparkSession.sparkContext.broadcast(centres), self.width
+        self.centres = shared
+
+        def place(x: np.ndarray, b: pa.RecordBatch) -> dict:
+            cell, d = _near(x, shared.value)
+            return {"key": b.column("key"), "v": b.column("v"), "cell": pa.array(cell, pa.int32()), "ring": pa.array(np.floor(d / width).astype(np.int64))}
+
+        self.placed = checkpointed(_batches(right, ["key", "v"], place, "key long, v array<double>, cell int, ring long"))
+        spans = self.placed.groupBy("cell").agg(F.min("ring"), F.max("ring")).collect()  # one row a centre
+        low, high = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
+        for cell, a, b in spans:
+            low[cell], high[cell] = a, b
+
+        def seen(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, bool]:
+            d, off = _distances(x, shared.value)
+            slack = off + 1e-6 * (1 + r)
+            first = np.maximum(np.floor((d - r - slack) / width), low[None])
+            last = np.minimum(np.floor((d + r + slack) / width), high[None])
+            ok = (d - d.min(axis=1)[:, None] <= 2 * r + 2 * slack) & (first <= last)
+            row, cell = np.nonzero(ok)
+            a, n = first[row, cell].astype(np.int64), (last[row, cell] - first[row, cell] + 1).astype(np.int64)
+            row, cell = np.repeat(row, n), np.repeat(cell, n)
+            return row, cell, np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(row)), bool(np.isfinite(d).all())
+
+        self.seen = seen
+
+    def routed(self) -> DataFrame:
+        seen = self.seen
+
+        def route(x: np.ndarray, b: pa.RecordBatch) -> dict:
+            row, cell, ring, _ = seen(x)
+            at = pa.array(row)
+            return {"key": b.column("key").take(at), "v": b.column("v").take(at), "cell": pa.array(cell, pa.int32()), "ring": pa.array(ring)}
+
+        return _batches(self.rows, ["key", "v"], route, "key long, v array<double>, cell int, ring long")
+
+    def blocks(self) -> tuple[DataFrame, int]:
+        """(cell, ring, nl, nr), the numbers of blocks that meet there, and the rows sent to do so; those
+        are endless where squares are no longer finite, so that cells tell nothing."""
+        seen = self.seen
+
+        def tally(x: np.ndarray, b: pa.RecordBatch) -> dict:
+            _, cell, ring, finite = seen(x)
+            at, n = np.unique(np.stack((cell, ring)), axis=1, return_counts=True)
+            if not finite:
+                at, n = np.append(at, [[-1], [0]], axis=1), np.append(n, 1)
+            return {"cell": pa.array(at[0], pa.int32()), "ring": pa.array(at[1], pa.int64()), "l": pa.array(n, pa.int64())}
+
+        left = _batches(self.rows, ["key", "v"], tally, "cell int, ring long, l long").groupBy("cell", "ring").agg(F.sum("l").alias("l"))
+        right = self.placed.groupBy("cell", "ring").agg(F.count("*").alias("r"))
+        nl, nr = (F.ceil(F.col(c) / BLOCK) for c in "lr")
+        both = checkpointed(left.join(right, ["cell", "ring"], "left").select("cell", "ring", nl.alias("nl"), nr.alias("nr"), (F.col("l") * nr + F.col("r") * nl).alias("sent")))
+        sent, endless = both.agg(F.sum("sent"), F.count_if(F.col("cell") < 0)).first()
+        return both.where("nr is not null").drop("sent"), float("inf") if endless else sent or 0
+
+
+def ringed(left: DataFrame, right: DataFrame, r: float, cells: int | None = None) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides by (cell, ring), as `_Rings` tells, unless the right one is empty."""
     left, right, n = alike(left, right)
     if not n:
         return None
-    width = r if r > 0 else 1.0
-    schema = "key long, v array<double>, cell int, ring long"
-    centres = choose_centres(right, cells or max(math.isqrt(n) // 4, n // BLOCK))
-    shared = right.sparkSession.sparkContext.broadcast(centres)
+    rings = _Rings(left, right, n, r, cells)
+    return rings.routed(), rings.placed
 
-    def place(x: np.ndarray, b: pa.RecordBatch) -> dict:
-        cell, d = _near(x, shared.value)
-        return {"key": b.column("key"), "v": b.column("v"), "cell": pa.array(cell, pa.int32()), "ring": pa.array(np.floor(d / width).astype(np.int64))}
-
-    placed = checkpointed(_batches(right, ["key", "v"], place, schema))
-    spans = placed.groupBy("cell").agg(F.min("ring"), F.max("ring")).collect()  # one row a centre
-    low, high = np.full(len(centres), np.inf), np.full(len(centres), -np.inf)
-    for cell, a, b in spans:
-        low[cell], high[cell] = a, b
-
-    def route(x: np.ndarray, b: pa.RecordBatch) -> dict:
-        d, off = _distances(x, shared.value)
-        slack = off + 1e-6 * (1 + r)
-        first = np.maximum(np.floor((d - r - slack) / width), low[None])
-        last = np.minimum(np.floor((d + r + slack) / width), high[None])
-        ok = (d - d.min(axis=1)[:, None] <= 2 * r + 2 * slack) & (first <= last)
-        row, cell = np.nonzero(ok)
-        a, n = first[row, cell].astype(np.int64), (last[row, cell] - first[row, cell] + 1).astype(np.int64)
-        row, cell = np.repeat(row, n), np.repeat(cell, n)
-        ring = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(len(row))
-        at = pa.array(row)
-        return {"key": b.column("key").take(at), "v": b.column("v").take(at), "cell": pa.array(cell, pa.int32()), "ring": pa.array(ring)}
-
-    return _batches(left, ["key", "v"], route, schema), placed
+
+def _close(x: np.ndarray, y: np.ndarray, r: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Exactly the pairs of rows within r, (row of x, row of y, distance), some at a time.
+
+    One matrix product gives half the negative squares of the distances, nearly; what may be near enough, or
+    is not finite, is worked out by differences.
+    """
+    with np.errstate(over="ignore", invalid="ignore"):
+        a, b = (x * x).sum(axis=1) / 2, (y * y).sum(axis=1) / 2
+        turned = np.concatenate((y, np.ones((len(y), 1)), -b[:, None]), axis=1).T
+        for i in range(0, len(x), TOGETHER):
+            part = x[i : i + TOGETHER]
+            s = np.concatenate((part, -a[i : i + TOGETHER, None], np.ones((len(part), 1))), axis=1) @ turned
+            slack = 1e-9 * (r * r + a[i : i + TOGETHER].max() + b.max())
+            at, of = np.nonzero(~(s < -r * r / 2 - slack))
+            for j in range(0, len(at), 65536):
+                p, q = at[j : j + 65536], of[j : j + 65536]
+                exact = np.sqrt(((part[p] - y[q]) ** 2).sum(axis=1))
+                ok = exact <= r
+                yield p[ok] + i, q[ok], exact[ok]
 
 
 def _within(r: float):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         a, b, d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if left.num_rows and right.num_rows:
-            x, y = matrix(left["v"]), matrix(right["v"])
             ids, others = (t.column("key").to_numpy() for t in (left, right))
-            for i in range(0, len(x), TOGETHER):
-                part = x[i : i + TOGETHER]
-                near, off = _distances(part, y)
-                at, of = np.nonzero(near <= r + off + 1e-6 * (1 + r))
-                exact = np.sqrt(((part[at] - y[of]) ** 2).sum(axis=1))
-                ok = exact <= r
-                a.append(ids[i : i + TOGETHER][at[ok]])
-                b.append(others[of[ok]])
-                d.append(exact[ok])
+            for at, of, exact in _close(matrix(left["v"]), matrix(right["v"]), r):
+                a.append(ids[at])
+                b.append(others[of])
+                d.append(exact)
         return pa.table({"a": np.concatenate(a), "b": np.concatenate(b), "distance": np.concatenate(d)})
 
     return run
 
 
+def _packed(df: DataFrame, n: int, r: float, centres) -> DataFrame:
+    """The n rows in blocks, written once: (keys, vectors, low, high, block), where low and high are the bounds
+    of the distances to the origin and to each centre.  Neighbours in a block have about the same norm, cell
+    and distance to its centre."""
+    width = r / 2 if r > 0 else 1.0
+    dims = centres.value.shape[1]
+    size = max(1, min(BLOCK, BLOCK_NUMBERS // max(1, dims)))
+    order = ["norm", "cell", "ring"]
+
+    def place(x: np.ndarray, b: pa.RecordBatch) -> dict:
+        cell, d = _near(x, centres.value)
+        norm = np.sqrt((x * x).sum(axis=1))
+        return {"key": b.column("key"), "v": b.column("v"), "norm": pa.array(np.floor(norm / width)), "cell": pa.array(cell, pa.int32()), "ring": pa.array(np.floor(d / width))}
+
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        x = matrix(t["v"])
+        pivots = np.concatenate((np.zeros((1, dims)), centres.value))
+        low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+        for at in range(0, len(x), TOGETHER):
+            d, off = _distances(x[at : at + TOGETHER], pivots)
+            low, high = np.minimum(low, (d - off).min(axis=0)), np.maximum(high, (d + off).max(axis=0))
+        low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
+        return pa.RecordBatch.from_pydict({"keys": [t["key"].to_numpy().tobytes()], "vectors": [x.tobytes()], "low": [low], "high": [high]})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            while b.num_rows:
+                held.append(b.slice(0, size - rows))
+                b, rows = b.slice(size - rows), rows + held[-1].num_rows
+                if rows == size:
+                    yield block(held)
+                    held, rows = [], 0
+        if held:
+            yield block(held)
+
+    placed = _batches(df, ["key", "v"], place, "key long, v array<double>, norm double, cell int, ring double")
+    ranged = placed.repartitionByRange(math.ceil(n / (2 * size)) or 1, *order, F.xxhash64("key")).sortWithinPartitions(*order)
+    blocks = ranged.select("key", "v").mapInArrow(pack, "keys binary, vectors binary, low array<double>, high array<double>")
+    return checkpointed(blocks.withColumn("block", F.monotonically_increasing_id()))
+
+
+def _side_by_side(left: DataFrame, right: DataFrame, r: float, once: bool) -> DataFrame:
+    """(a, b, distance) of packed blocks, which are read where they lie: a Cartesian product without a shuffle,
+    of which only pairs of blocks reach Python whose bounds allow a pair within r.  ``once``: the
+    sides are the same, and a < b."""
+    other = right.select(*(F.col(c).alias(f"_{c}") for c in right.columns))
+    apart = F.greatest(*(F.array_max(F.zip_with(x, y, lambda lo, hi: lo - hi)) for x, y in (("low", "_high"), ("_low", "high"))))
+    meet = apart <= r + 1e-6 * (1 + r)
+    if once:  # each pair of blocks in one of its orders, as many in one as in the other
+        even = (F.col("block") + F.col("_block")) % 2 == 0
+        meet = ((F.col("block") == F.col("_block")) | ((F.col("block") < F.col("_block")) == even)) & meet
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                ids, others = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("keys", "_keys"))
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), float).reshape(len(k), -1) for c, k in (("vectors", ids), ("_vectors", others)))
+                same = batch.column("same")[i].as_py()
+                for at, of, d in _close(x, y, r):
+                    a, b = ids[at], others[of]
+                    if once:
+                        ok = a < b if same else a != b
+                        a, b, d = np.minimum(a, b)[ok], np.maximum(a, b)[ok], d[ok]
+                    yield pa.RecordBatch.from_pydict({"a": a, "b": b, "distance": d})
+
+    pairs = left.hint("shuffle_replicate_nl").join(other, meet)
+    return pairs.select("keys", "vectors", "_keys", "_vectors", (F.col("block") == F.col("_block")).alias("same")).mapInArrow(run, "a long, b long, distance double")
+
+
+def _radius_join(left: DataFrame, right: DataFrame, r: float, cells: int | None, once: bool) -> DataFrame:
+    schema = "a long, b long, distance double"
+    same = left is right
+    left, right, n = alike(left, right)
+    if not n:
+        return left.sparkSession.createDataFrame([], schema)
+    rings = _Rings(left, right, n, r, cells)
+    blocks, sent = rings.blocks()
+    n_left = n if same else left.count()
+    if sent <= COPIES * (n_left + n):
+        found = met(rings.routed(), rings.placed, ["cell", "ring"], _within(r), schema, blocks)
+        return found.where("a < b") if once else found
+    packed = _packed(rings.placed, n, r, rings.centres)
+    return _side_by_side(packed if same else _packed(left, n_left, r, rings.centres), packed, r, once)
+
+
 def radius_join_euclid(left: DataFrame, right: DataFrame, r: float, cells: int | None = None) -> DataFrame:
     """Exactly the pairs of (key, v) rows within Euclidean distance r, (a, b, distance).
 
-    Only pairs within r leave the tasks that compare them.  Rows without a key, and vectors that are
-    null, hold null, NaN or infinity, or are of another length than that of the right side's
-    smallest key, take no part; without rows on a side there is no pair.
+    Rows go to the cells and rings where they may find a pair, while those are few; where vectors have no
+    groups, each side is written once in blocks, which meet without a shuffle.  Only pairs within r
+    leave the tasks that compare them.  Rows without a key, and vectors that are null, hold null, NaN
+    or infinity, or are of another length than that of the right side's smallest key, take no
+    part; without rows on a side there is no pair.
     """
-    schema = "a long, b long, distance double"
-    placed = ringed(left, right, r, cells)
-    return met(*placed, ["cell", "ring"], _within(r), schema) if placed else left.sparkSession.createDataFrame([], schema)
+    return _radius_join(left, right, r, cells, False)
+
+
+def radius_pairs_euclid(rows: DataFrame, r: float, cells: int | None = None) -> DataFrame:
+    """`radius_join_euclid` of rows with themselves, each pair once: a < b."""
+    return _radius_join(rows, rows, r, cells, True)
 
 
 # --- largest inner products --------------------------------------------------------------------

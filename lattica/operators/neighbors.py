@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import hamming, l2_normalise
-from .cells import best_of, knn_topk, matrix, radius_join_euclid  # noqa: F401
+from .cells import best_of, knn_topk, matrix, radius_join_euclid, radius_pairs_euclid  # noqa: F401
 from .hashes import hamming_nearest, radius_join_hamming  # noqa: F401
 from .names import fuzzy_match_topk  # noqa: F401
 from .relational import checkpointed, numbered

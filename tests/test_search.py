@@ -132,6 +132,52 @@ def test_euclidean_radius_join_compares_few_pairs(spark):
     assert compared < 0.2 * 3000**2
 
 
+@pytest.mark.parametrize("copies,size", [(0, 7), (0, 4096), (float("inf"), 7)])
+def test_euclidean_radius_join_in_blocks_and_cells(spark, monkeypatch, copies, size):
+    """The same pairs either way: of two sides, and of one side with itself; norms differ, and keys repeat."""
+    monkeypatch.setattr(cells, "BLOCK", size)
+    monkeypatch.setattr(cells, "COPIES", copies)
+    g = np.random.default_rng(8)
+    v = np.concatenate((_groups(g, 90, 6, 5, 0.3) * g.integers(1, 4, (90, 1)), np.zeros((2, 6)), np.full((2, 6), 5e3)))
+    rows = [(i % 92, x.tolist()) for i, x in enumerate(v)]
+    df = spark.createDataFrame(rows + [(999, None), (None, [0.0] * 6), (998, [float("nan")] * 6)], "key long, v array<double>")
+    left = df.where("key % 3 = 0")
+    d = np.linalg.norm(v[:, None] - v[None], axis=2)
+    for r in (0.8, 0.0):
+        near = [(rows[i][0], rows[j][0], d[i, j]) for i in range(len(v)) for j in range(len(v)) if d[i, j] <= r]
+        pairs = sorted(tuple(x) for x in neighbors.radius_pairs_euclid(df, r, 9).collect())
+        both = sorted(tuple(x) for x in neighbors.radius_join_euclid(left, df, r, 9).collect())
+        for got, want in ((pairs, [x for x in near if x[0] < x[1]]), (both, [x for x in near if x[0] % 3 == 0])):
+            assert [x[:2] for x in got] == [x[:2] for x in sorted(want)]
+            assert [x[2] for x in got] == pytest.approx([x[2] for x in sorted(want)], abs=1e-9)
+    assert neighbors.radius_join_euclid(left.where("false"), df, 0.8).collect() == neighbors.radius_pairs_euclid(df.where("false"), 0.8).collect() == []
+
+
+def test_euclidean_radius_join_of_numbers_whose_squares_overflow(spark):
+    rows = [(i, [1e200 * (1 + i % 3), 0.0]) for i in range(6)]
+    for more in ([], [(10, [0.5, 0.5]), (11, [0.5, 0.5])]):
+        df = spark.createDataFrame(rows + more, "key long, v array<double>")
+        got = {tuple(x) for x in neighbors.radius_join_euclid(df, df, 1.0).where("a < b").collect()}
+        assert got == {(0, 3, 0.0), (1, 4, 0.0), (2, 5, 0.0)} | ({(10, 11, 0.0)} if more else set())
+
+
+def test_euclidean_radius_join_moves_vectors_without_groups_a_few_times(spark):
+    """MB shuffled grow as the rows, not as rows times cells."""
+    sc = spark.sparkContext
+    moved = []
+    for n in (2000, 8000):
+        v = np.random.default_rng(9).normal(size=(n, 16))
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, v array<double>")
+        sc.setJobGroup(group := f"moved {n}", "")
+        neighbors.radius_join_euclid(df, df, 1.2).count()
+        sc.setLocalProperty("spark.jobGroup.id", None)
+        status = sc.statusTracker()
+        stages = {s for j in status.getJobIdsForGroup(group) for s in status.getJobInfo(j).stageIds}
+        store = sc._jsc.sc().statusStore()
+        moved.append(sum(store.lastStageAttempt(s).shuffleWriteBytes() for s in stages))
+    assert moved[1] < 2.5 * 8000 * 16 * 8 and moved[1] < 5.5 * moved[0]
+
+
 @pytest.mark.parametrize("number,size", [(None, 4096), (12, 16)])
 def test_largest_inner_products(spark, monkeypatch, number, size):
     monkeypatch.setattr(cells, "BLOCK", size)
