@@ -218,13 +218,45 @@ def _within(r: float):
     return run
 
 
+def _block_rows(dims: int) -> int:
+    return max(1, min(BLOCK, BLOCK_NUMBERS // max(1, dims)))
+
+
+def _cut(df: DataFrame, size: int, f: Callable[[np.ndarray, pa.Table], dict], schema: str) -> DataFrame:
+    """The rows of each partition in blocks, written once: (keys, vectors, block), and f(vectors, rows)."""
+
+    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        x = matrix(t["v"])
+        return pa.RecordBatch.from_pydict({"keys": [t["key"].to_numpy().tobytes()], "vectors": [x.tobytes()], **f(x, t)})
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for b in batches:
+            while b.num_rows:
+                held.append(b.slice(0, size - rows))
+                b, rows = b.slice(size - rows), rows + held[-1].num_rows
+                if rows == size:
+                    yield block(held)
+                    held, rows = [], 0
+        if held:
+            yield block(held)
+
+    return checkpointed(df.mapInArrow(pack, f"keys binary, vectors binary, {schema}").withColumn("block", F.monotonically_increasing_id()))
+
+
+def _unpacked(batch: pa.RecordBatch, i: int, keys: str, vectors: str) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(batch.column(keys)[i].as_buffer(), np.int64)
+    return ids, np.frombuffer(batch.column(vectors)[i].as_buffer(), float).reshape(len(ids), -1)
+
+
 def _packed(df: DataFrame, n: int, r: float, centres) -> DataFrame:
     """The n rows in blocks, written once: (keys, vectors, low, high, block), where low and high are the bounds
     of the distances to the origin and to each centre.  Neighbours in a block have about the same norm, cell
     and distance to its centre."""
     width = r / 2 if r > 0 else 1.0
     dims = centres.value.shape[1]
-    size = max(1, min(BLOCK, BLOCK_NUMBERS // max(1, dims)))
+    size = _block_rows(dims)
     order = ["norm", "cell", "ring"]
 
     def place(x: np.ndarray, b: pa.RecordBatch) -> dict:
@@ -232,33 +264,18 @@ def _packed(df: DataFrame, n: int, r: float, centres) -> DataFrame:
         norm = np.sqrt((x * x).sum(axis=1))
         return {"key": b.column("key"), "v": b.column("v"), "norm": pa.array(np.floor(norm / width)), "cell": pa.array(cell, pa.int32()), "ring": pa.array(np.floor(d / width))}
 
-    def block(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        x = matrix(t["v"])
+    def bounds(x: np.ndarray, t: pa.Table) -> dict:
         pivots = np.concatenate((np.zeros((1, dims)), centres.value))
         low, high = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
         for at in range(0, len(x), TOGETHER):
             d, off = _distances(x[at : at + TOGETHER], pivots)
             low, high = np.minimum(low, (d - off).min(axis=0)), np.maximum(high, (d + off).max(axis=0))
         low, high = np.where(np.isnan(low), -np.inf, low), np.where(np.isnan(high), np.inf, high)
-        return pa.RecordBatch.from_pydict({"keys": [t["key"].to_numpy().tobytes()], "vectors": [x.tobytes()], "low": [low], "high": [high]})
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, rows = [], 0
-        for b in batches:
-            while b.num_rows:
-                held.append(b.slice(0, size - rows))
-                b, rows = b.slice(size - rows), rows + held[-1].num_rows
-                if rows == size:
-                    yield block(held)
-                    held, rows = [], 0
-        if held:
-            yield block(held)
+        return {"low": [low], "high": [high]}
 
     placed = _batches(df, ["key", "v"], place, "key long, v array<double>, norm double, cell int, ring double")
     ranged = placed.repartitionByRange(math.ceil(n / (2 * size)) or 1, *order, F.xxhash64("key")).sortWithinPartitions(*order)
-    blocks = ranged.select("key", "v").mapInArrow(pack, "keys binary, vectors binary, low array<double>, high array<double>")
-    return checkpointed(blocks.withColumn("block", F.monotonically_increasing_id()))
+    return _cut(ranged.select("key", "v"), size, bounds, "low array<double>, high array<double>")
 
 
 def _side_by_side(left: DataFrame, right: DataFrame, r: float, once: bool) -> DataFrame:
@@ -275,8 +292,7 @@ def _side_by_side(left: DataFrame, right: DataFrame, r: float, once: bool) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                ids, others = (np.frombuffer(batch.column(c)[i].as_buffer(), np.int64) for c in ("keys", "_keys"))
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), float).reshape(len(k), -1) for c, k in (("vectors", ids), ("_vectors", others)))
+                (ids, x), (others, y) = _unpacked(batch, i, "keys", "vectors"), _unpacked(batch, i, "_keys", "_vectors")
                 same = batch.column("same")[i].as_py()
                 for at, of, d in _close(x, y, r):
                     a, b = ids[at], others[of]
@@ -325,9 +341,9 @@ def radius_pairs_euclid(rows: DataFrame, r: float, cells: int | None = None) ->
 # --- largest inner products --------------------------------------------------------------------
 
 
-def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, digits: int = 9) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, digits: int = 9, least: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The k largest inner products of each row of q: (row, index into x, score), the best first and ties
-    (to ``digits`` digits) by id.
+    (to ``digits`` digits) by id.  ``least``: scores below it, for each row of q, may be left out.
 
     A matrix product finds the rows that may be among them; their scores are summed anew, one pair
     like the other, so that equal vectors have equal scores in blocks of any shape.
@@ -337,7 +353,9 @@ def best_of(q: np.ndarray, x: np.ndarray, ids: np.ndarray, k: int, digits: int =
     for at in range(0, len(q), step):
         part = q[at : at + step]
         s = part @ x.T
-        kth = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] > k else np.full(len(s), -np.inf)
+        kth = np.full(len(s), -np.inf) if least is None else least[at : at + step]
+        if s.shape[1] > k and np.count_nonzero(s >= kth[:, None]) > 4 * k * len(s):
+            kth = np.maximum(kth, np.partition(s, -k, axis=1)[:, -k])
         tie = 2 * 10.0**-digits
         row, col = np.nonzero(s >= (kth - tie - 1e-12 * np.abs(s).max(axis=1))[:, None])
         score = np.concatenate([np.empty(0), *((part[row[i : i + 65536]] * x[col[i : i + 65536]]).sum(axis=1) for i in range(0, len(row), 65536))])
@@ -377,6 +395,58 @@ def _bounds(q: np.ndarray, centres: np.ndarray, wide: np.ndarray, low: np.ndarra
     return n[:, None] * np.where(cos >= 0, high[None], low[None]) * cos + _SLACK * (1 + n[:, None] * high[None])
 
 
+def _best_of_all(queries: DataFrame, n_queries: int, refs: DataFrame, n: int, dims: int, k: int) -> DataFrame:
+    """(key, ref, score) of packed (key, v, kth) queries against all packed (key, v, cell, angle) references,
+    read where they lie: those that may be among a query's k largest and not below its kth.  A task holds
+    the best of one block of queries, so that what leaves it is k rows a query."""
+    size = _block_rows(dims)
+
+    def bounds(x: np.ndarray, t: pa.Table) -> dict:
+        norm = np.sqrt((x * x).sum(axis=1))
+        centre = (x / np.where(norm > 0, norm, 1)[:, None]).mean(axis=0)
+        return {"centre": [centre], "wide": [_angles(x, centre[None])[1].max()], "low": [norm.min()], "high": [norm.max()]}
+
+    def kth(x: np.ndarray, t: pa.Table) -> dict:
+        return {"kth": [np.nan_to_num(t["kth"].to_numpy(), nan=-np.inf, neginf=-np.inf)]}
+
+    order = ["cell", "angle"]
+    ranged = refs.repartitionByRange(math.ceil(n / (2 * size)), *order, F.xxhash64("key")).sortWithinPartitions(*order)
+    right = _cut(ranged.select("key", "v"), size, bounds, "centre array<double>, wide double, low double, high double")
+    left = _cut(queries.select("key", "v", "kth").repartition(math.ceil(n_queries / (2 * size)) or 1, "key"), size, kth, "kth array<double>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, out = None, None
+
+        def held() -> pa.RecordBatch:
+            return pa.RecordBatch.from_pydict({"key": ids[out[0]], "ref": out[1], "score": out[2]})
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column("block")[i].as_py() != block:
+                    if block is not None:
+                        yield held()
+                    block = batch.column("block")[i].as_py()
+                    ids, x = _unpacked(batch, i, "keys", "vectors")
+                    least = batch.column("kth")[i].values.to_numpy().copy()
+                    out = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+                others, y = _unpacked(batch, i, "_keys", "_vectors")
+                centre = batch.column("_centre")[i].values.to_numpy()[None]
+                wide, low, high = (np.array([batch.column(c)[i].as_py()]) for c in ("_wide", "_low", "_high"))
+                open_ = np.flatnonzero(~(_bounds(x, centre, wide, low, high)[:, 0] < least - 1e-8))
+                row, col, score = best_of(x[open_], y, others, k, least=least[open_] - 1e-8)
+                row, ref, score = (np.concatenate(z) for z in zip(out, (open_[row], others[col], score)))
+                o = np.lexsort((ref, -np.round(score, 9), row))
+                row, ref, score = row[o], ref[o], score[o]
+                rank = np.arange(len(row)) - np.searchsorted(row, row)
+                least[row[rank == k - 1]] = np.maximum(least[row[rank == k - 1]], score[rank == k - 1])
+                out = row[rank < k], ref[rank < k], score[rank < k]
+        if block is not None:
+            yield held()
+
+    pairs = left.hint("shuffle_replicate_nl").crossJoin(right.drop("block").select(*(F.col(c).alias(f"_{c}") for c in right.columns if c != "block")))
+    return pairs.mapInArrow(run, "key long, ref long, score double")
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("key").orderBy(F.desc(F.round("score", 9)), "ref")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -389,7 +459,8 @@ def knn_topk(queries: DataFrame, references: DataFrame, k: int, cells: int | Non
     A query sees the cells of the references in the order of their bounds: the first ``steps[0]`` ones,
     then ``steps[1]`` more, then all others, each time without those whose bound its k-th score
     so far beats.  Cells hold about BLOCK rows unless ``cells`` says otherwise, and large ones are
-    dealt into blocks.  Rows without a key, and vectors that are null, hold null, NaN or
+    dealt into blocks; where the last step would send more than COPIES rows a row, blocks of both sides
+    are read where they lie.  Rows without a key, and vectors that are null, hold null, NaN or
     infinity, or are of another length than that of the smallest reference, take no part.
     ``looked_at``, a list, is told the number of pairs that were scored.
     """
@@ -410,30 +481,46 @@ def knn_topk(queries: DataFrame, references: DataFrame, k: int, cells: int | Non
     stats = placed.groupBy("cell").agg(F.max("angle"), F.min("norm"), F.max("norm")).collect()  # one row a centre
     held = np.array(sorted(r[0] for r in stats))
     wide, low, high = (np.array([r[i] for r in sorted(stats)]) for i in (1, 2, 3))
-    placed = placed.select("key", "v", "cell")
     found = None
     for lo, hi in zip((0, *np.cumsum(steps).tolist()), (*np.cumsum(steps).tolist(), None)):
         if lo >= len(held):
             break
 
-        def route(x: np.ndarray, b: pa.RecordBatch, lo=lo, hi=hi) -> dict:
+        def seen(x: np.ndarray, b: pa.RecordBatch, lo=lo, hi=hi) -> tuple[np.ndarray, np.ndarray]:
             bound = _bounds(x, shared.value[held], wide, low, high)
             order = np.argsort(-bound, axis=1, kind="stable")[:, lo:hi]
             kth = b.column("kth").fill_null(-np.inf).to_numpy(zero_copy_only=False)
             row, at = np.nonzero(np.take_along_axis(bound, order, axis=1) >= kth[:, None] - 1e-8)
+            return row, held[order[row, at]]
+
+        def route(x: np.ndarray, b: pa.RecordBatch, seen=seen) -> dict:
+            row, cell = seen(x, b)
             rows = pa.array(row)
-            return {"key": b.column("key").take(rows), "v": b.column("v").take(rows), "cell": pa.array(held[order[row, at]], pa.int32())}
+            return {"key": b.column("key").take(rows), "v": b.column("v").take(rows), "cell": pa.array(cell, pa.int32())}
+
+        def tally(x: np.ndarray, b: pa.RecordBatch, seen=seen) -> dict:
+            cell, l = np.unique(seen(x, b)[1], return_counts=True)
+            return {"cell": pa.array(cell, pa.int32()), "l": pa.array(l, pa.int64())}
 
         if found is None:
             open_ = q.withColumn("kth", F.lit(None).cast("double"))
         else:
             kth = found.groupBy("key").agg(F.when(F.count("*") == k, F.min("score")).alias("kth"))
             open_ = q.join(kth, "key", "left")
+        if hi is None:
+            asked = _batches(open_, ["key", "v", "kth"], tally, "cell int, l long").groupBy("cell").agg(F.sum("l").alias("l"))
+            sizes = placed.groupBy("cell").agg(F.count("*").alias("r"))
+            blocks = checkpointed(asked.join(sizes, "cell").select("cell", "l", "r", F.ceil(F.col("l") / BLOCK).alias("nl"), F.ceil(F.col("r") / BLOCK).alias("nr")))
+            sent, n_queries = blocks.agg(F.sum(F.col("l") * F.col("nr") + F.col("r") * F.col("nl"))).first()[0] or 0, q.count()
+            if sent > COPIES * (n + n_queries):
+                if looked_at is not None:
+                    looked_at.append(n * n_queries)  # at most
+                return _top(_best_of_all(open_, n_queries, placed, n, centres.shape[1], k), k)
         routed = _batches(open_, ["key", "v", "kth"], route, "key long, v array<double>, cell int")
         if looked_at is not None:
             sizes = placed.groupBy("cell").agg(F.count("*").alias("n"))
             looked_at.append(routed.join(sizes, "cell").agg(F.sum("n")).first()[0] or 0)
-        new = met(routed, placed, ["cell"], _search(k), schema)
+        new = met(routed, placed.select("key", "v", "cell"), ["cell"], _search(k), schema, blocks.select("cell", "nl", "nr") if hi is None else None)
         more = new if found is None else found.select("key", "ref", "score").unionByName(new)
         found = _top(more, k)
         if (hi or len(held)) < len(held):

@@ -196,6 +196,25 @@ def test_largest_inner_products(spark, monkeypatch, number, size):
     assert cells.knn_topk(df, refs.where("false"), 3).collect() == []
 
 
+@pytest.mark.parametrize("size", [7, 4096])
+def test_largest_inner_products_in_blocks(spark, monkeypatch, size):
+    """Blocks that lie side by side find what cells find: ties, copies, zero vectors, many and few references."""
+    g = np.random.default_rng(10)
+    v, q = g.normal(size=(200, 8)) * g.uniform(0.2, 3, (200, 1)), g.normal(size=(40, 8))
+    q[0], v[7], v[100:120] = 0, 0, v[3]
+    refs = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)] + [(900, None)], "key long, v array<double>")
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(q)] + [(99, None)], "key long, v array<double>")
+    monkeypatch.setattr(cells, "BLOCK", size)
+    monkeypatch.setattr(cells, "COPIES", 0)
+    for k in (1, 5, 300):
+        got = {(x.key, x["rank"]): (x.ref, x.score) for x in cells.knn_topk(df, refs, k, 12).collect()}
+        assert len(got) == 40 * min(k, 200)
+        for i in range(40):
+            s = np.array([(q[i] * x).sum() for x in v])
+            for rank, j in enumerate(np.lexsort((np.arange(200), -np.round(s, 9)))[:k], 1):
+                assert got[i, rank] == (j, pytest.approx(s[j]))
+
+
 def test_largest_inner_products_skip_cells(spark):
     v = _groups(np.random.default_rng(7), 4000, 24, 40, 0.05)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "key long, v array<double>")
